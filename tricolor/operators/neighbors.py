@@ -19,17 +19,20 @@ from pyspark.sql import functions as F
 
 # Rows of one side held by one task at a time.
 DEFAULT_BLOCK_ROWS = 20_000
-_QUERY_CHUNK = 256
+# Doubles held by one distance chunk (query rows x reference rows x dimensions).
+_CHUNK_CELLS = 8_000_000
 
 
 def _dist(qm: np.ndarray, rm: np.ndarray, metric: str, p: float) -> np.ndarray:
-    if metric in ("euclidean",) or (metric == "minkowski" and p == 2):
-        d2 = (qm * qm).sum(1)[:, None] + (rm * rm).sum(1)[None, :] - 2.0 * qm @ rm.T
-        return np.sqrt(np.maximum(d2, 0.0))
+    """Exact distances from direct coordinate differences (no |a|^2 + |b|^2 - 2ab shortcut,
+    whose rounding could reorder ties)."""
+    diff = np.abs(qm[:, None, :] - rm[None, :, :])
+    if metric == "euclidean" or (metric == "minkowski" and p == 2):
+        return np.sqrt((diff * diff).sum(2))
     if metric == "manhattan" or (metric == "minkowski" and p == 1):
-        return np.abs(qm[:, None, :] - rm[None, :, :]).sum(2)
+        return diff.sum(2)
     if metric == "minkowski":
-        return (np.abs(qm[:, None, :] - rm[None, :, :]) ** p).sum(2) ** (1.0 / p)
+        return (diff ** p).sum(2) ** (1.0 / p)
     raise ValueError(f"unknown metric {metric!r}")
 
 
@@ -46,9 +49,10 @@ def _topk_fn(k: int, metric: str, p: float, exclude_self: bool):
         qm_all = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
         outs_q, outs_r, outs_d = [], [], []
         kk = min(k + (1 if exclude_self else 0), len(rids))
-        for s in range(0, len(qids_all), _QUERY_CHUNK):
-            qids = qids_all[s:s + _QUERY_CHUNK]
-            d = _dist(qm_all[s:s + _QUERY_CHUNK], rm, metric, p)
+        chunk = max(1, _CHUNK_CELLS // max(1, rm.shape[0] * rm.shape[1]))
+        for s in range(0, len(qids_all), chunk):
+            qids = qids_all[s:s + chunk]
+            d = _dist(qm_all[s:s + chunk], rm, metric, p)
             if exclude_self:
                 d = np.where(qids[:, None] == rids[None, :], np.inf, d)
             # stable sort on distance keeps ascending rid order among ties

@@ -1 +1,434 @@
-"""Queries for classifiers, tuning, evaluation, importances, PCA and scoring."""
+"""Queries for classifiers, tuning and cross-validation, evaluation, scoring and importances.
+
+Model outputs are binned / iterative and have no SQL form, except naive Bayes and kNN on raw
+features (closed form / brute force) and every metric computed on the fixed ``scored`` table.
+"""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from tricolor.operators import importance as imp
+from tricolor.operators.evaluate import (
+    long_predictions,
+    predict_all,
+    score_table,
+    test_table,
+    train_export,
+    validation_table,
+)
+from tricolor.operators.metrics import auc, confusion_metrics
+from tricolor.operators.models.base import pred_col, prob_col
+from tricolor.operators.models.catalog import model
+from tricolor.operators.models.ensemble import Stacking, Voting
+from tricolor.operators.tune import add_folds, cv_summary, fold_metrics, pooled_metrics, search_cv
+from tricolor.plans.q_relational import split_sql
+from tricolor.plans.registry import query
+from tricolor.plans.workflow import LABEL, prepared_task, scoring_table
+from tricolor.sources import fixtures as fx
+
+TASK = fx.SQL_DOCS_TASK
+SPLIT = split_sql(TASK)
+F3 = fx.FEATURES
+
+
+def _val_predictions(spark, d, name, **params):
+    p = prepared_task(spark, d)
+    fitted = model(name, **params).fit(p.train, p.features, LABEL)
+    return fitted.predict(p.val).select("row_id", LABEL, pred_col(name), prob_col(name))
+
+
+def _raw_split(spark, d):
+    from tricolor.operators.sampling import split_train_val
+    s = split_train_val(fx.docs_task(spark, d), 0.2)
+    return s.where(~F.col("is_val")).drop("is_val"), s.where(F.col("is_val")).drop("is_val")
+
+
+# --- 2.14 classifiers ------------------------------------------------------------------
+
+for _name in ["Ridge", "Lasso", "ElasticNet", "PLSDA", "SVM", "DecisionTree", "RandomForest", "GBM", "MLP",
+              "Bagging", "Pasting"]:
+    _qid = {"DecisionTree": "mod_tree", "RandomForest": "mod_rf", "GBM": "mod_gbm", "MLP": "mod_mlp",
+            "Bagging": "mod_bagging", "Pasting": "mod_pasting", "PLSDA": "mod_plsda", "SVM": "mod_svm",
+            "Ridge": "mod_ridge", "Lasso": "mod_lasso", "ElasticNet": "mod_elasticnet"}[_name]
+
+    def _make(name):
+        def run(spark, d):
+            return _val_predictions(spark, d, name)
+        run.__doc__ = f"{name}: fitted on the prepared training part, validation predictions."
+        return run
+
+    query(_qid, headline=_name in ("Ridge", "RandomForest"))(_make(_name))
+
+
+NB_SQL = f"""
+WITH s AS {SPLIT}, tr AS (SELECT * FROM s WHERE NOT is_val),
+cs AS (SELECT quality AS c, count(*) AS n,
+              avg(n_chars) AS m1, var_pop(n_chars) AS v1, avg(nonletter_share) AS m2, var_pop(nonletter_share) AS v2,
+              avg(word_share) AS m3, var_pop(word_share) AS v3 FROM tr GROUP BY quality),
+tot AS (SELECT count(*) AS n, 1e-9 * greatest(var_pop(n_chars), var_pop(nonletter_share), var_pop(word_share)) AS eps
+        FROM tr),
+p AS (SELECT cs.c, cs.n / tot.n AS prior, cs.m1, cs.m2, cs.m3, cs.v1 + tot.eps AS w1, cs.v2 + tot.eps AS w2,
+             cs.v3 + tot.eps AS w3 FROM cs, tot),
+j AS (SELECT v.row_id, v.quality, p.c,
+             ln(p.prior) - 0.5 * ln(2 * pi() * p.w1) - (v.n_chars - p.m1) * (v.n_chars - p.m1) / (2 * p.w1)
+                         - 0.5 * ln(2 * pi() * p.w2) - (v.nonletter_share - p.m2) * (v.nonletter_share - p.m2) / (2 * p.w2)
+                         - 0.5 * ln(2 * pi() * p.w3) - (v.word_share - p.m3) * (v.word_share - p.m3) / (2 * p.w3) AS jll
+      FROM (SELECT * FROM s WHERE is_val) v, p)
+SELECT j0.row_id, j0.quality, CAST(j1.jll > j0.jll AS INTEGER) AS NB_Prediction,
+       round(1 / (1 + exp(j0.jll - j1.jll)), 6) AS NB_Prob
+FROM j j0 JOIN j j1 ON j0.row_id = j1.row_id AND j0.c = 0 AND j1.c = 1"""
+
+
+@query("mod_nb", NB_SQL, headline=True)
+def mod_nb(spark, d):
+    """Gaussian naive Bayes on the raw features (closed form: SQL-checkable)."""
+    train, val = _raw_split(spark, d)
+    fitted = model("NB").fit(train, F3, LABEL)
+    return fitted.predict(val).select("row_id", LABEL, "NB_Prediction", "NB_Prob")
+
+
+KNN_SQL = f"""
+WITH s AS {SPLIT}, tr AS (SELECT * FROM s WHERE NOT is_val), v AS (SELECT * FROM s WHERE is_val),
+d AS (SELECT v.row_id, v.quality, t.quality AS y,
+             row_number() OVER (PARTITION BY v.row_id ORDER BY
+               sqrt((v.nonletter_share - t.nonletter_share) * (v.nonletter_share - t.nonletter_share)
+                    + (v.word_share - t.word_share) * (v.word_share - t.word_share)), t.row_id) AS rk
+      FROM v, tr t)
+SELECT row_id, quality, CAST(avg(y) > 0.5 AS INTEGER) AS KNN_Prediction, round(avg(y), 6) AS KNN_Prob
+FROM d WHERE rk <= 5 GROUP BY row_id, quality"""
+
+
+@query("mod_knn", KNN_SQL, headline=True)
+def mod_knn(spark, d):
+    """5-NN, uniform vote, Euclidean on the two text shares (SQL brute force as oracle)."""
+    train, val = _raw_split(spark, d)
+    fitted = model("KNN", k=5).fit(train, ["nonletter_share", "word_share"], LABEL)
+    return fitted.predict(val).select("row_id", LABEL, "KNN_Prediction", "KNN_Prob")
+
+
+@query("mod_knn_distance")
+def mod_knn_distance(spark, d):
+    """kNN with distance weights and Manhattan metric on the prepared features."""
+    return _val_predictions(spark, d, "KNN", k=7, weights="distance", metric="manhattan")
+
+
+@query("mod_stacking")
+def mod_stacking(spark, d):
+    p = prepared_task(spark, d)
+    st = Stacking("Stacking", [model("NB"), model("Ridge")], folds=5).fit(p.train, p.features, LABEL)
+    return st.predict(p.val).select("row_id", LABEL, "Stacking_Prediction", "Stacking_Prob")
+
+
+@query("mod_voting")
+def mod_voting(spark, d):
+    p = prepared_task(spark, d)
+    members = [model(n).fit(p.train, p.features, LABEL) for n in ("NB", "KNN", "Ridge")]
+    v = Voting.of_fitted("Voting", members)
+    return v.predict(p.val).select("row_id", LABEL, "Voting_Prediction", "Voting_Prob")
+
+
+@query("join_predictions")
+def join_predictions(spark, d):
+    """Several models' outputs side by side on one row per id (chained transforms, no join)."""
+    p = prepared_task(spark, d)
+    fitted = [model(n).fit(p.train, p.features, LABEL) for n in ("Ridge", "NB", "DecisionTree")]
+    wide = predict_all(p.val, fitted)
+    return wide.select("row_id", LABEL, *[c for n in ("Ridge", "NB", "DecisionTree")
+                                          for c in (pred_col(n), prob_col(n))])
+
+
+# --- 2.15 tuning and cross-validation --------------------------------------------------
+
+def _search_table(spark, best, results):
+    rows = [(i + 1, json.dumps(c, sort_keys=True), float(s), c == best) for i, (c, s) in enumerate(results)]
+    return spark.createDataFrame(rows, "candidate int, params string, mean_auc double, is_best boolean")
+
+
+@query("tun_grid")
+def tun_grid(spark, d):
+    """Exhaustive grid for naive Bayes (5 smoothing values), 10 stratified folds, AUC."""
+    p = prepared_task(spark, d)
+    from tricolor.operators.models.catalog import grid
+    best, results, _ = search_cv(model("NB"), grid("NB"), p.train, p.features, LABEL, k=10, parallelism=4)
+    return _search_table(spark, best, results)
+
+
+@query("tun_random")
+def tun_random(spark, d):
+    """Random search: 5 of the 10 ridge C values (seed 42), 3 folds."""
+    p = prepared_task(spark, d)
+    from tricolor.operators.models.catalog import grid
+    best, results, _ = search_cv(model("Ridge"), grid("Ridge"), p.train, p.features, LABEL, k=3,
+                                 search="random", n_iter=5, parallelism=4)
+    return _search_table(spark, best, results)
+
+
+@query("cv_metrics")
+def cv_metrics(spark, d):
+    """10-fold accuracy / precision / recall / F1 / AUC: mean and population std."""
+    p = prepared_task(spark, d)
+    folded = add_folds(p.train, LABEL, 10)
+    return cv_summary(fold_metrics(model("NB"), folded, p.features, LABEL, 10))
+
+
+@query("cv_predict")
+def cv_predict(spark, d):
+    """PLS-DA out-of-fold predictions pooled, metrics computed once."""
+    p = prepared_task(spark, d)
+    folded = add_folds(p.train, LABEL, 10, stratified=False)
+    return pooled_metrics(model("PLSDA"), folded, p.features, LABEL, 10)
+
+
+# --- evaluation on the fixed scored table (SQL-checkable) --------------------------------
+
+SCORED = fx.SQL_SCORED
+
+
+def _metrics_sql(src: str, group: str | None) -> str:
+    g = f"{group}, " if group else ""
+    by = f"GROUP BY {group}" if group else ""
+    return f"""
+(SELECT {g}tp, fp, fn, tn, n,
+        round(coalesce((tp + tn) / nullif(n, 0), 0), 6) AS accuracy,
+        round(pr, 6) AS precision, round(rc, 6) AS recall,
+        round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 6) AS f1
+ FROM (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS pr, coalesce(tp / nullif(tp + fn, 0), 0) AS rc
+       FROM (SELECT {g}count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp,
+                    count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp,
+                    count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn,
+                    count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) AS n
+             FROM ({src}) {by})))"""
+
+
+def _auc_sql(src: str, group: str | None) -> str:
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group} " if group else ""
+    by = f"GROUP BY {group}" if group else ""
+    join = f"USING ({group})" if group else "ON true"
+    return f"""
+(SELECT {'t.' + group + ', ' if group else ''}t.P, t.N,
+        CASE WHEN t.P > 0 AND t.N > 0 AND t.nn = 0 THEN round(coalesce(x.u, 0) / (t.P * t.N), 6) END AS auc
+ FROM (SELECT {g}count(*) FILTER (WHERE y = 1) AS P, count(*) FILTER (WHERE y = 0) AS N,
+              count(*) FILTER (WHERE prob IS NULL) AS nn FROM ({src}) {by}) t
+ LEFT JOIN (SELECT {g}sum(pos * (nb + neg / 2.0)) AS u
+            FROM (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING
+                                                      AND 1 PRECEDING), 0) AS nb
+                  FROM (SELECT {g}prob, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg
+                        FROM ({src}) WHERE prob IS NOT NULL GROUP BY {g}prob))
+            {by}) x {join})"""
+
+
+SCORED_LONG = f"SELECT row_id, quality AS y, pred, score AS prob, lang FROM ({SCORED})"
+
+
+@query("evl_confusion", f"SELECT * FROM {_metrics_sql(SCORED_LONG, None)}")
+def evl_confusion(spark, d):
+    return confusion_metrics(fx.scored(spark, d), LABEL, "pred")
+
+
+@query("evl_auc", f"SELECT * FROM {_auc_sql(SCORED_LONG, 'lang')}", headline=True)
+def evl_auc(spark, d):
+    """Exact AUC (ties count one half) per language group."""
+    return auc(fx.scored(spark, d), LABEL, "score", ["lang"])
+
+
+@query("evl_auc_total", f"SELECT * FROM {_auc_sql(SCORED_LONG, None)}")
+def evl_auc_total(spark, d):
+    return auc(fx.scored(spark, d), LABEL, "score")
+
+
+def _two_models(spark, d):
+    s = fx.scored(spark, d)
+    return s.select("row_id", LABEL, F.col("pred").alias("MD5_Prediction"), F.col("score").alias("MD5_Prob"),
+                    (1 - F.col("pred")).alias("Flip_Prediction"), (1 - F.col("score")).alias("Flip_Prob"))
+
+
+TWO_LONG = f"""
+SELECT 'MD5' AS model, row_id, quality AS y, pred, score AS prob FROM ({SCORED})
+UNION ALL SELECT 'Flip', row_id, quality, 1 - pred, 1 - score FROM ({SCORED})"""
+
+VALIDATION_SQL = f"""
+SELECT m.model, m.accuracy, m.precision, m.recall, m.f1, a.auc
+FROM {_metrics_sql(TWO_LONG, 'model')} m JOIN {_auc_sql(TWO_LONG, 'model')} a USING (model)"""
+
+
+@query("evl_validation", VALIDATION_SQL)
+def evl_validation(spark, d):
+    """One row per model: the five metrics from one grouped pass over long predictions."""
+    return validation_table(_two_models(spark, d), ["MD5", "Flip"], LABEL)
+
+
+@query("evl_test", f"SELECT *, auc < 0.5 AS auc_below_half FROM ({VALIDATION_SQL})")
+def evl_test(spark, d):
+    return test_table(_two_models(spark, d), ["MD5", "Flip"], LABEL)
+
+
+@query("scr_metrics_log", f"""
+SELECT model, metric, value FROM ({VALIDATION_SQL})
+UNPIVOT (value FOR metric IN (accuracy, precision, recall, f1, auc))""")
+def scr_metrics_log(spark, d):
+    v = validation_table(_two_models(spark, d), ["MD5", "Flip"], LABEL)
+    return v.select("model", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+        for m in ("accuracy", "precision", "recall", "f1", "auc")])).alias("e")).select("model", "e.metric", "e.value")
+
+
+@query("evl_train_export")
+def evl_train_export(spark, d):
+    p = prepared_task(spark, d)
+    fitted = model("Ridge").fit(p.train, p.features, LABEL)
+    return train_export(fitted, p.train, p.features, LABEL, label_names={0: "low", 1: "high"})
+
+
+@query("evl_train_export_pls")
+def evl_train_export_pls(spark, d):
+    """PLS-DA training export with the continuous score flipped (-score)."""
+    p = prepared_task(spark, d)
+    fitted = model("PLSDA").fit(p.train, p.features, LABEL)
+    return train_export(fitted, p.train, p.features, LABEL, flip=True, continuous=True)
+
+
+@query("evl_models")
+def evl_models(spark, d):
+    """Validation table for four fitted models; the metrics of all come from one pass."""
+    p = prepared_task(spark, d)
+    names = ["Ridge", "NB", "DecisionTree", "PLSDA"]
+    fitted = [model(n).fit(p.train, p.features, LABEL) for n in names]
+    return validation_table(predict_all(p.val, fitted), names, LABEL)
+
+
+# --- scoring a new table -----------------------------------------------------------------
+
+SCR_PREPARE_SQL = f"""
+WITH s AS {SPLIT}, tr AS (SELECT * FROM s WHERE NOT is_val),
+st AS (SELECT avg(n_chars) AS m1, stddev_pop(n_chars) AS s1, avg(nonletter_share) AS m2,
+              stddev_pop(nonletter_share) AS s2, avg(word_share) AS m3, stddev_pop(word_share) AS s3 FROM tr)
+SELECT a.row_id, a.quality,
+       CASE WHEN a.lang = 'en' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS lang_en,
+       CASE WHEN a.lang = 'es' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS lang_es,
+       CASE WHEN a.lang = 'fr' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS lang_fr,
+       round((a.n_chars - st.m1) / CASE WHEN st.s1 > 0 THEN st.s1 ELSE 1 END, 6) AS n_chars,
+       round((a.nonletter_share - st.m2) / CASE WHEN st.s2 > 0 THEN st.s2 ELSE 1 END, 6) AS nonletter_share,
+       round((a.word_share - st.m3) / CASE WHEN st.s3 > 0 THEN st.s3 ELSE 1 END, 6) AS word_share
+FROM ({fx.SQL_DOCS_NULLS}) a, st"""
+
+
+@query("scr_prepare", SCR_PREPARE_SQL)
+def scr_prepare(spark, d):
+    """Every document replayed through the training recipe (target optional: NULL kept)."""
+    p = prepared_task(spark, d)
+    return p.recipe.apply(scoring_table(spark, d), with_label=False)
+
+
+@query("scr_predict")
+def scr_predict(spark, d):
+    """Score every document with three models; NB flipped; traffic light per model."""
+    p = prepared_task(spark, d)
+    names = ["Ridge", "NB", "PLSDA"]
+    fitted = [model(n).fit(p.train, p.features, LABEL) for n in names]
+    test = p.recipe.apply(scoring_table(spark, d), with_label=False)
+    wide = predict_all(test, fitted)
+    out = score_table(wide, names, flips={"NB": True})
+    return out.select("row_id", *[c for n in names for c in (pred_col(n), prob_col(n), f"{n}_TrafficLight")])
+
+
+@query("scr_proba")
+def scr_proba(spark, d):
+    """Probability of the class coded 1 for every document (random forest)."""
+    p = prepared_task(spark, d)
+    fitted = model("RandomForest").fit(p.train, p.features, LABEL)
+    test = p.recipe.apply(scoring_table(spark, d), with_label=False)
+    return fitted.predict(test).select("row_id", prob_col("RandomForest"))
+
+
+@query("scr_long")
+def scr_long(spark, d):
+    """Long predictions (model, row_id, y, pred, prob) for the validation part."""
+    p = prepared_task(spark, d)
+    names = ["Ridge", "NB"]
+    fitted = [model(n).fit(p.train, p.features, LABEL) for n in names]
+    return long_predictions(predict_all(p.val, fitted), names, LABEL)
+
+
+# --- 2.13 importances --------------------------------------------------------------------
+
+@query("imp_rf")
+def imp_rf(spark, d):
+    p = prepared_task(spark, d, standardise=False)
+    return imp.rf_importance(p.train, p.features, LABEL)
+
+
+@query("imp_lasso")
+def imp_lasso(spark, d):
+    p = prepared_task(spark, d)
+    return imp.lasso_importance(p.train, p.features, LABEL)
+
+
+@query("imp_permutation")
+def imp_permutation(spark, d):
+    """Random forest fitted on the training part, 10 md5 shuffles per feature on validation."""
+    p = prepared_task(spark, d, standardise=False)
+    fitted = model("RandomForest").fit(p.train, p.features, LABEL)
+    return imp.permutation_importance(fitted, p.val, p.features, LABEL, repeats=10)
+
+
+def _mi_sql() -> str:
+    mm = ", ".join(f"min({c}) AS a_{c}, max({c}) AS b_{c}" for c in F3)
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, least(greatest(CAST(floor(({c} - a_{c}) / CASE WHEN b_{c} > a_{c} "
+        f"THEN (b_{c} - a_{c}) / 10 ELSE 1.0 END) AS INTEGER), 0), 9) AS b, quality AS y FROM t, mm "
+        f"WHERE {c} IS NOT NULL" for c in F3)
+    return f"""
+WITH t AS ({TASK}), mm AS (SELECT {mm} FROM t), long AS ({parts}),
+c AS (SELECT feature, b, y, count(*) AS n FROM long WHERE y IS NOT NULL GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS nt, sum(n) OVER (PARTITION BY feature, b) AS nb,
+             sum(n) OVER (PARTITION BY feature, y) AS ny FROM c)
+SELECT 'mutual_info' AS method, feature, round(sum(n / nt * ln(n * nt / (nb * ny))), 6) AS importance
+FROM w GROUP BY feature"""
+
+
+@query("imp_mutual_info", _mi_sql())
+def imp_mutual_info(spark, d):
+    return imp.mutual_information(fx.docs_task(spark, d), F3, LABEL, bins=10)
+
+
+def _all_importances(spark, d):
+    p = prepared_task(spark, d, standardise=False)
+    return (imp.rf_importance(p.train, p.features, LABEL)
+            .unionByName(imp.lasso_importance(p.train, p.features, LABEL))
+            .unionByName(imp.mutual_information(p.train, p.features, LABEL)))
+
+
+@query("imp_table")
+def imp_table(spark, d):
+    """(method, feature, importance, rank) for three methods, top 10 each."""
+    return imp.ranked(_all_importances(spark, d), top=10)
+
+
+@query("srt_importance")
+def srt_importance(spark, d):
+    p = prepared_task(spark, d, standardise=False)
+    return imp.global_rank(imp.rf_importance(p.train, p.features, LABEL))
+
+
+@query("srt_top10")
+def srt_top10(spark, d):
+    """The ten largest random-forest importances (a top-k report)."""
+    p = prepared_task(spark, d, standardise=False)
+    return imp.global_rank(imp.rf_importance(p.train, p.features, LABEL)).where(F.col("rank") <= 10)
+
+
+
+# --- streaming -----------------------------------------------------------------------------
+
+@query("stream_score")
+def stream_score(spark, d):
+    """Every document scored through a file stream (recipe + ridge + naive Bayes)."""
+    from tricolor.streaming.score_stream import score_files
+    p = prepared_task(spark, d)
+    fitted = [model(n).fit(p.train, p.features, LABEL) for n in ("Ridge", "NB")]
+    out = score_files(spark, scoring_table(spark, d), p.recipe, fitted, flips={"NB": False})
+    return out.select("row_id", *[c for n in ("Ridge", "NB") for c in (pred_col(n), prob_col(n), f"{n}_TrafficLight")])
