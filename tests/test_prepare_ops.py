@@ -78,3 +78,12 @@ def test_finite_and_outliers_and_align(spark):
     assert a.columns == ["row_id", "a", "b"] and tuple(a.first()) == (1, 0.0, 2.0)
     with pytest.raises(MissingColumnsError):
         require_columns(a, ["zzz"])
+
+
+def test_rank_based_quantiles_match_percentile(spark, monkeypatch):
+    from tricolor.operators import profile
+    df = spark.range(0, 997).select(((F.col("id") * 37) % 1000 / 7.0).alias("x"))
+    exact = profile.quantile_values(df, "x", (0.1, 0.25, 0.5, 0.75, 0.99))
+    monkeypatch.setattr(profile, "EXACT_PERCENTILE_DISTINCT_LIMIT", 0)
+    ranked = profile.quantile_values(df, "x", (0.1, 0.25, 0.5, 0.75, 0.99))
+    assert ranked == pytest.approx(exact, rel=1e-12)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tricolor.operators.profile import q
+from tricolor.operators.profile import q, quantile_values
 
 METHODS = ("drop_rows", "drop_column", "zero", "mean", "median")
 
@@ -40,18 +40,15 @@ def fit_missing(df: DataFrame, steps: Sequence[MissingStep], exact_median: bool
               and s.column in df.columns and _is_numeric(df, s.column)]
     out = list(steps)
     if wanted:
-        aggs = []
+        means = [(i, s) for i, s in wanted if s.method == "mean"]
+        if means:
+            r = df.agg(*[F.avg(q(s.column).cast("double")).alias(f"v{i}") for i, s in means]).first()
+            for i, s in means:
+                out[i] = replace(s, value=r[f"v{i}"])
         for i, s in wanted:
-            x = q(s.column).cast("double")
-            if s.method == "mean":
-                aggs.append(F.avg(x).alias(f"v{i}"))
-            elif exact_median:
-                aggs.append(F.median(x).alias(f"v{i}"))
-            else:
-                aggs.append(F.percentile_approx(x, 0.5, 10000).cast("double").alias(f"v{i}"))
-        r = df.agg(*aggs).first()
-        for i, s in wanted:
-            out[i] = replace(s, value=r[f"v{i}"])
+            if s.method == "median":
+                (med,) = quantile_values(df, s.column, (0.5,), exact_median)
+                out[i] = replace(s, value=med)
     # mean / median on a non-numeric column is a no-op (skipped).
     return [s for s in out
             if not (s.method in ("mean", "median") and (s.column not in df.columns

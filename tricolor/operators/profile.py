@@ -6,6 +6,7 @@ Each statistic family is one ``agg`` (one pass); only fitted constants reach the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,10 @@ from pyspark.sql import types as T
 
 from tricolor.functions.hashing import hash_key
 
+# ``percentile`` keeps one counter per distinct value in the task that finishes a global
+# aggregate; above this many distinct values quantiles come from a distributed sort instead.
+EXACT_PERCENTILE_DISTINCT_LIMIT = 1_000_000
+
 
 def q(c: str) -> Column:
     return F.col(f"`{c}`")
@@ -81,16 +86,13 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def describe(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
     """count, mean, sample std, min, p25, p50, p75, max and median of one column."""
     x = q(column).cast("double")
-    if exact:
-        qs = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    else:
-        qs = F.percentile_approx(x, [0.25, 0.5, 0.75], 10000)
+    p25, p50, p75 = quantile_values(df, column, (0.25, 0.5, 0.75), exact)
     agg = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                 F.min(x).alias("min"), qs.alias("_q"), F.max(x).alias("max"))
-    return agg.select(
-        F.lit(column).alias("column"), "count", "mean", "std", "min",
-        F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"),
-        "max", F.col("_q")[1].alias("median"))
+                 F.min(x).alias("min"), F.max(x).alias("max"))
+    lit = lambda v: F.lit(v).cast("double")
+    return agg.select(F.lit(column).alias("column"), "count", "mean", "std", "min",
+                      lit(p25).alias("p25"), lit(p50).alias("p50"), lit(p75).alias("p75"), "max",
+                      lit(p50).alias("median"))
 
 
 def corr2(df: DataFrame, x: str, y: str, where: Column | None = None) -> DataFrame:
@@ -120,22 +122,47 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], where: Column | None = No
     return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
+def quantile_values(df: DataFrame, column: str, probs: Sequence[float] = (0.25, 0.75),
+                    exact: bool = True) -> list:
+    """Linear-interpolation quantiles (position (n - 1) p, as Spark and DuckDB) as constants.
+
+    Bounded distinct values: ``percentile``. Otherwise the values at the two bracketing
+    positions are read from the range-partitioned rank (an exact distributed sort), so no task
+    ever holds the whole value set. ``exact=False`` uses ``percentile_approx``.
+    """
+    from tricolor.sources.rowid import ordered_rank
+    x = q(column).cast("double")
+    if not exact:
+        r = df.agg(F.percentile_approx(x, list(probs), 10000).alias("_q")).first()["_q"]
+        return [None] * len(probs) if r is None else [float(v) for v in r]
+    st = df.agg(F.count(x).alias("n"), F.approx_count_distinct(x).alias("nd")).first()
+    n = st["n"]
+    if not n:
+        return [None] * len(probs)
+    if st["nd"] <= EXACT_PERCENTILE_DISTINCT_LIMIT:
+        r = df.agg(F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias("_q")).first()["_q"]
+        return [float(v) for v in r]
+    pos = []
+    for p in probs:
+        h = (n - 1) * float(p)
+        pos.append((int(math.floor(h)), int(math.ceil(h)), h - math.floor(h)))
+    wanted = sorted({i + 1 for lo, hi, _ in pos for i in (lo, hi)})
+    ranked = ordered_rank(df.select(x.alias("_v")).where(F.col("_v").isNotNull()), [F.col("_v")], "_r")
+    vals = {r["_r"]: r["_v"] for r in ranked.where(F.col("_r").isin(wanted)).collect()}
+    return [vals[lo + 1] + w * (vals[hi + 1] - vals[lo + 1]) for lo, hi, w in pos]
+
+
 def quantiles(df: DataFrame, column: str, probs: Sequence[float] = (0.25, 0.75),
               exact: bool = True) -> DataFrame:
-    """Linear-interpolation quantiles (exact ``percentile``; approx opt-in at scale)."""
-    x = q(column).cast("double")
-    if exact:
-        agg = F.percentile(x, F.array(*[F.lit(float(p)) for p in probs]))
-    else:
-        agg = F.percentile_approx(x, list(probs), 10000)
-    row = df.agg(agg.alias("_q"))
-    return row.select(*[F.col("_q")[i].alias(f"q{int(round(p * 100))}") for i, p in enumerate(probs)])
+    """One row of quantiles named ``q25``, ``q75``, ..."""
+    vals = quantile_values(df, column, probs, exact)
+    names = [f"q{int(round(p * 100))}" for p in probs]
+    return df.sparkSession.createDataFrame([tuple(vals)], ", ".join(f"{n} double" for n in names))
 
 
 def iqr_fences(df: DataFrame, column: str, k: float = 1.5, exact: bool = True) -> tuple[float, float, float, float]:
     """(q1, q3, lower fence, upper fence) as fitted constants."""
-    r = quantiles(df, column, (0.25, 0.75), exact).first()
-    q1, q3 = r["q25"], r["q75"]
+    q1, q3 = quantile_values(df, column, (0.25, 0.75), exact)
     if q1 is None:
         return None, None, None, None
     iqr = q3 - q1
@@ -223,8 +250,9 @@ def boxplot(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     q1, q3, lo, hi = iqr_fences(df, column, k)
     x = q(column).cast("double")
     inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
+    (median,) = quantile_values(df, column, (0.5,))
     return df.agg(
-        F.percentile(x, F.lit(0.5)).alias("median"),
+        F.lit(median).cast("double").alias("median"),
         F.min(F.when(inside, x)).alias("whisker_low"),
         F.max(F.when(inside, x)).alias("whisker_high"),
         F.count_if(x.isNotNull() & ~inside).alias("n_outliers"),

@@ -432,3 +432,26 @@ def stream_score(spark, d):
     fitted = [model(n).fit(p.train, p.features, LABEL) for n in ("Ridge", "NB")]
     out = score_files(spark, scoring_table(spark, d), p.recipe, fitted, flips={"NB": False})
     return out.select("row_id", *[c for n in ("Ridge", "NB") for c in (pred_col(n), prob_col(n), f"{n}_TrafficLight")])
+
+
+# --- 2.10 grid builders ----------------------------------------------------------------------
+
+def _grid_table(spark, d, names):
+    from tricolor.operators.models.catalog import grid
+    p = prepared_task(spark, d)
+    rows = [(n, i + 1, json.dumps(c, sort_keys=True)) for n in names
+            for i, c in enumerate(grid(n, len(p.features)))]
+    return spark.createDataFrame(rows, "model string, candidate int, params string")
+
+
+@query("fn_logspace")
+def fn_logspace(spark, d):
+    """Search spaces built on log-spaced values (C of the logistic models, NB smoothing)."""
+    return _grid_table(spark, d, ["Ridge", "Lasso", "ElasticNet", "NB"])
+
+
+@query("fn_linspace")
+def fn_linspace(spark, d):
+    """Search spaces built on linear / integer ranges (SVM, trees, boosting, bagging, PLS-DA, kNN)."""
+    return _grid_table(spark, d, ["SVM", "DecisionTree", "RandomForest", "GBM", "Bagging", "Pasting", "PLSDA", "KNN",
+                                  "MLP"])

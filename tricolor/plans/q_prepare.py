@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tricolor.functions.hashing import sql_hash_int, sql_hash_key
+from tricolor.functions.hashing import sql_hash_int, sql_hash_key, sql_hash_uniform
 from tricolor.operators import sampling as smp
 from tricolor.operators.columns import IqrFilter, drop_columns
 from tricolor.operators.labels import label_counts
@@ -72,7 +72,31 @@ def sam_over(spark, d):
     return smp.over_sample(fx.docs_task(spark, d), "quality").select("row_id", "quality", "n_chars", "is_synthetic")
 
 
-@query("sam_smote")
+def _smote_sql() -> str:
+    dist = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in F3)
+    synth = ", ".join(f"x.{c} + d.u * (y.{c} - x.{c}) AS {c}" for c in F3)
+    return f"""
+WITH t AS ({TASK}), c AS (SELECT quality, count(*) AS n FROM t GROUP BY quality),
+mn AS (SELECT quality AS cls, n, (SELECT max(n) FROM c) - n AS need FROM c WHERE n < (SELECT max(n) FROM c)),
+m AS (SELECT * FROM t WHERE quality = (SELECT cls FROM mn)),
+rk AS (SELECT *, row_number() OVER (ORDER BY {sql_hash_key(42, 'row_id')}, row_id) AS crank FROM m),
+nn AS (SELECT a.row_id AS qid, b.row_id AS rid,
+              row_number() OVER (PARTITION BY a.row_id ORDER BY sqrt({dist}), b.row_id) AS nn_rank
+       FROM m a, m b WHERE a.row_id <> b.row_id),
+draws AS (SELECT r.range AS j, ({sql_hash_int("42:smote:0", "r.range")} % mn.n) + 1 AS crank,
+                 ({sql_hash_int("42:smote-nn:0", "r.range")} % 5) + 1 AS nn_rank,
+                 {sql_hash_uniform("42:smote-gap:0", "r.range")} AS u
+          FROM mn, range((SELECT need FROM mn)) r)
+SELECT row_id, quality, {", ".join(F3)}, false AS is_synthetic FROM t
+UNION ALL
+SELECT (SELECT max(row_id) FROM t) + 1 + x.j AS row_id, x.quality, {", ".join(f"round({c}, 6) AS {c}" for c in F3)},
+       true AS is_synthetic
+FROM (SELECT d.j, x.quality, {synth}
+      FROM draws d JOIN rk x ON x.crank = d.crank
+      JOIN nn ON nn.qid = x.row_id AND nn.nn_rank = d.nn_rank JOIN m y ON y.row_id = nn.rid) x"""
+
+
+@query("sam_smote", _smote_sql())
 def sam_smote(spark, d):
     """SMOTE rows for the minority class (exact kNN); checked against brute force in tests."""
     t = fx.docs_task(spark, d)
