@@ -25,10 +25,15 @@ SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "stri
                  "boolean": "BOOLEAN", "float": "FLOAT", "timestamp": "TIMESTAMP"}
 
 
+STRICT = False
+
+
 def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
+        if STRICT:
+            return repr(v)
         v = round(v, 6)
         return 0.0 if v == 0 else v
     if hasattr(v, "item"):
@@ -43,8 +48,11 @@ def rows_key(rows):
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
+    ap.add_argument("--strict", action="store_true", help="exact floats, signed zeros kept")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
+    global STRICT
+    STRICT = a.strict
     spark = get_spark()
     con = duckdb.connect()
     for t in DRIVER_TABLES:

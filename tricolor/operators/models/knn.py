@@ -32,9 +32,8 @@ class KNNFitted(FittedClassifier):
 
     def predict(self, df: DataFrame) -> DataFrame:
         qv = df.select(q(self.id_col).alias("qid"), F.array(*[q(f).cast("double") for f in self.features]).alias("qvec"))
-        nn = knn(qv, self.train, self.k, "qid", "qvec", "rid", "rvec", metric=self.metric,
-                 block_rows=self.block_rows, n_ref=self.n_train)
-        lab = nn.join(self.train.select("rid", "y"), "rid")
+        lab = knn(qv, self.train, self.k, "qid", "qvec", "rid", "rvec", metric=self.metric,
+                  block_rows=self.block_rows, n_ref=self.n_train, payload={"y": "double"})
         if self.weights == "distance":
             zero = F.col("dist") == 0
             agg = lab.groupBy("qid").agg(

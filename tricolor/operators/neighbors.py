@@ -36,18 +36,23 @@ def _dist(qm: np.ndarray, rm: np.ndarray, metric: str, p: float) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def _topk_fn(k: int, metric: str, p: float, exclude_self: bool):
+def _topk_fn(k: int, metric: str, p: float, exclude_self: bool, payload: tuple):
     def fn(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or rpdf.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
+            empty = {"qid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
+                     "dist": pd.Series([], dtype="float64")}
+            for name in payload:
+                empty[name] = pd.Series([], dtype="object")
+            return pd.DataFrame(empty)
         rids = rpdf["rid"].to_numpy(dtype=np.int64)
         order = np.argsort(rids, kind="stable")
         rids = rids[order]
+        extra = {name: rpdf[name].to_numpy()[order] for name in payload}
         rm = np.stack(rpdf["rvec"].to_numpy())[order].astype(np.float64)
         qids_all = qpdf["qid"].to_numpy(dtype=np.int64)
         qm_all = np.stack(qpdf["qvec"].to_numpy()).astype(np.float64)
         outs_q, outs_r, outs_d = [], [], []
+        outs_x = {name: [] for name in payload}
         kk = min(k + (1 if exclude_self else 0), len(rids))
         chunk = max(1, _CHUNK_CELLS // max(1, rm.shape[0] * rm.shape[1]))
         for s in range(0, len(qids_all), chunk):
@@ -62,16 +67,26 @@ def _topk_fn(k: int, metric: str, p: float, exclude_self: bool):
             outs_q.append(np.repeat(qids, kk).reshape(len(qids), kk)[keep])
             outs_r.append(rids[idx][keep])
             outs_d.append(dd[keep])
-        return pd.DataFrame({"qid": np.concatenate(outs_q), "rid": np.concatenate(outs_r),
-                             "dist": np.concatenate(outs_d)})
+            for name in payload:
+                outs_x[name].append(extra[name][idx][keep])
+        out = {"qid": np.concatenate(outs_q), "rid": np.concatenate(outs_r), "dist": np.concatenate(outs_d)}
+        for name in payload:
+            out[name] = list(np.concatenate(outs_x[name]))
+        return pd.DataFrame(out)
     return fn
 
 
 def knn(query: DataFrame, ref: DataFrame, k: int, qid: str = "row_id", qvec: str = "features",
         rid: str = "row_id", rvec: str = "features", metric: str = "euclidean", p: float = 2.0,
         exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS,
-        n_query: int | None = None, n_ref: int | None = None) -> DataFrame:
-    """(qid, rid, dist, nn_rank) for the ``k`` nearest reference rows of every query row."""
+        n_query: int | None = None, n_ref: int | None = None,
+        payload: dict[str, str] | None = None) -> DataFrame:
+    """(qid, rid, dist, nn_rank, *payload) for the ``k`` nearest reference rows of every query row.
+
+    ``payload`` maps reference columns to their types; they ride along with each neighbour so
+    callers need no join back to the reference rows (a hub row would skew that join).
+    """
+    payload = dict(payload or {})
     n_ref = ref.count() if n_ref is None else n_ref
     n_query = query.count() if n_query is None else n_query
     nb = max(1, math.ceil(n_ref / block_rows))
@@ -79,12 +94,14 @@ def knn(query: DataFrame, ref: DataFrame, k: int, qid: str = "row_id", qvec: str
     qs = query.select(F.col(qid).cast("bigint").alias("qid"),
                       F.col(qvec).cast("array<double>").alias("qvec"))
     rs = ref.select(F.col(rid).cast("bigint").alias("rid"),
-                    F.col(rvec).cast("array<double>").alias("rvec"))
+                    F.col(rvec).cast("array<double>").alias("rvec"),
+                    *[F.col(c).cast(t).alias(c) for c, t in payload.items()])
     qs = qs.select("*", F.pmod(F.xxhash64("qid"), F.lit(nq)).alias("qb"),
                    F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("rb"))
     rs = rs.select("*", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"),
                    F.pmod(F.xxhash64("rid"), F.lit(nb)).alias("rb"))
     cand = (qs.groupBy("qb", "rb").cogroup(rs.groupBy("qb", "rb"))
-            .applyInPandas(_topk_fn(k, metric, p, exclude_self), "qid bigint, rid bigint, dist double"))
+            .applyInPandas(_topk_fn(k, metric, p, exclude_self, tuple(payload)),
+                           ", ".join(["qid bigint", "rid bigint", "dist double"] + [f"{c} {t}" for c, t in payload.items()])))
     w = Window.partitionBy("qid").orderBy("dist", "rid")
     return cand.select("*", F.row_number().over(w).alias("nn_rank")).where(F.col("nn_rank") <= k)

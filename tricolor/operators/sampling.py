@@ -127,7 +127,8 @@ def smote(df: DataFrame, label: str, features: list[str], k: int = 5, seed: int
         if kk < 1:
             raise ValueError("SMOTE needs at least two rows in every minority class")
         nn = knn(minority, minority, kk, "_tc_id", "_tc_vec", "_tc_id", "_tc_vec",
-                 exclude_self=True, block_rows=block_rows, n_query=n_c, n_ref=n_c)
+                 exclude_self=True, block_rows=block_rows, n_query=n_c, n_ref=n_c,
+                 payload={"_tc_vec": "array<double>"})
         ranked = rank_within(minority.withColumn("_tc_c", F.lit(0)), "_tc_c",
                              [hash_key(seed, F.col("_tc_id")), F.col("_tc_id")], "_tc_crank")
         draws = spark.range(need).select(
@@ -137,8 +138,7 @@ def smote(df: DataFrame, label: str, features: list[str], k: int = 5, seed: int
             hash_uniform(f"{seed}:smote-gap:{cls}", F.col("id")).alias("_tc_u"))
         base = draws.join(ranked.select("_tc_crank", F.col("_tc_id").alias("qid"), F.col("_tc_vec").alias("_tc_x")),
                           "_tc_crank")
-        withnn = base.join(nn.select("qid", "nn_rank", "rid"), ["qid", "nn_rank"])
-        withnn = withnn.join(minority.select(F.col("_tc_id").alias("rid"), F.col("_tc_vec").alias("_tc_n")), "rid")
+        withnn = base.join(nn.select("qid", "nn_rank", F.col("_tc_vec").alias("_tc_n")), ["qid", "nn_rank"])
         synth = withnn.select(
             "_tc_j", *[(F.col("_tc_x")[i] + F.col("_tc_u") * (F.col("_tc_n")[i] - F.col("_tc_x")[i])).alias(f)
                        for i, f in enumerate(features)])
