@@ -83,3 +83,19 @@ def test_stream_scoring_equals_batch(spark):
     with pytest.raises(ValueError):
         score_stream(test, r, [model("KNN").fit(t, r.features, "y")])
     assert F is not None
+
+
+def test_sample_catalog_paths_and_load(spark):
+    from tricolor.session import checkpoint_dir
+    from tricolor.sources.readers import SampleCatalog
+    base = scratch_path(spark, "catalog")
+    cat = SampleCatalog(base)
+    assert cat.path("diabetes", "csv", "test").endswith("/csv/diabetes test.csv")
+    df = spark.createDataFrame([(1, 148.0, 1), (0, 85.0, 0)], "Pregnancies int, Glucose double, Outcome int")
+    write_csv(df, cat.path("diabetes", "csv", "train"))
+    assert cat.load(spark, "diabetes", "csv", "train", schema=df.schema).count() == 2
+    with pytest.raises(ValueError):
+        cat.path("unknown")
+    with pytest.raises(ValueError):
+        cat.load(spark, "titanic", "xlsx", "test")
+    assert checkpoint_dir(spark)

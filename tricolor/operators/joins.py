@@ -32,9 +32,14 @@ def concat_by_id(frames: Sequence[DataFrame], key: str = "row_id") -> DataFrame:
     return out
 
 
+def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``broadcast(small)`` when it has at most ``max_rows`` rows, else ``small`` unchanged
+    (Spark then plans a shuffle join). The check reads at most ``max_rows + 1`` rows."""
+    n = small.limit(max_rows + 1).count()
+    return F.broadcast(small) if n <= max_rows else small
+
+
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "left",
                 max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Left join to a lookup table; broadcast only when its row count is under the bound."""
-    n = lookup.limit(max_rows + 1).count()
-    side = F.broadcast(lookup) if n <= max_rows else lookup
-    return df.join(side, key, how)
+    return df.join(bounded_broadcast(lookup, max_rows), key, how)

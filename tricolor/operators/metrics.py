@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tricolor.operators.joins import bounded_broadcast
 from tricolor.operators.profile import q
 from tricolor.sources.rowid import ordered_running_sum
 
@@ -51,10 +52,11 @@ def auc(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = ()) -
         totals = df.groupBy(*[q(c) for c in gcols]).agg(
             F.count_if(y == 1).alias("P"), F.count_if(y == 0).alias("N"),
             F.count_if(s.isNull()).alias("n_null"))
-        w = Window.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in gcols]).rowsBetween(
-            Window.unboundedPreceding, -1)
-        totals = totals.select("*", F.coalesce(F.sum("N").over(w), F.lit(0)).alias("_nstart"))
-        cum = cum.join(F.broadcast(totals.select(*gcols, "_nstart")), gcols)
+        # negatives before each group, again by the distributed running sum (any group count)
+        starts = ordered_running_sum(totals.select(*gcols, "N"),
+                                     [F.col(f"`{c}`").asc_nulls_first() for c in gcols], ["N"], prefix="cum_")
+        starts = starts.select(*gcols, (F.col("cum_N") - F.col("N")).alias("_nstart"))
+        cum = cum.join(bounded_broadcast(starts), gcols)
     else:
         totals = df.agg(F.count_if(y == 1).alias("P"), F.count_if(y == 0).alias("N"),
                         F.count_if(s.isNull()).alias("n_null"))

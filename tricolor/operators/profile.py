@@ -271,7 +271,8 @@ def boxplot_by(df: DataFrame, column: str, by: str, k: float = 1.5) -> DataFrame
     fences = qs.select("*", (F.col("q3") - F.col("q1")).alias("iqr"))
     fences = fences.select("*", (F.col("q1") - k * F.col("iqr")).alias("lo"),
                            (F.col("q3") + k * F.col("iqr")).alias("hi"))
-    j = df.select(q(by).alias("grp"), x.alias("x")).join(F.broadcast(fences), "grp")
+    from tricolor.operators.joins import bounded_broadcast
+    j = df.select(q(by).alias("grp"), x.alias("x")).join(bounded_broadcast(fences), "grp")
     inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
     return j.groupBy("grp", "q1", "median", "q3", "iqr").agg(
         F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
