@@ -38,7 +38,7 @@ def spl_train_val(spark, d):
 SELECT row_id, o_orderkey, is_val FROM {split_sql(
     'SELECT row_number() OVER (ORDER BY o_orderkey) AS row_id, o_orderkey FROM orders')}""")
 def spl_importance(spark, d):
-    o = add_row_id(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+    o = add_row_id(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], persist_input=False)
     return smp.split_train_val(o, 0.2)
 
 

@@ -58,7 +58,7 @@ SELECT row_number() OVER (ORDER BY o_orderkey) AS row_id, o_orderkey, o_custkey,
        o_totalprice, o_orderpriority FROM orders""")
 def src_rowid(spark, d):
     o = table(spark, d, "orders").drop("o_orderdate")
-    return add_row_id(o, ["o_orderkey"])
+    return add_row_id(o, ["o_orderkey"], persist_input=False)
 
 
 @query("snk_csv", "SELECT * FROM supplier")
@@ -95,7 +95,7 @@ def snk_results(spark, d):
 SELECT row_number() OVER (ORDER BY o_orderkey) AS row_id, o_orderkey, o_custkey, o_orderstatus,
        o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 5""")
 def src_preview(spark, d):
-    o = add_row_id(table(spark, d, "orders").drop("o_orderdate"), ["o_orderkey"])
+    o = add_row_id(table(spark, d, "orders").drop("o_orderdate"), ["o_orderkey"], persist_input=False)
     return head(o, 5)
 
 
@@ -554,7 +554,7 @@ SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumbe
 FROM lineitem""", headline=True)
 def win_rowid(spark, d):
     """Row ids over the whole row as key (lineitem has no narrower unique key)."""
-    li = add_row_id(table(spark, d, "lineitem"))
+    li = add_row_id(table(spark, d, "lineitem"), persist_input=False)
     return li.select("row_id", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
 
 

@@ -6,7 +6,8 @@
    ``i``-th key range, sorted;
 2. ``monotonically_increasing_id()`` then encodes (partition, position in partition);
 3. the frame is checkpointed into the shared checkpoint folder, so counts and positions come
-   from one fixed layout (and lineage is cut: a lost executor re-reads, not re-samples);
+   from one fixed layout (and lineage is cut: a lost executor re-reads, not re-samples); the
+   input is persisted meanwhile, so range sampling does not evaluate the upstream plan twice;
 4. a P-row table of per-partition counts gives prefix offsets, broadcast back (size = P).
 
 With unique keys the result is the exact global rank whatever the range bounds are.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +35,21 @@ def _partitions(df: DataFrame, num_partitions: int | None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _range_tagged(df: DataFrame, order_cols: Sequence, num_partitions: int | None) -> DataFrame:
+def _range_tagged(df: DataFrame, order_cols: Sequence, num_partitions: int | None,
+                  persist_input: bool = True) -> DataFrame:
     n = _partitions(df, num_partitions)
-    tagged = (df.repartitionByRange(n, *order_cols)
-              .sortWithinPartitions(*order_cols)
-              .withColumn("_tc_mid", F.monotonically_increasing_id()))
-    tagged = cut_lineage(tagged)
+    # Range partitioning samples its input in a job of its own; persisting the input for the
+    # duration lets the sample and the shuffle share one evaluation of an expensive upstream
+    # plan. For a bare table scan re-reading is cheaper than caching (persist_input=False).
+    src = df.persist(StorageLevel.MEMORY_AND_DISK) if persist_input else df
+    try:
+        tagged = (src.repartitionByRange(n, *order_cols)
+                  .sortWithinPartitions(*order_cols)
+                  .withColumn("_tc_mid", F.monotonically_increasing_id()))
+        tagged = cut_lineage(tagged)
+    finally:
+        if persist_input:
+            src.unpersist()
     return (tagged
             .withColumn("_tc_pid", F.shiftrightunsigned("_tc_mid", _POS_BITS).cast("int"))
             .withColumn("_tc_pos", F.col("_tc_mid").bitwiseAND(F.lit(_POS_MASK))))
@@ -53,9 +64,9 @@ def _prefix_offsets(totals: DataFrame, value_cols: Sequence[str]) -> DataFrame:
 
 
 def ordered_rank(df: DataFrame, order_cols: Sequence, out: str = "rank",
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, persist_input: bool = True) -> DataFrame:
     """Append ``out`` = 1..n in the order of ``order_cols`` (which must be unique)."""
-    t = _range_tagged(df, order_cols, num_partitions)
+    t = _range_tagged(df, order_cols, num_partitions, persist_input)
     counts = t.groupBy("_tc_pid").agg(F.count(F.lit(1)).alias("n"))
     offs = _prefix_offsets(counts, ["n"])
     ranked = t.join(F.broadcast(offs), "_tc_pid")
@@ -102,7 +113,7 @@ def ordered_running_sum(df: DataFrame, order_cols: Sequence, value_cols: Sequenc
 
 
 def add_row_id(df: DataFrame, key_cols: Sequence[str] | None = None, id_col: str = "row_id",
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, persist_input: bool = True) -> DataFrame:
     """Prepend ``row_id`` = 1..n ordered by a declared unique key, unless already present.
 
     Without a key, the whole row is the key (the only unique key some tables have).
@@ -110,7 +121,7 @@ def add_row_id(df: DataFrame, key_cols: Sequence[str] | None = None, id_col: str
     if id_col in df.columns:
         return df
     keys = list(key_cols) if key_cols else list(df.columns)
-    ranked = ordered_rank(df, [F.col(k) for k in keys], id_col, num_partitions)
+    ranked = ordered_rank(df, [F.col(k) for k in keys], id_col, num_partitions, persist_input)
     return ranked.select(id_col, *df.columns)
 
 
