@@ -111,7 +111,3 @@ class SparkMLClassifier(Classifier):
 
     def with_params(self, **params) -> "SparkMLClassifier":
         return SparkMLClassifier(self.name, self.factory, {**self.params, **params}, self.needs_n)
-
-
-def probability_of_one(df: DataFrame, name: str) -> DataFrame:
-    return df.select(F.col(prob_col(name)))
