@@ -99,3 +99,13 @@ def test_sample_catalog_paths_and_load(spark):
     with pytest.raises(ValueError):
         cat.load(spark, "titanic", "xlsx", "test")
     assert checkpoint_dir(spark)
+
+
+def test_json_array_file(spark, tmp_path):
+    import json as _json
+    p = tmp_path / "banknote test.json"
+    rows = [{"Variance": 3.6, "Skewness": 8.6, "Curtosis": -2.8, "Entropy": -0.4, "Class": 0},
+            {"Variance": -1.4, "Skewness": -4.9, "Curtosis": 6.5, "Entropy": 0.4, "Class": 1}]
+    p.write_text(_json.dumps(rows))
+    df = read_json(spark, str(p), multiline=True, columns=["Variance", "Skewness", "Curtosis", "Entropy", "Class"])
+    assert df.columns == ["Variance", "Skewness", "Curtosis", "Entropy", "Class"] and df.count() == 2

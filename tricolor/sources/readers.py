@@ -18,11 +18,12 @@ PANDAS_NA_STRINGS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
-# Sample names and roles offered by the sample catalogue.
+# Sample names, formats and roles offered by the sample catalogue.
 SAMPLE_NAMES = [
-    "banknote", "breast cancer", "creditcard", "diabetes", "heart_disease", "titanic",
+    "titanic", "heart_disease", "breast cancer", "creditcard", "diabetes", "banknote",
+    "creditcard 1to100", "creditcard 10to100", "creditcard 50to50",
 ]
-SAMPLE_FORMATS = ["csv", "json", "xlsx"]
+SAMPLE_FORMATS = ["csv", "xlsx", "json"]
 SAMPLE_ROLES = ["train", "test"]
 
 # Names of the driver's parquet tables.
