@@ -30,9 +30,12 @@ MAX_BROADCAST_GROUPS = 100_000
 
 
 def _partitions(df: DataFrame, num_partitions: int | None) -> int:
+    """Range partitions: explicit, else the session's shuffle partitions, but no more than four
+    per input partition (a small input is not spread over hundreds of near-empty ranges)."""
     if num_partitions:
         return int(num_partitions)
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cap = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, min(cap, 4 * df.rdd.getNumPartitions()))
 
 
 def _range_tagged(df: DataFrame, order_cols: Sequence, num_partitions: int | None,
