@@ -30,3 +30,19 @@ def test_running_sum(spark):
     df = spark.range(1, 101).select(F.col("id").alias("k"), F.lit(2).alias("w"))
     r = ordered_running_sum(df, [F.col("k")], ["w"], num_partitions=4).collect()
     assert all(x["cum_w"] == 2 * x["k"] for x in r)
+
+
+def test_narrow_key_ranking_equals_full(spark):
+    from tricolor.functions.hashing import hash_key
+    from tricolor.operators.sampling import split_train_val
+    df = spark.range(1, 501).select(F.col("id").alias("row_id"), (F.col("id") * 3).alias("a"),
+                                    F.lit("wide payload").alias("b"))
+    full = {r["row_id"]: r["rk"] for r in ordered_rank(df, [hash_key(7, F.col("row_id")), F.col("row_id")], "rk").collect()}
+    narrow = {r["row_id"]: r["rk"] for r in ordered_rank(df, [hash_key(7, F.col("row_id")), F.col("row_id")], "rk",
+                                                         key_cols=["row_id"]).collect()}
+    assert full == narrow and sorted(full.values()) == list(range(1, 501))
+    a = {r["row_id"]: r["is_val"] for r in split_train_val(df, 0.3).collect()}
+    b = {r["row_id"]: r["is_val"] for r in split_train_val(df, 0.3, narrow=True).collect()}
+    assert a == b and sum(a.values()) == 150
+    ids = add_row_id(df.drop("row_id"), ["a"], narrow=True)
+    assert ids.columns[0] == "row_id" and ids.agg(F.max("row_id")).first()[0] == 500

@@ -21,13 +21,16 @@ DEFAULT_SEED = 42
 
 
 def split_train_val(df: DataFrame, val_fraction: float = 0.2, seed: int = DEFAULT_SEED,
-                    id_col: str = "row_id", n_rows: int | None = None) -> DataFrame:
-    """Adds ``is_val``: the first ceil(n * f) rows in md5 order are validation (exact size)."""
+                    id_col: str = "row_id", n_rows: int | None = None, narrow: bool = False) -> DataFrame:
+    """Adds ``is_val``: the first ceil(n * f) rows in md5 order are validation (exact size).
+
+    ``narrow=True`` ranks only the ids and joins the flag back (wide tables)."""
     if not 0.0 < val_fraction < 1.0:
         raise ValueError("val_fraction must lie in (0, 1)")
     n = df.count() if n_rows is None else n_rows
     n_val = math.ceil(n * val_fraction)
-    ranked = ordered_rank(df, [hash_key(seed, q(id_col)), q(id_col)], "_tc_split_rank")
+    ranked = ordered_rank(df, [hash_key(seed, q(id_col)), q(id_col)], "_tc_split_rank",
+                          key_cols=[id_col] if narrow else None)
     return ranked.select(*[q(c) for c in df.columns], (F.col("_tc_split_rank") <= n_val).alias("is_val"))
 
 
@@ -38,9 +41,10 @@ def train_val(df: DataFrame, val_fraction: float = 0.2, seed: int = DEFAULT_SEED
 
 
 def class_rank(df: DataFrame, label: str, seed: int = DEFAULT_SEED, id_col: str = "row_id",
-               out: str = "class_rank") -> DataFrame:
+               out: str = "class_rank", narrow: bool = False) -> DataFrame:
     """1..n_c inside each class in md5 order (few classes of any size)."""
-    return rank_within(df, label, [hash_key(seed, q(id_col)), q(id_col)], out)
+    return rank_within(df, label, [hash_key(seed, q(id_col)), q(id_col)], out,
+                       key_cols=[id_col] if narrow else None)
 
 
 def stratified_folds(df: DataFrame, label: str, k: int = 10, seed: int = DEFAULT_SEED,
@@ -61,11 +65,12 @@ def class_counts(df: DataFrame, label: str) -> dict:
     return {r["c"]: r["n"] for r in rows}
 
 
-def under_sample(df: DataFrame, label: str, seed: int = DEFAULT_SEED, id_col: str = "row_id") -> DataFrame:
+def under_sample(df: DataFrame, label: str, seed: int = DEFAULT_SEED, id_col: str = "row_id",
+                 narrow: bool = False) -> DataFrame:
     """Every class cut to the minority count, without replacement, md5 order."""
     counts = class_counts(df, label)
     n_min = min(counts.values())
-    r = class_rank(df, label, seed, id_col, "_tc_crank")
+    r = class_rank(df, label, seed, id_col, "_tc_crank", narrow)
     return r.where(F.col("_tc_crank") <= n_min).drop("_tc_crank")
 
 

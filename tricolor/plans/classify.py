@@ -59,9 +59,12 @@ def train(df: DataFrame, label: str, zero_value, one_value, models: Sequence[str
     """Fit the recipe and the models on the training part; validation table for every model."""
     if not 0.1 <= val_fraction <= 0.5:
         raise ValueError("validation share must lie between 10 % and 50 %")
-    numbered = add_row_id(df, key_cols)
-    s = smp.split_train_val(numbered, val_fraction, seed)
-    tr, va = s.where(~F.col("is_val")).drop("is_val"), s.where(F.col("is_val")).drop("is_val")
+    # ids and the split flag are ranked on narrow keys and joined back, so a wide input is not
+    # checkpointed whole; the training part is persisted once for the recipe's fit passes
+    numbered = add_row_id(df, key_cols, narrow=key_cols is not None)
+    s = smp.split_train_val(numbered, val_fraction, seed, narrow=True)
+    tr = s.where(~F.col("is_val")).drop("is_val").persist()
+    va = s.where(F.col("is_val")).drop("is_val")
     r = Recipe(label)
     t = r.fit_base(tr, zero_value, one_value, missing, categorical)
     numeric = list(r.features)
@@ -76,7 +79,7 @@ def train(df: DataFrame, label: str, zero_value, one_value, models: Sequence[str
     if drop:
         t = r.drop(t, drop)
     if resample == "under":
-        t = smp.under_sample(t, label, seed)
+        t = smp.under_sample(t, label, seed, narrow=True)
     elif resample == "over":
         t = smp.over_sample(t, label, seed).drop("is_synthetic")
     elif resample == "smote":

@@ -66,9 +66,29 @@ def _prefix_offsets(totals: DataFrame, value_cols: Sequence[str]) -> DataFrame:
         *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_tc_off_{v}") for v in value_cols])
 
 
+def _join_back(df: DataFrame, ranked: DataFrame, key_cols: Sequence[str], out: str) -> DataFrame:
+    """Null-safe equi-join of the ranked keys back to the full rows."""
+    a, b = df.alias("_tc_a"), ranked.alias("_tc_b")
+    cond = None
+    for k in key_cols:
+        c = F.col(f"_tc_a.`{k}`").eqNullSafe(F.col(f"_tc_b.`{k}`"))
+        cond = c if cond is None else cond & c
+    return a.join(b, cond).select(*[F.col(f"_tc_a.`{c}`") for c in df.columns], F.col(f"_tc_b.`{out}`"))
+
+
 def ordered_rank(df: DataFrame, order_cols: Sequence, out: str = "rank",
-                 num_partitions: int | None = None, persist_input: bool = True) -> DataFrame:
-    """Append ``out`` = 1..n in the order of ``order_cols`` (which must be unique)."""
+                 num_partitions: int | None = None, persist_input: bool = True,
+                 key_cols: Sequence[str] | None = None) -> DataFrame:
+    """Append ``out`` = 1..n in the order of ``order_cols`` (which must be unique).
+
+    With ``key_cols`` (a unique key from which ``order_cols`` are computed) only the keys are
+    ranked and checkpointed, then joined back: for wide tables this avoids writing every column
+    to the checkpoint, and later passes stay column-pruned on the source.
+    """
+    if key_cols is not None and len(key_cols) < len(df.columns):
+        keys = df.select(*[F.col(f"`{k}`") for k in key_cols])
+        ranked = ordered_rank(keys, order_cols, out, num_partitions, persist_input)
+        return _join_back(df, ranked, key_cols, out)
     t = _range_tagged(df, order_cols, num_partitions, persist_input)
     counts = t.groupBy("_tc_pid").agg(F.count(F.lit(1)).alias("n"))
     offs = _prefix_offsets(counts, ["n"])
@@ -85,7 +105,8 @@ def group_offsets(df: DataFrame, group_col: str) -> DataFrame:
 
 
 def rank_within(df: DataFrame, group_col: str, order_cols: Sequence, out: str = "rank",
-                num_partitions: int | None = None, max_groups: int = MAX_BROADCAST_GROUPS) -> DataFrame:
+                num_partitions: int | None = None, max_groups: int = MAX_BROADCAST_GROUPS,
+                key_cols: Sequence[str] | None = None) -> DataFrame:
     """Rank 1..n_g inside each group, for few groups of any size (e.g. the two classes).
 
     A per-group window would put a whole class in one task; here the global rank over
@@ -96,7 +117,7 @@ def rank_within(df: DataFrame, group_col: str, order_cols: Sequence, out: str =
     if n_groups > max_groups:
         raise ValueError(f"rank_within: {n_groups} groups exceed the broadcast bound {max_groups}")
     ranked = ordered_rank(df, [F.col(group_col).asc_nulls_first(), *order_cols], "_tc_grank",
-                          num_partitions)
+                          num_partitions, key_cols=[group_col, *key_cols] if key_cols else None)
     return (ranked.join(F.broadcast(offs.select(group_col, "_tc_gstart")), group_col, "left")
             .select(*df.columns, (F.col("_tc_grank") - F.col("_tc_gstart")).alias(out)))
 
@@ -116,13 +137,16 @@ def ordered_running_sum(df: DataFrame, order_cols: Sequence, value_cols: Sequenc
 
 
 def add_row_id(df: DataFrame, key_cols: Sequence[str] | None = None, id_col: str = "row_id",
-               num_partitions: int | None = None, persist_input: bool = True) -> DataFrame:
+               num_partitions: int | None = None, persist_input: bool = True,
+               narrow: bool = False) -> DataFrame:
     """Prepend ``row_id`` = 1..n ordered by a declared unique key, unless already present.
 
     Without a key, the whole row is the key (the only unique key some tables have).
+    ``narrow=True`` ranks only the key columns and joins the ids back (wide tables).
     """
     if id_col in df.columns:
         return df
     keys = list(key_cols) if key_cols else list(df.columns)
-    ranked = ordered_rank(df, [F.col(k) for k in keys], id_col, num_partitions, persist_input)
+    ranked = ordered_rank(df, [F.col(f"`{k}`") for k in keys], id_col, num_partitions, persist_input,
+                          key_cols=keys if narrow else None)
     return ranked.select(id_col, *df.columns)
