@@ -521,6 +521,31 @@ def agg_hist2d(spark, d):
     return prof.hist2d(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag", 10)
 
 
+PAIR_COLS = ["l_quantity", "l_extendedprice", "l_tax"]
+
+
+def _hist2d_pairs_sql() -> str:
+    mm = ", ".join(f"min({c}) AS a_{c}, max({c}) AS b_{c}" for c in PAIR_COLS)
+    bins = ", ".join(
+        f"least(greatest(CAST(floor(({c} - a_{c}) / CASE WHEN b_{c} > a_{c} THEN (b_{c} - a_{c}) / 10 ELSE 1.0 END)"
+        f" AS INTEGER), 0), 9) AS b_{c}" for c in PAIR_COLS)
+    parts = []
+    for i, x in enumerate(PAIR_COLS):
+        for y in PAIR_COLS[i + 1:]:
+            parts.append(f"SELECT '{x}' AS x, '{y}' AS y, b_{x} AS bx, b_{y} AS by, hue, count(*) AS count "
+                         f"FROM bn WHERE b_{x} IS NOT NULL AND b_{y} IS NOT NULL GROUP BY ALL")
+    return f"""
+WITH mm AS (SELECT {mm} FROM lineitem),
+bn AS (SELECT {bins}, l_returnflag AS hue FROM lineitem, mm)
+{" UNION ALL ".join(parts)}"""
+
+
+@query("agg_hist2d_pairs", _hist2d_pairs_sql())
+def agg_hist2d_pairs(spark, d):
+    """Pairs matrix of 2-D histograms split by a category: one min/max pass, one grouped count."""
+    return prof.hist2d_pairs(table(spark, d, "lineitem"), PAIR_COLS, "l_returnflag", 10)
+
+
 @query("agg_scatter", f"""
 SELECT row_id, nonletter_share AS x, word_share AS y, CAST(quality AS VARCHAR) AS hue
 FROM ({fx.SQL_DOCS_TASK}) ORDER BY {sql_hash_key(42, 'row_id')}, row_id LIMIT 100""")
