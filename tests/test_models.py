@@ -85,3 +85,19 @@ def test_pca_ratios_and_orthogonality(spark):
     cum = [r["cumulative"] for r in m.variance(spark).orderBy("pc").collect()]
     assert cum[-1] == pytest.approx(1.0)
     assert F is not None
+
+
+def test_poly3_map_reproduces_kernel():
+    from tricolor.operators.models.svm import poly3_map
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=4), rng.normal(size=4)
+    g = 0.3
+    phi = lambda v: np.array([s * np.prod([v[i] for i in idx]) for s, idx in poly3_map(4, g)])
+    assert phi(x) @ phi(y) == pytest.approx((g * x @ y) ** 3, rel=1e-12)
+
+
+def test_svm_poly_kernel_learns(spark):
+    df, *_ = _toy(spark, 120)
+    fitted = model("SVM", kernel="poly", max_iter=20).fit(df, ["a", "b"], "y")
+    p = fitted.predict(df)
+    assert auc(p, "y", "SVM_Prob").first()["auc"] >= 0.8

@@ -127,7 +127,7 @@ def grid(name: str, n_features: int = 10) -> list[dict]:
     if name == "NB":
         return [{"var_smoothing": v} for v in logspace(-9, -6, 5)]
     if name == "SVM":
-        return [{"C": c, "kernel": k} for c in linspace(0.1, 10, 3) for k in ("linear", "rbf")]
+        return [{"C": c, "kernel": k} for c in linspace(0.1, 10, 3) for k in ("linear", "rbf", "poly")]
     if name == "DecisionTree":
         return [{"max_depth": d, "min_samples_leaf": l, "criterion": c} for d in int_range(3, 10)
                 for l in int_range(1, 5) for c in ("gini", "entropy")]

@@ -4,11 +4,14 @@
 * rbf kernel: random Fourier features (Rahimi & Recht 2007), ``sqrt(2/D) cos(W x + b)`` with
   ``W ~ N(0, 2 gamma)``, as column expressions, then the same linear SVC;
   ``gamma = "scale"`` is ``1 / (p * Var(X))`` over all feature values;
+* poly kernel (degree 3, coef0 = 0): the exact finite feature map of ``(gamma x.y)^3``
+  (scaled degree-3 monomials) - no approximation;
 * probability: Platt (1999) - a 1-D logistic fit on out-of-fold margins (plain md5 folds).
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -31,8 +34,17 @@ class _Expansion:
     features: list[str]
     W: list | None = None      # D x p
     b: list | None = None
+    poly: list | None = None   # [(scale, (i, j, k)), ...] for the exact degree-3 map
 
     def columns(self):
+        if self.poly is not None:
+            out = []
+            for n, (scale, idx) in enumerate(self.poly):
+                e = F.lit(scale)
+                for j in idx:
+                    e = e * q(self.features[j]).cast("double")
+                out.append(e.alias(f"_tc_x{n}"))
+            return out
         if self.W is None:
             return [q(f).cast("double").alias(f"_tc_x{j}") for j, f in enumerate(self.features)]
         D = len(self.W)
@@ -46,10 +58,25 @@ class _Expansion:
         return out
 
     def names(self):
-        n = len(self.features) if self.W is None else len(self.W)
+        if self.poly is not None:
+            n = len(self.poly)
+        else:
+            n = len(self.features) if self.W is None else len(self.W)
         return [f"_tc_x{i}" for i in range(n)]
 
 
+def poly3_map(p: int, gamma: float) -> list:
+    """Exact feature map of (gamma x.y)^3: every degree-3 monomial x_i x_j x_k (i <= j <= k)
+    scaled by sqrt(gamma^3 * 3! / (multiplicities!)), so inner products equal the kernel."""
+    out = []
+    for idx in itertools.combinations_with_replacement(range(p), 3):
+        mult = 1
+        for v in set(idx):
+            mult *= math.factorial(idx.count(v))
+        out.append((math.sqrt(gamma ** 3 * 6.0 / mult), idx))
+    return out
+
+
 @dataclass
 class SVMFitted(FittedClassifier):
     name: str
@@ -92,23 +119,25 @@ class SVMClassifier(Classifier):
         from tricolor.operators.sampling import plain_folds
         feats = list(features)
         p = len(feats)
+        gamma = self.gamma
+        if gamma == "scale" and self.kernel in ("rbf", "poly"):
+            r = df.agg(*[F.avg(q(f).cast("double")).alias(f"m{j}") for j, f in enumerate(feats)],
+                       *[F.avg(q(f).cast("double") ** 2).alias(f"s{j}") for j, f in enumerate(feats)]).first()
+            ex = sum(r[f"m{j}"] for j in range(p)) / p
+            ex2 = sum(r[f"s{j}"] for j in range(p)) / p
+            var = ex2 - ex * ex
+            gamma = 1.0 / (p * var) if var > 0 else 1.0
         if self.kernel == "linear":
             exp = _Expansion(feats)
+        elif self.kernel == "poly":
+            exp = _Expansion(feats, poly=poly3_map(p, float(gamma)))
         elif self.kernel == "rbf":
-            gamma = self.gamma
-            if gamma == "scale":
-                r = df.agg(*[F.avg(q(f).cast("double")).alias(f"m{j}") for j, f in enumerate(feats)],
-                           *[F.avg(q(f).cast("double") ** 2).alias(f"s{j}") for j, f in enumerate(feats)]).first()
-                ex = sum(r[f"m{j}"] for j in range(p)) / p
-                ex2 = sum(r[f"s{j}"] for j in range(p)) / p
-                var = ex2 - ex * ex
-                gamma = 1.0 / (p * var) if var > 0 else 1.0
             rng = np.random.default_rng(SEED)
             W = rng.normal(0.0, math.sqrt(2.0 * float(gamma)), size=(self.n_components, p))
             b = rng.uniform(0.0, 2.0 * math.pi, size=self.n_components)
             exp = _Expansion(feats, W.tolist(), b.tolist())
         else:
-            raise ValueError(f"unsupported kernel {self.kernel!r} (linear, rbf)")
+            raise ValueError(f"unsupported kernel {self.kernel!r} (linear, rbf, poly)")
         base = df.select(q(self.id_col), *[q(f) for f in feats], q(label))
         x = base.select("*", *exp.columns())
         n = x.count()

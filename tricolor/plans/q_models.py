@@ -115,6 +115,12 @@ def mod_knn_distance(spark, d):
     return _val_predictions(spark, d, "KNN", k=7, weights="distance", metric="manhattan")
 
 
+@query("mod_svm_poly")
+def mod_svm_poly(spark, d):
+    """SVM with the degree-3 polynomial kernel (exact monomial feature map), Platt probabilities."""
+    return _val_predictions(spark, d, "SVM", kernel="poly")
+
+
 @query("mod_stacking")
 def mod_stacking(spark, d):
     p = prepared_task(spark, d)
