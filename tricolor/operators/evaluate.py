@@ -19,6 +19,7 @@ from tricolor.operators.labels import decode_label
 from tricolor.operators.metrics import binary_metrics
 from tricolor.operators.models.base import FittedClassifier, pred_col, prob_col
 from tricolor.operators.profile import q
+from tricolor.session import cut_lineage
 
 
 def predict_all(df: DataFrame, models: Sequence[FittedClassifier]) -> DataFrame:
@@ -45,7 +46,9 @@ def long_predictions(wide: DataFrame, names: Sequence[str], label: str | None, i
 
 
 def validation_table(wide: DataFrame, names: Sequence[str], label: str, id_col: str = "row_id") -> DataFrame:
-    longp = long_predictions(wide, names, label, id_col)
+    # the metrics read the predictions three times (counts, per-score groups, totals); the narrow
+    # long form is materialised once so no model scores a row twice
+    longp = cut_lineage(long_predictions(wide, names, label, id_col))
     m = binary_metrics(longp, "y", "pred", "prob", ["model"])
     return m.select("model", "accuracy", "precision", "recall", "f1", "auc")
 
