@@ -60,8 +60,14 @@ def plain_folds(df: DataFrame, k: int = 10, seed: int = DEFAULT_SEED, id_col: st
     return r.select(*[q(c) for c in df.columns], ((F.col("_tc_rank") - 1) % k).cast("int").alias(out))
 
 
+MAX_CLASSES = 1000
+
+
 def class_counts(df: DataFrame, label: str) -> dict:
-    rows = df.groupBy(q(label).alias("c")).agg(F.count(F.lit(1)).alias("n")).limit(1000).collect()
+    """Rows per class (a bounded table: more than ``MAX_CLASSES`` classes is an error)."""
+    rows = df.groupBy(q(label).alias("c")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{label!r} has more than {MAX_CLASSES} classes")
     return {r["c"]: r["n"] for r in rows}
 
 
