@@ -101,3 +101,12 @@ def test_svm_poly_kernel_learns(spark):
     fitted = model("SVM", kernel="poly", max_iter=20).fit(df, ["a", "b"], "y")
     p = fitted.predict(df)
     assert auc(p, "y", "SVM_Prob").first()["auc"] >= 0.8
+
+
+def test_stacking_refuses_plsda_and_voting(spark):
+    from tricolor.operators.models.ensemble import Stacking, Voting
+    df, *_ = _toy(spark, 60)
+    with pytest.raises(ValueError):
+        Stacking("S", [model("NB"), model("PLSDA")]).fit(df, ["a", "b"], "y")
+    with pytest.raises(ValueError):
+        Stacking("S", [model("NB"), Voting("V", [model("NB"), model("Ridge")])]).fit(df, ["a", "b"], "y")

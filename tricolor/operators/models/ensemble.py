@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tricolor.operators.models.base import Classifier, FittedClassifier, pred_col, prob_col
+from tricolor.operators.models.plsda import PLSDA
 from tricolor.operators.profile import q
 
 SEED = 42
@@ -48,6 +49,10 @@ class Stacking(Classifier):
         from tricolor.operators.sampling import stratified_folds
         if len(self.bases) < 2:
             raise ValueError("stacking needs at least two base models")
+        # a continuous PLS-DA score and a vote of other models are not stacked
+        refused = [b.name for b in self.bases if isinstance(b, (PLSDA, Voting))]
+        if refused:
+            raise ValueError(f"stacking does not take {refused} as base models")
         feats = list(features)
         folded = stratified_folds(df.select(q(self.id_col), *[q(f) for f in feats], q(label)), label,
                                   self.folds, SEED, self.id_col)
