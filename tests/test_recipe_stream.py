@@ -109,3 +109,13 @@ def test_json_array_file(spark, tmp_path):
     p.write_text(_json.dumps(rows))
     df = read_json(spark, str(p), multiline=True, columns=["Variance", "Skewness", "Curtosis", "Entropy", "Class"])
     assert df.columns == ["Variance", "Skewness", "Curtosis", "Entropy", "Class"] and df.count() == 2
+
+
+def test_recipe_refuses_unmapped_training_target(spark):
+    from tricolor.operators.labels import LabelError
+    train, _ = _train_test(spark)
+    bad = train.union(spark.createDataFrame([(99, "maybe", "a", 1.0, 1.0)], train.schema))
+    with pytest.raises(LabelError):
+        Recipe("y").fit_base(bad, "no", "yes", categorical=["cat"])
+    with pytest.raises(LabelError):
+        Recipe("y").fit_base(bad, "no", "yes", categorical=[])

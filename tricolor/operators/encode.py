@@ -17,6 +17,11 @@ from pyspark.sql import types as T
 from tricolor.operators.profile import boolean_columns, q, string_columns
 
 MAX_CATEGORIES = 1000
+_NULL_CHECK = "\u0000null-check"
+
+
+class NullValuesError(ValueError):
+    pass
 
 
 @dataclass(frozen=True)
@@ -26,20 +31,27 @@ class OneHotEncoding:
 
     @staticmethod
     def fit(df: DataFrame, columns: Sequence[str] | None = None,
-            max_categories: int = MAX_CATEGORIES) -> "OneHotEncoding":
+            max_categories: int = MAX_CATEGORIES, require_not_null: str | None = None) -> "OneHotEncoding":
+        """Fit the sorted categories of ``columns``. ``require_not_null`` names a column that must
+        hold no NULL (e.g. the mapped target); it is checked in the same job, not a pass of its own."""
         cols = list(columns) if columns is not None else string_columns(df)
-        if not cols:
+        entries = [F.struct(F.lit(c).alias("k"), q(c).cast("string").alias("v")) for c in cols]
+        if require_not_null:
+            entries.append(F.struct(F.lit(_NULL_CHECK).alias("k"),
+                                    F.when(q(require_not_null).isNull(), F.lit("null")).alias("v")))
+        if not entries:
             return OneHotEncoding(tuple(), {})
-        pairs = df.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("k"), q(c).cast("string").alias("v")) for c in cols])).alias("p"))
+        pairs = df.select(F.explode(F.array(*entries)).alias("p"))
         pairs = pairs.select("p.k", "p.v").where(F.col("v").isNotNull()).distinct()
-        bound = max_categories * len(cols) + 1
+        bound = max_categories * len(cols) + 2
         rows = pairs.limit(bound).collect()
+        if any(r["k"] == _NULL_CHECK for r in rows):
+            raise NullValuesError(f"{require_not_null!r} has NULL or unmapped values")
         cats: dict[str, list] = {c: [] for c in cols}
         for r in rows:
             cats[r["k"]].append(r["v"])
         for c, vs in cats.items():
-            if len(vs) > max_categories or len(rows) >= bound:
+            if len(vs) > max_categories or len(rows) >= bound - 1:
                 raise ValueError(f"one-hot: column {c!r} exceeds {max_categories} categories")
         return OneHotEncoding(tuple(cols), {c: tuple(sorted(v)) for c, v in cats.items()})
 

@@ -14,8 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from tricolor.operators import columns as cols
-from tricolor.operators.encode import OneHotEncoding
-from tricolor.operators.labels import encode_test_label, map_label
+from tricolor.operators.encode import NullValuesError, OneHotEncoding
+from tricolor.operators.labels import LabelError, encode_test_label, map_label
 from tricolor.operators.missing import MissingStep, apply_missing, fit_missing
 from tricolor.operators.transform import MinMaxScaling, NewFeature, StandardScaling
 
@@ -37,8 +37,13 @@ class Recipe:
         self.missing = fit_missing(df, list(missing))
         filled = apply_missing(df, self.missing)
         self.label_values = (zero_value, one_value)
-        labelled = map_label(filled, self.label, zero_value, one_value)
-        self.encoding = OneHotEncoding.fit(labelled, categorical)
+        # the unmapped-target check runs inside the category job (one pass, not two)
+        labelled = map_label(filled, self.label, zero_value, one_value, check=False)
+        try:
+            self.encoding = OneHotEncoding.fit(labelled, categorical, require_not_null=self.label)
+        except NullValuesError as e:
+            raise LabelError(f"target {self.label!r}: rows are NULL or outside "
+                             f"{{{zero_value!r}, {one_value!r}}}") from e
         encoded = self.encoding.transform(labelled)
         self.features = [c for c in encoded.columns if c not in (self.id_col, self.label)]
         return self._finish_base(encoded)
