@@ -110,3 +110,26 @@ def test_stacking_refuses_plsda_and_voting(spark):
         Stacking("S", [model("NB"), model("PLSDA")]).fit(df, ["a", "b"], "y")
     with pytest.raises(ValueError):
         Stacking("S", [model("NB"), Voting("V", [model("NB"), model("Ridge")])]).fit(df, ["a", "b"], "y")
+
+
+def test_importances(spark):
+    from tricolor.operators import importance as imp
+    rng = np.random.default_rng(4)
+    n = 300
+    y = rng.integers(0, 2, n)
+    informative = y * 2.0 + rng.normal(scale=0.3, size=n)
+    noise = rng.normal(size=n)
+    df = spark.createDataFrame([(i + 1, float(informative[i]), float(noise[i]), int(y[i])) for i in range(n)],
+                               "row_id long, good double, noise double, y long")
+    rf = {r["feature"]: r["importance"] for r in imp.rf_importance(df, ["good", "noise"], "y", 20).collect()}
+    assert sum(rf.values()) == pytest.approx(1.0) and rf["good"] > rf["noise"]
+    la = {r["feature"]: r["importance"] for r in imp.lasso_importance(df, ["good", "noise"], "y").collect()}
+    assert la["good"] > la["noise"] >= 0.0
+    fitted = model("RandomForest", n_estimators=20).fit(df, ["good", "noise"], "y")
+    perm = {r["feature"]: r["importance"] for r in imp.permutation_importance(fitted, df, ["good", "noise"], "y",
+                                                                              repeats=3).collect()}
+    assert perm["good"] > 0.2 and abs(perm["noise"]) < 0.1
+    mi = {r["feature"]: r["importance"] for r in imp.mutual_information(df, ["good", "noise"], "y").collect()}
+    assert mi["good"] > mi["noise"] >= 0.0
+    top = imp.ranked(imp.rf_importance(df, ["good", "noise"], "y", 20), top=1).collect()
+    assert [r["feature"] for r in top] == ["good"]
