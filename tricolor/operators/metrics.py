@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 
 from tricolor.operators.joins import bounded_broadcast
 from tricolor.operators.profile import q
-from tricolor.sources.rowid import ordered_running_sum
+from tricolor.sources.rowid import literal_table, ordered_running_sum
+
+# Groups (models, folds, ...) up to this many are reduced on the driver as a literal table.
+MAX_LITERAL_GROUPS = 10_000
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -48,14 +51,26 @@ def auc(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = ()) -
     order = [F.col(f"`{c}`").asc_nulls_first() for c in gcols] + [F.col("_s")]
     cum = ordered_running_sum(per_score, order, ["neg"], prefix="cum_")
     if gcols:
-        # one row per group (models, folds): a small broadcast side
         totals = df.groupBy(*[q(c) for c in gcols]).agg(
             F.count_if(y == 1).alias("P"), F.count_if(y == 0).alias("N"),
             F.count_if(s.isNull()).alias("n_null"))
-        # negatives before each group, again by the distributed running sum (any group count)
-        starts = ordered_running_sum(totals.select(*gcols, "N"),
-                                     [F.col(f"`{c}`").asc_nulls_first() for c in gcols], ["N"], prefix="cum_")
-        starts = starts.select(*gcols, (F.col("cum_N") - F.col("N")).alias("_nstart"))
+        order = [F.col(f"`{c}`").asc_nulls_first() for c in gcols]
+        rows = totals.orderBy(*order).limit(MAX_LITERAL_GROUPS + 1).collect()
+        if len(rows) <= MAX_LITERAL_GROUPS:
+            # few groups (models, folds): totals and negatives-before as one literal table
+            start, lit_rows = 0, []
+            for r in rows:
+                lit_rows.append((*[r[c] for c in gcols], r["P"], r["N"], r["n_null"], start))
+                start += r["N"]
+            types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+            totals = literal_table(df.sparkSession, lit_rows,
+                                   [(c, types[c]) for c in gcols]
+                                   + [("P", "bigint"), ("N", "bigint"), ("n_null", "bigint"), ("_nstart", "bigint")])
+            starts = totals.select(*gcols, "_nstart")
+        else:
+            # many groups: negatives before each group by the distributed running sum
+            starts = ordered_running_sum(totals.select(*gcols, "N"), order, ["N"], prefix="cum_")
+            starts = starts.select(*gcols, (F.col("cum_N") - F.col("N")).alias("_nstart"))
         cum = cum.join(bounded_broadcast(starts), gcols)
     else:
         totals = df.agg(F.count_if(y == 1).alias("P"), F.count_if(y == 0).alias("N"),

@@ -24,11 +24,11 @@ TARGET_PARTITION_BYTES = 64 * 1024 * 1024
 
 
 def right_size(df: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
-    """Coalesce (no shuffle) to the partition count the data needs; never split further."""
+    """Coalesce (no shuffle) to the partition count the data needs; a no-op when the input
+    already has fewer partitions (asking the plan for its partition count would run it)."""
     per_row = 8 * (n_cols + 4) + 32
     want = max(1, math.ceil(n_rows * per_row / TARGET_PARTITION_BYTES))
-    have = df.rdd.getNumPartitions()
-    return df.coalesce(want) if want < have else df
+    return df.coalesce(want)
 
 
 def fit_persisted(estimator, data: DataFrame, n_rows: int, n_cols: int):

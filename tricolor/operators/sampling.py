@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tricolor.functions.hashing import hash_int, hash_key, hash_uniform
 from tricolor.operators.neighbors import knn
 from tricolor.operators.profile import q
-from tricolor.sources.rowid import ordered_rank, rank_within
+from tricolor.sources.rowid import ordered_rank, ordered_rank_n, rank_within
 
 DEFAULT_SEED = 42
 
@@ -27,10 +27,13 @@ def split_train_val(df: DataFrame, val_fraction: float = 0.2, seed: int = DEFAUL
     ``narrow=True`` ranks only the ids and joins the flag back (wide tables)."""
     if not 0.0 < val_fraction < 1.0:
         raise ValueError("val_fraction must lie in (0, 1)")
-    n = df.count() if n_rows is None else n_rows
+    order = [hash_key(seed, q(id_col)), q(id_col)]
+    if narrow:
+        ranked = ordered_rank(df, order, "_tc_split_rank", key_cols=[id_col])
+        n = df.count() if n_rows is None else n_rows
+    else:
+        ranked, n = ordered_rank_n(df, order, "_tc_split_rank")   # the count comes with the ranks
     n_val = math.ceil(n * val_fraction)
-    ranked = ordered_rank(df, [hash_key(seed, q(id_col)), q(id_col)], "_tc_split_rank",
-                          key_cols=[id_col] if narrow else None)
     return ranked.select(*[q(c) for c in df.columns], (F.col("_tc_split_rank") <= n_val).alias("is_val"))
 
 

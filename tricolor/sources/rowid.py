@@ -2,13 +2,14 @@
 
 ``Window.orderBy(...)`` with no partition moves every row into one task. Instead:
 
-1. ``repartitionByRange(P, keys)`` + ``sortWithinPartitions(keys)``: partition ``i`` holds the
-   ``i``-th key range, sorted;
+1. ``repartitionByRange(keys)`` + ``sortWithinPartitions(keys)``: partition ``i`` holds the
+   ``i``-th key range, sorted (AQE sizes and coalesces the ranges from the data);
 2. ``monotonically_increasing_id()`` then encodes (partition, position in partition);
 3. the frame is checkpointed into the shared checkpoint folder, so counts and positions come
    from one fixed layout (and lineage is cut: a lost executor re-reads, not re-samples); the
    input is persisted meanwhile, so range sampling does not evaluate the upstream plan twice;
-4. a P-row table of per-partition counts gives prefix offsets, broadcast back (size = P).
+4. the P per-partition counts are collected once (P is ours to choose), prefix-summed, and
+   broadcast back as a literal P-row table, so later actions never rescan for them.
 
 With unique keys the result is the exact global rank whatever the range bounds are.
 """
@@ -29,25 +30,18 @@ _POS_MASK = (1 << _POS_BITS) - 1
 MAX_BROADCAST_GROUPS = 100_000
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    """Range partitions: explicit, else the session's shuffle partitions, but no more than four
-    per input partition (a small input is not spread over hundreds of near-empty ranges)."""
-    if num_partitions:
-        return int(num_partitions)
-    cap = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return max(1, min(cap, 4 * df.rdd.getNumPartitions()))
-
-
 def _range_tagged(df: DataFrame, order_cols: Sequence, num_partitions: int | None,
                   persist_input: bool = True) -> DataFrame:
-    n = _partitions(df, num_partitions)
     # Range partitioning samples its input in a job of its own; persisting the input for the
     # duration lets the sample and the shuffle share one evaluation of an expensive upstream
     # plan. For a bare table scan re-reading is cheaper than caching (persist_input=False).
     src = df.persist(StorageLevel.MEMORY_AND_DISK) if persist_input else df
     try:
-        tagged = (src.repartitionByRange(n, *order_cols)
-                  .sortWithinPartitions(*order_cols)
+        # without an explicit count AQE sizes the ranges from the data (adjacent ranges are
+        # coalesced, which keeps the order); positions are taken after that, on the final layout
+        ranged = (src.repartitionByRange(int(num_partitions), *order_cols) if num_partitions
+                  else src.repartitionByRange(*order_cols))
+        tagged = (ranged.sortWithinPartitions(*order_cols)
                   .withColumn("_tc_mid", F.monotonically_increasing_id()))
         tagged = cut_lineage(tagged)
     finally:
@@ -58,12 +52,35 @@ def _range_tagged(df: DataFrame, order_cols: Sequence, num_partitions: int | Non
             .withColumn("_tc_pos", F.col("_tc_mid").bitwiseAND(F.lit(_POS_MASK))))
 
 
-def _prefix_offsets(totals: DataFrame, value_cols: Sequence[str]) -> DataFrame:
-    """Exclusive prefix sums over the P-row per-partition table (tiny, one task)."""
-    w = Window.orderBy("_tc_pid").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        "_tc_pid",
-        *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_tc_off_{v}") for v in value_cols])
+def literal_table(spark, rows: Sequence[tuple], fields: Sequence[tuple[str, str]]) -> DataFrame:
+    """A small table of driver-side constants as a JVM expression (``inline`` of literal
+    structs): no Python worker, no RDD of pickled rows."""
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in fields])
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+def _offset_table(t: DataFrame, value_cols: Sequence[str]) -> tuple[DataFrame, dict]:
+    """Per-partition totals of the checkpointed frame, prefix-summed: (P-row table, grand totals).
+
+    The P totals (P = number of ranges, a bound we chose) are collected once and the exclusive
+    prefix sums become a literal table, so later actions never rescan the checkpoint for them.
+    """
+    spark = t.sparkSession
+    rows = t.groupBy("_tc_pid").agg(*[F.sum(v).alias(v) for v in value_cols]).collect()
+    rows.sort(key=lambda r: r["_tc_pid"])
+    running = {v: 0 for v in value_cols}
+    out = []
+    for r in rows:
+        out.append((r["_tc_pid"], *[running[v] for v in value_cols]))
+        for v in value_cols:
+            running[v] += r[v] or 0
+    types = {f.name: f.dataType.simpleString() for f in t.schema.fields}
+    fields = [("_tc_pid", "int")] + [
+        (f"_tc_off_{v}", "bigint" if types.get(v, "bigint") in ("int", "bigint", "smallint", "tinyint") else "double")
+        for v in value_cols]
+    return literal_table(spark, out, fields), running
 
 
 def _join_back(df: DataFrame, ranked: DataFrame, key_cols: Sequence[str], out: str) -> DataFrame:
@@ -76,6 +93,15 @@ def _join_back(df: DataFrame, ranked: DataFrame, key_cols: Sequence[str], out: s
     return a.join(b, cond).select(*[F.col(f"_tc_a.`{c}`") for c in df.columns], F.col(f"_tc_b.`{out}`"))
 
 
+def ordered_rank_n(df: DataFrame, order_cols: Sequence, out: str = "rank",
+                   num_partitions: int | None = None, persist_input: bool = True) -> tuple[DataFrame, int]:
+    """``ordered_rank`` plus the row count (known from the offsets, no extra pass)."""
+    t = _range_tagged(df, order_cols, num_partitions, persist_input).withColumn("_tc_one", F.lit(1))
+    offs, totals = _offset_table(t, ["_tc_one"])
+    ranked = t.join(F.broadcast(offs), "_tc_pid")
+    return ranked.select(*df.columns, (F.col("_tc_off__tc_one") + F.col("_tc_pos") + 1).alias(out)), totals["_tc_one"]
+
+
 def ordered_rank(df: DataFrame, order_cols: Sequence, out: str = "rank",
                  num_partitions: int | None = None, persist_input: bool = True,
                  key_cols: Sequence[str] | None = None) -> DataFrame:
@@ -89,19 +115,25 @@ def ordered_rank(df: DataFrame, order_cols: Sequence, out: str = "rank",
         keys = df.select(*[F.col(f"`{k}`") for k in key_cols])
         ranked = ordered_rank(keys, order_cols, out, num_partitions, persist_input)
         return _join_back(df, ranked, key_cols, out)
-    t = _range_tagged(df, order_cols, num_partitions, persist_input)
-    counts = t.groupBy("_tc_pid").agg(F.count(F.lit(1)).alias("n"))
-    offs = _prefix_offsets(counts, ["n"])
-    ranked = t.join(F.broadcast(offs), "_tc_pid")
-    return ranked.select(*df.columns, (F.col("_tc_off_n") + F.col("_tc_pos") + 1).alias(out))
+    return ordered_rank_n(df, order_cols, out, num_partitions, persist_input)[0]
+
 
+def group_offsets(df: DataFrame, group_col: str, max_groups: int = MAX_BROADCAST_GROUPS) -> DataFrame:
+    """(group, rows before the group in ascending group order) as a literal table.
 
-def group_offsets(df: DataFrame, group_col: str) -> DataFrame:
-    """(group, rows before the group in ascending group order, rows in group)."""
-    counts = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_tc_gn"))
-    w = Window.orderBy(F.col(group_col).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(group_col, "_tc_gn",
-                         F.coalesce(F.sum("_tc_gn").over(w), F.lit(0)).alias("_tc_gstart"))
+    The per-group counts are sorted by Spark (the same order the range partitioning uses),
+    collected once under a bound, and prefix-summed on the driver.
+    """
+    rows = (df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_tc_gn"))
+            .orderBy(F.col(group_col).asc_nulls_first()).limit(max_groups + 1).collect())
+    if len(rows) > max_groups:
+        raise ValueError(f"rank_within: more than {max_groups} groups exceed the broadcast bound")
+    start, out = 0, []
+    for r in rows:
+        out.append((r[group_col], start))
+        start += r["_tc_gn"]
+    gtype = df.schema[group_col].dataType.simpleString()
+    return literal_table(df.sparkSession, out, [(group_col, gtype), ("_tc_gstart", "bigint")])
 
 
 def rank_within(df: DataFrame, group_col: str, order_cols: Sequence, out: str = "rank",
@@ -112,14 +144,11 @@ def rank_within(df: DataFrame, group_col: str, order_cols: Sequence, out: str =
     A per-group window would put a whole class in one task; here the global rank over
     (group, keys) minus the group's start offset gives the same number.
     """
-    offs = group_offsets(df, group_col)
-    n_groups = offs.count()
-    if n_groups > max_groups:
-        raise ValueError(f"rank_within: {n_groups} groups exceed the broadcast bound {max_groups}")
+    offs = group_offsets(df, group_col, max_groups)
     ranked = ordered_rank(df, [F.col(group_col).asc_nulls_first(), *order_cols], "_tc_grank",
                           num_partitions, key_cols=[group_col, *key_cols] if key_cols else None)
-    return (ranked.join(F.broadcast(offs.select(group_col, "_tc_gstart")), group_col, "left")
-            .select(*df.columns, (F.col("_tc_grank") - F.col("_tc_gstart")).alias(out)))
+    j = ranked.join(F.broadcast(offs), ranked[group_col].eqNullSafe(offs[group_col]), "left")
+    return j.select(*[ranked[c] for c in df.columns], (F.col("_tc_grank") - F.col("_tc_gstart")).alias(out))
 
 
 def ordered_running_sum(df: DataFrame, order_cols: Sequence, value_cols: Sequence[str],
@@ -128,8 +157,7 @@ def ordered_running_sum(df: DataFrame, order_cols: Sequence, value_cols: Sequenc
     t = _range_tagged(df, order_cols, num_partitions)
     w = Window.partitionBy("_tc_pid").orderBy("_tc_mid").rowsBetween(Window.unboundedPreceding, 0)
     within = t.select("*", *[F.sum(v).over(w).alias(f"_tc_in_{v}") for v in value_cols])
-    totals = t.groupBy("_tc_pid").agg(*[F.sum(v).alias(v) for v in value_cols])
-    offs = _prefix_offsets(totals, value_cols)
+    offs, _ = _offset_table(t, value_cols)
     out = within.join(F.broadcast(offs), "_tc_pid")
     return out.select(*df.columns,
                       *[(F.col(f"_tc_off_{v}") + F.col(f"_tc_in_{v}")).alias(f"{prefix}{v}")
