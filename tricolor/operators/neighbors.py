@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tricolor.session import ship_package
+
 # Rows of one side held by one task at a time.
 DEFAULT_BLOCK_ROWS = 20_000
 # Doubles held by one distance chunk (query rows x reference rows x dimensions).
@@ -87,6 +89,7 @@ def knn(query: DataFrame, ref: DataFrame, k: int, qid: str = "row_id", qvec: str
     callers need no join back to the reference rows (a hub row would skew that join).
     """
     payload = dict(payload or {})
+    ship_package(query.sparkSession)
     n_ref = ref.count() if n_ref is None else n_ref
     n_query = query.count() if n_query is None else n_query
     nb = max(1, math.ceil(n_ref / block_rows))

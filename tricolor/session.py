@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_CKPT: str | None = None
+_SHIPPED: set[str] = set()
 
 
 def get_spark(master: str | None = None, app: str = "tricolor",
@@ -68,3 +70,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tricolor`` importable in executor Python workers (once per application).
+
+    Functions run by Python workers (the kNN block kernel) are pickled by reference to this
+    package; the package is zipped on the driver and distributed with ``addPyFile``, as
+    ``--py-files`` would do on a cluster.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="tricolor-pyfiles-")
+    path = os.path.join(out_dir, "tricolor.zip")
+    root = os.path.dirname(pkg)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, dirnames, filenames in os.walk(pkg):
+            dirnames[:] = [d for d in dirnames if d != "__pycache__"]
+            for f in filenames:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
