@@ -46,3 +46,27 @@ def test_narrow_key_ranking_equals_full(spark):
     assert a == b and sum(a.values()) == 150
     ids = add_row_id(df.drop("row_id"), ["a"], narrow=True)
     assert ids.columns[0] == "row_id" and ids.agg(F.max("row_id")).first()[0] == 500
+
+
+def test_literal_table_types_and_empty(spark):
+    from tricolor.sources.rowid import literal_table
+    t = literal_table(spark, [(1, "a", 2.5), (2, None, None)], [("k", "int"), ("s", "string"), ("v", "double")])
+    assert [tuple(r) for r in t.collect()] == [(1, "a", 2.5), (2, None, None)]
+    assert [f.dataType.simpleString() for f in t.schema.fields] == ["int", "string", "double"]
+    e = literal_table(spark, [], [("k", "int")])
+    assert e.count() == 0 and e.columns == ["k"]
+
+
+def test_ship_package_zip(spark):
+    import glob
+    import os
+    import tempfile
+    import zipfile
+
+    from tricolor import session
+    session._SHIPPED.discard(spark.sparkContext.applicationId)
+    session.ship_package(spark)
+    assert spark.sparkContext.applicationId in session._SHIPPED
+    zips = glob.glob(os.path.join(tempfile.gettempdir(), "tricolor-pyfiles-*", "tricolor.zip"))
+    newest = max(zips, key=os.path.getmtime)
+    assert "tricolor/operators/neighbors.py" in zipfile.ZipFile(newest).namelist()
