@@ -4,7 +4,7 @@
 Permutation: for repeat ``r`` the value of feature ``f`` in the row of rank ``i`` (by id) is
 taken from the row of rank ``i`` in md5('<seed>:<r>:' || id) order - a distributed shuffle
 by join. All (feature, repeat) copies are scored in one frame and reduced with one groupBy.
-Mutual information: plug-in estimate on equal-width bins (10), one grouped count.
+Mutual information: plug-in estimate on 10 equal-width or equal-frequency bins, one grouped count.
 """
 
 from __future__ import annotations
@@ -68,14 +68,45 @@ def permutation_importance(fitted: FittedClassifier, df: DataFrame, features: Se
     ).select(F.lit("permutation").alias("method"), "feature", "importance", "std")
 
 
-def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> DataFrame:
-    """Plug-in MI (nats) between each equal-width-binned feature and the label."""
+def _quantile_binned(df: DataFrame, features: Sequence[str], label: str, bins: int, id_col: str) -> DataFrame:
+    """(feature, b, y) with equal-frequency bins: b = floor((rank - 1) * bins / n) in (x, id)
+    order, the rank from the range-partitioned ``ordered_rank`` (no global window)."""
+    from tricolor.sources.rowid import ordered_rank_n
+    parts = None
+    for f in features:
+        d = df.where(q(label).isNotNull() & q(f).isNotNull()).select(q(id_col), q(f).cast("double").alias("_x"),
+                                                                   q(label).alias("y"))
+        ranked, n = ordered_rank_n(d, [F.col("_x"), q(id_col)], "_r")
+        part = ranked.select(F.lit(f).alias("feature"),
+                             F.floor((F.col("_r") - 1) * F.lit(bins) / F.lit(max(n, 1))).cast("int").alias("b"), "y")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
+def mutual_information(df: DataFrame, features: Sequence[str], label: str, bins: int = 10,
+                       binning: str = "width", id_col: str = "row_id") -> DataFrame:
+    """Plug-in MI (nats) between each binned feature and the label.
+
+    ``binning="width"``: equal-width bins between min and max; ``"quantile"``: equal-frequency
+    bins from the exact rank of (value, id).
+    """
     feats = list(features)
+    if binning == "quantile":
+        c = _quantile_binned(df, feats, label, bins, id_col).groupBy("feature", "b", "y").agg(
+            F.count(F.lit(1)).alias("n"))
+        return _mi_from_counts(c)
+    if binning != "width":
+        raise ValueError("binning must be 'width' or 'quantile'")
     mm = _min_max(df, feats)
     long = df.where(q(label).isNotNull()).select(q(label).alias("y"), F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), _bin(q(f).cast("double"), *mm[f], bins).alias("b")) for f in feats
         if mm[f][0] is not None])).alias("e")).where(F.col("e.b").isNotNull())
     c = long.groupBy("e.feature", "e.b", "y").agg(F.count(F.lit(1)).alias("n"))
+    return _mi_from_counts(c)
+
+
+def _mi_from_counts(c: DataFrame) -> DataFrame:
+    """MI per feature from the (feature, b, y, n) count table (small: features x bins x classes)."""
     wf = Window.partitionBy("feature")
     c = c.select("feature", "b", "y", "n",
                  F.sum("n").over(wf).alias("nt"),

@@ -401,6 +401,26 @@ def imp_mutual_info(spark, d):
     return imp.mutual_information(fx.docs_task(spark, d), F3, LABEL, bins=10)
 
 
+def _mi_quantile_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST(floor((row_number() OVER (ORDER BY {c}, row_id) - 1) * 10 "
+        f"/ count(*) OVER ()) AS INTEGER) AS b, quality AS y FROM t WHERE {c} IS NOT NULL AND quality IS NOT NULL"
+        for c in F3)
+    return f"""
+WITH t AS ({TASK}), long AS ({parts}),
+c AS (SELECT feature, b, y, count(*) AS n FROM long GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS nt, sum(n) OVER (PARTITION BY feature, b) AS nb,
+             sum(n) OVER (PARTITION BY feature, y) AS ny FROM c)
+SELECT 'mutual_info' AS method, feature, round(sum(n / nt * ln(n * nt / (nb * ny))), 6) AS importance
+FROM w GROUP BY feature"""
+
+
+@query("imp_mutual_info_quantile", _mi_quantile_sql())
+def imp_mutual_info_quantile(spark, d):
+    """Plug-in MI on 10 equal-frequency bins (exact ranks, ties broken by row id)."""
+    return imp.mutual_information(fx.docs_task(spark, d), F3, LABEL, bins=10, binning="quantile")
+
+
 def _all_importances(spark, d):
     p = prepared_task(spark, d, standardise=False)
     return (imp.rf_importance(p.train, p.features, LABEL)
