@@ -63,7 +63,9 @@ for _name in ["Ridge", "Lasso", "ElasticNet", "PLSDA", "SVM", "DecisionTree", "R
     query(_qid, headline=_name in ("Ridge", "RandomForest"))(_make(_name))
 
 
-NB_SQL = f"""
+def _nb_sql(apply_where: str, extra: str = "") -> str:
+    """Gaussian NB fitted on the training part, applied to the rows selected by ``apply_where``."""
+    return f"""
 WITH s AS {SPLIT}, tr AS (SELECT * FROM s WHERE NOT is_val),
 cs AS (SELECT quality AS c, count(*) AS n,
               avg(n_chars) AS m1, var_pop(n_chars) AS v1, avg(nonletter_share) AS m2, var_pop(nonletter_share) AS v2,
@@ -72,16 +74,19 @@ tot AS (SELECT count(*) AS n, 1e-9 * greatest(var_pop(n_chars), var_pop(nonlette
         FROM tr),
 p AS (SELECT cs.c, cs.n / tot.n AS prior, cs.m1, cs.m2, cs.m3, cs.v1 + tot.eps AS w1, cs.v2 + tot.eps AS w2,
              cs.v3 + tot.eps AS w3 FROM cs, tot),
-j AS (SELECT v.row_id, v.quality, p.c,
+j AS (SELECT v.row_id, v.quality, v.n_chars, v.nonletter_share, v.word_share, p.c,
              ln(p.prior) - 0.5 * ln(2 * pi() * p.w1) - (v.n_chars - p.m1) * (v.n_chars - p.m1) / (2 * p.w1)
                          - 0.5 * ln(2 * pi() * p.w2) - (v.nonletter_share - p.m2) * (v.nonletter_share - p.m2) / (2 * p.w2)
                          - 0.5 * ln(2 * pi() * p.w3) - (v.word_share - p.m3) * (v.word_share - p.m3) / (2 * p.w3) AS jll
-      FROM (SELECT * FROM s WHERE is_val) v, p)
-SELECT j0.row_id, j0.quality, CAST(j1.jll > j0.jll AS INTEGER) AS NB_Prediction,
+      FROM (SELECT * FROM s WHERE {apply_where}) v, p)
+SELECT j0.row_id, j0.quality, {extra}CAST(j1.jll > j0.jll AS INTEGER) AS NB_Prediction,
        round(1 / (1 + exp(j0.jll - j1.jll)), 6) AS NB_Prob
 FROM j j0 JOIN j j1 ON j0.row_id = j1.row_id AND j0.c = 0 AND j1.c = 1"""
 
 
+NB_SQL = _nb_sql("is_val")
+
+
 @query("mod_nb", NB_SQL, headline=True)
 def mod_nb(spark, d):
     """Gaussian naive Bayes on the raw features (closed form: SQL-checkable)."""
@@ -289,6 +294,14 @@ def evl_train_export(spark, d):
     return train_export(fitted, p.train, p.features, LABEL, label_names={0: "low", 1: "high"})
 
 
+@query("evl_train_export_nb", _nb_sql("NOT is_val", "j0.n_chars, j0.nonletter_share, j0.word_share, "))
+def evl_train_export_nb(spark, d):
+    """Training export of naive Bayes: id, features, target, prediction, probability (SQL-checked)."""
+    train, _ = _raw_split(spark, d)
+    fitted = model("NB").fit(train, F3, LABEL)
+    return train_export(fitted, train, F3, LABEL)
+
+
 @query("evl_train_export_pls")
 def evl_train_export_pls(spark, d):
     """PLS-DA training export with the continuous score flipped (-score)."""

@@ -510,6 +510,27 @@ def agg_hist1d(spark, d):
     return prof.hist1d(table(spark, d, "part"), "p_retailprice", 20)
 
 
+def _hist_sql(expr: str, stage: str) -> str:
+    return f"""SELECT '{stage}' AS stage, CAST(bin AS INTEGER) AS bin, round(lo + bin * width, 6) AS lo,
+       round(lo + (bin + 1) * width, 6) AS hi, count(*) AS count
+FROM (SELECT least(greatest(CAST(floor((x - w.lo) / w.width) AS INTEGER), 0), 19) AS bin, w.lo, w.width
+      FROM (SELECT {expr} AS x FROM customer) v,
+           (SELECT min({expr}) AS lo, CASE WHEN max({expr}) > min({expr}) THEN (max({expr}) - min({expr})) / 20
+                   ELSE 1.0 END AS width FROM customer) w
+      WHERE x IS NOT NULL)
+GROUP BY bin, lo, width"""
+
+
+@query("agg_hist1d_transform", _hist_sql("c_acctbal", "before") + "\nUNION ALL\n"
+       + _hist_sql("CASE WHEN c_acctbal > -1 THEN round(ln(1 + c_acctbal), 6) END", "after"))
+def agg_hist1d_transform(spark, d):
+    """Histogram of a column before and after a derived-feature transform (log1p)."""
+    c = table(spark, d, "customer").select("c_acctbal", F.round(fn.fn_log("c_acctbal"), 6).alias("acct_log"))
+    before = prof.hist1d(c, "c_acctbal", 20).select(F.lit("before").alias("stage"), "*")
+    after = prof.hist1d(c, "acct_log", 20).select(F.lit("after").alias("stage"), "*")
+    return before.unionByName(after)
+
+
 @query("agg_hist2d", """
 WITH b AS (SELECT min(l_quantity) AS xl, max(l_quantity) AS xh, min(l_extendedprice) AS yl,
                   max(l_extendedprice) AS yh FROM lineitem)
