@@ -86,3 +86,14 @@ def test_smote_rows_lie_between_parent_and_neighbour(spark):
     lo, hi = minority.min(0), minority.max(0)
     for r in out:
         assert r["y"] == 1 and lo[0] - 1e-9 <= r["a"] <= hi[0] + 1e-9 and lo[1] - 1e-9 <= r["b"] <= hi[1] + 1e-9
+
+
+def test_rebalancing_three_classes(spark):
+    rows = [(i + 1, c, float(i)) for c, n in ((0, 50), (1, 20), (2, 8)) for i in range(n)]
+    rows = [(k + 1, c, x) for k, (_, c, x) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "row_id long, y long, a double")
+    over = {r["y"]: r["count"] for r in smp.over_sample(df, "y").groupBy("y").count().collect()}
+    under = {r["y"]: r["count"] for r in smp.under_sample(df, "y").groupBy("y").count().collect()}
+    assert over == {0: 50, 1: 50, 2: 50} and under == {0: 8, 1: 8, 2: 8}
+    ids = smp.over_sample(df, "y").select("row_id").distinct().count()
+    assert ids == 150

@@ -70,3 +70,18 @@ def test_ship_package_zip(spark):
     zips = glob.glob(os.path.join(tempfile.gettempdir(), "tricolor-pyfiles-*", "tricolor.zip"))
     newest = max(zips, key=os.path.getmtime)
     assert "tricolor/operators/neighbors.py" in zipfile.ZipFile(newest).namelist()
+
+
+def test_rank_property_random_keys(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=4, deadline=None)
+    @given(st.lists(st.tuples(st.integers(-5, 5), st.text(max_size=3)), min_size=1, max_size=60, unique=True))
+    def check(keys):
+        df = spark.createDataFrame(keys, "a int, b string")
+        got = sorted((r["rk"], r["a"], r["b"]) for r in ordered_rank(df, [F.col("a"), F.col("b")], "rk").collect())
+        want = sorted(keys, key=lambda t: (t[0], t[1].encode("utf-8")))
+        assert [(a, b) for _, a, b in got] == want and [g[0] for g in got] == list(range(1, len(keys) + 1))
+
+    check()
