@@ -18,6 +18,8 @@ def test_train_and_score_any_table(spark, sf_small):
     assert out.results.count() == df.count()
     with_target = score(run, labelled, key_cols=["doc_id"])
     assert with_target.metrics.count() == 2
+    run.release()
+    assert run.persisted == []
 
 
 def test_train_with_pca_and_smote(spark, sf_small):

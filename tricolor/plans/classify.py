@@ -41,6 +41,13 @@ class TrainedRun:
     pca_k: int = 0
     validation: DataFrame | None = None
     notes: list[str] = field(default_factory=list)
+    persisted: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Unpersist the cached training part (call when the run is no longer needed)."""
+        for d in self.persisted:
+            d.unpersist()
+        self.persisted.clear()
 
 
 def _final(df: DataFrame, run_pca: PcaModel | None, k: int, label: str | None) -> DataFrame:
@@ -96,7 +103,7 @@ def train(df: DataFrame, label: str, zero_value, one_value, models: Sequence[str
     clfs = [model(m) if isinstance(m, str) else m for m in models]
     fitted = [c.fit(t, feats, label) for c in clfs]
     val_table = validation_table(predict_all(v, fitted), [m.name for m in fitted], label)
-    return TrainedRun(label, r, feats, fitted, t, v, pca, pca_k or 0, val_table)
+    return TrainedRun(label, r, feats, fitted, t, v, pca, pca_k or 0, val_table, persisted=[tr])
 
 
 @dataclass
