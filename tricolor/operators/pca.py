@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +38,11 @@ class PcaModel:
         m = PCA(k=len(feats), inputCol="_tc_vec", outputCol="_tc_pc").fit(vec)
         pc = m.pc.toArray()                      # p x p
         ratio = m.explainedVariance.toArray()
-        # sign: the largest-|score| row of each component is made positive
-        scores = [sum(F.lit(float(pc[j, i])) * q(feats[j]) for j in range(len(feats))) for i in range(len(feats))]
-        picks = z.agg(*[F.max_by(s, F.struct(F.abs(s), -q(id_col))).alias(f"s{i}") for i, s in enumerate(scores)]).first()
+        # sign: the largest-|score| row of each component is made positive; the scores come
+        # from the fitted transform (one vector per row), so each aggregate stays small
+        sc = m.transform(vec).select(q(id_col), vector_to_array(F.col("_tc_pc")).alias("_tc_s"))
+        picks = sc.agg(*[F.max_by(F.col("_tc_s")[i], F.struct(F.abs(F.col("_tc_s")[i]), -q(id_col))).alias(f"s{i}")
+                         for i in range(len(feats))]).first()
         signs = np.array([(-1.0 if (picks[f"s{i}"] or 0.0) < 0 else 1.0) for i in range(len(feats))])
         pc = pc * signs[None, :]
         return PcaModel(tuple(feats), scaler, tuple(map(tuple, pc.tolist())), tuple(float(r) for r in ratio))

@@ -267,3 +267,14 @@ def pca_test(spark, d):
     """Fitted scaler + PCA applied to every document (the scoring table)."""
     m, _, _ = _pca(spark, d)
     return m.transform(fx.docs_features(spark, d), 2, ["doc_id"])
+
+
+@query("pca_embeddings")
+def pca_embeddings(spark, d):
+    """PCA over the 64-dimensional embedding vectors: explained-variance ratios, cumulative."""
+    e = table(spark, d, "embeddings")
+    dims = 64
+    wide = e.select(F.col("vec_id").alias("row_id"),
+                    *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)])
+    m = PcaModel.fit(wide, [f"e{i}" for i in range(dims)])
+    return m.variance(spark)
