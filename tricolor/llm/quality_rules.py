@@ -45,7 +45,7 @@ RULES = (
     Rule("stop_words", "n_stop_words", 2, None),
     Rule("stop_ratio", "n_stop_words / n_words", 0.02, None),
     Rule("upper_ratio", "n_upper / word_chars", None, 0.5),
-    Rule("dup_line_ratio", "n_dup_lines / n_lines", None, 0.3),
+    Rule("dup_line_ratio", "(n_dup_lines - 1) / n_lines", None, 0.3),
     Rule("ellipsis_ratio", "n_ellipsis_lines / n_lines", None, 0.3),
     Rule("bullet_ratio", "n_bullet_lines / n_lines", None, 0.9),
 )

@@ -107,7 +107,7 @@ m as (select d.doc_id, len(w)::bigint n_words, length(regexp_replace(t, '{_SPACE
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        not base_failed and word_chars / n_words between 2.5 and 14 and n_symbols / n_words <= 0.1 and n_stop >= 2
-       and n_stop / n_words >= 0.02 and n_upper / word_chars <= 0.5 and n_dup_lines / n_lines <= 0.3
+       and n_stop / n_words >= 0.02 and n_upper / word_chars <= 0.5 and (n_dup_lines - 1) / n_lines <= 0.3
        and n_ell / n_lines <= 0.3 and n_bul / n_lines <= 0.9 kept
 from b""",
     "op7_chat_formatting": rf"""
