@@ -1,7 +1,7 @@
 """Connected components of a distributed edge list by alternating large-star and small-star.
 
 Every round is a few shuffles of (vertex, vertex) pairs and one written table; no component or
-edge list reaches the driver, which only reads (row count, checksum) per round. Minima are
+edge list reaches the driver, which only learns after each round whether all stars are final. Minima are
 pre-aggregated before the shuffle; the join back is an ordinary equi-join that adaptive execution
 splits for a hub vertex.
 """
@@ -18,7 +18,7 @@ def _largest_star(e: DataFrame) -> DataFrame:
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     return (both.join(low, "u").where(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+            .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
 
 
 def _smallest_star(e: DataFrame) -> DataFrame:
@@ -27,6 +27,14 @@ def _smallest_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _is_star(e: DataFrame) -> bool:
+    """Every vertex has one smaller neighbour and is nobody's smaller neighbour."""
+    uses = (e.groupBy("u").agg(F.count(F.lit(1)).alias("ups"), F.lit(0).alias("downs"))
+            .unionByName(e.select(F.col("v").alias("u")).distinct().select("u", F.lit(0).cast("bigint").alias("ups"), F.lit(1).alias("downs"))))
+    return (uses.groupBy("u").agg(F.sum("ups").alias("ups"), F.sum("downs").alias("downs"))
+            .where("ups > 1 or (ups > 0 and downs > 0)").isEmpty())
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every vertex of ``edges``; component is the smallest vertex reachable.
 
@@ -37,12 +45,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = stage_table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     alone = e.where("u = v").select("u")
     e = e.where("u <> v")
-    seen = None
-    while True:
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen or not now[0]:
-            break
-        seen = now
+    while not _is_star(e):
         e = stage_table(_smallest_star(_largest_star(e)), "cc")
     roots = e.select(F.col("v").alias("u")).distinct()
     return (e.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -78,23 +78,24 @@ def _signatures(k: int):
     return run
 
 
-def _children(branch: int):
-    """(path, id, sig) -> the rows (path, id) of the next level; path 0.. are the trees' roots."""
+def _children(branch: int, levels: int = 1):
+    """(path, id, sig) -> the rows (path, id) that many levels below; roots are small numbers."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             sig = binary_rows(b.column("sig"), np.uint32, POSITIONS)
             path = b.column("path").to_numpy().view(np.uint64)
-            ids = b.column("id").to_numpy()
-            rows, out = np.arange(b.num_rows), []
-            for j in range(branch):
-                # the branch positions are distinct: an arithmetic step over a power-of-two count
-                h = mix(path * _U(0x9E3779B97F4A7C15) + _U(0x51ED2701))
-                at = ((h >> _U(8)) + _U(j) * ((h >> _U(32)) | _U(1))) % _U(POSITIONS)
-                out.append(mix(path ^ mix(sig[rows, at.astype(np.int64)].astype(np.uint64) + (at << _U(40)) + _U(1 << 56))))
-            yield pa.RecordBatch.from_arrays([long_array(np.concatenate(out)), pa.array(np.tile(ids, branch))],
-                                             names=["path", "id"])
+            rows = np.arange(b.num_rows)
+            for _ in range(levels):
+                # the branch positions are distinct: an odd step through a power-of-two count
+                h, out = mix(path * _U(0x9E3779B97F4A7C15) + _U(0x51ED2701)), []
+                for j in range(branch):
+                    at = ((h >> _U(8)) + _U(j) * ((h >> _U(32)) | _U(1))) % _U(POSITIONS)
+                    token = sig[rows, at.astype(np.int64)].astype(np.uint64)
+                    out.append(mix(path ^ mix(token + (at << _U(40)) + _U(1 << 56))))
+                path, rows = np.concatenate(out), np.tile(rows, branch)
+            yield pa.RecordBatch.from_arrays([long_array(path), pa.array(b.column("id").to_numpy()[rows])], names=["path", "id"])
     return run
 
 
@@ -188,7 +189,7 @@ def _confirmed(k: int, percent: int, queries: bool):
                 sets = [np.unique(sh[ptr[d]:ptr[d + 1]]) for d in range(len(ids))]
                 if queries:
                     role, comp = g.column("role").to_numpy(), g.column("comp").to_numpy()
-                    edges = _query_links(ids, sets, role, comp, percent)
+                    edges = _query_links(sets, role, comp, percent)
                 else:
                     n = np.array([len(s) for s in sets], float)
                     both = _overlaps(sets)
@@ -203,7 +204,7 @@ def _confirmed(k: int, percent: int, queries: bool):
     return run
 
 
-def _query_links(ids, sets, role, comp, percent) -> np.ndarray:
+def _query_links(sets, role, comp, percent) -> np.ndarray:
     members, asked = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
     out = []
     for part in range(0, len(asked), 64):
@@ -213,7 +214,7 @@ def _query_links(ids, sets, role, comp, percent) -> np.ndarray:
         nm = np.array([len(sets[i]) for i in members], float)[None, :]
         link = (100 * both >= percent * (nq + nm - both)) & (comp[q][:, None] != comp[members][None, :]) & (nq > 0) & (nm > 0)
         i, j = np.nonzero(link)
-        out.append(np.stack([ids[q[i]], ids[members[j]]]))
+        out.append(np.stack([comp[q[i]], comp[members[j]]]))
     return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
 
 
@@ -223,7 +224,7 @@ def _by_block(rows: DataFrame, fn) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                    percent: int = 80, trees: int = 4, branch: int = 2, leaf: int = 64, depth: int = 6,
+                    percent: int = 80, trees: int = 4, branch: int = 2, leaf: int = 64, depth: int = 5,
                     block: int = 256, block_shingles: int = 500_000, pivots: int = 8) -> DataFrame:
     """One row per row of ``df``: (id, n_shingles, component_id, kept).
 
@@ -240,24 +241,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     signed = stage_table(docs.mapInArrow(_signatures(k), "id long, n long, mark binary, sig binary"), "sig")
     classes = stage_table(signed.where("n > 0 and id is not null").groupBy("mark")
-                          .agg(F.min(F.struct("id", "sig")).alias("x")).select("mark", "x.id", "x.sig"), "classes")
+                          .agg(F.min(F.struct("id", "n", "sig")).alias("x")).select("mark", "x.id", "x.n", "x.sig"), "classes")
 
     # -- descent: rows (path, id) of one level at a time, large nodes only going on
     roots = classes.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(trees).cast("bigint"))).alias("path"), "id", "sig")
     level = stage_table(roots.mapInArrow(_children(branch), "path long, id long"), "nodes")
     small, edges = [], None
-    for d in range(1, depth + 1):
+    for d in range(1, depth + 1, 2):
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low")).where("size > 1")
         sized = stage_table(level.join(sizes, "path"), "sized")
         small.append(sized.where(F.col("size") <= leaf).select("path", "id"))
         big = sized.where(F.col("size") > leaf)
-        if d == depth:
+        if d + 2 > depth:
             edges = big.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
         elif big.isEmpty():
             break
         else:
             level = stage_table(big.select("path", "id").join(classes.select("id", "sig"), "id")
-                                .select("path", "id", "sig").mapInArrow(_children(branch), "path long, id long"), "nodes")
+                                .select("path", "id", "sig").mapInArrow(_children(branch, 2), "path long, id long"), "nodes")
     leaves = small[0]
     for s in small[1:]:
         leaves = leaves.unionByName(s)
@@ -271,8 +272,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                          .withColumnRenamed("component", "grp"), "groups")
 
     # -- exact links inside the candidate groups, on the full sets
-    size_of = (groups.join(classes.select("id", "mark"), "id").join(signed.select("id", "mark", "n").distinct(), ["id", "mark"])
-               .groupBy("grp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    size_of = (groups.join(classes.select("id", "n"), "id").groupBy("grp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
                .select("grp", F.greatest(F.ceil(F.col("docs") / block), F.ceil(F.col("shingles") / block_shingles)).alias("blocks")))
     placed = stage_table(groups.join(size_of, "grp")
                          .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "placed")
@@ -286,10 +286,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                  .where("block <> home").select("grp", "block", "id"))
         members = members.unionByName(pivot)
     texts = docs.where("id is not null and text is not null")
-    links = stage_table(_by_block(members.join(texts, "id").select("grp", "block", "id", "text"),
+    # both sides grow with the corpus: no broadcast, at any size
+    links = stage_table(_by_block(members.hint("merge").join(texts, "id").select("grp", "block", "id", "text"),
                                   _confirmed(k, percent, False)), "links")
+    final = links.select(F.col("a").alias("id"), F.col("b").alias("component"))  # stars already, but for salted groups
     if any_hot:
-        part = connected_components(links.join(hot.select(F.col("id").alias("a")), "a", "left_semi"))
+        inside = hot.select(F.col("id").alias("a"))
+        final = links.join(inside, "a", "left_anti").select(F.col("a").alias("id"), F.col("b").alias("component"))
+        part = stage_table(connected_components(links.join(inside, "a", "left_semi")), "part")
         comp = stage_table(hot.join(part, "id", "left")
                            .select("grp", "block", "blocks", "id", F.coalesce("component", "id").alias("comp")), "comp")
         main = (comp.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -299,23 +303,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                             F.lit(1).alias("role"))
         where_asked = asked.select("grp", "block").distinct()
         held = comp.join(where_asked, ["grp", "block"], "left_semi").select("grp", "block", "id", "comp", F.lit(0).alias("role"))
-        more = _by_block(held.unionByName(asked).join(texts, "id").select("grp", "block", "id", "text", "comp", "role"),
-                         _confirmed(k, percent, True))
-        links = stage_table(links.unionByName(more), "links")
+        more = stage_table(_by_block(held.unionByName(asked).hint("merge").join(texts, "id").select("grp", "block", "id", "text", "comp", "role"),
+                                     _confirmed(k, percent, True)), "more")
+        # components found so far are the vertices of what the queries add
+        top = stage_table(connected_components(more), "top")
+        final = final.unionByName(comp.select("id", "comp").join(top.select(F.col("id").alias("comp"), "component"), "comp", "left")
+                                  .select("id", F.coalesce("component", "comp").alias("component")))
 
-    final = connected_components(links)
-    by_mark = (classes.select("mark", "id").join(final, "id", "left")
-               .select("mark", F.coalesce("component", "id").alias("root")))
     # rows that share an id are one document: unite their classes as well
     shared = (signed.where("n > 0 and id is not null").groupBy("id").agg(F.countDistinct("mark").alias("marks")).where("marks > 1")
               .select("id"))
-    rooted = signed.select("id", "n", "mark").join(by_mark, "mark", "left")
     if not shared.isEmpty():
-        united = connected_components(links.unionByName(
-            rooted.join(shared, "id", "left_semi").where("root is not null")
-            .select(F.col("id").alias("a"), F.col("root").alias("b"))))
-        rooted = (rooted.join(united.withColumnRenamed("id", "root"), "root", "left")
-                  .withColumn("root", F.coalesce("component", "root")))
+        same = (signed.join(shared, "id", "left_semi").select(F.col("id").alias("a"), "mark")
+                .join(classes.select("mark", F.col("id").alias("b")), "mark").select("a", "b"))
+        final = connected_components(final.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(same))
+    by_mark = (classes.select("mark", "id").join(final, "id", "left")
+               .select("mark", F.coalesce("component", "id").alias("root")))
+    rooted = signed.select("id", "n", "mark").join(by_mark, "mark", "left")
     return rooted.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.least("id", F.coalesce("root", "id"))).alias("component_id"),
