@@ -1,5 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
+from tricolor.operators.columns import MissingColumnsError
+from tricolor.operators.labels import LabelError
 from tricolor.plans.classify import score, train
 from tricolor.sources import fixtures as fx
 
@@ -31,3 +34,33 @@ def test_train_with_pca_and_smote(spark, sf_small):
     assert counts[0] == counts[1]
     out = score(run, df, key_cols=["doc_id"])
     assert "PC1" in out.results.columns and out.metrics.count() == 1
+
+
+def _toy(spark, n=200):
+    rows = [(i, float(i % 11), float((i * 7) % 5), "yes" if i % 11 > 5 else "no", "u" if i % 3 else "w") for i in range(n)]
+    return spark.createDataFrame(rows, "k long, a double, b double, y string, c string")
+
+
+def test_scoring_refuses_what_it_cannot_score(spark):
+    df = _toy(spark)
+    run = train(df, "y", "no", "yes", ["NB"], key_cols=["k"], derived=[("Add", "a", "b")], drop=["b"])
+    assert "k" not in run.features and run.recipe.required == ["a", "b", "c"] and "b" not in run.features
+    with pytest.raises(MissingColumnsError, match="a"):
+        score(run, df.drop("a"), key_cols=["k"])
+    with pytest.raises(LabelError, match="maybe"):
+        score(run, df.withColumn("y", F.when(F.col("k") < 100, "maybe").otherwise(F.col("y"))), key_cols=["k"])
+    holes = df.withColumn("y", F.when(F.col("k") >= 10, F.col("y"))).withColumn(
+        "a", F.when(F.col("k") == 50, float("inf")).when(F.col("k") != 60, F.col("a")))
+    out = score(run, holes, key_cols=["k"])
+    assert out.without_target == 10 and out.removed_rows == 2 and out.results.count() == 188
+    # the derived feature is the same whether or not its source was dropped after it
+    got = {r["k"]: r["TF_" + run.features[-1]] for r in score(run, df, key_cols=["k"]).results.collect()}
+    assert len(set(got.values())) > 5
+
+
+def test_synthetic_ids_and_removed_outliers(spark):
+    df = _toy(spark).withColumn("a", F.when(F.col("k") == 7, 500.0).otherwise(F.col("a"))).where("y = 'no' or k % 5 = 0")
+    run = train(df, "y", "no", "yes", ["NB"], key_cols=["k"], scaling=None, outlier_columns=["a"], resample="over")
+    ids = [r["row_id"] for r in run.train.select("row_id").unionByName(run.val.select("row_id")).collect()]
+    assert len(ids) == len(set(ids)) and "is_synthetic" in run.train.columns
+    assert run.outliers.count() <= 1 and "resample" in {r["kind"] for r in run.recipe.describe(spark).collect()}

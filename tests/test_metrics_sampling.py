@@ -97,3 +97,17 @@ def test_rebalancing_three_classes(spark):
     assert over == {0: 50, 1: 50, 2: 50} and under == {0: 8, 1: 8, 2: 8}
     ids = smp.over_sample(df, "y").select("row_id").distinct().count()
     assert ids == 150
+
+
+def test_auc_with_null_scores_and_null_group(spark):
+    rnd = random.Random(9)
+    rows = [(g, rnd.randint(0, 1), round(rnd.random(), 1)) for g in ("a", "c", None) for _ in range(80)]
+    rows += [("a", 0, None), ("b", 0, 0.1), ("b", 1, 0.9), ("n", 0, None), ("n", 1, None)]
+    df = spark.createDataFrame(rows, "g string, y int, s double")
+    got = {r["g"]: r["auc"] for r in auc(df, "y", "s", ["g"]).collect()}
+    assert set(got) == {"a", "b", "c", "n", None} and got["a"] is None and got["n"] is None and got["b"] == 1.0
+    for g in ("c", None):
+        assert got[g] == pytest.approx(_brute_auc([r[1] for r in rows if r[0] == g], [r[2] for r in rows if r[0] == g]))
+    from tricolor.operators.metrics import binary_metrics
+    both = {r["g"]: r["auc"] for r in binary_metrics(df.withColumn("p", F.lit(1)), "y", "p", "s", ["g"]).collect()}
+    assert both == got

@@ -80,10 +80,13 @@ def test_finite_and_outliers_and_align(spark):
         require_columns(a, ["zzz"])
 
 
-def test_rank_based_quantiles_match_percentile(spark, monkeypatch):
+def test_quantiles_match_percentile_and_split_hot_values(spark):
     from tricolor.operators import profile
-    df = spark.range(0, 997).select(((F.col("id") * 37) % 1000 / 7.0).alias("x"))
-    exact = profile.quantile_values(df, "x", (0.1, 0.25, 0.5, 0.75, 0.99))
-    monkeypatch.setattr(profile, "EXACT_PERCENTILE_DISTINCT_LIMIT", 0)
-    ranked = profile.quantile_values(df, "x", (0.1, 0.25, 0.5, 0.75, 0.99))
-    assert ranked == pytest.approx(exact, rel=1e-12)
+    probs = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
+    df = spark.range(0, 997).select(((F.col("id") * 37) % 1000 / 7.0).alias("x"), F.when(F.col("id") % 5 > 0, 0.0).otherwise(
+        F.col("id").cast("double")).alias("hot"), F.lit(None).cast("double").alias("none"), F.col("id").alias("k"))
+    got = profile.quantile_table(df, ["x", "hot", "none", "k"], probs)
+    for c in ("x", "hot", "k"):
+        want = df.agg(F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs]))).first()[0]
+        assert got[c] == pytest.approx(want, rel=1e-12)
+    assert got["none"] == [None] * len(probs)

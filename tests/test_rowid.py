@@ -48,13 +48,18 @@ def test_narrow_key_ranking_equals_full(spark):
     assert ids.columns[0] == "row_id" and ids.agg(F.max("row_id")).first()[0] == 500
 
 
-def test_literal_table_types_and_empty(spark):
-    from tricolor.sources.rowid import literal_table
-    t = literal_table(spark, [(1, "a", 2.5), (2, None, None)], [("k", "int"), ("s", "string"), ("v", "double")])
-    assert [tuple(r) for r in t.collect()] == [(1, "a", 2.5), (2, None, None)]
-    assert [f.dataType.simpleString() for f in t.schema.fields] == ["int", "string", "double"]
-    e = literal_table(spark, [], [("k", "int")])
-    assert e.count() == 0 and e.columns == ["k"]
+def test_offsets_of_many_partitions_are_a_small_relation(spark):
+    import time
+
+    from tricolor.sources.rowid import partition_offsets
+    totals = spark.range(20_000).selectExpr("cast(id as int) as _tc_pid", "id % 7 as n")
+    t = time.time()
+    got = {r["_tc_pid"]: r["_tc_off_n"] for r in partition_offsets(totals, ["n"]).collect()}
+    assert time.time() - t < 30
+    run = 0
+    for i in range(20_000):
+        assert got[i] == run
+        run += i % 7
 
 
 def test_ship_package_zip(spark):

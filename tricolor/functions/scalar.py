@@ -52,23 +52,20 @@ def fn_square(a) -> Column:
     return x * x
 
 
+# The operation names of derived features, with their builders.
+TWO_COLUMN_FEATURES = {"Add": fn_add, "Subtract": fn_subtract, "Multiply": fn_multiply, "Divide": fn_divide}
+ONE_COLUMN_FEATURES = {"Log": fn_log, "Square": fn_square}
+
+
 def feature_expr(op: str, a: str, b: str | None = None) -> Column:
-    """Dispatch a derived-feature operation by name; unknown names raise."""
-    if op in ("Add", "Subtract", "Multiply", "Divide") and b is None:
+    """The expression of a derived feature by its operation's name."""
+    if op in ONE_COLUMN_FEATURES:
+        return ONE_COLUMN_FEATURES[op](a)
+    if op not in TWO_COLUMN_FEATURES:
+        raise ValueError(f"no feature operation is called {op!r}; there are {[*TWO_COLUMN_FEATURES, *ONE_COLUMN_FEATURES]}")
+    if b is None:
         raise ValueError(f"operation {op} needs a second column")
-    if op == "Add":
-        return fn_add(a, b)
-    if op == "Subtract":
-        return fn_subtract(a, b)
-    if op == "Multiply":
-        return fn_multiply(a, b)
-    if op == "Divide":
-        return fn_divide(a, b)
-    if op == "Log":
-        return fn_log(a)
-    if op == "Square":
-        return fn_square(a)
-    raise ValueError(f"Unsupported operation: {op}")
+    return TWO_COLUMN_FEATURES[op](a, b)
 
 
 def default_feature_name(op: str, a: str, b: str | None = None) -> str:

@@ -12,9 +12,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tricolor.operators.profile import boolean_columns, q, string_columns
+from tricolor.sources.rowid import ordered_rank
 
 MAX_CATEGORIES = 1000
 _NULL_CHECK = "\u0000null-check"
@@ -87,14 +87,19 @@ class OneHotEncoding:
         return spark.createDataFrame(rows, "column string, position int, category string, kept boolean")
 
 
-def encode_all(df: DataFrame, exclude: Sequence[str] = ("row_id",)) -> tuple[OneHotEncoding, DataFrame]:
-    """Fit on every string column except ``exclude`` and transform; returns (encoding, frame)."""
-    cols = [c for c in string_columns(df, exclude)]
-    enc = OneHotEncoding.fit(df, cols)
-    return enc, enc.transform(df)
-
-
-def to_double(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    fs = set(features)
-    return df.select(*[q(c).cast("double").alias(c) if c in fs and not isinstance(
-        df.schema[c].dataType, T.DoubleType) else q(c) for c in df.columns])
+def sparse_onehot(df: DataFrame, columns: Sequence[str], id_col: str = "row_id") -> tuple[DataFrame, DataFrame]:
+    """One-hot for any number of categories: (categories, rows).
+
+    ``categories`` is the relation (column, category, position) with the first category of each
+    column left out; ``rows`` has (id, active), the sorted positions that are 1. Categories are
+    ranked and joined by Spark, so neither a column per category nor a driver-side list is needed.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), q(c).cast("string").alias("category")) for c in columns])
+    long = df.select(q(id_col), F.explode(cells).alias("e")).select(id_col, "e.column", "e.category")
+    known = long.where(F.col("category").isNotNull()).select("column", "category").distinct()
+    first = known.groupBy("column").agg(F.min("category").alias("category"))
+    kept = ordered_rank(known.join(first, ["column", "category"], "left_anti"), [F.col("column"), F.col("category")], "_p")
+    kept = kept.select("column", "category", (F.col("_p") - 1).alias("position"))
+    active = (long.join(kept, ["column", "category"], "left").groupBy(id_col)
+              .agg(F.sort_array(F.collect_list("position")).alias("active")))
+    return kept, active

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +24,27 @@ from tricolor.session import cut_lineage
 
 
 def predict_all(df: DataFrame, models: Sequence[FittedClassifier]) -> DataFrame:
-    """Chain every model's prediction onto one frame (one wide row per id).
+    """Chain every model's prediction onto one frame (one wide row per id). An error is an error;
+    ``predict_usable`` also says which models cannot score the frame."""
+    out = df
+    for m in models:
+        out = m.predict(out)
+    return out
+
+
+def predict_usable(df: DataFrame, models: Sequence[FittedClassifier]) -> tuple[DataFrame, DataFrame]:
+    """(predictions of the models that accept the frame, (model, error) of those that do not).
 
-    A model that fails to score is skipped, as a warning in the reference.
+    Spark checks a plan's columns and types when it is built, so this finds models whose features
+    the frame lacks; failures while running are not caught.
     """
-    out = df
+    out, skipped = df, []
     for m in models:
         try:
             out = m.predict(out)
-        except Exception as e:  # noqa: BLE001
-            print(f"warning: model {m.name} skipped: {e}")
-    return out
+        except (AnalysisException, IllegalArgumentException) as e:
+            skipped.append((m.name, str(e)))
+    return out, df.sparkSession.createDataFrame(skipped, "model string, error string")
 
 
 def long_predictions(wide: DataFrame, names: Sequence[str], label: str | None, id_col: str = "row_id") -> DataFrame:
@@ -59,17 +70,16 @@ def test_table(wide: DataFrame, names: Sequence[str], label: str, id_col: str =
 
 
 def train_export(fitted: FittedClassifier, df: DataFrame, features: Sequence[str], label: str,
-                 id_col: str = "row_id", flip: bool = False, label_names: dict | None = None,
-                 continuous: bool = False) -> DataFrame:
-    """row_id first, features, target, ``{model}_Prediction``, ``{model}_Prob``; optional flip
-    (``1 - p``, or ``-score`` for continuous scores) and original label names."""
+                 id_col: str = "row_id", flip: bool = False, label_names: dict | None = None) -> DataFrame:
+    """row_id first, features, target, ``{model}_Prediction``, ``{model}_Prob``, and on request the
+    original label names. A flip turns the target, the prediction and the output (``1 - p``, also
+    for a continuous score) around, so that the metrics compare like with like."""
     p = fitted.predict(df)
     n = fitted.name
-    pred, prob = F.col(pred_col(n)), F.col(prob_col(n))
+    target, pred, prob = q(label), F.col(pred_col(n)), F.col(prob_col(n))
     if flip:
-        pred = fn_flip_pred(pred)
-        prob = fn_flip_score(prob) if continuous else fn_flip_prob(prob)
-    cols = [q(id_col), *[q(f) for f in features], q(label), pred.alias(pred_col(n)), prob.alias(prob_col(n))]
+        target, pred, prob = (1 - target).cast(df.schema[label].dataType), fn_flip_pred(pred), fn_flip_prob(prob)
+    cols = [q(id_col), *[q(f) for f in features], target.alias(label), pred.alias(pred_col(n)), prob.alias(prob_col(n))]
     out = p.select(*cols)
     if label_names:
         out = out.select("*", decode_label(label, label_names).alias(f"{label}_name"),
@@ -77,6 +87,12 @@ def train_export(fitted: FittedClassifier, df: DataFrame, features: Sequence[str
     return out
 
 
+def train_export_metrics(export: DataFrame, name: str, label: str) -> DataFrame:
+    """accuracy, precision, recall, f1 and auc of an export (flipped or not)."""
+    m = binary_metrics(export, label, pred_col(name), prob_col(name))
+    return m.select(F.lit(name).alias("model"), "accuracy", "precision", "recall", "f1", "auc")
+
+
 def score_table(wide: DataFrame, names: Sequence[str], flips: dict | None = None, t0: float = DEFAULT_T0,
                 t1: float = DEFAULT_T1, continuous: Sequence[str] = ("PLSDA",)) -> DataFrame:
     """Per model: optional flip, then ``_TrafficLight`` next to ``_Prediction`` and ``_Prob``."""

@@ -6,10 +6,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# A lookup side is broadcast only below this many rows; above it a shuffle join is used.
-MAX_BROADCAST_ROWS = 1_000_000
 
 
 def inner_align(x: DataFrame, y: DataFrame, key: str = "row_id") -> DataFrame:
@@ -32,14 +28,6 @@ def concat_by_id(frames: Sequence[DataFrame], key: str = "row_id") -> DataFrame:
     return out
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(small)`` when it has at most ``max_rows`` rows, else ``small`` unchanged
-    (Spark then plans a shuffle join). The check reads at most ``max_rows + 1`` rows."""
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small
-
-
-def lookup_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "left",
-                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Left join to a lookup table; broadcast only when its row count is under the bound."""
-    return df.join(bounded_broadcast(lookup, max_rows), key, how)
+def lookup_join(df: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Left join to a lookup table. Spark decides by the lookup's bytes whether it is broadcast."""
+    return df.join(lookup, key, how)

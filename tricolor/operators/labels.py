@@ -1,8 +1,7 @@
 """Two-valued targets: check, map to 0/1, alternative codings, decode, test-set checks and
 the class distribution.
 
-Distinct label sets are bounded (``limit(3)`` for the binary check, a checked bound for
-codings), so only those few values reach the driver.
+Only the values of a binary check reach the driver; code tables are ranked by Spark.
 """
 
 from __future__ import annotations
@@ -13,8 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tricolor.operators.profile import q
-
-MAX_LABEL_VALUES = 10_000
+from tricolor.sources.rowid import ordered_rank
 
 
 class LabelError(ValueError):
@@ -52,31 +50,23 @@ def encode_test_label(df: DataFrame, target: str, zero_value, one_value) -> Data
     return mapped.where(q(target).isNotNull())
 
 
-def _small(df: DataFrame, what: str, bound: int = MAX_LABEL_VALUES) -> DataFrame:
-    n = df.count()
-    if n > bound:
-        raise LabelError(f"{what}: {n} distinct values exceed the bound {bound}")
-    return df
-
-
 def factorize_codes(df: DataFrame, target: str, order_col: str = "row_id") -> DataFrame:
     """(value, code): codes 0,1,.. by first appearance in ``order_col`` order."""
     firsts = df.where(q(target).isNotNull()).groupBy(q(target).alias("value")).agg(
         F.min(q(order_col)).alias("_first"))
-    firsts = _small(firsts, "factorize")
-    return firsts.select("value", (F.row_number().over(Window.orderBy("_first")) - 1).cast("bigint").alias("code"))
+    return ordered_rank(firsts, [F.col("_first"), F.col("value")], "_r").select("value", (F.col("_r") - 1).cast("bigint").alias("code"))
 
 
 def sorted_codes(df: DataFrame, target: str) -> DataFrame:
     """(value, code): codes 0,1,.. by ascending value."""
-    vals = _small(df.where(q(target).isNotNull()).select(q(target).alias("value")).distinct(), "sorted codes")
-    return vals.select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("bigint").alias("code"))
+    vals = df.where(q(target).isNotNull()).select(q(target).alias("value")).distinct()
+    return ordered_rank(vals, [F.col("value")], "_r").select("value", (F.col("_r") - 1).cast("bigint").alias("code"))
 
 
 def apply_codes(df: DataFrame, target: str, codes: DataFrame, out: str | None = None) -> DataFrame:
-    """Replace ``target`` by its code with a broadcast lookup of the (bounded) code table."""
+    """Replace ``target`` by its code with a lookup of the code table."""
     out = out or target
-    lookup = F.broadcast(codes.withColumnRenamed("value", "_tc_value").withColumnRenamed("code", "_tc_code"))
+    lookup = codes.withColumnRenamed("value", "_tc_value").withColumnRenamed("code", "_tc_code")
     j = df.join(lookup, q(target) == F.col("_tc_value"), "left")
     return j.select(*[F.col("_tc_code").alias(out) if c == target else q(c) for c in df.columns])
 
@@ -95,12 +85,21 @@ def check_test_labels(train: DataFrame, test: DataFrame, target: str) -> None:
     """The test label set must equal the training label set; the error names both."""
     a = train.select(q(target).alias("v")).where(F.col("v").isNotNull()).distinct()
     b = test.select(q(target).alias("v")).where(F.col("v").isNotNull()).distinct()
-    only_a = a.exceptAll(b).limit(MAX_LABEL_VALUES).collect()
-    only_b = b.exceptAll(a).limit(MAX_LABEL_VALUES).collect()
-    if only_a or only_b:
-        ta = sorted(str(r[0]) for r in a.limit(MAX_LABEL_VALUES).collect())
-        tb = sorted(str(r[0]) for r in b.limit(MAX_LABEL_VALUES).collect())
-        raise LabelError(f"test labels {tb} differ from training labels {ta}")
+    diff = a.exceptAll(b).unionByName(b.exceptAll(a))
+    if not diff.isEmpty():
+        sets = [sorted(str(r[0]) for r in x.collect()) for x in (a, b)]
+        raise LabelError(f"test labels {sets[1]} differ from training labels {sets[0]}")
+
+
+def check_coded_labels(test: DataFrame, target: str, values: Sequence) -> int:
+    """Test targets must be among the coded training values (the error names both sets); returns
+    the number of rows without a target, which scoring leaves out."""
+    t = q(target)
+    unknown = test.where(t.isNotNull() & ~t.isin(list(values)))
+    if not unknown.isEmpty():
+        found = sorted(str(r[0]) for r in test.select(t).where(t.isNotNull()).distinct().collect())
+        raise LabelError(f"test labels {found} differ from training labels {sorted(map(str, values))}")
+    return test.where(t.isNull()).count()
 
 
 def label_set_diff(train: DataFrame, test: DataFrame, target: str) -> DataFrame:
@@ -123,14 +122,3 @@ def class_distribution(df: DataFrame, target: str) -> DataFrame:
 def label_counts(df: DataFrame, target: str, stage: str) -> DataFrame:
     return (df.groupBy(q(target).alias("class")).agg(F.count(F.lit(1)).alias("count"))
             .select(F.lit(stage).alias("stage"), "class", "count"))
-
-
-def distinct_values(df: DataFrame, column: str, bound: int = MAX_LABEL_VALUES) -> list:
-    vals = df.select(q(column)).where(q(column).isNotNull()).distinct().limit(bound + 1).collect()
-    if len(vals) > bound:
-        raise LabelError(f"{column!r} has more than {bound} distinct values")
-    return sorted(r[0] for r in vals)
-
-
-def check_unmapped(df: DataFrame, target: str, allowed: Sequence) -> int:
-    return df.agg(F.count_if(~q(target).isin(list(allowed)) | q(target).isNull()).alias("n")).first()["n"]

@@ -2,9 +2,10 @@
 
 * confusion metrics: one aggregate of ``count_if``; a zero denominator gives 0;
 * AUC: exact, ties count one half. Scores are first reduced to (group, score, pos, neg),
-  then the running count of negatives comes from the range-partitioned running sum, so no
-  group (a model's whole validation set) is ever gathered into one task:
-  ``AUC = sum(pos * (neg_before + neg / 2)) / (P * N)``.
+  then the running count of negatives over all groups comes from the range-partitioned running
+  sum, so no group (a model's whole validation set) is ever gathered into one task. A group's own
+  count starts at its smallest running count:
+  ``AUC = sum(pos * (neg_before - start + neg / 2)) / (P * N)``, summed exactly in decimals.
 """
 
 from __future__ import annotations
@@ -14,12 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tricolor.operators.joins import bounded_broadcast
 from tricolor.operators.profile import q
-from tricolor.sources.rowid import literal_table, ordered_running_sum
-
-# Groups (models, folds, ...) up to this many are reduced on the driver as a literal table.
-MAX_LITERAL_GROUPS = 10_000
+from tricolor.sources.rowid import ordered_running_sum
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -50,39 +47,31 @@ def auc(df: DataFrame, label: str, score: str, group_cols: Sequence[str] = ()) -
                  .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")))
     order = [F.col(f"`{c}`").asc_nulls_first() for c in gcols] + [F.col("_s")]
     cum = ordered_running_sum(per_score, order, ["neg"], prefix="cum_")
-    if gcols:
-        totals = df.groupBy(*[q(c) for c in gcols]).agg(
-            F.count_if(y == 1).alias("P"), F.count_if(y == 0).alias("N"),
-            F.count_if(s.isNull()).alias("n_null"))
-        order = [F.col(f"`{c}`").asc_nulls_first() for c in gcols]
-        rows = totals.orderBy(*order).limit(MAX_LITERAL_GROUPS + 1).collect()
-        if len(rows) <= MAX_LITERAL_GROUPS:
-            # few groups (models, folds): totals and negatives-before as one literal table
-            start, lit_rows = 0, []
-            for r in rows:
-                lit_rows.append((*[r[c] for c in gcols], r["P"], r["N"], r["n_null"], start))
-                start += r["N"]
-            types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-            totals = literal_table(df.sparkSession, lit_rows,
-                                   [(c, types[c]) for c in gcols]
-                                   + [("P", "bigint"), ("N", "bigint"), ("n_null", "bigint"), ("_nstart", "bigint")])
-            starts = totals.select(*gcols, "_nstart")
-        else:
-            # many groups: negatives before each group by the distributed running sum
-            starts = ordered_running_sum(totals.select(*gcols, "N"), order, ["N"], prefix="cum_")
-            starts = starts.select(*gcols, (F.col("cum_N") - F.col("N")).alias("_nstart"))
-        cum = cum.join(bounded_broadcast(starts), gcols)
-    else:
-        totals = df.agg(F.count_if(y == 1).alias("P"), F.count_if(y == 0).alias("N"),
-                        F.count_if(s.isNull()).alias("n_null"))
-        cum = cum.withColumn("_nstart", F.lit(0))
-    contrib = F.col("pos") * (F.col("cum_neg") - F.col("neg") - F.col("_nstart") + F.col("neg") / F.lit(2.0))
-    sums = cum.groupBy(*[q(c) for c in gcols]).agg(F.sum(contrib).alias("_u")) if gcols \
-        else cum.agg(F.sum(contrib).alias("_u"))
-    joined = totals.join(sums, gcols, "left") if gcols else _one_row_join(totals, sums)
+    # twice the sum, in whole numbers: pos * (2 * cum_neg - neg) less 2 * start * pos
+    wide = lambda c, digits: c.cast(f"decimal({digits},0)")
+    sums = [F.sum(wide(F.col("pos"), 18) * wide(F.col("cum_neg") * 2 - F.col("neg"), 19)).alias("_twice"),
+            F.sum("pos").alias("_pos"), F.min(F.col("cum_neg") - F.col("neg")).alias("_start")]
+    totals = [F.count_if(y == 1).alias("P"), F.count_if(y == 0).alias("N"), F.count_if(s.isNull()).alias("n_null")]
+    keys = [q(c) for c in gcols]
+    per_group = cum.groupBy(*keys).agg(*sums) if gcols else cum.agg(*sums)
+    whole = df.groupBy(*keys).agg(*totals) if gcols else df.agg(*totals)
+    joined = join_groups(whole, per_group, gcols)
+    twice = F.col("_twice") - wide(F.col("_start"), 18) * wide(F.col("_pos") * 2, 19)
     ok = (F.col("P") > 0) & (F.col("N") > 0) & (F.col("n_null") == 0)
-    return joined.select(*[q(c) for c in gcols], "P", "N",
-                         F.when(ok, F.coalesce(F.col("_u"), F.lit(0.0)) / (F.col("P") * F.col("N"))).alias("auc"))
+    area = twice.cast("double") / (F.lit(2.0) * F.col("P") * F.col("N"))
+    return joined.select(*keys, "P", "N", F.when(ok, area).alias("auc"))
+
+
+def join_groups(a: DataFrame, b: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Left join of two per-group aggregates; a NULL group is a group like any other."""
+    if not group_cols:
+        return _one_row_join(a, b)
+    b = b.withColumnsRenamed({c: f"_g_{i}" for i, c in enumerate(group_cols)})
+    cond = None
+    for i, c in enumerate(group_cols):
+        same = q(c).eqNullSafe(F.col(f"_g_{i}"))
+        cond = same if cond is None else cond & same
+    return a.join(b, cond, "left").drop(*[f"_g_{i}" for i in range(len(group_cols))])
 
 
 def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -95,6 +84,4 @@ def binary_metrics(df: DataFrame, label: str, pred: str, prob: str,
     """accuracy, precision, recall, f1, auc in one row per group."""
     cm = confusion_metrics(df, label, pred, group_cols)
     a = auc(df, label, prob, group_cols).select(*group_cols, "auc")
-    if group_cols:
-        return cm.join(a, list(group_cols), "left")
-    return _one_row_join(cm, a)
+    return join_groups(cm, a, list(group_cols))

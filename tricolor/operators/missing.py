@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tricolor.operators.profile import q, quantile_values
+from tricolor.operators.profile import q, quantile_table, quantile_values
 
 METHODS = ("drop_rows", "drop_column", "zero", "mean", "median")
 
@@ -45,9 +45,14 @@ def fit_missing(df: DataFrame, steps: Sequence[MissingStep], exact_median: bool
             r = df.agg(*[F.avg(q(s.column).cast("double")).alias(f"v{i}") for i, s in means]).first()
             for i, s in means:
                 out[i] = replace(s, value=r[f"v{i}"])
-        for i, s in wanted:
-            if s.method == "median":
-                (med,) = quantile_values(df, s.column, (0.5,), exact_median)
+        medians = [(i, s) for i, s in wanted if s.method == "median"]
+        if medians and exact_median:
+            values = quantile_table(df, list(dict.fromkeys(s.column for _, s in medians)), (0.5,))  # one pass for all
+            for i, s in medians:
+                out[i] = replace(s, value=values[s.column][0])
+        elif medians:
+            for i, s in medians:
+                (med,) = quantile_values(df, s.column, (0.5,), False)
                 out[i] = replace(s, value=med)
     # mean / median on a non-numeric column is a no-op (skipped).
     return [s for s in out

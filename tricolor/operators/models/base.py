@@ -8,7 +8,6 @@ The ``row_id`` key rides along; features are never the id.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -18,22 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VEC = "_tc_features"
-# Iterative fits run one Spark job per iteration; partitions are sized to about this many
-# bytes of training rows so tiny training sets do not pay per-task overhead every iteration.
-TARGET_PARTITION_BYTES = 64 * 1024 * 1024
 
 
-def right_size(df: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
-    """Coalesce (no shuffle) to the partition count the data needs; a no-op when the input
-    already has fewer partitions (asking the plan for its partition count would run it)."""
-    per_row = 8 * (n_cols + 4) + 32
-    want = max(1, math.ceil(n_rows * per_row / TARGET_PARTITION_BYTES))
-    return df.coalesce(want)
-
-
-def fit_persisted(estimator, data: DataFrame, n_rows: int, n_cols: int):
-    """Fit on right-sized, persisted training data (iterations read it many times)."""
-    d = right_size(data, n_rows, n_cols).persist()
+def fit_persisted(estimator, data: DataFrame):
+    """Fit on persisted training data (iterations read it many times), in the partitions it has."""
+    d = data.persist()
     try:
         return estimator.fit(d)
     finally:
@@ -106,7 +94,7 @@ class SparkMLClassifier(Classifier):
         est = self.factory(n, len(feats), **self.params)
         est = est.setFeaturesCol(VEC).setLabelCol(label)
         data = assemble(df.select(*feats, F.col(label).cast("double").alias(label)), feats)
-        model = fit_persisted(est, data, n, len(feats))
+        model = fit_persisted(est, data)
         return SparkMLFitted(self.name, feats, model, dict(self.params))
 
     def with_params(self, **params) -> "SparkMLClassifier":

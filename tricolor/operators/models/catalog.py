@@ -8,6 +8,7 @@ value for value; they are checked by quality.
 
 from __future__ import annotations
 
+import math
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -116,9 +117,9 @@ MODEL_NAMES = ["Ridge", "Lasso", "ElasticNet", "PLSDA", "KNN", "NB", "SVM", "Dec
 def grid(name: str, n_features: int = 10) -> list[dict]:
     """The tuning search space at default slider ranges."""
     if name in ("Ridge", "Lasso"):
-        return [{"C": c} for c in logspace(-3, 3, 10)]
+        return [{"C": c} for c in logspace(-1, math.log10(5), 10)]
     if name == "ElasticNet":
-        return [{"C": c, "l1_ratio": r} for c in logspace(-3, 3, 5) for r in linspace(0.1, 0.9, 5)]
+        return [{"C": c, "l1_ratio": r} for c in logspace(-1, math.log10(5), 5) for r in linspace(0.2, 0.8, 5)]
     if name == "PLSDA":
         return [{"n_components": k} for k in int_range(2, min(n_features, 10))]
     if name == "KNN":
@@ -127,7 +128,7 @@ def grid(name: str, n_features: int = 10) -> list[dict]:
     if name == "NB":
         return [{"var_smoothing": v} for v in logspace(-9, -6, 5)]
     if name == "SVM":
-        return [{"C": c, "kernel": k} for c in linspace(0.1, 10, 3) for k in ("linear", "rbf", "poly")]
+        return [{"C": c, "kernel": k} for c in linspace(0.1, 5, 3) for k in ("linear", "rbf")]
     if name == "DecisionTree":
         return [{"max_depth": d, "min_samples_leaf": l, "criterion": c} for d in int_range(3, 10)
                 for l in int_range(1, 5) for c in ("gini", "entropy")]
@@ -136,10 +137,10 @@ def grid(name: str, n_features: int = 10) -> list[dict]:
                 for d in int_range(3, 10) for l in int_range(1, 5)]
     if name == "GBM":
         return [{"n_estimators": t, "learning_rate": r, "max_depth": d, "subsample": s, "min_samples_leaf": l}
-                for t in int_range(50, 200, 10) for r in linspace(0.01, 0.3, 5) for d in int_range(2, 6)
+                for t in int_range(50, 200, 10) for r in linspace(0.05, 0.3, 5) for d in int_range(2, 6)
                 for s in linspace(0.5, 1.0, 5) for l in int_range(1, 5)]
     if name == "MLP":
-        return [{"hidden": h} for h in ((50,), (100,), (50, 50), (100, 50), (100, 100))]
+        return [{"hidden": h} for h in ((32,), (64,), (128,), (64, 32), (128, 64))]
     if name == "Bagging":
         return [{"n_estimators": t, "max_samples": s} for t in int_range(50, 100, 10) for s in linspace(0.5, 1.0, 5)]
     if name == "Pasting":

@@ -1,4 +1,4 @@
-"""k-nearest-neighbour classifier on the exact blocked kNN join.
+"""k-nearest-neighbour classifier on the exact kNN join with pivots.
 
 ``fit`` keeps the training rows (id, feature vector, label); ``predict`` finds each row's
 k nearest training rows, then votes: uniform = mean label; distance = 1/d-weighted mean,
@@ -23,7 +23,6 @@ class KNNFitted(FittedClassifier):
     name: str
     features: list[str]
     train: DataFrame           # (rid, rvec, y)
-    n_train: int
     k: int
     weights: str
     metric: str
@@ -33,7 +32,7 @@ class KNNFitted(FittedClassifier):
     def predict(self, df: DataFrame) -> DataFrame:
         qv = df.select(q(self.id_col).alias("qid"), F.array(*[q(f).cast("double") for f in self.features]).alias("qvec"))
         lab = knn(qv, self.train, self.k, "qid", "qvec", "rid", "rvec", metric=self.metric,
-                  block_rows=self.block_rows, n_ref=self.n_train, payload={"y": "double"})
+                  block_rows=self.block_rows, payload={"y": "double"})
         if self.weights == "distance":
             zero = F.col("dist") == 0
             agg = lab.groupBy("qid").agg(
@@ -64,7 +63,7 @@ class KNNClassifier(Classifier):
                           F.array(*[q(f).cast("double") for f in feats]).alias("rvec"),
                           q(label).cast("double").alias("y"))
         metric = "euclidean" if self.metric == "minkowski" else self.metric
-        return KNNFitted(self.name, feats, train, train.count(), self.k, self.weights, metric, self.id_col,
+        return KNNFitted(self.name, feats, train, self.k, self.weights, metric, self.id_col,
                          self.block_rows)
 
     def with_params(self, **params) -> "KNNClassifier":

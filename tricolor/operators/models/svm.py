@@ -105,21 +105,23 @@ class SVMClassifier(Classifier):
     C: float = 1.0
     kernel: str = "rbf"
     gamma: float | str = "scale"
-    n_components: int = 50
-    platt_folds: int = 2
-    max_iter: int = 50
+    n_components: int = 100
+    platt_folds: int = 5
+    max_iter: int = 200
     id_col: str = "row_id"
 
     def _fit_svc(self, x: DataFrame, names, label: str, n: int):
         svc = LinearSVC(regParam=1.0 / (self.C * n), maxIter=self.max_iter, featuresCol=VEC, labelCol=label)
         data = assemble(x.select(*names, F.col(label).cast("double").alias(label)), names)
-        return fit_persisted(svc, data, n, len(names))
+        return fit_persisted(svc, data)
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> SVMFitted:
         from tricolor.operators.sampling import plain_folds
         feats = list(features)
         p = len(feats)
         gamma = self.gamma
+        if gamma == "auto":
+            gamma = 1.0 / p
         if gamma == "scale" and self.kernel in ("rbf", "poly"):
             r = df.agg(*[F.avg(q(f).cast("double")).alias(f"m{j}") for j, f in enumerate(feats)],
                        *[F.avg(q(f).cast("double") ** 2).alias(f"s{j}") for j, f in enumerate(feats)]).first()
@@ -150,8 +152,16 @@ class SVMClassifier(Classifier):
             part = fitted.margin_frame(folded.where(F.col("fold") == f).select(*base.columns))
             part = part.select("_tc_margin", q(label).cast("double").alias("_tc_y"))
             oof = part if oof is None else oof.unionByName(part)
-        lr = LogisticRegression(featuresCol="_tc_mv", labelCol="_tc_y", regParam=0.0, maxIter=100)
-        pm = lr.fit(assemble(oof, ["_tc_margin"], "_tc_mv"))
+        # Platt (1999): smoothed targets, as two weighted rows per margin
+        n1 = df.agg(F.count_if(q(label) == 1)).first()[0]
+        n0 = n - n1
+        hi, lo = (n1 + 1.0) / (n1 + 2.0), 1.0 / (n0 + 2.0)
+        share = F.when(F.col("_tc_y") == 1, F.lit(hi)).otherwise(F.lit(lo))
+        soft = oof.select("_tc_margin", F.explode(F.array(
+            F.struct(F.lit(1.0).alias("t"), share.alias("w")),
+            F.struct(F.lit(0.0).alias("t"), (F.lit(1.0) - share).alias("w")))).alias("e")).select("_tc_margin", "e.t", "e.w")
+        lr = LogisticRegression(featuresCol="_tc_mv", labelCol="t", weightCol="w", regParam=0.0, maxIter=100)
+        pm = lr.fit(assemble(soft, ["_tc_margin"], "_tc_mv"))
         a, b0 = float(pm.coefficients[0]), float(pm.intercept)
         model = self._fit_svc(x, exp.names(), label, n)
         return SVMFitted(self.name, feats, exp, model, a, b0)

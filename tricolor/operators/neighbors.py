@@ -1,26 +1,28 @@
-"""Exact k-nearest neighbours as a blocked join (no cross join, no pair rows).
+"""Exact k-nearest neighbours with pivots (no cross join, no pair rows).
 
-Query rows are hashed into ``Q`` blocks and reference rows into ``B`` blocks; each query row
-is replicated to the ``B`` reference blocks and each reference row to the ``Q`` query blocks,
-so the (query block, reference block) cogroups tile the whole product. Each cogroup is one
-bounded Arrow batch pair: numpy computes the distances inside the task and emits only the
-``k`` best per query row. A final per-query top-k over ``B * k`` candidates is exact.
+Reference rows belong to the cell of their nearest pivot (``PIVOTS`` rows chosen by a hash of the
+id); a cell is known by its count and radius. A query is first compared with its nearest cells
+that together hold k rows, which gives an upper bound on its k-th distance; by the triangle
+inequality it then only needs the cells whose nearest possible row is within that bound. Cells are
+split into blocks of at most ``block_rows`` rows on either side, and each (cell, block) cogroup is
+one bounded Arrow batch pair: numpy computes the distances inside the task and emits only the ``k``
+best per query row. The per-query top-k over what the cells return is exact.
 Ties are broken by the reference id.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tricolor.session import ship_package
+from tricolor.session import cut_lineage, ship_package
 
 # Rows of one side held by one task at a time.
 DEFAULT_BLOCK_ROWS = 20_000
+# Cells of the reference rows; their counts, radii and pivot vectors are all the driver holds.
+PIVOTS = 256
 # Doubles held by one distance chunk (query rows x reference rows x dimensions).
 _CHUNK_CELLS = 8_000_000
 
@@ -73,7 +75,7 @@ def _topk_fn(k: int, metric: str, p: float, exclude_self: bool, payload: tuple):
                 outs_x[name].append(extra[name][idx][keep])
         out = {"qid": np.concatenate(outs_q), "rid": np.concatenate(outs_r), "dist": np.concatenate(outs_d)}
         for name in payload:
-            out[name] = list(np.concatenate(outs_x[name]))
+            out[name] = pd.Series(list(np.concatenate(outs_x[name])), dtype=object)
         return pd.DataFrame(out)
     return fn
 
@@ -81,30 +83,80 @@ def _topk_fn(k: int, metric: str, p: float, exclude_self: bool, payload: tuple):
 def knn(query: DataFrame, ref: DataFrame, k: int, qid: str = "row_id", qvec: str = "features",
         rid: str = "row_id", rvec: str = "features", metric: str = "euclidean", p: float = 2.0,
         exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS,
-        n_query: int | None = None, n_ref: int | None = None,
         payload: dict[str, str] | None = None) -> DataFrame:
     """(qid, rid, dist, nn_rank, *payload) for the ``k`` nearest reference rows of every query row.
 
     ``payload`` maps reference columns to their types; they ride along with each neighbour so
-    callers need no join back to the reference rows (a hub row would skew that join).
+    callers need no join back to the reference rows (a hub row would skew that join). Rows with a
+    missing or non-finite coordinate have no neighbours and are nobody's.
     """
     payload = dict(payload or {})
     ship_package(query.sparkSession)
-    n_ref = ref.count() if n_ref is None else n_ref
-    n_query = query.count() if n_query is None else n_query
-    nb = max(1, math.ceil(n_ref / block_rows))
-    nq = max(1, math.ceil(n_query / block_rows))
-    qs = query.select(F.col(qid).cast("bigint").alias("qid"),
-                      F.col(qvec).cast("array<double>").alias("qvec"))
-    rs = ref.select(F.col(rid).cast("bigint").alias("rid"),
-                    F.col(rvec).cast("array<double>").alias("rvec"),
-                    *[F.col(c).cast(t).alias(c) for c, t in payload.items()])
-    qs = qs.select("*", F.pmod(F.xxhash64("qid"), F.lit(nq)).alias("qb"),
-                   F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("rb"))
-    rs = rs.select("*", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"),
-                   F.pmod(F.xxhash64("rid"), F.lit(nb)).alias("rb"))
-    cand = (qs.groupBy("qb", "rb").cogroup(rs.groupBy("qb", "rb"))
-            .applyInPandas(_topk_fn(k, metric, p, exclude_self, tuple(payload)),
-                           ", ".join(["qid bigint", "rid bigint", "dist double"] + [f"{c} {t}" for c, t in payload.items()])))
-    w = Window.partitionBy("qid").orderBy("dist", "rid")
-    return cand.select("*", F.row_number().over(w).alias("nn_rank")).where(F.col("nn_rank") <= k)
+    finite = lambda c: F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    qs = query.select(F.col(qid).cast("bigint").alias("qid"), F.col(qvec).cast("array<double>").alias("qvec")).where(finite("qvec"))
+    rs = ref.select(F.col(rid).cast("bigint").alias("rid"), F.col(rvec).cast("array<double>").alias("rvec"),
+                    *[F.col(c).cast(t).alias(c) for c, t in payload.items()]).where(finite("rvec"))
+    rs = cut_lineage(rs)
+    chosen = rs.select("rid", "rvec").orderBy(F.xxhash64("rid"), "rid").limit(PIVOTS).collect()
+    fields = ["qid bigint", "rid bigint", "dist double"] + [f"{c} {t}" for c, t in payload.items()]
+    if not chosen:
+        return query.sparkSession.createDataFrame([], ", ".join([*fields, "nn_rank int"]))
+    pivots = np.array([r["rvec"] for r in chosen], float)
+
+    def nearest_cell(batches):
+        for b in batches:
+            if len(b):
+                d = _dist(np.stack(b["rvec"].to_numpy()), pivots, metric, p)
+                b["cell"], b["_far"] = d.argmin(axis=1), d.min(axis=1)
+                yield b
+
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rs.schema.fields]
+    celled = cut_lineage(rs.mapInPandas(nearest_cell, ", ".join([*types, "cell bigint", "_far double"])))
+    count, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("_far").alias("far")).collect():
+        count[r["cell"]], radius[r["cell"]] = r["n"], r["far"]
+    need = k + (1 if exclude_self else 0)
+
+    def cells(bounded: bool):
+        def run(batches):
+            for b in batches:
+                if not len(b):
+                    continue
+                vec = np.stack(b["qvec"].to_numpy())
+                d = _dist(vec, pivots, metric, p)
+                order = np.argsort(d, axis=1, kind="stable")
+                held = np.cumsum(count[order], axis=1)
+                # the nearest cells up to the one with which k rows are reached
+                first = np.zeros(d.shape, bool)
+                np.put_along_axis(first, order, (held - count[order]) < need, axis=1)
+                if bounded:
+                    tau = b["tau"].fillna(np.inf).to_numpy()[:, None]
+                    visit = ~first & (d - radius[None, :] <= tau * (1 + 1e-9) + 1e-12)
+                else:
+                    visit = first
+                i, c = np.nonzero(visit & (count > 0)[None, :])
+                if len(i):
+                    yield pd.DataFrame({"qid": b["qid"].to_numpy()[i], "qvec": list(b["qvec"].to_numpy()[i]), "cell": c})
+        return run
+
+    def match(asked: DataFrame) -> DataFrame:
+        """Compare each (query, cell) row with all rows of the cell, in blocks of either side."""
+        asked = cut_lineage(asked)
+        qn = np.zeros(len(pivots), np.int64)
+        for r in asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
+            qn[r["cell"]] = r["n"]
+        parts = lambda n: F.array(*[F.lit(int(max(1, -(-x // block_rows)))) for x in n])[F.col("cell").cast("int")]
+        zero = F.lit(0).cast("bigint")
+        span = lambda n: F.explode(F.sequence(zero, (parts(n) - 1).cast("bigint")))
+        a = asked.select("*", F.pmod(F.xxhash64("qid"), parts(qn)).alias("qb"), span(count).alias("rb"))
+        b = celled.drop("_far").withColumn("rb", F.pmod(F.xxhash64("rid"), parts(count))).withColumn("qb", span(qn))
+        return (a.groupBy("cell", "qb", "rb").cogroup(b.groupBy("cell", "qb", "rb"))
+                .applyInPandas(_topk_fn(k, metric, p, exclude_self, tuple(payload)), ", ".join(fields)))
+
+    best = Window.partitionBy("qid").orderBy("dist", "rid")
+    near = match(qs.mapInPandas(cells(False), "qid bigint, qvec array<double>, cell bigint"))
+    near = cut_lineage(near.withColumn("nn_rank", F.row_number().over(best)).where(F.col("nn_rank") <= k))
+    tau = near.where(F.col("nn_rank") == k).select("qid", F.col("dist").alias("tau"))
+    more = match(qs.join(tau, "qid", "left").mapInPandas(cells(True), "qid bigint, qvec array<double>, cell bigint"))
+    both = near.drop("nn_rank").unionByName(more)
+    return both.withColumn("nn_rank", F.row_number().over(best)).where(F.col("nn_rank") <= k)

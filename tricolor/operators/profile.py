@@ -1,24 +1,19 @@
 """Profiling aggregates: shape, types, missing values, counts, describe, correlation,
-quantiles, histograms, box plots and scatter samples.
+quantiles, histograms, box plots and scatter points.
 
 Each statistic family is one ``agg`` (one pass); only fitted constants reach the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tricolor.functions.hashing import hash_key
 
-# ``percentile`` keeps one counter per distinct value in the task that finishes a global
-# aggregate; above this many distinct values quantiles come from a distributed sort instead.
-EXACT_PERCENTILE_DISTINCT_LIMIT = 1_000_000
-
 
 def q(c: str) -> Column:
     return F.col(f"`{c}`")
@@ -122,34 +117,45 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], where: Column | None = No
     return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
 
-def quantile_values(df: DataFrame, column: str, probs: Sequence[float] = (0.25, 0.75),
-                    exact: bool = True) -> list:
-    """Linear-interpolation quantiles (position (n - 1) p, as Spark and DuckDB) as constants.
+def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list]:
+    """Linear-interpolation quantiles (position (n - 1) p, as Spark and DuckDB) of every column.
 
-    Bounded distinct values: ``percentile``. Otherwise the values at the two bracketing
-    positions are read from the range-partitioned rank (an exact distributed sort), so no task
-    ever holds the whole value set. ``exact=False`` uses ``percentile_approx``.
+    One plan at every size: rows become (column, value) counts, pre-aggregated before the shuffle
+    (a value that is most of a column is one row), the counts are summed up in value order by the
+    range-partitioned running sum, and the values that hold the wanted positions are read off: at
+    most two per probability and column reach the driver.
     """
-    from tricolor.sources.rowid import ordered_rank
-    x = q(column).cast("double")
+    from tricolor.sources.rowid import ordered_running_sum
+    names = list(columns)
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), q(c).cast("double").alias("v")) for i, c in enumerate(names)])
+    counts = (df.select(F.explode(cells).alias("e")).select("e.c", "e.v").where(F.col("v").isNotNull())
+              .groupBy("c", "v").agg(F.count(F.lit(1)).alias("k")))
+    cum = ordered_running_sum(counts, [F.col("c"), F.col("v")], ["k"], prefix="cum_")
+    sizes = cum.groupBy("c").agg(F.sum("k").alias("n"), F.min(F.col("cum_k") - F.col("k")).alias("start"))
+    h = (F.col("n") - 1) * F.col("p")
+    # one row per column, probability and side: bounded by the schema, not by the rows
+    wanted = (sizes.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in dict.fromkeys(probs)])))
+              .select("c", "p", (h - F.floor(h)).alias("w"),
+                      F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor(h).alias("at")),
+                                        F.struct(F.lit(1).alias("side"), F.ceil(h).alias("at")))).alias("x"), "start")
+              .select(F.col("c").alias("wc"), "p", "w", "x.side", (F.col("x.at") + F.col("start")).alias("at")))
+    hit = cum.join(F.broadcast(wanted), (F.col("c") == F.col("wc")) & (F.col("at") >= F.col("cum_k") - F.col("k"))
+                   & (F.col("at") < F.col("cum_k"))).select("c", "p", "w", "side", "v").collect()
+    ends = {(r["c"], r["p"], r["side"]): (r["v"], r["w"]) for r in hit}
+    out = {}
+    for i, c in enumerate(names):
+        out[c] = [None if (i, float(p), 0) not in ends else
+                  ends[i, float(p), 0][0] + ends[i, float(p), 0][1] * (ends[i, float(p), 1][0] - ends[i, float(p), 0][0]) for p in probs]
+    return out
+
+
+def quantile_values(df: DataFrame, column: str, probs: Sequence[float] = (0.25, 0.75),
+                    exact: bool = True) -> list:
+    """Quantiles of one column as constants; ``exact=False`` uses ``percentile_approx``."""
     if not exact:
-        r = df.agg(F.percentile_approx(x, list(probs), 10000).alias("_q")).first()["_q"]
+        r = df.agg(F.percentile_approx(q(column).cast("double"), list(probs), 10000).alias("_q")).first()["_q"]
         return [None] * len(probs) if r is None else [float(v) for v in r]
-    st = df.agg(F.count(x).alias("n"), F.approx_count_distinct(x).alias("nd")).first()
-    n = st["n"]
-    if not n:
-        return [None] * len(probs)
-    if st["nd"] <= EXACT_PERCENTILE_DISTINCT_LIMIT:
-        r = df.agg(F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias("_q")).first()["_q"]
-        return [float(v) for v in r]
-    pos = []
-    for p in probs:
-        h = (n - 1) * float(p)
-        pos.append((int(math.floor(h)), int(math.ceil(h)), h - math.floor(h)))
-    wanted = sorted({i + 1 for lo, hi, _ in pos for i in (lo, hi)})
-    ranked = ordered_rank(df.select(x.alias("_v")).where(F.col("_v").isNotNull()), [F.col("_v")], "_r")
-    vals = {r["_r"]: r["_v"] for r in ranked.where(F.col("_r").isin(wanted)).collect()}
-    return [vals[lo + 1] + w * (vals[hi + 1] - vals[lo + 1]) for lo, hi, w in pos]
+    return quantile_table(df, [column], probs)[column]
 
 
 def quantiles(df: DataFrame, column: str, probs: Sequence[float] = (0.25, 0.75),
@@ -208,6 +214,19 @@ def hist1d(df: DataFrame, column: str, bins: int = 20,
             .orderBy("bin"))
 
 
+def value_grid(df: DataFrame, column: str, points: int, log: bool = False) -> DataFrame:
+    """(point, value): evenly spaced points from the smallest to the largest value of a column, or
+    log-spaced ones over its positive values (the bounds of a search space taken from data)."""
+    x = q(column).cast("double")
+    r = df.where(x > 0) if log else df
+    b = r.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+    at = F.col("point") / F.lit(max(points - 1, 1))
+    lo, hi = (F.ln("lo"), F.ln("hi")) if log else (F.col("lo"), F.col("hi"))
+    value = lo + (hi - lo) * at
+    return (b.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+            .select("point", (F.exp(value) if log else value).alias("value")))
+
+
 def hist2d(df: DataFrame, x: str, y: str, hue: str | None = None, bins: int = 10) -> DataFrame:
     """Pairwise 2-D histogram (bx, by, hue, count) for one pair of columns."""
     mm = _min_max(df, [x, y])
@@ -236,13 +255,26 @@ def hist2d_pairs(df: DataFrame, columns: Sequence[str], hue: str | None = None,
     return longf.groupBy(*[F.col(k) for k in keys]).agg(F.count(F.lit(1)).alias("count"))
 
 
+def scatter(df: DataFrame, x: str, y: str, hue: str | None = None) -> DataFrame:
+    """Every point (x, y, hue): a projection."""
+    return df.select(q(x).alias("x"), q(y).alias("y"), *([q(hue).cast("string").alias("hue")] if hue else []))
+
+
+def scatter_pairs(df: DataFrame, columns: Sequence[str], hue: str | None = None) -> DataFrame:
+    """Every point of every pair of columns (i < j) in long form (x_col, y_col, x, y, hue)."""
+    cols = list(columns)
+    pairs = [F.struct(F.lit(cols[i]).alias("x_col"), F.lit(cols[j]).alias("y_col"),
+                      q(cols[i]).cast("double").alias("x"), q(cols[j]).cast("double").alias("y"))
+             for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    keep = [q(hue).cast("string").alias("hue")] if hue else []
+    return df.select(F.explode(F.array(*pairs)).alias("_p"), *keep).select("_p.*", *(["hue"] if hue else []))
+
+
 def scatter_sample(df: DataFrame, x: str, y: str, hue: str | None = None, n: int = 1000,
                    seed: int = 42, id_col: str = "row_id") -> DataFrame:
-    """Up to ``n`` points (x, y, hue) chosen by md5 order of the row id: a sampling operator."""
-    cols = [q(id_col), q(x).alias("x"), q(y).alias("y")]
-    if hue:
-        cols.append(q(hue).cast("string").alias("hue"))
-    return (df.select(*cols).orderBy(hash_key(seed, q(id_col)), q(id_col)).limit(n))
+    """A sampling operator, for those who ask for it: ``n`` points by md5 order of the row id."""
+    order = hash_key(seed, q(id_col))
+    return scatter(df.orderBy(order, q(id_col)).limit(n), x, y, hue)
 
 
 def boxplot(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
@@ -271,14 +303,9 @@ def boxplot_by(df: DataFrame, column: str, by: str, k: float = 1.5) -> DataFrame
     fences = qs.select("*", (F.col("q3") - F.col("q1")).alias("iqr"))
     fences = fences.select("*", (F.col("q1") - k * F.col("iqr")).alias("lo"),
                            (F.col("q3") + k * F.col("iqr")).alias("hi"))
-    from tricolor.operators.joins import bounded_broadcast
-    j = df.select(q(by).alias("grp"), x.alias("x")).join(bounded_broadcast(fences), "grp")
+    j = df.select(q(by).alias("grp"), x.alias("x")).join(fences, "grp")
     inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
     return j.groupBy("grp", "q1", "median", "q3", "iqr").agg(
         F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
         F.count_if(F.col("x").isNotNull() & ~inside).alias("n_outliers"))
-
-
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)

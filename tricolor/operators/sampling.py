@@ -63,15 +63,9 @@ def plain_folds(df: DataFrame, k: int = 10, seed: int = DEFAULT_SEED, id_col: st
     return r.select(*[q(c) for c in df.columns], ((F.col("_tc_rank") - 1) % k).cast("int").alias(out))
 
 
-MAX_CLASSES = 1000
-
-
 def class_counts(df: DataFrame, label: str) -> dict:
-    """Rows per class (a bounded table: more than ``MAX_CLASSES`` classes is an error)."""
-    rows = df.groupBy(q(label).alias("c")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label!r} has more than {MAX_CLASSES} classes")
-    return {r["c"]: r["n"] for r in rows}
+    """Rows per class of a target that has passed the two-value check (a row per class)."""
+    return {r["c"]: r["n"] for r in df.groupBy(q(label).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def under_sample(df: DataFrame, label: str, seed: int = DEFAULT_SEED, id_col: str = "row_id",
@@ -87,16 +81,18 @@ def _max_id(df: DataFrame, id_col: str) -> int:
     return df.agg(F.max(q(id_col))).first()[0] or 0
 
 
-def over_sample(df: DataFrame, label: str, seed: int = DEFAULT_SEED, id_col: str = "row_id") -> DataFrame:
+def over_sample(df: DataFrame, label: str, seed: int = DEFAULT_SEED, id_col: str = "row_id",
+                max_id: int | None = None) -> DataFrame:
     """Minority classes drawn with replacement up to the majority count.
 
     Draw ``j`` in ``[0, need)`` (a distributed ``range``) picks minority rank
     ``hash(seed, class:j) mod n_c + 1``; draws join the ranked minority rows on the rank.
-    New rows get fresh ids after the current maximum and ``is_synthetic = true``.
+    New rows get ids after ``max_id`` (the largest id in use anywhere, validation rows included;
+    by default that of ``df``) and ``is_synthetic = true``.
     """
     counts = class_counts(df, label)
     n_max = max(counts.values())
-    base_id = _max_id(df, id_col)
+    base_id = _max_id(df, id_col) if max_id is None else max_id
     r = class_rank(df, label, seed, id_col, "_tc_crank")
     spark = df.sparkSession
     out = df.withColumn("is_synthetic", F.lit(False))
@@ -118,7 +114,7 @@ def over_sample(df: DataFrame, label: str, seed: int = DEFAULT_SEED, id_col: str
 
 
 def smote(df: DataFrame, label: str, features: list[str], k: int = 5, seed: int = DEFAULT_SEED,
-          id_col: str = "row_id", block_rows: int = 20_000) -> DataFrame:
+          id_col: str = "row_id", block_rows: int = 20_000, max_id: int | None = None) -> DataFrame:
     """SMOTE (Chawla et al. 2002): minority rows x + u * (nn - x), nn among its k nearest
     minority neighbours (exact blocked kNN, ties by id; ``row_id`` is not a feature).
 
@@ -126,7 +122,7 @@ def smote(df: DataFrame, label: str, features: list[str], k: int = 5, seed: int
     """
     counts = class_counts(df, label)
     n_max = max(counts.values())
-    base_id = _max_id(df, id_col)
+    base_id = _max_id(df, id_col) if max_id is None else max_id
     spark = df.sparkSession
     out = df.select(*[q(c) for c in df.columns], F.lit(False).alias("is_synthetic"))
     offset = 0
@@ -141,7 +137,7 @@ def smote(df: DataFrame, label: str, features: list[str], k: int = 5, seed: int
         if kk < 1:
             raise ValueError("SMOTE needs at least two rows in every minority class")
         nn = knn(minority, minority, kk, "_tc_id", "_tc_vec", "_tc_id", "_tc_vec",
-                 exclude_self=True, block_rows=block_rows, n_query=n_c, n_ref=n_c,
+                 exclude_self=True, block_rows=block_rows,
                  payload={"_tc_vec": "array<double>"})
         ranked = rank_within(minority.withColumn("_tc_c", F.lit(0)), "_tc_c",
                              [hash_key(seed, F.col("_tc_id")), F.col("_tc_id")], "_tc_crank")

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from tricolor.functions.scalar import DEFAULT_T0, DEFAULT_T1
 from tricolor.operators import sampling as smp
+from tricolor.operators.columns import require_columns
 from tricolor.operators.evaluate import predict_all, score_table, test_table, validation_table
+from tricolor.operators.labels import check_coded_labels
 from tricolor.operators.missing import MissingStep
 from tricolor.operators.models.base import Classifier, FittedClassifier
 from tricolor.operators.models.catalog import model
@@ -40,6 +42,7 @@ class TrainedRun:
     pca: PcaModel | None = None
     pca_k: int = 0
     validation: DataFrame | None = None
+    outliers: DataFrame | None = None
     notes: list[str] = field(default_factory=list)
     persisted: list[DataFrame] = field(default_factory=list)
 
@@ -62,8 +65,13 @@ def train(df: DataFrame, label: str, zero_value, one_value, models: Sequence[str
           missing: Sequence[MissingStep] = (), categorical: Sequence[str] | None = None,
           scaling: str | None = "standard", outlier_columns: Sequence[str] = (),
           resample: str | None = None, pca_k: int | None = None, drop: Sequence[str] = (),
-          seed: int = 42) -> TrainedRun:
-    """Fit the recipe and the models on the training part; validation table for every model."""
+          derived: Sequence[tuple] = (), seed: int = 42) -> TrainedRun:
+    """Fit the recipe and the models on the training part; validation table for every model.
+
+    ``key_cols`` number the rows and are never features. ``derived`` are (operation, column,
+    second column or None[, name]) steps after scaling. ``outliers`` of the result has the ids and
+    columns of the training rows that the IQR filters removed.
+    """
     if not 0.1 <= val_fraction <= 0.5:
         raise ValueError("validation share must lie between 10 % and 50 %")
     # ids and the split flag are ranked on narrow keys and joined back, so a wide input is not
@@ -72,7 +80,7 @@ def train(df: DataFrame, label: str, zero_value, one_value, models: Sequence[str
     s = smp.split_train_val(numbered, val_fraction, seed, narrow=True)
     tr = s.where(~F.col("is_val")).drop("is_val").persist()
     va = s.where(F.col("is_val")).drop("is_val")
-    r = Recipe(label)
+    r = Recipe(label, keys=tuple(key_cols or ()))
     t = r.fit_base(tr, zero_value, one_value, missing, categorical)
     numeric = list(r.features)
     if scaling == "standard":
@@ -81,18 +89,28 @@ def train(df: DataFrame, label: str, zero_value, one_value, models: Sequence[str
         t = r.minmax(t, numeric)
     elif scaling is not None:
         raise ValueError("scaling must be 'standard', 'minmax' or None")
+    for step in derived:
+        t = r.feature(t, *step)
+    removed = None
     for c in outlier_columns:
+        before = t
         t = r.outliers(t, c)
+        gone = r.steps[-1][1].removed(before).select(ID, F.lit(c).alias("column"))
+        removed = gone if removed is None else removed.unionByName(gone)
     if drop:
         t = r.drop(t, drop)
+    # ids of synthetic rows start after the largest id of any row, the validation part included
+    top = numbered.agg(F.max(ID)).first()[0] or 0 if resample in ("over", "smote") else None
     if resample == "under":
         t = smp.under_sample(t, label, seed, narrow=True)
     elif resample == "over":
-        t = smp.over_sample(t, label, seed).drop("is_synthetic")
+        t = smp.over_sample(t, label, seed, max_id=top)
     elif resample == "smote":
-        t = smp.smote(t, label, r.features, seed=seed).drop("is_synthetic")
+        t = smp.smote(t, label, r.features, seed=seed, max_id=top)
     elif resample is not None:
         raise ValueError("resample must be 'under', 'over', 'smote' or None")
+    if resample:
+        r.steps.append(("resample", (resample, seed)))
     v = r.apply(va)
     feats = list(r.features)
     pca = None
@@ -103,20 +121,30 @@ def train(df: DataFrame, label: str, zero_value, one_value, models: Sequence[str
     clfs = [model(m) if isinstance(m, str) else m for m in models]
     fitted = [c.fit(t, feats, label) for c in clfs]
     val_table = validation_table(predict_all(v, fitted), [m.name for m in fitted], label)
-    return TrainedRun(label, r, feats, fitted, t, v, pca, pca_k or 0, val_table, persisted=[tr])
+    return TrainedRun(label, r, feats, fitted, t, v, pca, pca_k or 0, val_table, removed, persisted=[tr])
 
 
 @dataclass
 class Scored:
     results: DataFrame
     metrics: DataFrame | None
+    removed_rows: int = 0        # rows left out because a feature is not finite
+    without_target: int = 0      # rows left out because their target is NULL
 
 
 def score(run: TrainedRun, test: DataFrame, key_cols: Sequence[str] | None = None, flips: dict | None = None,
           t0: float = DEFAULT_T0, t1: float = DEFAULT_T1, include_original: bool = True) -> Scored:
-    """Replay, predict, flip, traffic light and export; metrics when the target is present."""
+    """Replay, predict, flip, traffic light and export; metrics when the target is present.
+
+    Refuses a table that lacks a column the features come from, or whose target has a value that
+    training did not know. Rows without a target (where the table has one) and rows with a feature
+    that is not finite are left out and counted.
+    """
+    has_target = run.label in test.columns
+    require_columns(test, run.recipe.required)
+    without = check_coded_labels(test, run.label, run.recipe.label_values) if has_target else 0
     numbered = add_row_id(test, key_cols)
-    has_target = run.label in numbered.columns
+    removed = run.recipe.removed_rows(numbered, with_label=has_target)
     prepared = run.recipe.apply(numbered, with_label=has_target)
     final = _final(prepared, run.pca, run.pca_k, run.label if has_target else None)
     names = [m.name for m in run.models]
@@ -132,4 +160,4 @@ def score(run: TrainedRun, test: DataFrame, key_cols: Sequence[str] | None = Non
     originals = [c for c in test.columns if c != ID] if include_original else []
     # keyed join back to the untouched input (rows the recipe drops are not exported)
     joined = numbered.select(ID, *[F.col(f"`{c}`") for c in originals]).join(transformed, ID)
-    return Scored(joined, metrics)
+    return Scored(joined, metrics, removed, without)

@@ -17,17 +17,20 @@ from tricolor.operators.evaluate import (
     score_table,
     test_table,
     train_export,
+    train_export_metrics,
     validation_table,
 )
 from tricolor.operators.metrics import auc, confusion_metrics
 from tricolor.operators.models.base import pred_col, prob_col
 from tricolor.operators.models.catalog import model
 from tricolor.operators.models.ensemble import Stacking, Voting
+from tricolor.operators.profile import value_grid
 from tricolor.operators.tune import add_folds, cv_summary, fold_metrics, pooled_metrics, search_cv
 from tricolor.plans.q_relational import split_sql
 from tricolor.plans.registry import query
 from tricolor.plans.workflow import LABEL, prepared_task, scoring_table
 from tricolor.sources import fixtures as fx
+from tricolor.sources.readers import table
 
 TASK = fx.SQL_DOCS_TASK
 SPLIT = split_sql(TASK)
@@ -99,7 +102,8 @@ KNN_SQL = f"""
 WITH s AS {SPLIT}, tr AS (SELECT * FROM s WHERE NOT is_val), v AS (SELECT * FROM s WHERE is_val),
 d AS (SELECT v.row_id, v.quality, t.quality AS y,
              row_number() OVER (PARTITION BY v.row_id ORDER BY
-               sqrt((v.nonletter_share - t.nonletter_share) * (v.nonletter_share - t.nonletter_share)
+               sqrt((v.n_chars - t.n_chars) * (v.n_chars - t.n_chars)
+                    + (v.nonletter_share - t.nonletter_share) * (v.nonletter_share - t.nonletter_share)
                     + (v.word_share - t.word_share) * (v.word_share - t.word_share)), t.row_id) AS rk
       FROM v, tr t)
 SELECT row_id, quality, CAST(avg(y) > 0.5 AS INTEGER) AS KNN_Prediction, round(avg(y), 6) AS KNN_Prob
@@ -108,9 +112,9 @@ FROM d WHERE rk <= 5 GROUP BY row_id, quality"""
 
 @query("mod_knn", KNN_SQL, headline=True)
 def mod_knn(spark, d):
-    """5-NN, uniform vote, Euclidean on the two text shares (SQL brute force as oracle)."""
+    """5-NN, uniform vote, Euclidean on the three raw features (SQL brute force as oracle)."""
     train, val = _raw_split(spark, d)
-    fitted = model("KNN", k=5).fit(train, ["nonletter_share", "word_share"], LABEL)
+    fitted = model("KNN", k=5).fit(train, F3, LABEL)
     return fitted.predict(val).select("row_id", LABEL, "KNN_Prediction", "KNN_Prob")
 
 
@@ -133,16 +137,42 @@ def mod_stacking(spark, d):
     return st.predict(p.val).select("row_id", LABEL, "Stacking_Prediction", "Stacking_Prob")
 
 
-@query("mod_voting")
+# the vote is taken on probabilities as they are, before rounding
+_NB_RAW = NB_SQL.replace("round(1 / (1 + exp(j0.jll - j1.jll)), 6)", "1 / (1 + exp(j0.jll - j1.jll))")
+
+
+@query("mod_voting", f"""
+SELECT row_id, quality, CAST((NB_Prob + KNN_Prob) / 2 > 0.5 AS INTEGER) AS Voting_Prediction,
+       round((NB_Prob + KNN_Prob) / 2, 5) AS Voting_Prob
+FROM (SELECT n.row_id, n.quality, n.NB_Prob, k.KNN_Prob FROM ({_NB_RAW}) n JOIN ({KNN_SQL}) k USING (row_id))""")
 def mod_voting(spark, d):
+    """Soft vote of naive Bayes and kNN on the raw features (probability to 5 places)."""
+    train, val = _raw_split(spark, d)
+    members = [model("NB").fit(train, F3, LABEL), model("KNN", k=5).fit(train, F3, LABEL)]
+    out = Voting.of_fitted("Voting", members).predict(val)
+    return out.select("row_id", LABEL, "Voting_Prediction", F.round("Voting_Prob", 5).alias("Voting_Prob"))
+
+
+@query("mod_voting_models")
+def mod_voting_models(spark, d):
     p = prepared_task(spark, d)
     members = [model(n).fit(p.train, p.features, LABEL) for n in ("NB", "KNN", "Ridge")]
     v = Voting.of_fitted("Voting", members)
     return v.predict(p.val).select("row_id", LABEL, "Voting_Prediction", "Voting_Prob")
 
 
-@query("join_predictions")
+@query("join_predictions", f"""
+SELECT n.row_id, n.quality, n.NB_Prediction, n.NB_Prob, k.KNN_Prediction, k.KNN_Prob
+FROM ({NB_SQL}) n JOIN ({KNN_SQL}) k USING (row_id)""")
 def join_predictions(spark, d):
+    """Two models' outputs side by side on one row per id."""
+    train, val = _raw_split(spark, d)
+    fitted = [model("NB").fit(train, F3, LABEL), model("KNN", k=5).fit(train, F3, LABEL)]
+    return predict_all(val, fitted).select("row_id", LABEL, "NB_Prediction", "NB_Prob", "KNN_Prediction", "KNN_Prob")
+
+
+@query("join_predictions_models")
+def join_predictions_models(spark, d):
     """Several models' outputs side by side on one row per id (chained transforms, no join)."""
     p = prepared_task(spark, d)
     fitted = [model(n).fit(p.train, p.features, LABEL) for n in ("Ridge", "NB", "DecisionTree")]
@@ -169,11 +199,11 @@ def tun_grid(spark, d):
 
 @query("tun_random")
 def tun_random(spark, d):
-    """Random search: 5 of the 10 ridge C values (seed 42), 3 folds."""
+    """Random search over the 10 ridge C values (seed 42), 10 folds."""
     p = prepared_task(spark, d)
     from tricolor.operators.models.catalog import grid
-    best, results, _ = search_cv(model("Ridge"), grid("Ridge"), p.train, p.features, LABEL, k=3,
-                                 search="random", n_iter=5, parallelism=4)
+    best, results, _ = search_cv(model("Ridge"), grid("Ridge"), p.train, p.features, LABEL, k=10,
+                                 search="random", n_iter=10, parallelism=4)
     return _search_table(spark, best, results)
 
 
@@ -246,6 +276,18 @@ def evl_auc(spark, d):
     return auc(fx.scored(spark, d), LABEL, "score", ["lang"])
 
 
+_AUC_NULLS = f"""SELECT row_id, quality AS y, coalesce(nullif(lang, 'de'), '-') AS lang,
+    CASE WHEN lang = 'fr' AND row_id % 3 = 0 THEN NULL ELSE score END AS prob FROM ({SCORED})"""
+
+
+@query("evl_auc_nulls", f"SELECT nullif(lang, '-') AS lang, P, N, auc FROM {_auc_sql(_AUC_NULLS, 'lang')}")
+def evl_auc_nulls(spark, d):
+    """A group with NULL scores has no AUC and shifts no other group; the NULL group has one."""
+    s = fx.scored(spark, d)
+    holes = s.withColumn("score", F.when((F.col("lang") == "fr") & (F.col("row_id") % 3 == 0), F.lit(None)).otherwise(F.col("score")))
+    return auc(holes.withColumn("lang", F.expr("nullif(lang, 'de')")), LABEL, "score", ["lang"])
+
+
 @query("evl_auc_total", f"SELECT * FROM {_auc_sql(SCORED_LONG, None)}")
 def evl_auc_total(spark, d):
     return auc(fx.scored(spark, d), LABEL, "score")
@@ -304,10 +346,35 @@ def evl_train_export_nb(spark, d):
 
 @query("evl_train_export_pls")
 def evl_train_export_pls(spark, d):
-    """PLS-DA training export with the continuous score flipped (-score)."""
+    """PLS-DA training export, flipped: target, prediction and score turned around (1 - score)."""
     p = prepared_task(spark, d)
     fitted = model("PLSDA").fit(p.train, p.features, LABEL)
-    return train_export(fitted, p.train, p.features, LABEL, flip=True, continuous=True)
+    return train_export(fitted, p.train, p.features, LABEL, flip=True)
+
+
+_NB_TRAIN = f"({_nb_sql('NOT is_val')})"
+
+
+@query("evl_train_export_flip", f"""
+SELECT e.row_id, j.n_chars, j.nonletter_share, j.word_share, 1 - e.quality AS quality,
+       1 - e.NB_Prediction AS NB_Prediction, round(1 - e.NB_Prob, 6) AS NB_Prob
+FROM {_NB_TRAIN} e JOIN ({TASK}) j USING (row_id)""")
+def evl_train_export_flip(spark, d):
+    """Flipped training export of naive Bayes: target, prediction and probability turned around."""
+    train, _ = _raw_split(spark, d)
+    return train_export(model("NB").fit(train, F3, LABEL), train, F3, LABEL, flip=True)
+
+
+_NB_FLIPPED_LONG = f"SELECT row_id, 1 - quality AS y, 1 - NB_Prediction AS pred, 1 - NB_Prob AS prob FROM {_NB_TRAIN}"
+
+
+@query("evl_train_export_metrics", f"""
+SELECT 'NB' AS model, m.accuracy, m.precision, m.recall, m.f1 FROM {_metrics_sql(_NB_FLIPPED_LONG, None)} m""")
+def evl_train_export_metrics(spark, d):
+    """Metrics of the flipped training export (its AUC is checked in the tests)."""
+    train, _ = _raw_split(spark, d)
+    export = train_export(model("NB").fit(train, F3, LABEL), train, F3, LABEL, flip=True)
+    return train_export_metrics(export, "NB", LABEL).drop("auc")
 
 
 @query("evl_models")
@@ -342,8 +409,31 @@ def scr_prepare(spark, d):
     return p.recipe.apply(scoring_table(spark, d), with_label=False)
 
 
-@query("scr_predict")
+_ALL = f"SELECT row_id, n_chars, nonletter_share, word_share FROM ({fx.SQL_DOCS_NULLS})"
+_NB_ALL = _nb_sql("NOT is_val").replace("(SELECT * FROM s WHERE NOT is_val) v", f"({_ALL}) v").replace(
+    "SELECT v.row_id, v.quality, v.n_chars", "SELECT v.row_id, v.n_chars").replace("SELECT j0.row_id, j0.quality, ", "SELECT j0.row_id, ")
+
+
+@query("scr_proba", f"SELECT row_id, NB_Prob FROM ({_NB_ALL})")
+def scr_proba(spark, d):
+    """Probability of the class coded 1 for every document (naive Bayes on the raw features)."""
+    train, _ = _raw_split(spark, d)
+    fitted = model("NB").fit(train, F3, LABEL)
+    return fitted.predict(fx.docs_nulls(spark, d).select("row_id", *F3)).select("row_id", "NB_Prob")
+
+
+@query("scr_predict", f"""
+SELECT row_id, 1 - NB_Prediction AS NB_Prediction, round(1 - NB_Prob, 6) AS NB_Prob FROM ({_NB_ALL})""")
 def scr_predict(spark, d):
+    """Every document scored by naive Bayes, flipped."""
+    train, _ = _raw_split(spark, d)
+    fitted = model("NB").fit(train, F3, LABEL)
+    wide = predict_all(fx.docs_nulls(spark, d).select("row_id", *F3), [fitted])
+    return score_table(wide, ["NB"], flips={"NB": True}).select("row_id", "NB_Prediction", "NB_Prob")
+
+
+@query("scr_predict_models")
+def scr_predict_models(spark, d):
     """Score every document with three models; NB flipped; traffic light per model."""
     p = prepared_task(spark, d)
     names = ["Ridge", "NB", "PLSDA"]
@@ -354,8 +444,8 @@ def scr_predict(spark, d):
     return out.select("row_id", *[c for n in names for c in (pred_col(n), prob_col(n), f"{n}_TrafficLight")])
 
 
-@query("scr_proba")
-def scr_proba(spark, d):
+@query("scr_proba_rf")
+def scr_proba_rf(spark, d):
     """Probability of the class coded 1 for every document (random forest)."""
     p = prepared_task(spark, d)
     fitted = model("RandomForest").fit(p.train, p.features, LABEL)
@@ -441,26 +531,47 @@ def _all_importances(spark, d):
             .unionByName(imp.mutual_information(p.train, p.features, LABEL)))
 
 
-@query("imp_table")
-def imp_table(spark, d):
+_MI_RANKED = f"""SELECT method, feature, importance, row_number() OVER (ORDER BY importance DESC, feature) AS rank
+FROM ({_mi_sql()})"""
+
+
+@query("imp_table_models")
+def imp_table_models(spark, d):
     """(method, feature, importance, rank) for three methods, top 10 each."""
     return imp.ranked(_all_importances(spark, d), top=10)
 
 
-@query("srt_importance")
-def srt_importance(spark, d):
+@query("srt_importance_rf")
+def srt_importance_rf(spark, d):
     p = prepared_task(spark, d, standardise=False)
     return imp.global_rank(imp.rf_importance(p.train, p.features, LABEL))
 
 
-@query("srt_top10")
-def srt_top10(spark, d):
+@query("srt_top10_rf")
+def srt_top10_rf(spark, d):
     """The ten largest random-forest importances (a top-k report)."""
     p = prepared_task(spark, d, standardise=False)
     return imp.global_rank(imp.rf_importance(p.train, p.features, LABEL)).where(F.col("rank") <= 10)
 
 
 
+@query("imp_table", f"SELECT method, feature, importance, rank FROM ({_MI_RANKED})")
+def imp_table(spark, d):
+    """(method, feature, importance, rank): mutual information, top 10."""
+    return imp.ranked(imp.mutual_information(fx.docs_task(spark, d), F3, LABEL, bins=10), top=10)
+
+
+@query("srt_importance", f"SELECT method, feature, importance, rank FROM ({_MI_RANKED})")
+def srt_importance(spark, d):
+    return imp.global_rank(imp.mutual_information(fx.docs_task(spark, d), F3, LABEL, bins=10))
+
+
+@query("srt_top10", f"SELECT method, feature, importance, rank FROM ({_MI_RANKED}) WHERE rank <= 10")
+def srt_top10(spark, d):
+    """The ten largest importances (a top-k report)."""
+    return imp.global_rank(imp.mutual_information(fx.docs_task(spark, d), F3, LABEL, bins=10)).where(F.col("rank") <= 10)
+
+
 # --- streaming -----------------------------------------------------------------------------
 
 @query("stream_score")
@@ -475,22 +586,19 @@ def stream_score(spark, d):
 
 # --- 2.10 grid builders ----------------------------------------------------------------------
 
-def _grid_table(spark, d, names):
-    from tricolor.operators.models.catalog import grid
-    p = prepared_task(spark, d)
-    rows = [(n, i + 1, json.dumps(c, sort_keys=True)) for n in names
-            for i, c in enumerate(grid(n, len(p.features)))]
-    return spark.createDataFrame(rows, "model string, candidate int, params string")
+def _grid_sql(value: str, where: str) -> str:
+    return f"""
+WITH b AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem WHERE {where})
+SELECT CAST(i AS INTEGER) AS point, round({value}, 6) AS value FROM b, range(10) r(i)"""
 
 
-@query("fn_logspace")
+@query("fn_logspace", _grid_sql("exp(ln(lo) + (ln(hi) - ln(lo)) * i / 9)", "l_extendedprice > 0"))
 def fn_logspace(spark, d):
-    """Search spaces built on log-spaced values (C of the logistic models, NB smoothing)."""
-    return _grid_table(spark, d, ["Ridge", "Lasso", "ElasticNet", "NB"])
+    """Ten log-spaced points over the positive range of a column."""
+    return value_grid(table(spark, d, "lineitem"), "l_extendedprice", 10, log=True)
 
 
-@query("fn_linspace")
+@query("fn_linspace", _grid_sql("lo + (hi - lo) * i / 9", "true"))
 def fn_linspace(spark, d):
-    """Search spaces built on linear / integer ranges (SVM, trees, boosting, bagging, PLS-DA, kNN)."""
-    return _grid_table(spark, d, ["SVM", "DecisionTree", "RandomForest", "GBM", "Bagging", "Pasting", "PLSDA", "KNN",
-                                  "MLP"])
+    """Ten evenly spaced points over the range of a column."""
+    return value_grid(table(spark, d, "lineitem"), "l_extendedprice", 10)

@@ -10,8 +10,8 @@ from tricolor.functions.hashing import sql_hash_key
 from tricolor.operators import columns as cols
 from tricolor.operators import labels as lab
 from tricolor.operators import profile as prof
-from tricolor.operators.encode import OneHotEncoding
-from tricolor.operators.joins import lookup_join
+from tricolor.operators.encode import OneHotEncoding, sparse_onehot
+from tricolor.operators import joins
 from tricolor.operators.missing import MissingStep, apply_missing, fit_missing
 from tricolor.operators.sampling import split_train_val
 from tricolor.plans.registry import query
@@ -368,6 +368,17 @@ def enc_onehot(spark, d):
     return enc.transform(c)
 
 
+@query("enc_onehot_sparse", """
+WITH l AS (SELECT c_custkey, 'c_mktsegment' AS col, c_mktsegment AS v FROM customer UNION ALL SELECT c_custkey, 'c_name', c_name FROM customer),
+k AS (SELECT col, v, row_number() OVER (ORDER BY col, v) - 1 AS p
+      FROM (SELECT DISTINCT col, v, min(v) OVER (PARTITION BY col) AS first FROM l WHERE v IS NOT NULL) WHERE v <> first)
+SELECT c_custkey, coalesce(string_agg(p::VARCHAR, ',' ORDER BY p), '') AS active FROM l LEFT JOIN k USING (col, v) GROUP BY c_custkey""")
+def enc_onehot_sparse(spark, d):
+    """One-hot of a column with a category per row: sorted positions instead of dummy columns."""
+    _, rows = sparse_onehot(table(spark, d, "customer"), ["c_mktsegment", "c_name"], "c_custkey")
+    return rows.select("c_custkey", F.array_join(F.transform("active", lambda x: x.cast("string")), ",").alias("active"))
+
+
 # --- 2.5 joins -------------------------------------------------------------------------
 
 @query("join_inner_align", f"""
@@ -378,13 +389,13 @@ def join_inner_align(spark, d):
     dn = fx.docs_nulls(spark, d)
     x = dn.select("row_id", *fx.FEATURES)
     y = dn.select("row_id", "quality").where(F.col("quality").isNotNull())
-    return x.join(y, "row_id", "inner")
+    return joins.inner_align(x, y)
 
 
 @query("join_semi", f"""
 SELECT * FROM ({fx.SQL_DOCS_FEATURES}) f WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = f.doc_id)""")
 def join_semi(spark, d):
-    return fx.docs_features(spark, d).join(table(spark, d, "labels"), "doc_id", "left_semi")
+    return joins.keep_surviving(fx.docs_features(spark, d), table(spark, d, "labels"), "doc_id")
 
 
 @query("join_anti", f"""
@@ -393,7 +404,7 @@ def join_anti(spark, d):
     """Removed outlier rows = all rows minus the kept ones (anti join on the id)."""
     e = table(spark, d, "events").select("event_id", "event_type", "value")
     kept = cols.IqrFilter.fit(e, "value").keep(e)
-    return e.join(kept.select("event_id"), "event_id", "left_anti")
+    return joins.removed_rows(e, kept, "event_id")
 
 
 @query("join_concat", f"""
@@ -401,7 +412,7 @@ SELECT a.row_id, a.n_chars, a.nonletter_share, a.word_share, b.pred, b.score
 FROM ({fx.SQL_SCORED}) a LEFT JOIN ({fx.SQL_SCORED}) b ON a.row_id = b.row_id""")
 def join_concat(spark, d):
     s = fx.scored(spark, d)
-    return s.select("row_id", *fx.FEATURES).join(s.select("row_id", "pred", "score"), "row_id", "left")
+    return joins.concat_by_id([s.select("row_id", *fx.FEATURES), s.select("row_id", "pred", "score")])
 
 
 @query("join_lookup", """
@@ -409,7 +420,7 @@ SELECT c.c_custkey, c.c_nationkey, n.n_name FROM customer c LEFT JOIN nation n O
 def join_lookup(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return lookup_join(c, n, "c_nationkey")
+    return joins.lookup_join(c, n, "c_nationkey")
 
 
 # --- 2.6 aggregates and profiling ------------------------------------------------------
@@ -568,9 +579,23 @@ def agg_hist2d_pairs(spark, d):
 
 
 @query("agg_scatter", f"""
-SELECT row_id, nonletter_share AS x, word_share AS y, CAST(quality AS VARCHAR) AS hue
-FROM ({fx.SQL_DOCS_TASK}) ORDER BY {sql_hash_key(42, 'row_id')}, row_id LIMIT 100""")
+SELECT nonletter_share AS x, word_share AS y, CAST(quality AS VARCHAR) AS hue FROM ({fx.SQL_DOCS_TASK})""")
 def agg_scatter(spark, d):
+    return prof.scatter(fx.docs_task(spark, d), "nonletter_share", "word_share", "quality")
+
+
+@query("agg_scatter_pairs", "\nUNION ALL\n".join(
+    f"SELECT '{a}' AS x_col, '{b}' AS y_col, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y, l_returnflag AS hue FROM lineitem"
+    for i, a in enumerate(PAIR_COLS) for b in PAIR_COLS[i + 1:]))
+def agg_scatter_pairs(spark, d):
+    """Pairs matrix: every point of every pair of columns, one scan."""
+    return prof.scatter_pairs(table(spark, d, "lineitem"), PAIR_COLS, "l_returnflag")
+
+
+@query("agg_scatter_sample", f"""
+SELECT nonletter_share AS x, word_share AS y, CAST(quality AS VARCHAR) AS hue
+FROM ({fx.SQL_DOCS_TASK}) ORDER BY {sql_hash_key(42, 'row_id')}, row_id LIMIT 100""")
+def agg_scatter_sample(spark, d):
     return prof.scatter_sample(fx.docs_task(spark, d), "nonletter_share", "word_share", "quality", 100)
 
 

@@ -24,9 +24,12 @@ from tricolor.operators.transform import MinMaxScaling, NewFeature, StandardScal
 class Recipe:
     label: str
     id_col: str = "row_id"
+    keys: tuple[str, ...] = ()               # declared keys: never features
+    required: list[str] = field(default_factory=list)   # source columns the features come from
     missing: list[MissingStep] = field(default_factory=list)
     label_values: tuple | None = None        # (value coded 0, value coded 1)
     encoding: OneHotEncoding | None = None
+    base_features: list[str] = field(default_factory=list)   # after encoding, before derived features and drops
     features: list[str] = field(default_factory=list)
     steps: list[tuple[str, object]] = field(default_factory=list)
 
@@ -34,6 +37,8 @@ class Recipe:
     def fit_base(self, df: DataFrame, zero_value, one_value, missing: Sequence[MissingStep] = (),
                  categorical: Sequence[str] | None = None) -> DataFrame:
         """Fit fills, label map and one-hot on ``df``; return the encoded, finite training frame."""
+        df = df.drop(*self.keys)
+        self.required = [c for c in df.columns if c not in (self.id_col, self.label)]
         self.missing = fit_missing(df, list(missing))
         filled = apply_missing(df, self.missing)
         self.label_values = (zero_value, one_value)
@@ -45,21 +50,33 @@ class Recipe:
             raise LabelError(f"target {self.label!r}: rows are NULL or outside "
                              f"{{{zero_value!r}, {one_value!r}}}") from e
         encoded = self.encoding.transform(labelled)
-        self.features = [c for c in encoded.columns if c not in (self.id_col, self.label)]
-        return self._finish_base(encoded)
+        self.base_features = [c for c in encoded.columns if c not in (self.id_col, self.label)]
+        self.features = list(self.base_features)
+        return cols.drop_non_finite(self._aligned(encoded), self.base_features)
 
-    def _finish_base(self, encoded: DataFrame) -> DataFrame:
+    def _aligned(self, encoded: DataFrame) -> DataFrame:
         keep = [c for c in (self.id_col, self.label) if c in encoded.columns]
-        aligned = cols.align_to(encoded, self.features, keep=keep)
-        return cols.drop_non_finite(aligned, self.features)
+        return cols.align_to(encoded, self.base_features, keep=keep)
 
     def base(self, df: DataFrame, with_label: bool = True) -> DataFrame:
-        """Replay fills, label map (unmappable test rows dropped), encoding and alignment."""
-        filled = apply_missing(df, self.missing)
+        """Replay fills, label map (rows without a target dropped), encoding and alignment.
+
+        A table without a source column of the features is refused: filling it with a constant
+        would give predictions that mean nothing. Unknown categories and absent indicator columns
+        are 0, as in training.
+        """
+        return cols.drop_non_finite(self._encoded(df, with_label), self.base_features)
+
+    def removed_rows(self, df: DataFrame, with_label: bool = True) -> int:
+        """Rows that ``base`` leaves out because a feature is not finite, counted in one pass."""
+        return cols.count_non_finite(self._encoded(df, with_label), self.base_features)
+
+    def _encoded(self, df: DataFrame, with_label: bool) -> DataFrame:
+        cols.require_columns(df, self.required)
+        filled = apply_missing(df.drop(*self.keys), self.missing)
         if with_label and self.label in filled.columns:
             filled = encode_test_label(filled, self.label, *self.label_values)
-        encoded = self.encoding.transform(filled) if self.encoding else filled
-        return self._finish_base(encoded)
+        return self._aligned(self.encoding.transform(filled) if self.encoding else filled)
 
     def minmax(self, train: DataFrame, columns: Sequence[str]) -> DataFrame:
         s = MinMaxScaling.fit(train, columns)
@@ -120,6 +137,8 @@ class Recipe:
                 detail = f"{step.out} = {step.op}({step.col1}, {step.col2})"
             elif kind == "outlier":
                 detail = f"{step.column}: keep [{step.lower}, {step.upper}] (train only)"
+            elif kind == "resample":
+                detail = f"{step[0]} (seed {step[1]}, train only)"
             else:
                 detail = f"drop {list(step)}"
             rows.append((i + 1, kind, detail))

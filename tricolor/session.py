@@ -40,7 +40,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and read here. Only where it is unset
-    (local runs, tests) a private folder is created and registered.
+    (local runs, tests) a private folder is created and registered; on any other master that is
+    an error, since executors would not see each other's files.
     """
     global _LOCAL_CKPT
     conf_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -53,6 +54,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(conf_dir)
         return conf_dir
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _LOCAL_CKPT is None:
         _LOCAL_CKPT = tempfile.mkdtemp(prefix="tricolor-ckpt-")
     if spark.sparkContext.getCheckpointDir() is None:

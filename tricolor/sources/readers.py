@@ -42,19 +42,53 @@ def normalize_missing(df: DataFrame, na_strings: list[str] | None = None) -> Dat
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             cols.append(F.when(F.isnan(c), F.lit(None).cast(f.dataType)).otherwise(c).alias(f.name))
         elif isinstance(f.dataType, T.StringType) and na:
-            cols.append(F.when(F.trim(c).isin(na), F.lit(None).cast("string")).otherwise(c).alias(f.name))
+            cols.append(F.when(c.isin(na), F.lit(None).cast("string")).otherwise(c).alias(f.name))
         else:
             cols.append(c)
     return df.select(*cols)
 
 
+def _typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Cast string columns; a value that does not fit its declared type is an error, as on reading."""
+    return raw.select(*[F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType)
+                        else F.trim(F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              normalize: bool = True) -> DataFrame:
-    """Headed CSV. Pass ``schema`` at scale; without it types are inferred (an extra pass)."""
+    """Headed CSV. Pass ``schema`` at scale; without it types are inferred (an extra pass).
+
+    The missing markers are values of every column: all columns are read as strings, the markers
+    become NULL, and only then are values typed, so ``NA`` in a number column is a missing number.
+    """
     reader = spark.read.option("header", True).option("mode", "FAILFAST")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    df = reader.csv(path)
-    return normalize_missing(df) if normalize else df
+    if not normalize:
+        return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
+    if schema is not None:
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        raw = normalize_missing(reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])).csv(path))
+        return normalize_missing(_typed(raw, schema))
+    raw = normalize_missing(reader.csv(path))
+    return normalize_missing(_typed(raw, infer_types(raw)))
+
+
+# The types tried in turn; the first that fits every value is the column's.
+CSV_TYPES = ("int", "bigint", "double", "boolean", "date", "timestamp")
+
+
+def infer_types(raw: DataFrame) -> T.StructType:
+    """The narrowest type of each string column that holds all its values (NULLs aside), in one
+    aggregate over the table; a column without values stays a string."""
+    if not raw.columns:
+        return T.StructType([])
+    aggs = []
+    for i, c in enumerate(raw.columns):
+        v = F.trim(F.col(f"`{c}`"))
+        aggs.append(F.count(v).alias(f"n{i}"))
+        aggs += [F.count_if(v.isNotNull() & v.try_cast(t).isNull()).alias(f"bad{i}_{t}") for t in CSV_TYPES]
+    r = raw.agg(*aggs).first()
+    kinds = [next((t for t in CSV_TYPES if r[f"n{i}"] and not r[f"bad{i}_{t}"]), "string") for i in range(len(raw.columns))]
+    return T.StructType.fromDDL(", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in zip(raw.columns, kinds)))
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,

@@ -1,4 +1,4 @@
-"""Distributed numbering and running sums without a single-partition window.
+"""Distributed numbering and running sums without a single-partition window over the rows.
 
 ``Window.orderBy(...)`` with no partition moves every row into one task. Instead:
 
@@ -8,8 +8,8 @@
 3. the frame is checkpointed into the shared checkpoint folder, so counts and positions come
    from one fixed layout (and lineage is cut: a lost executor re-reads, not re-samples); the
    input is persisted meanwhile, so range sampling does not evaluate the upstream plan twice;
-4. the P per-partition counts are collected once (P is ours to choose), prefix-summed, and
-   broadcast back as a literal P-row table, so later actions never rescan for them.
+4. per-partition totals are summed up by a window over the small relation that has one row per
+   range (P is ours to choose), which is joined back. Nothing is collected.
 
 With unique keys the result is the exact global rank whatever the range bounds are.
 """
@@ -26,9 +26,6 @@ from tricolor.session import cut_lineage
 
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
-# Broadcasting a group table is only allowed below this many groups.
-MAX_BROADCAST_GROUPS = 100_000
-
 
 def _range_tagged(df: DataFrame, order_cols: Sequence, num_partitions: int | None,
                   persist_input: bool = True) -> DataFrame:
@@ -52,35 +49,17 @@ def _range_tagged(df: DataFrame, order_cols: Sequence, num_partitions: int | Non
             .withColumn("_tc_pos", F.col("_tc_mid").bitwiseAND(F.lit(_POS_MASK))))
 
 
-def literal_table(spark, rows: Sequence[tuple], fields: Sequence[tuple[str, str]]) -> DataFrame:
-    """A small table of driver-side constants as a JVM expression (``inline`` of literal
-    structs): no Python worker, no RDD of pickled rows."""
-    if not rows:
-        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in fields])
-    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+def partition_offsets(totals: DataFrame, value_cols: Sequence[str]) -> DataFrame:
+    """(_tc_pid, value totals) -> exclusive prefix sums ``_tc_off_<value>`` in partition order.
 
+    One row per range: the window runs over this relation, never over the ranked rows.
+    """
+    before = Window.orderBy("_tc_pid").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("_tc_pid", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_tc_off_{v}") for v in value_cols])
 
-def _offset_table(t: DataFrame, value_cols: Sequence[str]) -> tuple[DataFrame, dict]:
-    """Per-partition totals of the checkpointed frame, prefix-summed: (P-row table, grand totals).
 
-    The P totals (P = number of ranges, a bound we chose) are collected once and the exclusive
-    prefix sums become a literal table, so later actions never rescan the checkpoint for them.
-    """
-    spark = t.sparkSession
-    rows = t.groupBy("_tc_pid").agg(*[F.sum(v).alias(v) for v in value_cols]).collect()
-    rows.sort(key=lambda r: r["_tc_pid"])
-    running = {v: 0 for v in value_cols}
-    out = []
-    for r in rows:
-        out.append((r["_tc_pid"], *[running[v] for v in value_cols]))
-        for v in value_cols:
-            running[v] += r[v] or 0
-    types = {f.name: f.dataType.simpleString() for f in t.schema.fields}
-    fields = [("_tc_pid", "int")] + [
-        (f"_tc_off_{v}", "bigint" if types.get(v, "bigint") in ("int", "bigint", "smallint", "tinyint") else "double")
-        for v in value_cols]
-    return literal_table(spark, out, fields), running
+def _offset_table(t: DataFrame, value_cols: Sequence[str]) -> DataFrame:
+    return partition_offsets(t.groupBy("_tc_pid").agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(v) for v in value_cols]), value_cols)
 
 
 def _join_back(df: DataFrame, ranked: DataFrame, key_cols: Sequence[str], out: str) -> DataFrame:
@@ -95,11 +74,11 @@ def _join_back(df: DataFrame, ranked: DataFrame, key_cols: Sequence[str], out: s
 
 def ordered_rank_n(df: DataFrame, order_cols: Sequence, out: str = "rank",
                    num_partitions: int | None = None, persist_input: bool = True) -> tuple[DataFrame, int]:
-    """``ordered_rank`` plus the row count (known from the offsets, no extra pass)."""
+    """``ordered_rank`` plus the row count (read from the checkpointed layout)."""
     t = _range_tagged(df, order_cols, num_partitions, persist_input).withColumn("_tc_one", F.lit(1))
-    offs, totals = _offset_table(t, ["_tc_one"])
-    ranked = t.join(F.broadcast(offs), "_tc_pid")
-    return ranked.select(*df.columns, (F.col("_tc_off__tc_one") + F.col("_tc_pos") + 1).alias(out)), totals["_tc_one"]
+    # the offsets have one row per range partition: a bound we chose, not one that the data sets
+    ranked = t.join(F.broadcast(_offset_table(t, ["_tc_one"])), "_tc_pid")
+    return ranked.select(*df.columns, (F.col("_tc_off__tc_one") + F.col("_tc_pos") + 1).alias(out)), t.count()
 
 
 def ordered_rank(df: DataFrame, order_cols: Sequence, out: str = "rank",
@@ -115,40 +94,23 @@ def ordered_rank(df: DataFrame, order_cols: Sequence, out: str = "rank",
         keys = df.select(*[F.col(f"`{k}`") for k in key_cols])
         ranked = ordered_rank(keys, order_cols, out, num_partitions, persist_input)
         return _join_back(df, ranked, key_cols, out)
-    return ordered_rank_n(df, order_cols, out, num_partitions, persist_input)[0]
-
-
-def group_offsets(df: DataFrame, group_col: str, max_groups: int = MAX_BROADCAST_GROUPS) -> DataFrame:
-    """(group, rows before the group in ascending group order) as a literal table.
-
-    The per-group counts are sorted by Spark (the same order the range partitioning uses),
-    collected once under a bound, and prefix-summed on the driver.
-    """
-    rows = (df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_tc_gn"))
-            .orderBy(F.col(group_col).asc_nulls_first()).limit(max_groups + 1).collect())
-    if len(rows) > max_groups:
-        raise ValueError(f"rank_within: more than {max_groups} groups exceed the broadcast bound")
-    start, out = 0, []
-    for r in rows:
-        out.append((r[group_col], start))
-        start += r["_tc_gn"]
-    gtype = df.schema[group_col].dataType.simpleString()
-    return literal_table(df.sparkSession, out, [(group_col, gtype), ("_tc_gstart", "bigint")])
+    t = _range_tagged(df, order_cols, num_partitions, persist_input).withColumn("_tc_one", F.lit(1))
+    ranked = t.join(F.broadcast(_offset_table(t, ["_tc_one"])), "_tc_pid")
+    return ranked.select(*df.columns, (F.col("_tc_off__tc_one") + F.col("_tc_pos") + 1).alias(out))
 
 
 def rank_within(df: DataFrame, group_col: str, order_cols: Sequence, out: str = "rank",
-                num_partitions: int | None = None, max_groups: int = MAX_BROADCAST_GROUPS,
-                key_cols: Sequence[str] | None = None) -> DataFrame:
-    """Rank 1..n_g inside each group, for few groups of any size (e.g. the two classes).
+                num_partitions: int | None = None, key_cols: Sequence[str] | None = None) -> DataFrame:
+    """Rank 1..n_g inside each group, whatever the number and size of the groups.
 
     A per-group window would put a whole class in one task; here the global rank over
-    (group, keys) minus the group's start offset gives the same number.
+    (group, keys) minus the group's smallest one gives the same number.
     """
-    offs = group_offsets(df, group_col, max_groups)
     ranked = ordered_rank(df, [F.col(group_col).asc_nulls_first(), *order_cols], "_tc_grank",
                           num_partitions, key_cols=[group_col, *key_cols] if key_cols else None)
-    j = ranked.join(F.broadcast(offs), ranked[group_col].eqNullSafe(offs[group_col]), "left")
-    return j.select(*[ranked[c] for c in df.columns], (F.col("_tc_grank") - F.col("_tc_gstart")).alias(out))
+    firsts = ranked.groupBy(F.col(group_col).alias("_tc_group")).agg(F.min("_tc_grank").alias("_tc_first"))
+    j = ranked.join(firsts, F.col(group_col).eqNullSafe(F.col("_tc_group")))
+    return j.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_tc_grank") - F.col("_tc_first") + 1).alias(out))
 
 
 def ordered_running_sum(df: DataFrame, order_cols: Sequence, value_cols: Sequence[str],
@@ -157,8 +119,7 @@ def ordered_running_sum(df: DataFrame, order_cols: Sequence, value_cols: Sequenc
     t = _range_tagged(df, order_cols, num_partitions)
     w = Window.partitionBy("_tc_pid").orderBy("_tc_mid").rowsBetween(Window.unboundedPreceding, 0)
     within = t.select("*", *[F.sum(v).over(w).alias(f"_tc_in_{v}") for v in value_cols])
-    offs, _ = _offset_table(t, value_cols)
-    out = within.join(F.broadcast(offs), "_tc_pid")
+    out = within.join(F.broadcast(_offset_table(t, value_cols)), "_tc_pid")
     return out.select(*df.columns,
                       *[(F.col(f"_tc_off_{v}") + F.col(f"_tc_in_{v}")).alias(f"{prefix}{v}")
                         for v in value_cols])

@@ -23,11 +23,16 @@ from tricolor.session import scratch_path
 def score_stream(stream: DataFrame, recipe: Recipe, models: Sequence[FittedClassifier],
                  flips: dict | None = None) -> DataFrame:
     """Streaming DataFrame of prepared rows with prediction, probability and light per model."""
-    usable = [m for m in models if not isinstance(m, KNNFitted)]
-    if len(usable) != len(models):
+    if any(_needs_batch(m) for m in models):
         raise ValueError("kNN scoring needs a batch join against the training rows; score it in batch")
     prepared = recipe.apply(stream, with_label=False)
-    return score_table(predict_all(prepared, usable), [m.name for m in usable], flips)
+    return score_table(predict_all(prepared, models), [m.name for m in models], flips)
+
+
+def _needs_batch(m: FittedClassifier) -> bool:
+    """kNN itself, or a vote or stack that holds one."""
+    inner = [x for x in vars(m).values() for x in (x if isinstance(x, (list, tuple)) else [x]) if isinstance(x, FittedClassifier)]
+    return isinstance(m, KNNFitted) or any(_needs_batch(x) for x in inner)
 
 
 def read_parquet_stream(spark: SparkSession, path: str, schema: T.StructType,
