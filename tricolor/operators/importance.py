@@ -20,6 +20,8 @@ from tricolor.operators.profile import _bin, _min_max, q
 from tricolor.sources.rowid import ordered_rank, rank_within
 
 SEED = 42
+# The deepest trees that Spark grows: importances come from forests that are not pruned.
+MAX_DEPTH = 30
 
 
 def _table(spark: SparkSession, feats: Sequence[str], values: Sequence[float], method: str) -> DataFrame:
@@ -28,7 +30,7 @@ def _table(spark: SparkSession, feats: Sequence[str], values: Sequence[float], m
 
 
 def rf_importance(df: DataFrame, features: Sequence[str], label: str, n_trees: int = 100) -> DataFrame:
-    rf = RandomForestClassifier(numTrees=n_trees, featureSubsetStrategy="sqrt", seed=SEED, maxBins=64,
+    rf = RandomForestClassifier(numTrees=n_trees, maxDepth=MAX_DEPTH, featureSubsetStrategy="sqrt", seed=SEED, maxBins=64,
                                 featuresCol=VEC, labelCol=label)
     m = rf.fit(assemble(df.select(*features, q(label).cast("double").alias(label)), features))
     return _table(df.sparkSession, features, m.featureImportances.toArray(), "random_forest")
@@ -49,17 +51,18 @@ def permutation_importance(fitted: FittedClassifier, df: DataFrame, features: Se
     base = df.select(q(id_col), *[q(f) for f in feats], q(label))
     base_pred = fitted.predict(base)
     base_acc = base_pred.agg(F.avg((F.col(pred_col(fitted.name)) == q(label)).cast("double")).alias("a")).first()["a"]
-    reps = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r"))
-    by_id = rank_within(reps, "_r", [q(id_col)], "_rank")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_r").cast("string"), F.lit(":"), q(id_col).cast("string")))
-    by_hash = rank_within(reps, "_r", [key, q(id_col)], "_rank")
-    donors = by_hash.select("_r", "_rank", *[q(f).alias(f"_d{j}") for j, f in enumerate(feats)])
-    joined = by_id.join(donors, ["_r", "_rank"])
-    copies = None
-    for j, f in enumerate(feats):
-        c = joined.select(F.lit(f).alias("_feature"), "_r", q(id_col), q(label),
-                          *[(F.col(f"_d{j}") if g == f else q(g)).alias(g) for g in feats])
-        copies = c if copies is None else copies.unionByName(c)
+    # only ids are ranked: the n-th row takes the values of the n-th row of each shuffle
+    ids = base.select(q(id_col))
+    by_id = ordered_rank(ids, [q(id_col)], "_rank")
+    reps = ids.select(q(id_col).alias("_donor"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("_r"))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_r").cast("string"), F.lit(":"), F.col("_donor").cast("string")))
+    by_hash = rank_within(reps, "_r", [key, F.col("_donor")], "_rank")
+    donors = base.select(q(id_col).alias("_donor"), *[q(f).alias(f"_d{j}") for j, f in enumerate(feats)])
+    joined = by_hash.join(by_id, "_rank").join(base, id_col).join(donors, "_donor")
+    copy = lambda f: F.struct(F.lit(f).alias("_feature"), *[
+        (F.col(f"_d{j}") if g == f else q(g)).alias(g) for j, g in enumerate(feats)])
+    copies = (joined.select("_r", q(id_col), q(label), F.explode(F.array(*[copy(f) for f in feats])).alias("_c"))
+              .select("_r", q(id_col), q(label), "_c.*"))
     scored = fitted.predict(copies)
     acc = scored.groupBy("_feature", "_r").agg(
         F.avg((F.col(pred_col(fitted.name)) == q(label)).cast("double")).alias("acc"))

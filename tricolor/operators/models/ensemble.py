@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tricolor.operators.models.base import Classifier, FittedClassifier, pred_col, prob_col
 from tricolor.operators.models.plsda import PLSDA
 from tricolor.operators.profile import q
+from tricolor.session import cut_lineage
 
 SEED = 42
 
@@ -64,6 +65,7 @@ class Stacking(Classifier):
                 held = b.fit(train, feats, label).predict(held)
             part = held.select(q(self.id_col), q(label), *[F.col(prob_col(b.name)) for b in self.bases])
             oof = part if oof is None else oof.unionByName(part)
+        oof = cut_lineage(oof)  # read by the count and by every iteration of the meta fit
         meta = self.meta or model("Ridge", alias=f"{self.name}Meta")
         meta_fit = meta.fit(oof, [prob_col(b.name) for b in self.bases], label)
         bases = [b.fit(df, feats, label) for b in self.bases]

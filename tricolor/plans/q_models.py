@@ -480,7 +480,7 @@ def imp_lasso(spark, d):
 def imp_permutation(spark, d):
     """Random forest fitted on the training part, 10 md5 shuffles per feature on validation."""
     p = prepared_task(spark, d, standardise=False)
-    fitted = model("RandomForest").fit(p.train, p.features, LABEL)
+    fitted = model("RandomForest", max_depth=imp.MAX_DEPTH).fit(p.train, p.features, LABEL)
     return imp.permutation_importance(fitted, p.val, p.features, LABEL, repeats=10)
 
 
