@@ -303,7 +303,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                             F.lit(1).alias("role"))
         where_asked = asked.select("grp", "block").distinct()
         held = comp.join(where_asked, ["grp", "block"], "left_semi").select("grp", "block", "id", "comp", F.lit(0).alias("role"))
-        more = stage_table(_by_block(held.unionByName(asked).hint("merge").join(texts, "id").select("grp", "block", "id", "text", "comp", "role"),
+        # written first: Spark then knows how few rows these mostly are, and need not shuffle the texts for them
+        pairs = stage_table(held.unionByName(asked), "asked")
+        more = stage_table(_by_block(pairs.join(texts, "id").select("grp", "block", "id", "text", "comp", "role"),
                                      _confirmed(k, percent, True)), "more")
         # components found so far are the vertices of what the queries add
         top = stage_table(connected_components(more), "top")
