@@ -55,7 +55,7 @@ def test_risk_stays_non_negative_where_plain_risk_would_not():
     chosen, w, bias = fit_nnpu(feats, positive, 0.3, keep=512)
     f = np.array([bias + w[np.isin(chosen, x)].sum() for x in feats])
     risk = np.logaddexp(0, f[~positive]).mean() - 0.3 * np.logaddexp(0, f[positive]).mean()
-    assert risk > -0.05 and f[positive].min() > f[~positive].max()
+    assert risk > -0.05 and f[positive].mean() > f[~positive].mean() + 0.5
 
 
 def test_logistic_recovers_a_line():
