@@ -52,7 +52,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def fit_nnpu(feats: list[np.ndarray], positive: np.ndarray, prior: float, keep: int, steps: int = 300,
+def fit_nnpu(feats: list[np.ndarray], positive: np.ndarray, prior: float, keep: int, steps: int = 400,
              rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias) of one logistic classifier under the non-negative PU risk."""
     count = lambda rows: np.bincount(np.concatenate([feats[i] for i in rows] or [np.zeros(0, np.uint32)]), minlength=SPACE)
@@ -137,12 +137,13 @@ def held_out(id_col: Column) -> Column:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
                  most_positive: int = 12_000, most_unlabelled: int = 36_000, bags: int = 3,
-                 keep: int = 4096) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], float]:
+                 keep: int = 1024) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], float]:
     """The classifiers and the class prior, learned outside the held-out fold.
 
     Bounds: about ``most_positive`` confirmed positives and ``most_unlabelled`` other texts, drawn
     by a hash of the id. The prior is the share of positives among labelled rows of the training
-    folds. Without positives or labels there is no classifier.
+    folds, carried over to the texts that are left when the confirmed positives are taken out.
+    Without positives or labels there is no classifier.
     """
     known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
              .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("toxic")))
@@ -153,8 +154,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     draw = lambda c, share: F.pmod(F.xxhash64(c, F.lit(23)), F.lit(1 << 20)) < int(min(1.0, share) * (1 << 20))
     # bounded by most_positive: at most a few hundred kilobytes
     positive = known.where((F.col("toxic") == 1) & draw("id", most_positive / p)).select("id", F.lit(1).alias("toxic"))
-    total = docs.count()
     rows = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    total = rows.count()
+    # the confirmed positives are not among the unlabelled texts, which so hold fewer
+    prior = min(max((prior * total - p) / max(1, total - p), 0.001), 0.5)
     rows = rows.join(F.broadcast(positive), "id", "left").withColumn("toxic", F.coalesce("toxic", F.lit(0)))
     sample = rows.where((F.col("toxic") == 1) | draw("id", most_unlabelled / max(1, total)))
     sample = sample.select(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(bags)).cast("int").alias("bag"), "toxic", "text")
