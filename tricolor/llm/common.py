@@ -19,7 +19,8 @@ from tricolor.session import scratch_path, ship_package
 
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 19
+BATCH_ROWS = 1000
 
 _U = np.uint64
 _SEP = np.zeros(256, bool)
@@ -60,7 +61,12 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
+    """Before Python runs in tasks: the package goes along, and Arrow batches are kept to
+    ``BATCH_ROWS`` rows, since rows hold whole texts here and workers share an executor's memory."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -172,7 +178,7 @@ def shingle_hashes(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(acc + size.astype(np.uint64)), ptr
 
 
-def slices(batch: pa.RecordBatch, text: str, target: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, target: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into pieces of about ``target`` text bytes."""
     _, bounds = text_buffers(batch.column(text))
     at, n = 0, batch.num_rows
