@@ -107,7 +107,7 @@ class SVMClassifier(Classifier):
     gamma: float | str = "scale"
     n_components: int = 100
     platt_folds: int = 5
-    max_iter: int = 200
+    max_iter: int = 100
     id_col: str = "row_id"
 
     def _fit_svc(self, x: DataFrame, names, label: str, n: int):

@@ -207,7 +207,7 @@ def tun_random(spark, d):
     return _search_table(spark, best, results)
 
 
-@query("cv_metrics")
+@query("cv_metrics", headline=True)
 def cv_metrics(spark, d):
     """10-fold accuracy / precision / recall / F1 / AUC: mean and population std."""
     p = prepared_task(spark, d)
