@@ -53,7 +53,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit_nnpu(feats: list[np.ndarray], positive: np.ndarray, prior: float, keep: int, steps: int = 400,
-             rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+             rate: float = 0.1, decay: float = 1e-4, non_negative: bool = True) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias) of one logistic classifier under the non-negative PU risk."""
     count = lambda rows: np.bincount(np.concatenate([feats[i] for i in rows] or [np.zeros(0, np.uint32)]), minlength=SPACE)
     pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
@@ -77,7 +77,7 @@ def fit_nnpu(feats: list[np.ndarray], positive: np.ndarray, prior: float, keep:
         g_neg = np.zeros(len(held))
         g_neg[unl] = s[unl] / len(unl)
         g_neg[pos] = -prior * s[pos] / len(pos)
-        if negative >= 0:
+        if negative >= 0 or not non_negative:
             g = g_neg
             g[pos] += prior * (s[pos] - 1) / len(pos)
         else:
