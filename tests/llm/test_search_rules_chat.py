@@ -34,6 +34,27 @@ def test_neighbours_against_brute_force(rows):
     assert hit >= 0.9 * 20 * len(by)
 
 
+def recall(rows, x, queries, **how):
+    got = nearest(rows("vec_id long, embedding array<double>", [(i, r.tolist()) for i, r in enumerate(x)]), queries, **how).collect()
+    asked = sorted({r["query_id"] for r in got})
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = {q: set(np.argsort(-s)[:20].tolist()) for q, s in zip(asked, score)}
+    found = {q: {r["vec_id"] for r in got if r["query_id"] == q} for q in asked}
+    return sum(len(want[q] & found[q]) for q in asked) / (20 * len(asked)), want, found
+
+
+@pytest.mark.parametrize("long", [1.0, 1000.0])
+def test_recall_on_varied_norms_in_a_large_block(rows, long):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((8000, 32))
+    x *= rng.uniform(0.5, 2, (8000, 1)) / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x[5] *= long
+    share, want, found = recall(rows, x, "id % 200 = 0")  # one block, where 0.6 of it is more than LEAST
+    assert share >= 0.9
+    assert all(5 in found[q] for q in want if 5 in want[q])
+
+
 def test_few_and_no_vectors(rows):
     got = nearest(rows("vec_id long, embedding array<float>", [(0, [1.0, 0.0]), (1, [0.5, 0.1]), (2, [-1.0, 0.0])]), "id % 20 = 0").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 1), (0, 2, 2)]

@@ -5,8 +5,10 @@ belong to. A query descends every tree to its longest matching prefix, which dif
 tree, and the trees then ascend together, one bit at a time, until the rows under the prefixes, counted once per
 tree, are ``probe`` of the block and at least LEAST; those are scored exactly in double precision.
 
-Inner products become angles by one extra coordinate that lifts every vector to the largest norm.
-Rows are dealt into blocks of about ``block`` rows by a hash of the id, and a block's forest is one
+Inner products become angles by one extra coordinate that lifts every row to the largest norm of its
+block; queries have 0 there, so that the angle falls with the inner product alone. Rows are dealt
+into blocks of about ``block`` rows, first by norm (halvings of the largest), since a few long
+vectors would otherwise leave the short ones alike, then by a hash of the id, and a block's forest is one
 row of the index table, written once. Queries are a stated set, dealt into chunks; each (block,
 chunk) pair is searched on its own and the per-block best are merged per query. Equal vectors form
 a group of which only the k + 1 smallest ids can ever be answers, so only those are indexed; a
@@ -27,6 +29,7 @@ from tricolor.llm.common import runs, ship, stage_table
 BITS = 16
 _TOP = 1 << BITS
 LEAST = 2048
+BANDS = 32
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -40,9 +43,10 @@ def valid_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.where(F.size("vec") == (dim["d"] if dim else 0))
 
 
-def _codes(x: np.ndarray, trees: int, top: float) -> np.ndarray:
-    """Hash strings (rows, trees) of vectors lifted to norm ``top``."""
-    lift = np.sqrt(np.maximum(0.0, top * top - (x * x).sum(axis=1)))
+def _codes(x: np.ndarray, trees: int, lifted: bool) -> np.ndarray:
+    """Hash strings (rows, trees) of vectors, rows being ``lifted`` to the largest norm among them."""
+    square = (x * x).sum(axis=1)
+    lift = np.sqrt(square.max(initial=0.0) - square) if lifted else np.zeros(len(x))
     planes = np.random.default_rng(4099).standard_normal((x.shape[1] + 1, trees * BITS)).astype(np.float32)
     y = np.concatenate([x, lift[:, None]], axis=1).astype(np.float32)
     out = np.empty((len(x), trees), np.uint16)
@@ -68,24 +72,28 @@ def _gather(key: str, build):
     return run
 
 
-def build_forest(vectors: DataFrame, copies: int, trees: int, block: int) -> tuple[DataFrame, int, float]:
-    """The index table (block, ids, vecs, codes, rows), its number of blocks and the largest norm."""
-    n, top = vectors.agg(F.count(F.lit(1)), F.max("norm")).first()
-    blocks = max(1, -(-n // block))
-    top = float(top or 1.0)
+def build_forest(vectors: DataFrame, copies: int, trees: int, block: int) -> tuple[DataFrame, int]:
+    """The index table (block, ids, vecs, codes, rows) and its number of blocks."""
+    top = float(vectors.agg(F.max("norm")).first()[0] or 1.0)
+    band = F.floor(F.least(F.log2(F.lit(top) / F.col("norm")), F.lit(BANDS - 1.0))).cast("int")
+    sizes = dict(vectors.groupBy(band).count().collect())  # at most BANDS rows
+    parts = [-(-sizes.get(i, 0) // block) for i in range(BANDS)]
+    blocks = max(1, sum(parts))
+    at = lambda x: F.element_at(F.array(*map(F.lit, x)), band + 1).cast("bigint")
+    dealt = at([sum(parts[:i]) for i in range(BANDS)]) + F.pmod(F.xxhash64("id"), at(parts))
 
     def one(b: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        codes = _codes(x, trees, top).T
+        codes = _codes(x, trees, True).T
         order = np.argsort(codes, axis=1, kind="stable")
         return pa.RecordBatch.from_pydict({
             "block": [b], "ids": [ids.tobytes()], "vecs": [x.tobytes()],
             "codes": [np.take_along_axis(codes, order, axis=1).tobytes()], "rows": [order.astype(np.int32).tobytes()]})
 
     first = vectors.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("r") <= copies)
-    index = (first.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).select("block", "id", "vec")
+    index = (first.withColumn("block", dealt).select("block", "id", "vec")
              .repartition("block").sortWithinPartitions("block", "id")
              .mapInArrow(_gather("block", one), "block long, ids binary, vecs binary, codes binary, rows binary"))
-    return stage_table(index, "forest"), blocks, top
+    return stage_table(index, "forest"), blocks
 
 
 def _search_block(ids, vecs, codes, rows, qids, queries, qcodes, k: int, probe: float):
@@ -118,7 +126,7 @@ def _search_block(ids, vecs, codes, rows, qids, queries, qcodes, k: int, probe:
         yield np.full(len(best), qids[q]), ids[at[best]], score[best]
 
 
-def _search(trees: int, k: int, probe: float, top: float):
+def _search(trees: int, k: int, probe: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
@@ -127,7 +135,7 @@ def _search(trees: int, k: int, probe: float, top: float):
                 queries = np.frombuffer(r["qvecs"], float).reshape(len(qids), -1)
                 found = list(_search_block(
                     ids, vecs, np.frombuffer(r["codes"], np.uint16).reshape(trees, -1),
-                    np.frombuffer(r["rows"], np.int32).reshape(trees, -1), qids, queries, _codes(queries, trees, top), k, probe))
+                    np.frombuffer(r["rows"], np.int32).reshape(trees, -1), qids, queries, _codes(queries, trees, False), k, probe))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)],
                                                  names=["query_id", "vec_id", "score"])
     return run
@@ -148,7 +156,7 @@ def nearest(df: DataFrame, queries: str, id_col: str = "vec_id", vec_col: str =
     ship(spark)
     v = stage_table(valid_vectors(df, id_col, vec_col).groupBy("id").agg(F.min(F.struct("vec", "norm")).alias("x"))
                     .select("id", "x.vec", "x.norm"), "vectors")
-    index, blocks, top = build_forest(v, k + 1, trees, block)
+    index, blocks = build_forest(v, k + 1, trees, block)
     asked = v.where(queries)
     chunks = max(1, -(-asked.count() // chunk))
 
@@ -161,7 +169,7 @@ def nearest(df: DataFrame, queries: str, id_col: str = "vec_id", vec_col: str =
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     pairs = index.withColumn("chunk", every(chunks)).join(q.withColumn("block", every(blocks)), ["block", "chunk"])
     found = (pairs.repartition(blocks * chunks, "block", "chunk")
-             .mapInArrow(_search(trees, k, probe, top), "query_id long, vec_id long, score double"))
+             .mapInArrow(_search(trees, k, probe), "query_id long, vec_id long, score double"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
