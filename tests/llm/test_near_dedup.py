@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tests.llm.text_cases import corpus, edited, prose, words_of
+from tricolor.llm import near_dedup
 from tricolor.llm.near_dedup import drop_near_duplicates, near_duplicates
 
 
@@ -59,3 +60,23 @@ def test_drop_keeps_columns(rows):
     out = drop_near_duplicates(df)
     assert out.columns == df.columns
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+
+
+def test_no_task_holds_a_whole_group_of_template_documents(rows, monkeypatch):
+    """Documents of similarity about 0.7 are one candidate group, but hardly any link is confirmed."""
+    rng = random.Random(6)
+    base = prose(rng, 150)
+    docs = [(i, edited(rng, base, 0.09)) for i in range(200)]
+    docs += [(200 + i, edited(rng, docs[i][1], 0.01)) for i in range(0, 60, 3)]
+    most, by_block = [], near_dedup._by_block
+
+    def watched(df, fn):
+        keys = [c for c in ("grp", "block", "room") if c in df.columns]
+        most.append(max(r["count"] for r in df.groupBy(*keys).count().collect()))
+        return by_block(df, fn)
+
+    monkeypatch.setattr(near_dedup, "_by_block", watched)
+    got = near_duplicates(rows("doc_id long, text string", docs), k=2, leaf=8, depth=3, block=16, pivots=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(docs, 2, 80)
+    assert len({r["component_id"] for r in got}) > 100
+    assert len(most) == 2 and max(most) <= 80, most  # blocks and rooms are about 16, dealt by hash

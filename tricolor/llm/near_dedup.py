@@ -22,7 +22,8 @@ Plan, chosen for bounded memory with groups of any size:
    larger ones are salted into blocks, and ``pivots`` members go along with every block, which
    joins what the blocks found. Documents that then are not in the largest component of their
    group are compared with every block of the group, as a stated query set: no pair that could
-   join two components stays untested, and pairs inside one component need no test.
+   join two components stays untested, and pairs inside one component need no test. The queries are
+   dealt into blocks too (*rooms*), so that a task holds one block of members and one of queries.
 
 The result never depends on a candidate or partner cap.
 """
@@ -172,13 +173,13 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _confirmed(k: int, percent: int, queries: bool):
-    """Exact links of each block: rows sorted by (grp, block, role); the result is star edges.
+    """Exact links of each block: rows sorted by (grp, block, room), all of room 0 but for queries; the result is star edges.
 
     role 0: a member of the block, 1: a pivot or, with ``queries``, a stated query row that is only
     compared with members, skipping pairs that already share a component (column ``comp``).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, cut in runs(batches, ["grp", "block"]):
+        for t, cut in runs(batches, ["grp", "block", "room"]):
             for lo, hi in zip(cut[:-1], cut[1:]):
                 g = t.slice(lo, hi - lo).combine_chunks()
                 if g.num_rows < 2:
@@ -219,10 +220,21 @@ def _query_links(sets, role, comp, percent) -> np.ndarray:
 
 
 def _by_block(rows: DataFrame, fn) -> DataFrame:
-    return (rows.repartition("grp", "block").sortWithinPartitions("grp", "block", "id")
+    return (rows.repartition("grp", "block", "room").sortWithinPartitions("grp", "block", "room", "id")
             .mapInArrow(fn, "a long, b long"))
 
 
+def _rooms(comp: DataFrame, rest: DataFrame, sizes: DataFrame, block: int, block_shingles: int) -> DataFrame:
+    """(grp, block, room, id, comp, role): the members of every block of a group (role 0) beside every
+    room of its queries ``rest`` (role 1), a room being about a block's worth of documents and shingles."""
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    many = (rest.join(sizes, "id").groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).alias("rooms")))
+    asked = (rest.join(many, "grp").withColumn("room", F.pmod(F.xxhash64("id", F.lit(11)), F.col("rooms")))
+             .select("grp", upto("blocks").alias("block"), "room", "id", "comp", F.lit(1).alias("role")))
+    held = comp.join(many, "grp").select("grp", "block", upto("rooms").alias("room"), "id", "comp", F.lit(0).alias("role"))
+    return held.unionByName(asked)
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
                     percent: int = 80, trees: int = 4, branch: int = 2, leaf: int = 64, depth: int = 5,
                     block: int = 256, block_shingles: int = 500_000, pivots: int = 8) -> DataFrame:
@@ -287,7 +299,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         members = members.unionByName(pivot)
     texts = docs.where("id is not null and text is not null")
     # both sides grow with the corpus: no broadcast, at any size
-    links = stage_table(_by_block(members.hint("merge").join(texts, "id").select("grp", "block", "id", "text"),
+    links = stage_table(_by_block(members.hint("merge").join(texts, "id").select("grp", "block", F.lit(0).alias("room"), "id", "text"),
                                   _confirmed(k, percent, False)), "links")
     final = links.select(F.col("a").alias("id"), F.col("b").alias("component"))  # stars already, but for salted groups
     if any_hot:
@@ -299,13 +311,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         main = (comp.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("c"))
                 .groupBy("grp").agg(F.max(F.struct("c", "comp")).alias("x")).select("grp", F.col("x.comp").alias("main")))
         rest = comp.join(main, "grp").where("comp <> main")
-        asked = rest.select("grp", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "id", "comp",
-                            F.lit(1).alias("role"))
-        where_asked = asked.select("grp", "block").distinct()
-        held = comp.join(where_asked, ["grp", "block"], "left_semi").select("grp", "block", "id", "comp", F.lit(0).alias("role"))
+        pairs = _rooms(comp, rest, classes.select("id", "n"), block, block_shingles)
         # written first: Spark then knows how few rows these mostly are, and need not shuffle the texts for them
-        pairs = stage_table(held.unionByName(asked), "asked")
-        more = stage_table(_by_block(pairs.join(texts, "id").select("grp", "block", "id", "text", "comp", "role"),
+        pairs = stage_table(pairs, "asked")
+        more = stage_table(_by_block(pairs.join(texts, "id").select("grp", "block", "room", "id", "text", "comp", "role"),
                                      _confirmed(k, percent, True)), "more")
         # components found so far are the vertices of what the queries add
         top = stage_table(connected_components(more), "top")
