@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from tricolor.llm.ann_forest import nearest
 from tricolor.llm.chat_format import CONTROLS, digests, format_chats
-from tricolor.llm.common import load
+from tricolor.llm.common import LOWER, UPPER, load
+from tricolor.llm.drift_clusters import drift_clusters
 from tricolor.llm.mixing import mix_sources
 from tricolor.llm.near_dedup import near_duplicates
 from tricolor.llm.packing import pack
 from tricolor.llm.quality_rules import STOP_WORDS, quality_rules
 from tricolor.llm.sharding import histogram_shards
 from tricolor.llm.site_quality import site_quality
+from tricolor.llm.source_audit import source_audit
+from tricolor.llm.spot_sigs import ANCHORS, edited_likeness
 from tricolor.llm.substring_dedup import repeated_passages
 from tricolor.llm.toxicity import toxicity
 
@@ -70,9 +73,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(load(spark, sf_dir, "documents"))
 
 
+def op11_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(load(spark, sf_dir, "documents"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit(load(spark, sf_dir, "documents"))
+
+
+def op13_drift_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift_clusters(load(spark, sf_dir, "embeddings")).drop("scanned")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_minhash_near_dedup, op2_best_fit_packing, op3_nearest_neighbours, op4_quality_rules, op5_toxicity,
-    op6_site_quality, op7_chat_formatting, op8_source_mixing, op9_histogram_sharding, op10_substring_dedup)}
+    op6_site_quality, op7_chat_formatting, op8_source_mixing, op9_histogram_sharding, op10_substring_dedup,
+    op11_spot_signatures, op12_source_audit, op13_drift_clusters)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = r"[\x20\x09-\x0D]"
@@ -85,6 +101,28 @@ def _sql_length_escaped(c: str) -> str:
     return f"length({c}) + (length({c}) - length(replace({c}, '\\', ''))) + {more}"
 
 
+def _sql_likeness(a: str, b: str) -> str:
+    common = f"len(list_intersect({a}, {b}))"
+    small, large = f"least(len({a}), len({b}))", f"greatest(len({a}), len({b}))"
+    return f"""case when {large} = 0 then 1.0 when {small} < 0.05 * {large} then 0.0
+       else {common} / (len({a}) + len({b}) - {common}) end::double"""
+
+
+def _sql_rounds(rounds: int = 3, k: int = 16) -> str:
+    """Lloyd's rounds as a chain of common table expressions: a_i assigns, c_i holds centroids."""
+    def assign(i: int) -> str:
+        return f"""a{i} as (select row, vec_id, v, num cluster, d distance from (
+    select x.row, x.vec_id, x.v, c.num, list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint d
+    from x, c{i} c) qualify row_number() over (partition by row order by d, num) = 1)"""
+
+    def move(i: int) -> str:
+        return f"""c{i} as (select num, coalesce(m.v, c.v) v from c{i - 1} c left join (
+    select cluster, list(((s - ((s % n) + n) % n) // n)::bigint order by d) v from (
+      select cluster, d, sum(e) s, count(*) n from (select cluster, unnest(v) e, generate_subscripts(v, 1) d from a{i - 1}) group by cluster, d)
+    group by cluster) m on m.cluster = num)"""
+    return ",\n".join([assign(0)] + [f"{move(i)},\n{assign(i)}" for i in range(1, rounds + 1)])
+
+
 ORACLES: dict[str, str] = {
     "op4_quality_rules": rf"""
 with d as (select doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '{_WORD}') w,
@@ -136,4 +174,54 @@ select doc_id, size, source_size, round(target, 6) target,
        (case when size = 0 then 0 else (quota // source_size) * size
              + greatest(0, least(start + size, quota % source_size) - start) end)::bigint taken
 from p""",
+    "op11_spot_signatures": rf"""
+with d as (select row_number() over (order by doc_id nulls first, md5(coalesce(text, ''))) r, doc_id, coalesce(text, '') t from documents),
+e as (select a.r, a.doc_id, length(a.t) n, a.t own, b.t after, left(a.t, length(a.t) - length(a.t) // 4) || left(b.t, length(a.t) // 4) edited
+      from d a join d b on b.r = a.r % (select count(*) from d) + 1),
+x as (select r, unnest(['own', 'edited', 'after']) kind, unnest([own, edited, after]) t from e),
+w as (select r, kind, list_filter(regexp_split_to_array(translate(t, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D.,;:!?()\x22]+'), lambda y: y <> '') tok from x),
+m as (select r, kind, array_to_string(list_transform(tok, lambda y: case when y in ({", ".join(f"'{y}'" for y in ANCHORS)}) then chr(10) || y else y end), ' ') mk
+      from w),
+l as (select r, kind, flatten(list_transform(list_transform(string_split(mk, chr(10)), lambda y: string_split(rtrim(y), ' ')),
+             lambda y: list_transform(range(1, len(y) + 1, 8), lambda i: y[i:i + 7]))) p from m),
+s as (select r, kind, unnest(sp) sp, generate_subscripts(sp, 1) i
+      from (select r, kind, list_filter(p, lambda y: len(y) > 1 and y[1] <> '') sp from l)),
+c as (select r, kind, [sp[1]] || (sp[2:3] || coalesce(lead(sp[2:3]) over (partition by r, kind order by i), []))[1:2] c from s),
+h as (select r, kind, list_sort(list(distinct substr(md5(array_to_string(c, ' ')), 1, 8))) h from c where len(c) = 3 group by r, kind),
+f as (select w.r, w.kind, coalesce(h.h, case when len(tok) = 0 then [] else [substr(md5(array_to_string(tok, ' ')), 1, 8)] end) h
+      from w left join h on h.r = w.r and h.kind = w.kind),
+g as (select e.doc_id, e.n, e.edited, o.h own, ed.h edit, af.h after from e join f o on o.r = e.r and o.kind = 'own'
+      join f ed on ed.r = e.r and ed.kind = 'edited' join f af on af.r = e.r and af.kind = 'after')
+select doc_id, n::bigint n_chars, sha256(edited) edited_sha256, array_to_string(own, '') fingerprint, array_to_string(edit, '') edited_fingerprint,
+       {_sql_likeness("own", "edit")} near_edited, {_sql_likeness("own", "after")} near_next from g""",
+    "op12_source_audit": rf"""
+with d as (select coalesce(lang, '') lang, coalesce(source, '') source, coalesce(text, '') t, row_number() over () id from documents),
+w as (select lang, source, id, translate(unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), '{UPPER}', '{LOWER}') term from d),
+kept as (select lang, term, count(*) lang_n from w group by lang, term having count(distinct id) >= 3),
+g as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) n from w semi join kept using (lang, term) group by all),
+ln as (select lang, count(*) v, sum(lang_n) total from kept group by lang),
+gn as (select g.lang, g.source, coalesce(sum(n), 0) total from g left join c using (lang, source) group by all),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) n,
+             (1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (gn.total + ln.v))::bigint p,
+             (1 + (1000000000::hugeint * (k.lang_n + 1)) // (ln.total + ln.v))::bigint q
+      from g join kept k using (lang) join ln using (lang) join gn using (lang, source) left join c using (lang, source, term)),
+pairs as (select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) s
+          from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+r as (select a.lang, a.source, 'pair' part, b.source item, coalesce(s, 0)::bigint as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source
+      left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+      union all select lang, source, 'term', term, (p - q) * (p - q) // q from p where n > 0 and p > q)
+select lang, source, part, item, value, row_number() over (partition by lang, source, part order by value desc, item)::int rank
+from r qualify part = 'pair' or rank <= 200""",
+    "op13_drift_clusters": rf"""
+with e as (select row_number() over () row, vec_id, embedding x from embeddings where len(embedding) = 64),
+x as (select row, vec_id, list_transform(x, lambda y: floor(64 * y::double)::bigint) v from e
+      where list_count(list_filter(x, lambda y: isfinite(y))) = 64),
+c0 as (select (row_number() over (order by sha256('1:' || vec_id::varchar), v) - 1)::int num, v from x
+       qualify num < 16),
+{_sql_rounds()}
+select vec_id, cluster, distance, sum(distance) over (partition by cluster)::bigint cluster_inertia, sum(distance) over ()::bigint inertia,
+       sha256(array_to_string(c3.v, ',')) centroid_sha256
+from a3 join c3 on cluster = num""",
 }
