@@ -1,8 +1,10 @@
 """Train/validation split, cross-validation folds and class rebalancing.
 
 All randomness is md5 of ``'<seed>:' || row_id`` (see ``functions.hashing``), so the chosen
-rows do not depend on partitioning and the SQL oracle reproduces them. Ranks come from the
-range-partitioned ``ordered_rank`` / ``rank_within`` helpers, never a global window.
+rows do not depend on partitioning and the SQL oracle reproduces them. Splits and under-sampling
+select by a key cutoff that is found by counting (``operators.cutoff``); where every row needs its
+rank (folds, draws), it comes from the range-partitioned ``ordered_rank`` / ``rank_within``
+helpers, never a global window.
 """
 
 from __future__ import annotations
@@ -13,41 +15,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tricolor.functions.hashing import hash_int, hash_key, hash_uniform
+from tricolor.operators.cutoff import class_cutoffs, cutoff
 from tricolor.operators.neighbors import knn
 from tricolor.operators.profile import q
-from tricolor.sources.rowid import ordered_rank, ordered_rank_n, rank_within
+from tricolor.sources.rowid import ordered_rank, rank_within
 
 DEFAULT_SEED = 42
 
 
 def split_train_val(df: DataFrame, val_fraction: float = 0.2, seed: int = DEFAULT_SEED,
-                    id_col: str = "row_id", n_rows: int | None = None, narrow: bool = False) -> DataFrame:
-    """Adds ``is_val``: the first ceil(n * f) rows in md5 order are validation (exact size).
-
-    ``narrow=True`` ranks only the ids and joins the flag back (wide tables)."""
+                    id_col: str = "row_id") -> DataFrame:
+    """Adds ``is_val``: the first ceil(n * f) rows in md5 order are validation (exact size)."""
     if not 0.0 < val_fraction < 1.0:
         raise ValueError("val_fraction must lie in (0, 1)")
-    order = [hash_key(seed, q(id_col)), q(id_col)]
-    if narrow:
-        ranked = ordered_rank(df, order, "_tc_split_rank", key_cols=[id_col])
-        n = df.count() if n_rows is None else n_rows
-    else:
-        ranked, n = ordered_rank_n(df, order, "_tc_split_rank")   # the count comes with the ranks
-    n_val = math.ceil(n * val_fraction)
-    return ranked.select(*[q(c) for c in df.columns], (F.col("_tc_split_rank") <= n_val).alias("is_val"))
-
-
-def train_val(df: DataFrame, val_fraction: float = 0.2, seed: int = DEFAULT_SEED,
-              id_col: str = "row_id") -> tuple[DataFrame, DataFrame]:
-    s = split_train_val(df, val_fraction, seed, id_col)
-    return s.where(~F.col("is_val")).drop("is_val"), s.where(F.col("is_val")).drop("is_val")
+    key, id_ = hash_key(seed, q(id_col)), q(id_col)
+    _, cut = cutoff(df, key, id_, lambda n: math.ceil(n * val_fraction))
+    return df.select(*[q(c) for c in df.columns], cut.holds(key, id_).alias("is_val"))
 
 
 def class_rank(df: DataFrame, label: str, seed: int = DEFAULT_SEED, id_col: str = "row_id",
-               out: str = "class_rank", narrow: bool = False) -> DataFrame:
+               out: str = "class_rank") -> DataFrame:
     """1..n_c inside each class in md5 order (few classes of any size)."""
-    return rank_within(df, label, [hash_key(seed, q(id_col)), q(id_col)], out,
-                       key_cols=[id_col] if narrow else None)
+    return rank_within(df, label, [hash_key(seed, q(id_col)), q(id_col)], out)
 
 
 def stratified_folds(df: DataFrame, label: str, k: int = 10, seed: int = DEFAULT_SEED,
@@ -68,13 +57,14 @@ def class_counts(df: DataFrame, label: str) -> dict:
     return {r["c"]: r["n"] for r in df.groupBy(q(label).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def under_sample(df: DataFrame, label: str, seed: int = DEFAULT_SEED, id_col: str = "row_id",
-                 narrow: bool = False) -> DataFrame:
+def under_sample(df: DataFrame, label: str, seed: int = DEFAULT_SEED, id_col: str = "row_id") -> DataFrame:
     """Every class cut to the minority count, without replacement, md5 order."""
-    counts = class_counts(df, label)
-    n_min = min(counts.values())
-    r = class_rank(df, label, seed, id_col, "_tc_crank", narrow)
-    return r.where(F.col("_tc_crank") <= n_min).drop("_tc_crank")
+    key, id_ = hash_key(seed, q(id_col)), q(id_col)
+    _, cuts = class_cutoffs(df, key, id_, q(label), lambda n: dict.fromkeys(n, min(n.values(), default=0)))
+    keep = F.lit(False)
+    for cls, cut in cuts.items():
+        keep = keep | (q(label).eqNullSafe(F.lit(cls)) & cut.holds(key, id_))
+    return df.where(keep)
 
 
 def _max_id(df: DataFrame, id_col: str) -> int:

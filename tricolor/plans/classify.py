@@ -74,10 +74,10 @@ def train(df: DataFrame, label: str, zero_value, one_value, models: Sequence[str
     """
     if not 0.1 <= val_fraction <= 0.5:
         raise ValueError("validation share must lie between 10 % and 50 %")
-    # ids and the split flag are ranked on narrow keys and joined back, so a wide input is not
-    # checkpointed whole; the training part is persisted once for the recipe's fit passes
+    # ids are ranked on narrow keys and joined back and the split is a filter, so a wide input is
+    # not checkpointed whole; the training part is persisted once for the recipe's fit passes
     numbered = add_row_id(df, key_cols, narrow=key_cols is not None)
-    s = smp.split_train_val(numbered, val_fraction, seed, narrow=True)
+    s = smp.split_train_val(numbered, val_fraction, seed)
     tr = s.where(~F.col("is_val")).drop("is_val").persist()
     va = s.where(F.col("is_val")).drop("is_val")
     r = Recipe(label, keys=tuple(key_cols or ()))
@@ -102,7 +102,7 @@ def train(df: DataFrame, label: str, zero_value, one_value, models: Sequence[str
     # ids of synthetic rows start after the largest id of any row, the validation part included
     top = numbered.agg(F.max(ID)).first()[0] or 0 if resample in ("over", "smote") else None
     if resample == "under":
-        t = smp.under_sample(t, label, seed, narrow=True)
+        t = smp.under_sample(t, label, seed)
     elif resample == "over":
         t = smp.over_sample(t, label, seed, max_id=top)
     elif resample == "smote":
