@@ -56,6 +56,10 @@ class Classifier:
     def with_params(self, **params) -> "Classifier":  # pragma: no cover
         raise NotImplementedError
 
+    # Learners whose statistics add up over folds also have
+    #   fold_scores(folded, features, label, k, candidates) -> rows x candidates with pred and prob
+    # and are cross-validated without a fit per fold (``operators.models.additive``).
+
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = VEC) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)

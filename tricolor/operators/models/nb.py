@@ -11,9 +11,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tricolor.operators.models.additive import FoldFit, class_moments, fold_scored, merged
 from tricolor.operators.models.base import Classifier, FittedClassifier, pred_col, prob_col
 from tricolor.operators.profile import q
 
@@ -67,5 +69,25 @@ class GaussianNB(Classifier):
             raise ValueError("naive Bayes needs both classes 0 and 1 in the training data")
         return GaussianNBFitted(self.name, feats, priors, means, variances)
 
+    def fold_scores(self, folded: DataFrame, features: Sequence[str], label: str, k: int, candidates: Sequence[dict]) -> DataFrame:
+        """The rows once per candidate, with pred and prob by the fit without their fold."""
+        at = class_moments(folded, features, label)
+        fits = []
+        for f in range(k):
+            train = [merged(m for (g, y), m in at.items() if g != f and y == c) for c in (0, 1)]
+            if None in train:
+                raise ValueError("naive Bayes needs both classes 0 and 1 in the training data")
+            whole = train[0].plus(train[1])
+            for i, params in enumerate(candidates):
+                smoothing = self.with_params(**params).var_smoothing
+                eps = smoothing * float((whole.about / whole.n).max()) or smoothing
+                v0, v1 = (t.about / t.n + eps for t in train)
+                start = math.log(train[0].n / train[1].n) - 0.5 * float(np.log(v0 / v1).sum())
+                fits.append(FoldFit(i, f, start, [*train[0].mean, *train[1].mean], [*(-0.5 / v0), *(0.5 / v1)]))
+        x = [q(c).cast("double") for c in features]
+        d = F.col("_score")
+        return fold_scored(folded, fits, x + x, 2).select(
+            "*", (d < 0).cast("int").alias("pred"), (F.lit(1.0) / (F.lit(1.0) + F.exp(d))).alias("prob")).drop("_score")
+
     def with_params(self, **params) -> "GaussianNB":
         return GaussianNB(self.name, params.get("var_smoothing", self.var_smoothing))

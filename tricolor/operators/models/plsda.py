@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tricolor.operators.models.additive import FoldFit, fold_scored, merged, product_moments
 from tricolor.operators.models.base import Classifier, FittedClassifier, pred_col, prob_col
 from tricolor.operators.profile import q
 
@@ -98,5 +99,22 @@ class PLSDA(Classifier):
         coef = kernel_pls1(xtx, xty, self.n_components)
         return PLSDAFitted(self.name, feats, mx, sx, my, sy, [float(b) for b in coef])
 
+    def fold_scores(self, folded: DataFrame, features: Sequence[str], label: str, k: int, candidates: Sequence[dict]) -> DataFrame:
+        """The rows once per candidate, with pred and prob (the score) by the fit without their fold."""
+        at = product_moments(folded, [*features, label])
+        fits = []
+        for f in range(k):
+            t = merged(m for g, m in at.items() if g != f)
+            if t is None:
+                raise ValueError("every fold needs rows outside of it")
+            std = np.sqrt(np.diag(t.about) / max(t.n - 1, 1))
+            std = np.where(std > 0, std, 1.0)
+            z = t.about / np.outer(std, std)
+            for i, params in enumerate(candidates):
+                coef = kernel_pls1(z[:-1, :-1], z[:-1, -1], self.with_params(**params).n_components)
+                fits.append(FoldFit(i, f, t.mean[-1], t.mean[:-1], coef * std[-1] / std[:-1]))
+        scored = fold_scored(folded, fits, [q(c).cast("double") for c in features], 1)
+        return scored.select("*", (F.col("_score") >= 0.5).cast("int").alias("pred")).withColumnRenamed("_score", "prob")
+
     def with_params(self, **params) -> "PLSDA":
         return PLSDA(self.name, int(params.get("n_components", self.n_components)))

@@ -2,7 +2,8 @@
 
 Folds are md5-stratified (``fold`` column). For each candidate every fold's held-out rows are
 scored and the k fold results are reduced in one grouped metrics job; only the k x 5 metric
-table reaches the driver. Candidates may run in parallel driver threads (Spark schedules
+table reaches the driver. Learners whose statistics add up over folds (naive Bayes, PLS-DA) are not
+fitted per fold: one grouped aggregate serves all folds and candidates. Other candidates may run in parallel driver threads (Spark schedules
 their jobs concurrently), as ``CrossValidator(parallelism=...)`` does.
 """
 
@@ -15,7 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tricolor.operators.metrics import binary_metrics
+from tricolor.operators.metrics import auc, binary_metrics
 from tricolor.operators.models.base import Classifier, FittedClassifier, pred_col, prob_col
 from tricolor.operators.profile import q
 from tricolor.operators.sampling import plain_folds, stratified_folds
@@ -30,9 +31,19 @@ def add_folds(df: DataFrame, label: str, k: int, stratified: bool = True, seed:
     return stratified_folds(df, label, k, seed, id_col) if stratified else plain_folds(df, k, seed, id_col)
 
 
+def candidate_scores(clf: Classifier, cands: Sequence[dict], folded: DataFrame, features: Sequence[str], label: str, k: int,
+                     id_col: str = "row_id") -> DataFrame:
+    """(candidate, row_id, fold, label, pred, prob): every candidate, each row by the fit without its
+    fold, for learners whose statistics add up over folds: one aggregate, one join with the fits."""
+    scored = clf.fold_scores(folded, features, label, k, cands)
+    return scored.select("candidate", q(id_col), "fold", q(label), "pred", "prob")
+
+
 def out_of_fold(clf: Classifier, folded: DataFrame, features: Sequence[str], label: str, k: int,
                 id_col: str = "row_id") -> DataFrame:
     """(row_id, fold, label, pred, prob) for every row, each scored by the model not trained on it."""
+    if hasattr(clf, "fold_scores"):
+        return candidate_scores(clf, [{}], folded, features, label, k, id_col).drop("candidate")
     parts = None
     for f in range(k):
         fitted = clf.fit(folded.where(F.col("fold") != f), features, label)
@@ -82,12 +93,20 @@ def search_cv(clf: Classifier, grid: list[dict], df: DataFrame, features: Sequen
     folded = add_folds(df.select(q(id_col), *[q(f) for f in features], q(label)), label, k, stratified, seed, id_col)
     cands = candidates(grid, search, n_iter, seed)
 
+    def by_candidate() -> list[float]:
+        scores = candidate_scores(clf, cands, folded, features, label, k, id_col)
+        per = auc(scores, label, "prob", ["candidate", "fold"]).groupBy("candidate").agg(F.avg("auc").alias("auc")).collect()
+        found = {r["candidate"]: r["auc"] for r in per}
+        return [float(found[i]) if found.get(i) is not None else float("-inf") for i in range(len(cands))]
+
     def score(params: dict) -> float:
         m = fold_metrics(clf.with_params(**params), folded, features, label, k, id_col)
         r = m.agg(F.avg("auc").alias("auc")).first()
         return float(r["auc"]) if r["auc"] is not None else float("-inf")
 
-    if parallelism > 1:
+    if hasattr(clf, "fold_scores"):
+        scores = by_candidate()
+    elif parallelism > 1:
         with ThreadPoolExecutor(parallelism) as pool:
             scores = list(pool.map(score, cands))
     else:

@@ -10,6 +10,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tricolor.functions.hashing import sql_hash_key
 from tricolor.operators import importance as imp
 from tricolor.operators.evaluate import (
     long_predictions,
@@ -22,7 +23,7 @@ from tricolor.operators.evaluate import (
 )
 from tricolor.operators.metrics import auc, confusion_metrics
 from tricolor.operators.models.base import pred_col, prob_col
-from tricolor.operators.models.catalog import model
+from tricolor.operators.models.catalog import grid, model
 from tricolor.operators.models.ensemble import Stacking, Voting
 from tricolor.operators.profile import value_grid
 from tricolor.operators.tune import add_folds, cv_summary, fold_metrics, pooled_metrics, search_cv
@@ -49,8 +50,110 @@ def _raw_split(spark, d):
     return s.where(~F.col("is_val")).drop("is_val"), s.where(F.col("is_val")).drop("is_val")
 
 
+def _metrics_sql(src: str, group: str | None) -> str:
+    g = f"{group}, " if group else ""
+    by = f"GROUP BY {group}" if group else ""
+    return f"""
+(SELECT {g}tp, fp, fn, tn, n,
+        round(coalesce((tp + tn) / nullif(n, 0), 0), 6) AS accuracy,
+        round(pr, 6) AS precision, round(rc, 6) AS recall,
+        round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 6) AS f1
+ FROM (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS pr, coalesce(tp / nullif(tp + fn, 0), 0) AS rc
+       FROM (SELECT {g}count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp,
+                    count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp,
+                    count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn,
+                    count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) AS n
+             FROM ({src}) {by})))"""
+
+
+def _auc_sql(src: str, group: str | None) -> str:
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group} " if group else ""
+    by = f"GROUP BY {group}" if group else ""
+    join = f"USING ({group})" if group else "ON true"
+    return f"""
+(SELECT {'t.' + group + ', ' if group else ''}t.P, t.N,
+        CASE WHEN t.P > 0 AND t.N > 0 AND t.nn = 0 THEN round(coalesce(x.u, 0) / (t.P * t.N), 6) END AS auc
+ FROM (SELECT {g}count(*) FILTER (WHERE y = 1) AS P, count(*) FILTER (WHERE y = 0) AS N,
+              count(*) FILTER (WHERE prob IS NULL) AS nn FROM ({src}) {by}) t
+ LEFT JOIN (SELECT {g}sum(pos * (nb + neg / 2.0)) AS u
+            FROM (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING
+                                                      AND 1 PRECEDING), 0) AS nb
+                  FROM (SELECT {g}prob, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg
+                        FROM ({src}) WHERE prob IS NOT NULL GROUP BY {g}prob))
+            {by}) x {join})"""
+
+
+# --- SQL twins on the prepared task ----------------------------------------------------------
+
+PREPARED = f"""
+s AS {SPLIT}, st AS (SELECT avg(n_chars) AS m1, stddev_pop(n_chars) AS s1, avg(nonletter_share) AS m2,
+  stddev_pop(nonletter_share) AS s2, avg(word_share) AS m3, stddev_pop(word_share) AS s3 FROM s WHERE NOT is_val),
+pt AS (SELECT row_id, quality, is_val, CAST(lang = 'en' AS DOUBLE) AS lang_en, CAST(lang = 'es' AS DOUBLE) AS lang_es,
+  CAST(lang = 'fr' AS DOUBLE) AS lang_fr, (n_chars - m1) / CASE WHEN s1 > 0 THEN s1 ELSE 1 END AS n_chars,
+  (nonletter_share - m2) / CASE WHEN s2 > 0 THEN s2 ELSE 1 END AS nonletter_share,
+  (word_share - m3) / CASE WHEN s3 > 0 THEN s3 ELSE 1 END AS word_share FROM s, st)"""
+PREPARED_FEATURES = ["lang_en", "lang_es", "lang_fr", "n_chars", "nonletter_share", "word_share"]
+
+
+def _folded_sql(k: int, stratified: bool) -> str:
+    """fo (training rows, fold, features as a list) and uf (row, feature, value)."""
+    part = "PARTITION BY quality " if stratified else ""
+    return f"""{PREPARED},
+fo AS (SELECT row_id, quality, [{", ".join(PREPARED_FEATURES)}] AS x,
+              (row_number() OVER ({part}ORDER BY {sql_hash_key(42, "row_id")}, row_id) - 1) % {k} AS fold FROM pt WHERE NOT is_val),
+uf AS (SELECT row_id, quality, fold, unnest(x) AS v, generate_subscripts(x, 1) AS j FROM fo)"""
+
+
+def _nb_folds_sql(k: int, smoothing: list[float]) -> str:
+    """oof (candidate, fold, y, pred, prob): each row by naive Bayes fitted on the other folds."""
+    return f"""{_folded_sql(k, True)},
+sm AS (SELECT unnest([{", ".join(f"CAST({v!r} AS DOUBLE)" for v in smoothing)}]) AS sm, unnest(range({len(smoothing)})) AS candidate),
+ps AS (SELECT f.range AS fold, u.quality AS c, u.j, count(*) AS n, avg(v) AS m, var_pop(v) AS w
+       FROM uf u JOIN range({k}) f ON u.fold <> f.range GROUP BY ALL),
+ep AS (SELECT fold, max(w) AS w FROM (SELECT f.range AS fold, u.j, var_pop(v) AS w FROM uf u JOIN range({k}) f ON u.fold <> f.range GROUP BY ALL)
+       GROUP BY fold),
+jl AS (SELECT candidate, u.fold, u.row_id, u.quality, ps.c, ln(any_value(ps.n)) + sum(-0.5 * ln(2 * pi() * (ps.w + sm * ep.w))
+              - (u.v - ps.m) * (u.v - ps.m) / (2 * (ps.w + sm * ep.w))) AS jll
+       FROM uf u JOIN ps USING (fold, j) JOIN ep USING (fold), sm GROUP BY ALL),
+oof AS (SELECT a.candidate, a.fold, a.row_id, a.quality AS y, CAST(b.jll > a.jll AS INTEGER) AS pred, 1 / (1 + exp(a.jll - b.jll)) AS prob
+        FROM jl a JOIN jl b ON a.candidate = b.candidate AND a.row_id = b.row_id AND a.c = 0 AND b.c = 1)"""
+
+
+def _pls_sql(rows: str, components: int = 2) -> str:
+    """Two-component PLS1 per ``grp`` from rows (grp, row_id, y, j, v): coef (grp, j, m, s, b) and ty (grp, m, s)."""
+    assert components == 2
+    return f"""u AS ({rows}),
+tm AS (SELECT grp, j, avg(v) AS m, CASE WHEN stddev_samp(v) > 0 THEN stddev_samp(v) ELSE 1 END AS s FROM u GROUP BY grp, j),
+ty AS (SELECT grp, avg(y) AS m, stddev_samp(y) AS s FROM u WHERE j = 1 GROUP BY grp),
+z AS (SELECT u.grp, u.row_id, u.j, (u.v - tm.m) / tm.s AS z, (u.y - ty.m) / ty.s AS zy FROM u JOIN tm USING (grp, j) JOIN ty USING (grp)),
+g AS (SELECT a.grp, a.j AS i, b.j, sum(a.z * b.z) AS c FROM z a JOIN z b ON a.grp = b.grp AND a.row_id = b.row_id GROUP BY ALL),
+x1 AS (SELECT grp, j, sum(z * zy) AS c FROM z GROUP BY grp, j),
+w1 AS (SELECT grp, j, c, c / sqrt(sum(c * c) OVER (PARTITION BY grp)) AS w FROM x1),
+k1 AS (SELECT g.grp, g.i AS j, sum(g.c * w1.w) AS xw FROM g JOIN w1 ON w1.grp = g.grp AND w1.j = g.j GROUP BY ALL),
+t1 AS (SELECT grp, sum(w * xw) AS tt, sum(w * c) AS wc FROM k1 JOIN w1 USING (grp, j) GROUP BY grp),
+x2 AS (SELECT grp, j, w, xw / tt AS p, wc / tt AS q, c - xw / tt * wc AS c FROM w1 JOIN k1 USING (grp, j) JOIN t1 USING (grp)),
+w2 AS (SELECT *, c / sqrt(sum(c * c) OVER (PARTITION BY grp)) AS ww FROM x2),
+r2 AS (SELECT *, ww - sum(p * ww) OVER (PARTITION BY grp) * w AS r FROM w2),
+k2 AS (SELECT g.grp, g.i AS j, sum(g.c * r2.r) AS xr FROM g JOIN r2 ON r2.grp = g.grp AND r2.j = g.j GROUP BY ALL),
+t2 AS (SELECT grp, sum(r * xr) AS tt, sum(r * c) AS rc FROM k2 JOIN r2 USING (grp, j) GROUP BY grp),
+coef AS (SELECT grp, j, tm.m, tm.s, r2.w * r2.q + r2.r * t2.rc / t2.tt AS b FROM r2 JOIN t2 USING (grp) JOIN tm USING (grp, j))"""
+
+
+_PREPARED_LONG = f"""pl AS (SELECT row_id, quality, is_val, unnest([{", ".join(PREPARED_FEATURES)}]) AS v,
+  unnest(range(1, {len(PREPARED_FEATURES) + 1})) AS j FROM pt)"""
+PLS_ALL = f"""{PREPARED}, {_PREPARED_LONG},
+{_pls_sql("SELECT 0 AS grp, row_id, quality AS y, j, v FROM pl WHERE NOT is_val")},
+sc AS (SELECT pl.row_id, pl.quality, pl.is_val, any_value(ty.m) + any_value(ty.s) * sum(coef.b * (pl.v - coef.m) / coef.s) AS score
+       FROM pl JOIN coef USING (j), ty GROUP BY ALL)"""
+
+
 # --- 2.14 classifiers ------------------------------------------------------------------
 
+_SQL = {"PLSDA": f"""
+WITH {PLS_ALL}
+SELECT row_id, quality, CAST(score >= 0.5 AS INTEGER) AS PLSDA_Prediction, round(score, 6) AS PLSDA_Prob FROM sc WHERE is_val"""}
+
 for _name in ["Ridge", "Lasso", "ElasticNet", "PLSDA", "SVM", "DecisionTree", "RandomForest", "GBM", "MLP",
               "Bagging", "Pasting"]:
     _qid = {"DecisionTree": "mod_tree", "RandomForest": "mod_rf", "GBM": "mod_gbm", "MLP": "mod_mlp",
@@ -63,7 +166,7 @@ for _name in ["Ridge", "Lasso", "ElasticNet", "PLSDA", "SVM", "DecisionTree", "R
         run.__doc__ = f"{name}: fitted on the prepared training part, validation predictions."
         return run
 
-    query(_qid, headline=_name in ("Ridge", "RandomForest"))(_make(_name))
+    query(_qid, _SQL.get(_name), headline=_name in ("Ridge", "RandomForest"))(_make(_name))
 
 
 def _nb_sql(apply_where: str, extra: str = "") -> str:
@@ -188,26 +291,40 @@ def _search_table(spark, best, results):
     return spark.createDataFrame(rows, "candidate int, params string, mean_auc double, is_best boolean")
 
 
-@query("tun_grid")
+_NB_GRID = [c["var_smoothing"] for c in grid("NB")]
+
+
+@query("tun_grid", f"""
+WITH {_nb_folds_sql(10, _NB_GRID)},
+a AS (SELECT candidate, avg(auc) AS auc FROM {_auc_sql("SELECT *, candidate * 10 + fold AS cf FROM oof", "cf")}
+      JOIN (SELECT DISTINCT candidate, candidate * 10 + fold AS cf FROM oof) USING (cf) GROUP BY candidate),
+n AS (SELECT candidate, auc, unnest([{", ".join("'" + json.dumps({"var_smoothing": v}) + "'" for v in _NB_GRID)}]) AS params,
+             unnest(range({len(_NB_GRID)})) AS i FROM a)
+SELECT CAST(candidate + 1 AS INTEGER) AS candidate, params, round(auc, 6) AS mean_auc,
+       row_number() OVER (ORDER BY auc DESC, candidate) = 1 AS is_best FROM n WHERE i = candidate""")
 def tun_grid(spark, d):
-    """Exhaustive grid for naive Bayes (5 smoothing values), 10 stratified folds, AUC."""
+    """Exhaustive grid for naive Bayes (5 smoothing values), 10 stratified folds, AUC: one aggregate."""
     p = prepared_task(spark, d)
-    from tricolor.operators.models.catalog import grid
-    best, results, _ = search_cv(model("NB"), grid("NB"), p.train, p.features, LABEL, k=10, parallelism=4)
+    best, results, _ = search_cv(model("NB"), grid("NB"), p.train, p.features, LABEL, k=10)
     return _search_table(spark, best, results)
 
 
 @query("tun_random")
 def tun_random(spark, d):
-    """Random search over the 10 ridge C values (seed 42), 10 folds."""
+    """Random search: 10 of the 25 elastic-net points (seed 42), 10 folds."""
     p = prepared_task(spark, d)
-    from tricolor.operators.models.catalog import grid
-    best, results, _ = search_cv(model("Ridge"), grid("Ridge"), p.train, p.features, LABEL, k=10,
+    best, results, _ = search_cv(model("ElasticNet"), grid("ElasticNet"), p.train, p.features, LABEL, k=10,
                                  search="random", n_iter=10, parallelism=4)
     return _search_table(spark, best, results)
 
 
-@query("cv_metrics", headline=True)
+@query("cv_metrics", f"""
+WITH {_nb_folds_sql(10, [1e-9])},
+m AS (SELECT m.fold, accuracy, precision, recall, f1, auc
+      FROM {_metrics_sql("SELECT * FROM oof", "fold").replace("round(", "(").replace(", 6)", ")")} m
+      JOIN {_auc_sql("SELECT * FROM oof", "fold").replace("round(", "(").replace(", 6)", ")")} a USING (fold))
+SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std
+FROM (SELECT metric, value FROM m UNPIVOT (value FOR metric IN (accuracy, precision, recall, f1, auc))) GROUP BY metric""", headline=True)
 def cv_metrics(spark, d):
     """10-fold accuracy / precision / recall / F1 / AUC: mean and population std."""
     p = prepared_task(spark, d)
@@ -215,7 +332,16 @@ def cv_metrics(spark, d):
     return cv_summary(fold_metrics(model("NB"), folded, p.features, LABEL, 10))
 
 
-@query("cv_predict")
+_PLS_OOF = f"""{_folded_sql(10, False)},
+{_pls_sql("SELECT f.range AS grp, row_id, quality AS y, j, v FROM uf JOIN range(10) f ON uf.fold <> f.range")},
+oof AS (SELECT row_id, y, CAST(prob >= 0.5 AS INTEGER) AS pred, prob
+        FROM (SELECT uf.row_id, uf.quality AS y, any_value(ty.m) + any_value(ty.s) * sum(coef.b * (uf.v - coef.m) / coef.s) AS prob
+              FROM uf JOIN coef ON coef.grp = uf.fold AND coef.j = uf.j JOIN ty ON ty.grp = uf.fold GROUP BY ALL))"""
+
+
+@query("cv_predict", f"""
+WITH {_PLS_OOF}
+SELECT m.*, a.auc FROM {_metrics_sql("SELECT * FROM oof", None)} m, {_auc_sql("SELECT * FROM oof", None)} a""")
 def cv_predict(spark, d):
     """PLS-DA out-of-fold predictions pooled, metrics computed once."""
     p = prepared_task(spark, d)
@@ -228,40 +354,6 @@ def cv_predict(spark, d):
 SCORED = fx.SQL_SCORED
 
 
-def _metrics_sql(src: str, group: str | None) -> str:
-    g = f"{group}, " if group else ""
-    by = f"GROUP BY {group}" if group else ""
-    return f"""
-(SELECT {g}tp, fp, fn, tn, n,
-        round(coalesce((tp + tn) / nullif(n, 0), 0), 6) AS accuracy,
-        round(pr, 6) AS precision, round(rc, 6) AS recall,
-        round(coalesce(2 * pr * rc / nullif(pr + rc, 0), 0), 6) AS f1
- FROM (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS pr, coalesce(tp / nullif(tp + fn, 0), 0) AS rc
-       FROM (SELECT {g}count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp,
-                    count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp,
-                    count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn,
-                    count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) AS n
-             FROM ({src}) {by})))"""
-
-
-def _auc_sql(src: str, group: str | None) -> str:
-    g = f"{group}, " if group else ""
-    part = f"PARTITION BY {group} " if group else ""
-    by = f"GROUP BY {group}" if group else ""
-    join = f"USING ({group})" if group else "ON true"
-    return f"""
-(SELECT {'t.' + group + ', ' if group else ''}t.P, t.N,
-        CASE WHEN t.P > 0 AND t.N > 0 AND t.nn = 0 THEN round(coalesce(x.u, 0) / (t.P * t.N), 6) END AS auc
- FROM (SELECT {g}count(*) FILTER (WHERE y = 1) AS P, count(*) FILTER (WHERE y = 0) AS N,
-              count(*) FILTER (WHERE prob IS NULL) AS nn FROM ({src}) {by}) t
- LEFT JOIN (SELECT {g}sum(pos * (nb + neg / 2.0)) AS u
-            FROM (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING
-                                                      AND 1 PRECEDING), 0) AS nb
-                  FROM (SELECT {g}prob, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg
-                        FROM ({src}) WHERE prob IS NOT NULL GROUP BY {g}prob))
-            {by}) x {join})"""
-
-
 SCORED_LONG = f"SELECT row_id, quality AS y, pred, score AS prob, lang FROM ({SCORED})"
 
 
@@ -344,7 +436,11 @@ def evl_train_export_nb(spark, d):
     return train_export(fitted, train, F3, LABEL)
 
 
-@query("evl_train_export_pls")
+@query("evl_train_export_pls", f"""
+WITH {PLS_ALL}
+SELECT row_id, {", ".join(f"round(pt.{c}, 6) AS {c}" for c in PREPARED_FEATURES)}, 1 - pt.quality AS quality,
+       1 - CAST(score >= 0.5 AS INTEGER) AS PLSDA_Prediction, round(1 - score, 6) AS PLSDA_Prob
+FROM sc JOIN pt USING (row_id) WHERE NOT pt.is_val""")
 def evl_train_export_pls(spark, d):
     """PLS-DA training export, flipped: target, prediction and score turned around (1 - score)."""
     p = prepared_task(spark, d)
