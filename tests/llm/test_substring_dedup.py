@@ -150,3 +150,36 @@ def test_recall_of_fuzzy_passages(rows):
     share = {x: sum(i in got for i in kind if kind[i] == x) / 40 for x in set(kind.values())}
     print(share)
     assert min(share.values()) >= 0.9, share
+
+
+def test_packed_rows_come_back():
+    import numpy as np
+
+    from tricolor.llm.substring_dedup import REST, _decode, _encode
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 500):
+        ids, pos = np.sort(rng.choice([-5, 0, 7, 1 << 62], n)), rng.integers(0, 1 << 31, n).astype(np.int32)
+        order = np.lexsort((pos, ids))
+        ids, pos, h = ids[order], pos[order], rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        a, b, c = _decode(_encode(ids, pos, h))
+        assert (a == ids).all() and (b == pos).all() and (c == (h & np.uint64((1 << 8 * REST) - 1))).all()
+
+
+def test_rooms_and_buckets_change_nothing_but_the_holder_named(rows, monkeypatch):
+    from tricolor.llm import substring_dedup as module
+    rng = random.Random(21)
+    shared = [prose(rng, 70) for _ in range(6)]
+    data = [(i, " ".join([prose(rng, rng.randint(0, 60)), *rng.sample(shared, rng.randint(0, 3)), prose(rng, 30)])) for i in range(90)]
+    frame = rows("doc_id long, text string", data)
+    one = repeated_passages(frame).collect()
+    monkeypatch.setattr(module, "ROOM_DOCS", 20)
+    monkeypatch.setattr(module, "BUCKET_CHARS", 3000)
+    many = repeated_passages(frame).collect()
+
+    def covered(found):
+        out = {}
+        for r in found:
+            assert r.source_id < r.doc_id
+            out.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+        return out
+    assert covered(one) == covered(many) and len(covered(one)) > 40

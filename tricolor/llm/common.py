@@ -7,6 +7,7 @@ in segments of about a megabyte, so that memory does not grow with the text or t
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -60,6 +61,17 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, and let Spark clean up the exchanges of
+    finished jobs: their files go once the driver has collected the plans that refer to them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for t in tables for f in t.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Before Python runs in tasks: the package goes along, and Arrow batches are kept to
     ``BATCH_ROWS`` rows, since rows hold whole texts here and workers share an executor's memory."""

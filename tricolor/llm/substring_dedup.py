@@ -5,8 +5,11 @@
    run of window + k - 1 words shares a seed.
 2. Each seed's first holder (smallest document id) is its anchor; every other occurrence is matched
    with the anchor, not with each other, so matches grow with the text even where thousands of
-   documents share a passage. The smallest id is pre-aggregated before the shuffle, and the join
-   back to it is an equi-join that adaptive execution splits for a hot seed.
+   documents share a passage. Seeds are exchanged once, packed: a task writes one value per bucket
+   of hashes (ids, steps of positions, hash remainders, some 7 bytes a seed), and the bucket's task
+   finds first holders and emits the matches. The number of buckets grows with the text and the
+   number of rooms with the documents, so a task's memory is bounded whatever a seed's copies are;
+   first holders of rooms are matched once more.
    Seeds of one passage may be anchored in different documents, none of which holds all of it.
    Whole windows of ``min_words`` words are therefore matched with their own first holder too: all
    of those whose seeds (smallest hashes of inner windows, the same in every holder) are shared.
@@ -29,13 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tricolor.llm.common import Words, hash_words, long_array, mix, runs, ship, slices, stage_table, words
+from tricolor.llm.common import Words, drop_tables, hash_words, mix, runs, ship, slices, stage_table, words
 
 SPACED = 6  # seeds of so many words or more leave one out
 MAX_GAP = 64
 MARGIN = 48
 GAP_COST = 0.1
 MISMATCH, DROP = 2, 20
+REST = 5                   # bytes of a hash that are sent; its other bits choose the bucket
+HELD_ROWS = 1 << 20        # rows that a task holds before it sends them
+BUCKET_CHARS = 12_000_000  # characters of text whose seeds meet in one bucket, on average
+ROOM_DOCS = 1 << 23        # documents whose copies of one seed meet in one task
+_CODEC = pa.Codec("zstd")
 
 
 def _grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +86,8 @@ def _minimizers(h: np.ndarray, ptr: np.ndarray, window: int) -> np.ndarray:
 
 
 def _seeds(k: int, window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, text) -> (id, pos, hash) arrays of their seeds."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
             for b in slices(batch, "text"):
                 w = hash_words(b.column("text"))
@@ -93,9 +102,7 @@ def _seeds(k: int, window: int):
                 nth = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
                 own = np.flatnonzero(nth)
                 x = np.append(x, mix(x[own] + nth[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.column("id").to_numpy()[np.append(d, d[own])]), pa.array(np.append(pos, pos[own])), long_array(x),
-                     pa.array(np.append(first, np.ones(len(own), bool)))], names=["id", "pos", "h", "first"])
+                yield b.column("id").to_numpy()[np.append(d, d[own])], np.append(pos, pos[own]), x
     return run
 
 
@@ -110,8 +117,8 @@ def _tiling(pos: np.ndarray, size: int) -> list[int]:
 
 
 def _windows(k: int, window: int, size: int):
-    """(id, text, live) -> (id, pos, h) of the windows of ``size`` words whose seeds are all in ``live``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, text, live) -> (id, pos, hash) arrays of the windows of ``size`` words whose seeds are all in ``live``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
             for b in slices(batch, "text"):
                 w = hash_words(b.column("text"))
@@ -140,12 +147,119 @@ def _windows(k: int, window: int, size: int):
                     keep[lo:hi] = False
                     keep[lo + np.array(_tiling(start[order[lo:hi]], size))] = True
                 at = order[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.column("id").to_numpy()[doc[at]]), pa.array((start[at] - ptr[doc[at]]).astype(np.int32)), long_array(whole[at])],
-                    names=["id", "pos", "h"])
+                yield b.column("id").to_numpy()[doc[at]], (start[at] - ptr[doc[at]]).astype(np.int32), whole[at]
+    return run
+
+
+def _encode(ids: np.ndarray, pos: np.ndarray, h: np.ndarray) -> bytes:
+    """Rows of one bucket, sorted by (id, pos), as one value: ids and their row counts, steps of the
+    positions (byte by byte, compressed together), and the hashes' last REST bytes as they are."""
+    new = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    step = np.diff(pos, prepend=np.int32(0))
+    step[new] = pos[new]
+    head = b"".join((ids[new].astype(np.int64).tobytes(), np.diff(np.append(new, len(ids))).astype(np.int32).tobytes(),
+                     step.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()))
+    small = _CODEC.compress(head, asbytes=True)
+    rest = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :REST].tobytes()
+    return np.array([len(new), len(ids), len(small)], np.int64).tobytes() + small + rest
+
+
+def _decode(value: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    docs, rows, size = map(int, np.frombuffer(value, np.int64, 3))
+    head = _CODEC.decompress(value[24:24 + size], decompressed_size=12 * docs + 4 * rows, asbytes=True)
+    count = np.frombuffer(head, np.int32, docs, 8 * docs)
+    step = np.ascontiguousarray(np.frombuffer(head, np.uint8, 4 * rows, 12 * docs).reshape(4, rows).T).view(np.int32).ravel()
+    total = np.cumsum(step, dtype=np.int64)
+    new = np.cumsum(count) - count
+    pos = total - np.repeat(total[new] - step[new], count)
+    h = np.zeros((rows, 8), np.uint8)
+    h[:, :REST] = np.frombuffer(value, np.uint8, REST * rows, 24 + size).reshape(rows, REST)
+    return np.repeat(np.frombuffer(head, np.int64, docs), count), pos.astype(np.int32), h.view(np.uint64).ravel()
+
+
+def _blocks(ids: np.ndarray, pos: np.ndarray, h: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """One row per bucket: (bucket, rows)."""
+    order = np.lexsort((pos, ids, bucket))
+    ids, pos, h, bucket = ids[order], pos[order], h[order], bucket[order]
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    ends = np.append(cut[1:], len(bucket))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[cut].astype(np.int64)), pa.array([_encode(ids[x:y], pos[x:y], h[x:y]) for x, y in zip(cut, ends)], pa.binary())],
+        names=["bucket", "rows"])
+
+
+def _packed(found, buckets: int, rooms: int):
+    """Rows found by a task, per bucket of hashes and room of documents one value; a bounded number at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            ids, pos, h = (np.concatenate(x) for x in zip(*held))
+            room = mix(ids.astype(np.uint64)) % np.uint64(rooms)
+            return _blocks(ids, pos, h, ((h >> np.uint64(8 * REST)) % np.uint64(buckets)) * np.uint64(rooms) + room)
+
+        for rows in found(batches):
+            held.append(rows)
+            size += len(rows[0])
+            if size >= HELD_ROWS:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
     return run
 
 
+def _matches(rooms: int):
+    """Values of a bucket -> every row whose hash several documents hold, with the hash's first holder.
+
+    With several rooms, the first holders of a room go on as one value of the bucket, so that those
+    of all rooms are matched once more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, groups in runs(batches, ["bucket"]):
+            values = t.column("rows").to_pylist()
+            for x, y in zip(groups[:-1], groups[1:]):
+                ids, pos, h = (np.concatenate(c) for c in zip(*map(_decode, values[x:y])))
+                order = np.lexsort((pos, ids, h))
+                ids, pos, h = ids[order], pos[order], h[order]
+                cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                count = np.diff(np.append(cut, len(h)))
+                if rooms > 1:
+                    bucket = np.full(len(cut), int(t.column("bucket")[int(x)].as_py()) // rooms)
+                    more = _blocks(ids[cut], pos[cut], h[cut], bucket)
+                    none = [pa.nulls(1, kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*none, *more.columns], names=_MATCH)
+                shared = np.repeat(ids[cut] != ids[cut + count - 1], count)
+                first = np.repeat(cut, count)[shared]
+                rows = np.flatnonzero(shared)
+                order = np.lexsort((pos[rows], ids[first], ids[rows]))
+                rows, first = rows[order], first[order]
+                for at in range(0, len(rows), 100_000):
+                    r, f = rows[at:at + 100_000], first[at:at + 100_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[r]), pa.array(pos[r]), pa.array(ids[f]), pa.array(pos[f]), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.binary())],
+                        names=_MATCH)
+    return run
+
+
+_MATCH = ["id", "pos", "a_id", "a_pos", "bucket", "rows"]
+
+
+def _shared(source: DataFrame, found, buckets: int, rooms: int, name: str) -> DataFrame:
+    """(id, pos, a_id, a_pos) of rows whose hash several documents hold: one exchange of packed rows
+    by bucket of hashes (and one of the rooms' first holders, where there are several rooms)."""
+    schema = "id long, pos int, a_id long, a_pos int, bucket long, rows binary"
+
+    def matched(blocks: DataFrame, rooms: int) -> DataFrame:
+        return blocks.repartition(buckets * rooms, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(rooms), schema)
+
+    out = stage_table(matched(source.mapInArrow(_packed(found, buckets, rooms), "bucket long, rows binary"), rooms), name)
+    rows = out.where("id is not null").drop("bucket", "rows")
+    if rooms == 1:
+        return rows
+    return rows.unionByName(stage_table(matched(out.where("id is null").select("bucket", "rows"), 1), name).drop("bucket", "rows"))
+
+
 class _PrefixBest:
     """Fenwick tree: best (score, item) over positions up to a given one."""
 
@@ -381,12 +495,6 @@ def _passages(min_words: int, identity: float):
 _FIELDS = ["id", "start", "end", "source_id", "source_start", "source_end", "matched"]
 
 
-def _anchors(seeds: DataFrame) -> DataFrame:
-    """(h, a_id, a_pos): the first holder of every seed that several documents hold."""
-    return (seeds.groupBy("h").agg(F.min(F.struct("id", "pos")).alias("a"), F.max("id").alias("most")).where("a.id < most")
-            .select("h", F.col("a.id").alias("a_id"), F.col("a.pos").alias("a_pos")))
-
-
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, identity: float = 0.8,
                       k: int = 6, window: int = 2) -> DataFrame:
     """One row per passage: (id, start, end, source_id, source_start, source_end, matched).
@@ -400,20 +508,24 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out; rows that share an id are one document to the search, and each is aligned; repeated rows give the same
     passage once; an empty table gives an empty result. Other columns are not read.
     """
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     k = min(k, min_words)
     window = min(window, 1 << (min_words - k + 1).bit_length() - 1)
-    seeds = docs.mapInArrow(_seeds(k, window), "id long, pos int, h long, first boolean")
-    shared = stage_table(seeds.select("id", "pos", "h").join(_anchors(seeds.where("first")), "h").select("id", "pos", "a_id", "a_pos"), "shared")
+    size = docs.agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("docs")).first()
+    spread = (max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["chars"] or 0) // BUCKET_CHARS)), max(1, -(-size["docs"] // ROOM_DOCS)))
+    shared = _shared(docs, _seeds(k, window), *spread, "shared")
+    drop_tables(spark)
     live = shared.groupBy("id").agg(F.collect_set("pos").alias("live"))
-    whole = stage_table(live.join(docs, "id").select("id", "text", "live")
-                        .mapInArrow(_windows(k, window, min_words), "id long, pos int, h long"), "windows")
-    links = shared.withColumn("size", F.lit(k)).unionByName(
-        whole.join(_anchors(whole), "h").select("id", "pos", "a_id", "a_pos", F.lit(min_words).alias("size"))).where("id <> a_id")
+    whole = _shared(live.join(docs, "id").select("id", "text", "live"), _windows(k, window, min_words), *spread, "windows")
+    drop_tables(spark)
+    links = shared.withColumn("size", F.lit(k)).unionByName(whole.withColumn("size", F.lit(min_words))).where("id <> a_id")
     margin = MARGIN
     chains = stage_table(links.repartition("id").sortWithinPartitions("id", "a_id", "pos", "a_pos")
                          .mapInArrow(_chains(k, margin, min_words), "id long, a_id long, path array<long>"), "chains")
+    del live, links
+    drop_tables(spark, shared, whole)
     last = F.element_at("path", -2)
     b_off = F.greatest(F.col("path")[0] - margin, F.lit(0))
     a_off = F.greatest(F.col("path")[2] - margin, F.lit(0))
