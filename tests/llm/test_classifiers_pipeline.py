@@ -7,7 +7,7 @@ import pytest
 
 from tests.llm.text_cases import prose
 from tricolor.llm.site_quality import fit_logistic, site_quality
-from tricolor.llm.toxicity import drop_toxic, fit_nnpu, toxicity
+from tricolor.llm.toxicity import drop_toxic, fit_nnpu, fit_toxicity, toxicity
 
 
 def labelled(seed=1, n=900):
@@ -122,8 +122,8 @@ def test_pipeline_stage_by_stage(spark, sf_small):
             first = {}
             for i in sorted(after):
                 w = words_of(after[i]["text"])
-                for p in range(len(w) - 50):
-                    assert first.setdefault(tuple(w[p:p + 51]), i) == i
+                for p in range(len(w) - 49):
+                    assert first.setdefault(tuple(w[p:p + 50]), i) == i
         if name == "packing":
             size = {}
             for r in at.collect():
@@ -133,3 +133,40 @@ def test_pipeline_stage_by_stage(spark, sf_small):
                 packed[r["doc_id"]] = packed.get(r["doc_id"], 0) + r["length"]
             assert packed == size
         at = spark.createDataFrame(got, out.schema)
+
+
+def test_prior_counts_the_drawn_positives_only(rows):
+    rng = random.Random(31)
+    data = [(i, prose(rng, 12) + (" vile awful" if i % 3 == 0 else "")) for i in range(900)]
+    docs = rows("doc_id long, text string", data)
+    labels = rows("doc_id long, toxic int", [(i, int(i % 3 == 0)) for i, _ in data])
+    _, whole = fit_toxicity(docs, labels)
+    models, few = fit_toxicity(docs, labels, most_positive=30, most_unlabelled=600)
+    assert whole == 0.001  # everything toxic is known and taken out
+    assert models and 0.27 < few < 0.34  # about 30 of 240 are out
+
+
+def test_bags_are_bounded_in_bytes(rows):
+    rng = random.Random(32)
+    data = [(i, prose(rng, 200) + (" vile awful" if i % 3 == 0 else "")) for i in range(300)]
+    docs, labels = rows("doc_id long, text string", data), rows("doc_id long, toxic int", [(i, int(i % 3 == 0)) for i, _ in data[:150]])
+    models, _ = fit_toxicity(docs, labels, most_bytes=40_000)
+    whole, _ = fit_toxicity(docs, labels)
+    assert models and whole
+    assert not any(len(a[1]) == len(b[1]) and (a[1] == b[1]).all() for a in models for b in whole)
+
+
+def test_columns_that_could_clash_are_kept(rows):
+    from tricolor.llm.mixing import mixed_documents
+    from tricolor.llm.substring_dedup import cut_repeats
+    rng = random.Random(33)
+    names = ["__text", "__id", "__spans", "_id", "_take", "_Source", "toxicity_score", "cut_id", "cut_spans", "mix_id", "mix_take", "mix_own_tie", "size", "score"]
+    passage = prose(rng, 80)
+    data = [(i, prose(rng, 30) + " " + passage, "s", *[f"{c}{i}" for c in names]) for i in range(6)]
+    docs = rows("doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names), data)
+    labels = rows("doc_id long, toxic int", [(0, 1), (1, 0), (2, 0)])
+    for run in (lambda d: drop_toxic(d, labels), cut_repeats, mixed_documents):
+        out = run(docs)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)

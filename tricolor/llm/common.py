@@ -53,6 +53,14 @@ def lower_ascii(text: str | Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have (names are compared without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back: the plan is evaluated a
     single time and a lost executor only re-reads files."""

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tricolor.llm.common import n_words, stage_table, words
+from tricolor.llm.common import n_words, stage_table, unused, words
 
 # Fixed value: 2**32 / golden ratio, rounded to an odd number.
 GOLDEN_32 = 2654435769
@@ -143,15 +143,15 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     their place only.
     """
     sized, taken = mix_plan(df, id_col, text_col, source_col, **how)
-    per = taken.groupBy("sidx", "start", "epoch").agg(F.sum("words").alias("_take"))
+    id_, source, tie, size, take, own = (unused(df, f"mix_{c}") for c in ("id", "source", "tie", "size", "take", "own_tie"))
+    per = taken.groupBy("sidx", "start", "epoch").agg(F.sum("words").alias(take))
     rows = (sized.where("size > 0").join(per, ["sidx", "start"])
-            .select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"), F.col("size").alias("_size"), "_take"))
+            .select(F.col("id").alias(id_), F.col("source").alias(source), F.col("tie").alias(tie), F.col("size").alias(size), take))
     # equal rows are one text here, and each of their places takes it
-    docs = df.withColumn("_text_tie", F.xxhash64(text_col)).dropDuplicates([id_col, source_col, "_text_tie"])
-    joined = docs.join(rows, docs[id_col].eqNullSafe(rows["_id"]) & docs[source_col].eqNullSafe(rows["_source"])
-                       & (docs["_text_tie"] == rows["_tie"]))
-    cut = F.array_join(F.slice(words(text_col), F.lit(1), F.col("_take").cast("int")), " ")
-    text = F.when(F.col("_take") < F.col("_size"), cut).otherwise(F.col(text_col))
+    docs = df.withColumn(own, F.xxhash64(text_col)).dropDuplicates([id_col, source_col, own])
+    joined = docs.join(rows, docs[id_col].eqNullSafe(rows[id_]) & docs[source_col].eqNullSafe(rows[source]) & (docs[own] == rows[tie]))
+    cut = F.array_join(F.slice(words(text_col), F.lit(1), F.col(take).cast("int")), " ")
+    text = F.when(F.col(take) < F.col(size), cut).otherwise(F.col(text_col))
     out = joined.withColumn(text_col, text)
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(df.schema["n_chars"].dataType))

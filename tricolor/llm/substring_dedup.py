@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tricolor.llm.common import Words, drop_tables, hash_words, mix, runs, ship, slices, stage_table, words
+from tricolor.llm.common import Words, drop_tables, hash_words, mix, runs, ship, slices, stage_table, unused, words
 
 SPACED = 6  # seeds of so many words or more leave one out
 MAX_GAP = 64
@@ -251,7 +251,7 @@ def _shared(source: DataFrame, found, buckets: int, rooms: int, name: str) -> Da
     schema = "id long, pos int, a_id long, a_pos int, bucket long, rows binary"
 
     def matched(blocks: DataFrame, rooms: int) -> DataFrame:
-        return blocks.repartition(buckets * rooms, "bucket").sortWithinPartitions("bucket").mapInArrow(_matches(rooms), schema)
+        return blocks.repartitionById(buckets * rooms, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_matches(rooms), schema)
 
     out = stage_table(matched(source.mapInArrow(_packed(found, buckets, rooms), "bucket long, rows binary"), rooms), name)
     rows = out.where("id is not null").drop("bucket", "rows")
@@ -541,12 +541,12 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.distinct().withColumnRenamed("id", id_col)
 
 
-def _cut(schema: list[str], text_col: str):
+def _cut(schema: list[str], text_col: str, spans_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             column = b.column(text_col)
             texts = column.to_pylist()
-            spans = b.column("__spans").to_pylist()
+            spans = b.column(spans_col).to_pylist()
             rows = [i for i, s in enumerate(spans) if s and texts[i]]
             if rows:
                 w = hash_words(column.take(pa.array(rows)))
@@ -569,12 +569,14 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """The rows of ``df`` with repeated passages cut out of all documents but their first holder.
 
     Every row stays, with its other columns (``n_chars``, where there is one, is counted again); a
-    document that is nothing but repeated passages keeps an empty text. Null ids and null texts stay as they are.
+    document that is nothing but repeated passages keeps an empty text. Null ids and null texts stay as
+    they are, and so do columns of any name.
     """
     found = repeated_passages(df, id_col, text_col, **how)
-    spans = stage_table(found.groupBy(F.col(id_col).alias("__id")).agg(F.collect_list(F.struct("start", "end")).alias("__spans")), "spans")
-    joined = df.join(spans, df[id_col] == spans["__id"], "left").drop("__id")
-    cut = joined.mapInArrow(_cut(df.columns, text_col), df.schema)
+    key, held = unused(df, "cut_id"), unused(df, "cut_spans")
+    spans = stage_table(found.groupBy(F.col(id_col).alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(held)), "spans")
+    joined = df.join(spans, df[id_col] == spans[key], "left").drop(key)
+    cut = joined.mapInArrow(_cut(df.columns, text_col, held), df.schema)
     if "n_chars" in df.columns:
         cut = cut.withColumn("n_chars", F.coalesce(F.length(text_col).cast(df.schema["n_chars"].dataType), F.col("n_chars")))
     return cut.select(*df.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tricolor.llm.common import hash_words, runs, ship, slices
+from tricolor.llm.common import hash_words, runs, ship, slices, stage_table, unused
 
 SPACE = 1 << 21
 PREFIXES = (4, 5, 6, 8)
@@ -102,7 +102,7 @@ def _train(prior: float, keep: int):
     return run
 
 
-def _score(models: list[tuple[np.ndarray, np.ndarray, float]], default: float):
+def _score(models: list[tuple[np.ndarray, np.ndarray, float]], default: float, text_col: str, score_col: str):
     tables = [None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,18 +115,18 @@ def _score(models: list[tuple[np.ndarray, np.ndarray, float]], default: float):
                 weight[i, place[f]] = w
             tables[0] = place, weight, np.array([b for _, _, b in models])
         for batch in batches:
-            for b in slices(batch, "__text"):
+            for b in slices(batch, text_col):
                 score = np.full(b.num_rows, default)
                 if models:
                     place, weight, bias = tables[0]
-                    text, f = _features(b.column("__text"))
+                    text, f = _features(b.column(text_col))
                     at = place[f]
                     hit = at >= 0
                     pair = np.unique(text[hit] * len(weight[0]) + at[hit])
                     text, at = pair // max(1, len(weight[0])), pair % max(1, len(weight[0]))
                     score = np.mean([_sigmoid(bias[i] + np.bincount(text, weight[i, at], minlength=b.num_rows))
                                      for i in range(len(models))], axis=0)
-                yield b.append_column("__score", pa.array(score, pa.float64()))
+                yield b.append_column(score_col, pa.array(score, pa.float64()))
     return run
 
 
@@ -137,11 +137,12 @@ def held_out(id_col: Column) -> Column:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
                  most_positive: int = 12_000, most_unlabelled: int = 36_000, bags: int = 3,
-                 keep: int = 1024) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], float]:
+                 keep: int = 1024, most_bytes: int = 256 << 20) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], float]:
     """The classifiers and the class prior, learned outside the held-out fold.
 
     Bounds: about ``most_positive`` confirmed positives and ``most_unlabelled`` other texts, drawn
-    by a hash of the id. The prior is the share of positives among labelled rows of the training
+    by a hash of the id, and about ``most_bytes`` of hashed features a bag (fewer texts of each kind,
+    by a hash, where they are longer), so that a bag fits into a task. The prior is the share of positives among labelled rows of the training
     folds, carried over to the texts that are left when the confirmed positives are taken out.
     Without positives or labels there is no classifier.
     """
@@ -155,42 +156,46 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     # bounded by most_positive: at most a few hundred kilobytes
     positive = known.where((F.col("toxic") == 1) & draw("id", most_positive / p)).select("id", F.lit(1).alias("toxic"))
     rows = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    total = rows.count()
-    # the confirmed positives are not among the unlabelled texts, which so hold fewer
-    prior = min(max((prior * total - p) / max(1, total - p), 0.001), 0.5)
+    total, drawn = rows.count(), positive.count()
+    # the drawn positives are not among the unlabelled texts, which so hold fewer; positives that were
+    # not drawn still are, whatever is known of them
+    prior = min(max((prior * total - drawn) / max(1, total - drawn), 0.001), 0.5)
     rows = rows.join(F.broadcast(positive), "id", "left").withColumn("toxic", F.coalesce("toxic", F.lit(0)))
     sample = rows.where((F.col("toxic") == 1) | draw("id", most_unlabelled / max(1, total)))
     sample = sample.select(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(bags)).cast("int").alias("bag"), "toxic", "text")
-    fitted = (sample.mapInArrow(_sample_rows, "bag int, toxic int, feats binary")
+    sample = stage_table(sample.mapInArrow(_sample_rows, "bag int, toxic int, feats binary"), "sample")
+    size = sample.agg(F.sum(F.length("feats"))).first()[0] or 0
+    fitted = (sample.where(draw("feats", bags * most_bytes / max(1, size)))
               .repartition("bag").sortWithinPartitions("bag", F.xxhash64("feats"))
               .mapInArrow(_train(prior, keep), "features binary, weights binary, bias double").collect())
     return [(np.frombuffer(r["features"], np.int64), np.frombuffer(r["weights"], float), r["bias"]) for r in
             sorted(fitted, key=lambda r: r["bias"])], prior
 
 
-def score_toxicity(docs: DataFrame, models, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__score`` (0 to 1); all columns stay."""
-    base = docs.withColumn("__text", F.col(text_col))
-    return base.mapInArrow(_score(models, 0.0), StructType([*base.schema.fields, StructField("__score", DoubleType())])).drop("__text")
+def score_toxicity(docs: DataFrame, models, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with a column ``score_col`` (0 to 1), a name that is not taken; all columns stay."""
+    return docs.mapInArrow(_score(models, 0.0, text_col, score_col), StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "toxic", **how) -> DataFrame:
     """One row per row of ``docs``: (id, held_out, score, predicted).
 
-    Edge cases: null, empty and wordless texts get the classifiers' answer without features; equal
+    Edge cases: null, empty and wordless texts get the classifiers' answer without features; texts of
+    any length are scored whole, about a megabyte of them at a time (or one text); equal
     texts get equal scores; without a positive or a negative label every score is 0; rows with a
     null id are scored but never train; an empty table gives an empty result. Other columns,
     source and language among them, are not read.
     """
     ship(docs.sparkSession)
     models, _ = fit_toxicity(docs, labels, id_col, text_col, label_col, **how)
-    scored = score_toxicity(docs.select(F.col(id_col), F.col(text_col).alias("text")), models)
-    return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+    scored = score_toxicity(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), models)
+    return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` whose score is below 0.5, columns and texts as they are."""
     ship(docs.sparkSession)
     models, _ = fit_toxicity(docs, labels, id_col, text_col, **how)
-    return score_toxicity(docs, models, text_col).where("__score < 0.5").select(*docs.columns)
+    score = unused(docs, "toxicity_score")
+    return score_toxicity(docs, models, text_col, score).where(F.col(score) < 0.5).select(*docs.columns)
