@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tricolor.llm.common import load, stage_table
+from tricolor.llm.common import drop_tables, load, stage_table
 from tricolor.llm.mixing import mixed_documents
 from tricolor.llm.near_dedup import drop_near_duplicates
 from tricolor.llm.packing import pack
@@ -52,7 +52,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        done = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = stage_table(docs, name)
+            done = stage_table(done, name)
+            if i:
+                drop_tables(spark, docs)   # the next stage reads what this one has written
+        docs = done
     return docs
