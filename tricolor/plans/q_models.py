@@ -25,6 +25,7 @@ from tricolor.operators.metrics import auc, confusion_metrics
 from tricolor.operators.models.base import pred_col, prob_col
 from tricolor.operators.models.catalog import grid, model
 from tricolor.operators.models.ensemble import Stacking, Voting
+from tricolor.operators.neighbor_info import neighbor_information
 from tricolor.operators.profile import value_grid
 from tricolor.operators.tune import add_folds, cv_summary, fold_metrics, pooled_metrics, search_cv
 from tricolor.plans.q_relational import split_sql
@@ -595,8 +596,40 @@ SELECT 'mutual_info' AS method, feature, round(sum(n / nt * ln(n * nt / (nb * ny
 FROM w GROUP BY feature"""
 
 
-@query("imp_mutual_info", _mi_sql())
+# whole numbers: the shares have six decimals
+MI_SCALE = {"n_chars": 1, "nonletter_share": 1_000_000, "word_share": 1_000_000}
+
+
+def _mi_neighbors_sql(k: int = 3) -> str:
+    """Every pair of rows: the k-th distance inside the class, the rows nearer than that, harmonic numbers summed up."""
+    parts = " UNION ALL ".join(f"SELECT '{c}' AS feature, row_id, quality AS y, round({c} * {s}) AS x FROM t" for c, s in MI_SCALE.items())
+    return f"""
+WITH t AS ({TASK}), l AS ({parts}),
+h AS (SELECT i, coalesce(sum(1.0::DOUBLE / i) OVER (ORDER BY i), 0) AS h FROM range(1, (SELECT count(*) + 1 FROM t)) r(i)
+      UNION ALL SELECT 0, 0),
+n AS (SELECT feature, y, count(*) AS n FROM l GROUP BY ALL),
+d AS (SELECT a.feature, a.row_id, a.y, a.x, abs(a.x - b.x) AS d,
+             row_number() OVER (PARTITION BY a.feature, a.row_id ORDER BY abs(a.x - b.x)) AS nth
+      FROM l a JOIN l b ON a.feature = b.feature AND a.y = b.y AND a.row_id <> b.row_id),
+r AS (SELECT d.feature, d.row_id, d.y, d.x, d.d AS r, n.n, d.nth AS k FROM d JOIN n USING (feature, y) WHERE nth = least({k}, n.n - 1)),
+m AS (SELECT r.feature, r.row_id, r.n, r.k, count(*) AS m FROM r JOIN l ON l.feature = r.feature
+      AND CASE WHEN r.r = 0 THEN l.x = r.x ELSE abs(l.x - r.x) < r.r END GROUP BY ALL),
+i AS (SELECT feature, count(*) AS rows, avg(hk.h - hn.h - hm.h) AS mean FROM m JOIN h hk ON hk.i = m.k - 1 JOIN h hn ON hn.i = m.n - 1
+      JOIN h hm ON hm.i = m.m - 1 GROUP BY feature)
+SELECT 'mutual_info' AS method, feature, round(greatest(0, h.h + mean), 6) AS importance FROM i JOIN h ON h.i = rows - 1"""
+
+
+@query("imp_mutual_info", _mi_neighbors_sql())
 def imp_mutual_info(spark, d):
+    """Mutual information of each feature and the target by three nearest neighbours."""
+    t = fx.docs_task(spark, d)
+    scaled = t.select(LABEL, *[F.round(F.col(c) * s).alias(c) for c, s in MI_SCALE.items()])
+    return neighbor_information(scaled, list(MI_SCALE), LABEL, k=3)
+
+
+@query("imp_mutual_info_width", _mi_sql())
+def imp_mutual_info_width(spark, d):
+    """Plug-in mutual information on 10 equal-width bins."""
     return imp.mutual_information(fx.docs_task(spark, d), F3, LABEL, bins=10)
 
 
