@@ -26,7 +26,8 @@ from tricolor.llm.common import UPPER, ship, slices, stage_table
 
 UNIT = 1_000_000_000
 HELD_BYTES = 16 << 20    # texts that a task holds before it passes its copies on
-HELD_TERMS = 200_000     # term rows that a task holds before it passes them on
+HELD_TERMS = 500_000     # term rows that a task holds before it passes them on
+DOCS = 40                # bits for documents beside the occurrences, in one integer per term
 # A-Z become a-z; ASCII that is no letter parts terms; bytes of other code points are kept.
 _TERMS = bytes(b + 32 if chr(b) in UPPER else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -67,15 +68,17 @@ def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    held: dict[tuple[str, str], dict[bytes, int]] = {}
     size = 0
 
     def out() -> Iterator[pa.RecordBatch]:
         for (lang, source), terms in held.items():
+            words = sorted(terms)   # neighbours are alike, which compresses better
+            sums = [terms[w] for w in words]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()),
-                 pa.array(list(terms), pa.binary()).cast(pa.string()),
-                 pa.array([x[0] for x in terms.values()], pa.int64()), pa.array([x[1] for x in terms.values()], pa.int64())],
+                 pa.array(words, pa.binary()).cast(pa.string()),
+                 pa.array([x >> DOCS for x in sums], pa.int64()), pa.array([x & ((1 << DOCS) - 1) for x in sums], pa.int64())],
                 names=["lang", "source", "term", "n", "docs"])
 
     for b in batches:
@@ -86,12 +89,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 times = c["n"]
                 size -= len(mine)
                 for term, n in counts.items():
-                    x = mine.get(term)
-                    if x is None:
-                        mine[term] = [n * times, times]
-                    else:
-                        x[0] += n * times
-                        x[1] += times
+                    mine[term] = mine.get(term, 0) + (n * times << DOCS) + times
                 size += len(mine)
             if size > HELD_TERMS:
                 yield from out()
@@ -109,7 +107,8 @@ def term_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     # one exchange serves both groupings: rows of one text of a language meet, whatever their source
     per_source = copies.repartition("lang", "text").groupBy("lang", "text", "source").agg(F.sum("n").alias("n"))
     collapsed = per_source.groupBy("lang", "text").agg(F.collect_list(F.struct("source", "n")).alias("copies"))
-    counted = collapsed.mapInArrow(_count_terms, "lang string, source string, term string, n long, docs long")
+    # rows of a term meet, whatever their source: added up per task before, they are few for any term
+    counted = collapsed.mapInArrow(_count_terms, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
