@@ -1,14 +1,11 @@
-import random
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tricolor.operators.models.additive import Moments, class_moments, merged, product_moments
 from tricolor.operators.models.base import pred_col, prob_col
-from tricolor.operators.models.catalog import model
+from tricolor.operators.models.catalog import grid, model
 from tricolor.operators.tune import candidate_scores, candidates, cv_summary, fold_metrics, out_of_fold, search_cv
-from tricolor.operators.models.catalog import grid
 
 COLS = ["a", "b", "c"]
 
@@ -68,4 +65,4 @@ def test_random_search_draws_some_of_the_grid():
     points = grid("ElasticNet")
     drawn = candidates(points, "random", 10, 42)
     assert len(points) == 25 and len(drawn) == 10 and all(p in points for p in drawn)
-    assert drawn != points[:10] and drawn == candidates(points, "random", 10, 42) and random.Random(42)
+    assert drawn != points[:10] and drawn == candidates(points, "random", 10, 42)
