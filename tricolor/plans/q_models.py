@@ -310,6 +310,37 @@ def tun_grid(spark, d):
     return _search_table(spark, best, results)
 
 
+_KNN_GRID = grid("KNN")
+_GAPS = [f"(a.x[{j}] - b.x[{j}])" for j in range(1, len(PREPARED_FEATURES) + 1)]
+_KNN_CANDIDATES = ", ".join(f"({i}, {c['k']}, '{c['weights']}', '{c['metric']}', '{json.dumps(c, sort_keys=True)}')"
+                            for i, c in enumerate(_KNN_GRID))
+
+
+@query("tun_grid_knn", f"""
+WITH {_folded_sql(10, True)},
+di AS (SELECT a.row_id, a.quality AS y, a.fold, b.row_id AS rid, b.quality AS ny,
+              unnest(['euclidean', 'manhattan']) AS metric,
+              unnest([sqrt({" + ".join(f"{g} * {g}" for g in _GAPS)}), {" + ".join(f"abs({g})" for g in _GAPS)}]) AS d
+       FROM fo a JOIN fo b ON a.fold <> b.fold),
+nn AS (SELECT *, row_number() OVER (PARTITION BY metric, row_id ORDER BY d, rid) AS rk FROM di
+       QUALIFY rk <= {max(c["k"] for c in _KNN_GRID)}),
+ca(candidate, k, weights, metric, params) AS (VALUES {_KNN_CANDIDATES}),
+oof AS (SELECT candidate, any_value(params) AS params, row_id, any_value(fold) AS fold, any_value(y) AS y,
+               CASE WHEN any_value(weights) = 'uniform' THEN avg(ny) WHEN count(*) FILTER (WHERE d = 0) > 0 THEN avg(ny) FILTER (WHERE d = 0)
+                    ELSE sum(CASE WHEN d > 0 THEN ny / d END) / sum(CASE WHEN d > 0 THEN 1 / d END) END AS prob
+        FROM nn JOIN ca USING (metric) WHERE rk <= k GROUP BY candidate, row_id),
+a AS (SELECT candidate, params, avg(auc) AS auc
+      FROM {_auc_sql("SELECT *, candidate * 10 + fold AS cf FROM oof", "cf").replace("round(", "(").replace(", 6)", ")")}
+      JOIN (SELECT DISTINCT candidate, params, candidate * 10 + fold AS cf FROM oof) USING (cf) GROUP BY candidate, params)
+SELECT CAST(candidate + 1 AS INTEGER) AS candidate, params, round(auc, 6) AS mean_auc,
+       row_number() OVER (ORDER BY auc DESC, candidate) = 1 AS is_best FROM a""")
+def tun_grid_knn(spark, d):
+    """Exhaustive grid for kNN (13 neighbour counts, 2 weightings, 2 metrics), 10 folds, AUC: one search a metric."""
+    p = prepared_task(spark, d)
+    best, results, _ = search_cv(model("KNN"), _KNN_GRID, p.train, p.features, LABEL, k=10)
+    return _search_table(spark, best, results)
+
+
 @query("tun_random")
 def tun_random(spark, d):
     """Random search: 10 of the 25 elastic-net points (seed 42), 10 folds."""
