@@ -6,11 +6,50 @@ import re
 import numpy as np
 import pytest
 
+from tricolor.llm import ann_forest
 from tricolor.llm.ann_forest import nearest
 from tricolor.llm.chat_format import CONTROLS, digests, escape, format_chats, locate, read_turns, render_turns, unescape
 from tricolor.llm.quality_rules import RULES, Rule, quality_rules
 
 
+@pytest.mark.parametrize("n,norms", [(400, False), (1000, True), (8192, False), (8192, True)])
+def test_recall_of_a_block_by_one_rule(n, norms):
+    for seed in range(2):   # several blocks of production size, and small ones
+        g = np.random.default_rng(seed)
+        x = g.standard_normal((n, 64))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        x *= g.uniform(0.5, 1, (n, 1)) if norms else 1.0
+        codes = ann_forest._codes(x, 64, True).T
+        order = np.argsort(codes, axis=1, kind="stable")
+        asked, ids = np.arange(0, n, n // 100), np.arange(n)
+        hit = 0
+        for q, found, _ in ann_forest._search_block(ids, x, np.take_along_axis(codes, order, axis=1), order, asked, x[asked],
+                                                    ann_forest._codes(x[asked], 64, False), 20, 1.0):
+            score = x @ x[q[0]]
+            score[q[0]] = -np.inf
+            hit += len(set(found.tolist()) & set(np.argsort(-score)[:20].tolist()))
+        assert hit >= 0.9 * 20 * len(asked)
+
+
+def test_runs_under_a_prefix_and_bisection():
+    g = np.random.default_rng(1)
+    codes = np.sort(g.integers(0, 1 << 63, (3, 500), dtype=np.uint64) * np.uint64(2), axis=1)
+    asked = codes[:, g.integers(0, 500, 20)].T.copy()
+    for p in (0, 1, 5, 63, 64):
+        lo, hi = ann_forest._under(codes, asked, np.full(20, p))
+        for t in range(3):
+            for i in range(20):
+                same = codes[t] >> np.uint64(64 - p) == asked[i, t] >> np.uint64(64 - p) if p else np.ones(500, bool)
+                assert hi[t, i] - lo[t, i] == same.sum()
+
+
+def test_tiny_and_huge_components_take_part(rows):
+    vecs = [(0, [1e-170, 0.0]), (20, [1e200, 1.0]), (40, [0.0, -5e-324]), (1, [1.0, 1.0]), (2, [0.0, 0.0])]
+    got = nearest(rows("vec_id long, embedding array<double>", vecs), "id % 20 = 0").collect()
+    assert {r["query_id"] for r in got} == {0, 20, 40} and all(r["vec_id"] != 2 for r in got)
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == 0] == [20, 1, 40]
+
+
 def test_neighbours_against_brute_force(rows):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((600, 12)) * rng.uniform(0.5, 2, (600, 1))
