@@ -22,6 +22,7 @@ from tricolor.operators.models.base import Classifier, SparkMLClassifier
 from tricolor.operators.models.knn import KNNClassifier
 from tricolor.operators.models.nb import GaussianNB
 from tricolor.operators.models.plsda import PLSDA
+from tricolor.operators.models.staged import StagedClassifier
 from tricolor.operators.models.svm import SVMClassifier
 
 SEED = 42
@@ -89,15 +90,15 @@ def _model(name: str, **params) -> Classifier:
     if name == "DecisionTree":
         return SparkMLClassifier(name, _tree, dict(params))
     if name == "RandomForest":
-        return SparkMLClassifier(name, _rf, dict(params))
+        return StagedClassifier(name, _rf, dict(params))
     if name == "GBM":
-        return SparkMLClassifier(name, _gbm, dict(params))
+        return StagedClassifier(name, _gbm, dict(params))
     if name == "MLP":
         return SparkMLClassifier(name, _mlp, dict(params))
     if name == "Bagging":
-        return SparkMLClassifier(name, _bagging, dict(params))
+        return StagedClassifier(name, _bagging, dict(params))
     if name == "Pasting":
-        return SparkMLClassifier(name, _pasting, dict(params))
+        return StagedClassifier(name, _pasting, dict(params))
     if name == "NB":
         return GaussianNB(name, **params)
     if name == "KNN":
