@@ -16,7 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tricolor.operators.profile import q
+from tricolor.operators.gram import group_products
+from tricolor.operators.profile import NATIVE_PAIRED, q
 
 FOLD = "fold"
 
@@ -52,7 +53,9 @@ def class_moments(folded: DataFrame, features: Sequence[str], label: str) -> dic
 
 
 def product_moments(folded: DataFrame, columns: Sequence[str]) -> dict[int, Moments]:
-    """fold -> moments with all products of ``columns``; one row per fold reaches the driver."""
+    """fold -> moments with all products of ``columns`` (without NULLs); one row per fold reaches the driver."""
+    if len(columns) > NATIVE_PAIRED:
+        return {g: Moments(*m) for g, m in group_products(folded, columns, FOLD).items()}
     x = [q(c).cast("double") for c in columns]
     p = len(x)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]

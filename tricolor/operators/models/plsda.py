@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tricolor.operators.models.additive import FoldFit, fold_scored, merged, product_moments
+from tricolor.operators.models.additive import FOLD, FoldFit, fold_scored, merged, product_moments
 from tricolor.operators.models.base import Classifier, FittedClassifier, pred_col, prob_col
 from tricolor.operators.profile import q
 
@@ -77,25 +77,16 @@ class PLSDA(Classifier):
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> PLSDAFitted:
         feats = list(features)
-        x = [q(f).cast("double") for f in feats]
-        y = q(label).cast("double")
-        r = df.agg(*[F.avg(e).alias(f"m{j}") for j, e in enumerate(x)],
-                   *[F.stddev_samp(e).alias(f"s{j}") for j, e in enumerate(x)],
-                   F.avg(y).alias("my"), F.stddev_samp(y).alias("sy")).first()
-        p = len(feats)
-        mx = [float(r[f"m{j}"]) for j in range(p)]
-        sx = [float(r[f"s{j}"]) if r[f"s{j}"] else 1.0 for j in range(p)]
-        my, sy = float(r["my"]), (float(r["sy"]) if r["sy"] else 1.0)
-        z = [(x[j] - F.lit(mx[j])) / F.lit(sx[j]) for j in range(p)]
-        zy = (y - F.lit(my)) / F.lit(sy)
-        aggs = [F.sum(z[i] * z[j]).alias(f"c{i}_{j}") for i in range(p) for j in range(i, p)]
-        aggs += [F.sum(z[i] * zy).alias(f"y{i}") for i in range(p)]
-        g = df.agg(*aggs).first()
-        xtx = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i, p):
-                xtx[i, j] = xtx[j, i] = g[f"c{i}_{j}"]
-        xty = np.array([g[f"y{i}"] for i in range(p)])
+        at = product_moments(df.select(*[q(f) for f in feats], q(label), F.lit(0).alias(FOLD)), [*feats, label])
+        if 0 not in at:
+            raise ValueError("PLS-DA needs training rows")
+        m = at[0]
+        std = np.sqrt(np.diag(m.about) / max(1, m.n - 1))
+        std = np.where(std > 0, std, 1.0)
+        corr = m.about / np.outer(std, std)
+        xtx, xty = corr[:-1, :-1], corr[:-1, -1]
+        mx, sx = [float(v) for v in m.mean[:-1]], [float(v) for v in std[:-1]]
+        my, sy = float(m.mean[-1]), float(std[-1])
         coef = kernel_pls1(xtx, xty, self.n_components)
         return PLSDAFitted(self.name, feats, mx, sx, my, sy, [float(b) for b in coef])
 

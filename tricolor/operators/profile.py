@@ -97,13 +97,21 @@ def corr2(df: DataFrame, x: str, y: str, where: Column | None = None) -> DataFra
                  F.count_if(q(x).isNotNull() & q(y).isNotNull()).alias("n_pairs"))
 
 
+# Columns whose pairs (36) still are expressions of one aggregate.
+NATIVE_PAIRED = 8
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str], where: Column | None = None) -> DataFrame:
     """Pearson matrix in long form (col_a, col_b, corr); NULLs are skipped pairwise.
 
-    One aggregate of p(p+1)/2 ``corr`` states; the mirror half is a projection.
+    Up to ``NATIVE_PAIRED`` columns: one aggregate of p(p+1)/2 ``corr`` states, the mirror half a projection. With
+    more columns that many expressions would not compile: the blocked Gram aggregate takes over.
     """
     d = df.where(where) if where is not None else df
     cols = list(columns)
+    if len(cols) > NATIVE_PAIRED:
+        from tricolor.operators.gram import correlations
+        return correlations(d, cols)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     wide = d.agg(*[F.corr(q(cols[i]).cast("double"), q(cols[j]).cast("double")).alias(f"c{i}_{j}")
                    for i, j in pairs])
