@@ -69,6 +69,21 @@ class GaussianNB(Classifier):
             raise ValueError("naive Bayes needs both classes 0 and 1 in the training data")
         return GaussianNBFitted(self.name, feats, priors, means, variances)
 
+    def fit_bags(self, rows: DataFrame, features: Sequence[str], label: str, names: Sequence[str]) -> list[GaussianNBFitted]:
+        """One fit for every bag (numbered in ``fold``), all from one aggregate."""
+        at = class_moments(rows, features, label)
+        out = []
+        for t, name in enumerate(names):
+            per = [at.get((t, c)) for c in (0, 1)]
+            if None in per:
+                raise ValueError("naive Bayes needs both classes 0 and 1 in every bag")
+            whole = per[0].plus(per[1])
+            eps = self.var_smoothing * float((whole.about / whole.n).max()) or self.var_smoothing
+            out.append(GaussianNBFitted(name, list(features), {c: m.n / whole.n for c, m in enumerate(per)},
+                                        {c: m.mean.tolist() for c, m in enumerate(per)},
+                                        {c: (m.about / m.n + eps).tolist() for c, m in enumerate(per)}))
+        return out
+
     def fold_scores(self, folded: DataFrame, features: Sequence[str], label: str, k: int, candidates: Sequence[dict]) -> DataFrame:
         """The rows once per candidate, with pred and prob by the fit without their fold."""
         at = class_moments(folded, features, label)

@@ -10,7 +10,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tricolor.functions.hashing import sql_hash_key
+from tricolor.functions.hashing import sql_hash_key, sql_hash_uniform
 from tricolor.operators import importance as imp
 from tricolor.operators.evaluate import (
     long_predictions,
@@ -22,6 +22,7 @@ from tricolor.operators.evaluate import (
     validation_table,
 )
 from tricolor.operators.metrics import auc, confusion_metrics
+from tricolor.operators.models.bagging import HashBagging, poisson_steps
 from tricolor.operators.models.base import pred_col, prob_col
 from tricolor.operators.models.catalog import grid, model
 from tricolor.operators.models.ensemble import Stacking, Voting
@@ -202,6 +203,47 @@ def mod_nb(spark, d):
     return fitted.predict(val).select("row_id", LABEL, "NB_Prediction", "NB_Prob")
 
 
+_BAGS = 10
+
+
+def _bagged_nb_sql(name: str, drawn: str) -> str:
+    """Mean probability of naive Bayes over the bags of ``drawn`` (bag, quality, the features), with copies."""
+    return f"""
+WITH s AS {SPLIT}, tr AS (SELECT bag, s.* FROM s, (SELECT unnest(range({_BAGS})) AS bag) WHERE NOT is_val),
+dr AS ({drawn}),
+u AS (SELECT bag, quality AS c, unnest([{", ".join(F3)}]) AS v, unnest(range({len(F3)})) AS j FROM dr),
+cs AS (SELECT bag, c, j, count(*) AS n, avg(v) AS m, var_pop(v) AS w FROM u GROUP BY bag, c, j),
+ep AS (SELECT bag, 1e-9 * max(w) AS eps FROM (SELECT bag, j, var_pop(v) AS w FROM u GROUP BY bag, j) GROUP BY bag),
+x AS (SELECT row_id, quality, unnest([{", ".join(F3)}]) AS v, unnest(range({len(F3)})) AS j FROM s WHERE is_val),
+jl AS (SELECT bag, row_id, any_value(quality) AS quality, c, ln(any_value(n)) + sum(-0.5 * ln(2 * pi() * (w + eps)) - (v - m) * (v - m) / (2 * (w + eps))) AS jll
+       FROM x JOIN cs USING (j) JOIN ep USING (bag) GROUP BY bag, row_id, c),
+pr AS (SELECT a.row_id, any_value(a.quality) AS quality, avg(1 / (1 + exp(a.jll - b.jll))) AS prob
+       FROM jl a JOIN jl b ON a.bag = b.bag AND a.row_id = b.row_id AND a.c = 0 AND b.c = 1 GROUP BY a.row_id)
+SELECT row_id, quality, CAST(prob > 0.5 AS INTEGER) AS {name}_Prediction, round(prob, 6) AS {name}_Prob FROM pr"""
+
+
+_BAG_KEY = "(bag || ':' || row_id)"
+_TIMES = " + ".join(f"CAST({sql_hash_uniform('42:bag', _BAG_KEY)} >= CAST({v!r} AS DOUBLE) AS INTEGER)" for v in poisson_steps(1.0))
+
+
+@query("mod_bagging_nb", _bagged_nb_sql("BaggedNB", f"SELECT * FROM (SELECT *, unnest(range({_TIMES})) AS copy FROM tr)"))
+def mod_bagging_nb(spark, d):
+    """Naive Bayes bagged over 10 hash-drawn bootstrap samples: one aggregate fits all bags."""
+    train, val = _raw_split(spark, d)
+    fitted = HashBagging("BaggedNB", model("NB"), _BAGS).fit(train, F3, LABEL)
+    return fitted.predict(val).select("row_id", LABEL, "BaggedNB_Prediction", "BaggedNB_Prob")
+
+
+@query("mod_pasting_nb", _bagged_nb_sql("PastedNB", f"""
+SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY bag ORDER BY {sql_hash_key('42:paste', _BAG_KEY)}, row_id)
+                         <= floor(CAST(0.6 AS DOUBLE) * count(*) OVER (PARTITION BY bag))"""))
+def mod_pasting_nb(spark, d):
+    """Naive Bayes pasted over 10 exact samples of 0.6 of the rows, without replacement."""
+    train, val = _raw_split(spark, d)
+    fitted = HashBagging("PastedNB", model("NB"), _BAGS, 0.6, bootstrap=False).fit(train, F3, LABEL)
+    return fitted.predict(val).select("row_id", LABEL, "PastedNB_Prediction", "PastedNB_Prob")
+
+
 KNN_SQL = f"""
 WITH s AS {SPLIT}, tr AS (SELECT * FROM s WHERE NOT is_val), v AS (SELECT * FROM s WHERE is_val),
 d AS (SELECT v.row_id, v.quality, t.quality AS y,

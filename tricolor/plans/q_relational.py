@@ -494,6 +494,15 @@ def agg_corr_matrix(spark, d):
     return prof.corr_matrix(table(spark, d, "lineitem"), CORR_COLS)
 
 
+@query("agg_corr_matrix_components", """
+SELECT 'e' || i AS col_a, 'e' || j AS col_b, round(corr(CAST(embedding[i] AS DOUBLE), CAST(embedding[j] AS DOUBLE)), 6) AS corr
+FROM embeddings, (SELECT unnest(range(1, 65)) AS i) a, (SELECT unnest(range(1, 65)) AS j) b GROUP BY i, j""")
+def agg_corr_matrix_components(spark, d):
+    """All 4,096 correlations of the 64 vector components: the blocked Gram aggregate."""
+    parts = table(spark, d, "embeddings").select(*[F.try_element_at("embedding", F.lit(j)).cast("double").alias(f"e{j}") for j in range(1, 65)])
+    return prof.corr_matrix(parts, parts.columns)
+
+
 @query("agg_quantiles", """
 SELECT round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75 FROM events""")
 def agg_quantiles(spark, d):
