@@ -64,3 +64,17 @@ def test_synthetic_ids_and_removed_outliers(spark):
     ids = [r["row_id"] for r in run.train.select("row_id").unionByName(run.val.select("row_id")).collect()]
     assert len(ids) == len(set(ids)) and "is_synthetic" in run.train.columns
     assert run.outliers.count() <= 1 and "resample" in {r["kind"] for r in run.recipe.describe(spark).collect()}
+
+
+def test_a_model_that_cannot_score_is_skipped_and_named(spark):
+    df = _toy(spark)
+    run = train(df, "y", "no", "yes", ["NB", "PLSDA"], key_cols=["k"])
+    assert score(run, df, key_cols=["k"]).skipped.count() == 0
+    run.models[0].features = ["not there"] * len(run.models[0].features)
+    out = score(run, df, key_cols=["k"])
+    assert [r["model"] for r in out.skipped.collect()] == ["NB"] and out.results.count() == 200
+    assert "PLSDA_Prob" in out.results.columns and "NB_Prob" not in out.results.columns
+    assert [r["model"] for r in out.metrics.collect()] == ["PLSDA"]
+    run.models[1].features = ["not there"] * len(run.models[1].features)
+    with pytest.raises(ValueError, match="NB"):
+        score(run, df, key_cols=["k"])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tricolor.functions.scalar import DEFAULT_T0, DEFAULT_T1
 from tricolor.operators import sampling as smp
 from tricolor.operators.columns import require_columns
-from tricolor.operators.evaluate import predict_all, score_table, test_table, validation_table
+from tricolor.operators.evaluate import predict_all, predict_usable, score_table, test_table, validation_table
 from tricolor.operators.labels import check_coded_labels
 from tricolor.operators.missing import MissingStep
 from tricolor.operators.models.base import Classifier, FittedClassifier
@@ -130,6 +130,7 @@ class Scored:
     metrics: DataFrame | None
     removed_rows: int = 0        # rows left out because a feature is not finite
     without_target: int = 0      # rows left out because their target is NULL
+    skipped: DataFrame | None = None   # (model, error) of the models that cannot score the table
 
 
 def score(run: TrainedRun, test: DataFrame, key_cols: Sequence[str] | None = None, flips: dict | None = None,
@@ -138,7 +139,8 @@ def score(run: TrainedRun, test: DataFrame, key_cols: Sequence[str] | None = Non
 
     Refuses a table that lacks a column the features come from, or whose target has a value that
     training did not know. Rows without a target (where the table has one) and rows with a feature
-    that is not finite are left out and counted.
+    that is not finite are left out and counted. A model whose features the prepared table lacks is left out
+    of the results and named in ``skipped``; an error only if none is left.
     """
     has_target = run.label in test.columns
     require_columns(test, run.recipe.required)
@@ -147,8 +149,10 @@ def score(run: TrainedRun, test: DataFrame, key_cols: Sequence[str] | None = Non
     removed = run.recipe.removed_rows(numbered, with_label=has_target)
     prepared = run.recipe.apply(numbered, with_label=has_target)
     final = _final(prepared, run.pca, run.pca_k, run.label if has_target else None)
-    names = [m.name for m in run.models]
-    wide = predict_all(final, run.models)
+    wide, skipped = predict_usable(final, run.models)
+    names = [m.name for m in run.models if f"{m.name}_Prediction" in wide.columns]
+    if not names:
+        raise ValueError(f"no model can score the table: {[r['model'] for r in skipped.collect()]}")
     metrics = test_table(wide, names, run.label) if has_target else None
     scored = score_table(wide, names, flips, t0, t1)
     feats = [c for c in run.features if c in scored.columns and not c.startswith("PC")]
@@ -160,4 +164,4 @@ def score(run: TrainedRun, test: DataFrame, key_cols: Sequence[str] | None = Non
     originals = [c for c in test.columns if c != ID] if include_original else []
     # keyed join back to the untouched input (rows the recipe drops are not exported)
     joined = numbered.select(ID, *[F.col(f"`{c}`") for c in originals]).join(transformed, ID)
-    return Scored(joined, metrics, removed, without)
+    return Scored(joined, metrics, removed, without, skipped)

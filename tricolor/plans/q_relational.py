@@ -53,12 +53,16 @@ def src_catalog(spark, d):
     return TableCatalog(d).load(spark, "nation")
 
 
+def _orders(spark, d):
+    """All of ``orders``; the order date, which has no time of day, as text."""
+    return table(spark, d, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+
+
 @query("src_rowid", """
 SELECT row_number() OVER (ORDER BY o_orderkey) AS row_id, o_orderkey, o_custkey, o_orderstatus,
-       o_totalprice, o_orderpriority FROM orders""")
+       o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders""")
 def src_rowid(spark, d):
-    o = table(spark, d, "orders").drop("o_orderdate")
-    return add_row_id(o, ["o_orderkey"], persist_input=False)
+    return add_row_id(_orders(spark, d), ["o_orderkey"], persist_input=False)
 
 
 @query("snk_csv", "SELECT * FROM supplier")
@@ -93,9 +97,9 @@ def snk_results(spark, d):
 
 @query("src_preview", """
 SELECT row_number() OVER (ORDER BY o_orderkey) AS row_id, o_orderkey, o_custkey, o_orderstatus,
-       o_totalprice, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 5""")
+       o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 5""")
 def src_preview(spark, d):
-    o = add_row_id(table(spark, d, "orders").drop("o_orderdate"), ["o_orderkey"], persist_input=False)
+    o = add_row_id(_orders(spark, d), ["o_orderkey"], persist_input=False)
     return head(o, 5)
 
 
@@ -153,8 +157,8 @@ SELECT o_orderkey, o_totalprice,
 FROM orders""")
 def prj_align(spark, d):
     """Encode with the fitted categories, then force to the training feature list:
-    the absent ``o_shippriority`` is added as 0.0 and the extra ``o_custkey`` dropped."""
-    o = table(spark, d, "orders").drop("o_orderdate")
+    the absent ``o_shippriority`` is added as 0.0, the extra ``o_custkey`` and ``o_orderdate`` dropped."""
+    o = table(spark, d, "orders")
     enc = OneHotEncoding.fit(o, ["o_orderstatus", "o_orderpriority"])
     feats = ["o_totalprice"] + enc.output_columns("o_orderstatus") + enc.output_columns("o_orderpriority") \
         + ["o_shippriority"]
