@@ -360,14 +360,14 @@ def lbl_distribution(spark, d):
 
 
 @query("enc_onehot", """
-SELECT c_custkey, c_nationkey, c_acctbal,
+SELECT c_custkey, c_name, c_nationkey, c_acctbal,
        CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c_mktsegment_BUILDING,
        CASE WHEN c_mktsegment = 'FURNITURE' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c_mktsegment_FURNITURE,
        CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c_mktsegment_HOUSEHOLD,
        CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS c_mktsegment_MACHINERY
 FROM customer""", headline=True)
 def enc_onehot(spark, d):
-    c = table(spark, d, "customer").drop("c_name")
+    c = table(spark, d, "customer")
     enc = OneHotEncoding.fit(c, ["c_mktsegment"])
     return enc.transform(c)
 
