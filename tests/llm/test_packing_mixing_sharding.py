@@ -7,7 +7,7 @@ import pytest
 
 from tests.llm.text_cases import prose, words_of
 from tricolor.llm.mixing import mix_plan, mix_sources, mixed_documents
-from tricolor.llm.packing import BinPlan, best_plan, pack
+from tricolor.llm.packing import LENGTHS, BinPlan, Openings, best_plan, pack
 from tricolor.llm.sharding import histogram_shards
 
 
@@ -56,6 +56,58 @@ def test_histogram_plan_is_best_fit_decreasing():
             assert best <= other.cost(1 / 64) + 1e-9
 
 
+def planned(histogram, lengths, opened):
+    plan = BinPlan(lengths, opened)
+    for n in sorted(histogram, reverse=True):
+        plan.place(n, histogram[n])
+    return plan
+
+
+def test_sizes_are_chosen_at_each_opening():
+    """Pieces of 30 fill 32 alone, those of 21 fill 64 in threes: no single size suits both."""
+    lengths, histogram = (32, 64, 128), {30: 50, 21: 30}
+    mixed = planned(histogram, lengths, Openings(histogram, lengths, 1 / 64))
+    uniform = [planned(histogram, lengths, n).cost(1 / 64) for n in lengths]
+    assert mixed.cost(1 / 64) == 50 * 32 * 1.5 + 10 * 64 * 2 < min(uniform)
+    assert best_plan(histogram, lengths, 1 / 64).cost(1 / 64) == mixed.cost(1 / 64)
+
+
+def test_chosen_sizes_place_every_piece_once():
+    rng, won = random.Random(11), 0
+    lengths = (16, 32, 64)
+    for _ in range(200):
+        histogram = {rng.randint(1, 64): rng.randint(1, 40) for _ in range(rng.randint(1, 20))}
+        plan = planned(histogram, lengths, Openings(histogram, lengths, 1 / 64))
+        bins, seen = defaultdict(list), set()
+        for n, lo, hi, first, each, off in plan.moves:
+            for rank in range(lo, hi):
+                assert (n, rank) not in seen
+                seen.add((n, rank))
+                bins[first + (rank - lo) // each].append((off + (rank - lo) % each * n, n))
+        assert len(seen) == sum(histogram.values()) and set(bins) == set(range(plan.bins))
+        cost = 0
+        for content in bins.values():
+            at = 0
+            for start, n in sorted(content):
+                assert start == at
+                at += n
+            size = min(x for x in lengths if x >= at)
+            cost += size * (1 + size / 64)
+        assert math.isclose(cost, plan.cost(1 / 64))
+        best = min(planned(histogram, lengths, n).cost(1 / 64) for n in lengths)
+        won += plan.cost(1 / 64) < best - 1e-9
+        assert best_plan(histogram, lengths, 1 / 64).cost(1 / 64) <= min(best, cost) + 1e-9
+    assert won >= 40   # of 200: strictly cheaper than every single size
+
+
+def test_openings_of_a_full_histogram_stay_few():
+    histogram = {n: 1 + 7919 * n % 100_000 for n in range(1, 8193)}
+    plan = planned(histogram, LENGTHS, Openings(histogram, LENGTHS, 1 / 32768))
+    assert len(plan.moves) < 20 * len(histogram)
+    words = sum(n * c for n, c in histogram.items())
+    assert sum(n * u for n, u in plan.done) + sum(n * (z - room) for room, gs in plan.groups.items() for _, n, z in gs) == words
+
+
 def test_pack_is_whole(rows):
     rng = random.Random(6)
     docs = [(i, "w " * rng.choice([1, 3, 7, 15, 40, 90, 300])) for i in range(300)] + [(300, None), (301, ""), (None, "a b"), (5, "w " * 7), (5, "w " * 7)]
@@ -118,6 +170,9 @@ def test_mix_meets_targets(rows, block):
     for s, n in sizes.items():
         taken, target = by_size[n]
         assert math.isclose(target, want[s], abs_tol=1e-6) and taken == math.floor(target + 1e-9)
+    for r in got:
+        assert (r["first_slot"] is None) == (r["taken"] == 0) == (r["n_parts"] == 0)
+        assert r["taken"] <= r["n_parts"] * block
     again = {(r["doc_id"], r["size"], r["taken"]) for r in mix_sources(df, block=block).collect()}
     assert again == {(r["doc_id"], r["size"], r["taken"]) for r in got}
 
@@ -134,6 +189,25 @@ def test_schedule_spreads_sources_and_documents_follow(rows):
     assert out.columns == df.columns
     got = out.collect()
     plan = {r["doc_id"]: r["taken"] for r in mix_sources(df, block=8).collect()}
+    # the rows come in the order of the schedule, so every stretch of them is mixed by weight
+    start = {(r["sidx"], r["start"]): r["id"] for r in sized.collect()}
+    first = {}
+    for r in taken.collect():
+        at = (start[r["sidx"], r["start"]], r["epoch"])
+        first[at] = min(first.get(at, (1 << 60, 0)), (r["rank"], r["slot"]))
+    slots_of = defaultdict(list)
+    for (i, _), (_, slot) in first.items():
+        slots_of[i].append(slot)
+    order = [sorted(slots_of[r["doc_id"]]) for r in got]
+    assert set(slots_of) == {r["doc_id"] for r in got}
+    at, nth = -1, Counter()
+    for r, own in zip(got, order):
+        slot = own[nth[r["doc_id"]]]
+        nth[r["doc_id"]] += 1
+        assert slot >= at
+        at = slot
+    half = Counter(r["doc_id"] % 3 for r in got[:len(got) // 2])
+    assert half[0] < half[1] < half[2]
     words = Counter()
     for r in got:
         words[r["doc_id"]] += len(words_of(r["text"]))

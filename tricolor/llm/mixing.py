@@ -86,11 +86,12 @@ def _schedule(sources: DataFrame, total: int, block: int) -> DataFrame:
 def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(sized, taken): per row of ``df`` (id, tie, size, source_size, target, sidx, start) and per
-    (row, slot) what that slot of the mix takes of it (sidx, start, slot, epoch, words).
+    (row, slot) what that slot of the mix takes of it (sidx, start, rank, slot, epoch, words).
 
     Edge cases: null text has size 0 and is never taken; a null source is a source, the last one;
     null ids and repeated rows are rows like any other (ties by size and text hash); when all sizes
-    are 0 every target is 0; an empty table gives empty results. Other columns are not read.
+    are 0 every target is 0; an empty table gives empty results. A text longer than a block is taken
+    by as many slots as it has blocks. Other columns are not read.
     """
     spark = df.sparkSession
     rows = stage_table(df.select(
@@ -112,7 +113,7 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         .select("id", "source", "tie", "size", "source_size", "target", "sidx",
                 (F.col("off") + F.col("upto") - F.col("size")).alias("start")), "placed")
     if not total:
-        return sized, spark.createDataFrame([], "sidx int, start long, slot long, epoch int, words long")
+        return sized, spark.createDataFrame([], "sidx int, start long, rank long, slot long, epoch int, words long")
     lo = F.col("start") + F.col("epoch") * F.col("source_size")
     parts = (sized.where("size > 0")
              .select("sidx", "start", "size", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("epoch"))
@@ -120,22 +121,28 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
              .withColumn("rank", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor((F.col("hi") - 1) / block))))
              .select("sidx", "start", "epoch", "rank",
                      (F.least("hi", (F.col("rank") + 1) * block) - F.greatest("lo", F.col("rank") * block)).alias("words")))
-    taken = parts.join(_schedule(sources, total, block), ["sidx", "rank"]).select("sidx", "start", "slot", "epoch", "words")
+    taken = parts.join(_schedule(sources, total, block), ["sidx", "rank"]).select("sidx", "start", "rank", "slot", "epoch", "words")
     return sized, taken
 
 
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """One row per row of ``df``: id, size, source_size, target, taken (words the mix takes of it,
-    repeats counted; at most ``repeats`` times its size). Edge cases: see ``mix_plan``."""
+    repeats counted; at most ``repeats`` times its size), first_slot and n_parts (the first slot of
+    the mix that takes of it, null if none does, and in how many portions it is taken, one for each
+    block and repeat). Edge cases: see ``mix_plan``."""
     sized, taken = mix_plan(df, id_col, text_col, source_col, **how)
-    got = taken.groupBy("sidx", "start").agg(F.sum("words").alias("w"))
+    got = taken.groupBy("sidx", "start").agg(
+        F.sum("words").alias("w"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("n_parts"))
     return (sized.join(got.withColumnRenamed("sidx", "s").withColumnRenamed("start", "b"),
                        (F.col("sidx") == F.col("s")) & (F.col("start") == F.col("b")) & (F.col("size") > 0), "left")
-            .select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("w", F.lit(0)).cast("bigint").alias("taken")))
+            .select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("w", F.lit(0)).cast("bigint").alias("taken"),
+                    "first_slot", F.coalesce("n_parts", F.lit(0)).cast("bigint").alias("n_parts")))
 
 
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself, with the columns of ``df``: a row for every time a document is taken.
+    """The mix itself, with the columns of ``df``: a row for every time a document is taken, in the
+    order of the schedule (ranges of slots, each sorted by the slot that takes the row's first word),
+    so that every stretch of the written mix holds the sources in about their shares.
 
     A document taken whole keeps its text; the one document per source at which the target cuts
     has the words up to the cut. Documents without words have nothing to take and are left out, as
@@ -143,10 +150,13 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     their place only.
     """
     sized, taken = mix_plan(df, id_col, text_col, source_col, **how)
-    id_, source, tie, size, take, own = (unused(df, f"mix_{c}") for c in ("id", "source", "tie", "size", "take", "own_tie"))
-    per = taken.groupBy("sidx", "start", "epoch").agg(F.sum("words").alias(take))
+    id_, source, tie, size, take, slot, place, own = (
+        unused(df, f"mix_{c}") for c in ("id", "source", "tie", "size", "take", "slot", "place", "own_tie"))
+    # a row's first word lies in the first of its blocks, whatever slots the later ones go to
+    per = taken.groupBy("sidx", "start", "epoch").agg(F.sum("words").alias(take), F.min_by("slot", "rank").alias(slot))
     rows = (sized.where("size > 0").join(per, ["sidx", "start"])
-            .select(F.col("id").alias(id_), F.col("source").alias(source), F.col("tie").alias(tie), F.col("size").alias(size), take))
+            .select(F.col("id").alias(id_), F.col("source").alias(source), F.col("tie").alias(tie), F.col("size").alias(size), take, slot,
+                    F.col("start").alias(place)))
     # equal rows are one text here, and each of their places takes it
     docs = df.withColumn(own, F.xxhash64(text_col)).dropDuplicates([id_col, source_col, own])
     joined = docs.join(rows, docs[id_col].eqNullSafe(rows[id_]) & docs[source_col].eqNullSafe(rows[source]) & (docs[own] == rows[tie]))
@@ -155,4 +165,4 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = joined.withColumn(text_col, text)
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(df.schema["n_chars"].dataType))
-    return out.select(*df.columns)
+    return out.repartitionByRange(slot).sortWithinPartitions(slot, place).select(*df.columns)

@@ -6,15 +6,16 @@ for every run of equally long pieces, into which bins they go and where; Spark n
 of each length and joins them to the plan. Bins of equal remaining room are one entry, and a run of
 pieces fills whole groups of bins at a time, so that planning does not grow with the row count.
 
-The lengths are optimised jointly: for every choice of the size that is opened when nothing fits,
-the whole histogram is packed, each bin is downsized to the smallest permitted length that holds
-its contents, and the cheapest of these packings is taken. The cost of a sequence of length L is
-L * (1 + L * attention), its padding included.
+The lengths are optimised jointly: when nothing fits, the bin that is opened has the size of least
+cost per word, judged by what the pieces still to come would fill it with (``Openings``); in the
+end each bin is downsized to the smallest permitted length that holds its contents. The packings
+that open one size throughout are planned as well, and the cheapest plan of all is taken. The cost
+of a sequence of length L is L * (1 + L * attention), its padding included.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,11 +26,62 @@ BUCKET_ROWS = 50_000
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 
 
+def sequence_cost(length: int, attention: float) -> float:
+    return length * (1 + length * attention)
+
+
+class Openings:
+    """The least-cost size for bins that have to be opened.
+
+    A bin of each permitted size is filled on paper: with the pieces at hand, then with the longest
+    shorter pieces that nobody has been promised yet. The size whose downsized cost per filled word
+    is least wins (ties: the smaller one), its contents are promised to it, and as many bins are
+    opened alike as the promised lengths last. Every opening uses up a length or its remainder, so
+    there are a few for each length. Best fit then places the shorter pieces itself: promises only
+    keep the next openings from counting on the same pieces.
+    """
+
+    def __init__(self, histogram: dict[int, int], lengths: tuple[int, ...], attention: float):
+        self.lengths, self.attention = lengths, attention
+        self.free = dict(histogram)
+        self.order = sorted(histogram)
+
+    def _contents(self, size: int, length: int, pieces: int) -> list[tuple[int, int]]:
+        own = min(pieces, size // length)
+        room, content, i = size - own * length, [(length, own)], bisect_left(self.order, length)
+        while (i := bisect_right(self.order, room, 0, i)) > 0:
+            i -= 1
+            n = self.order[i]
+            take = min(self.free[n], room // n)
+            content.append((n, take))
+            room -= n * take
+        return content
+
+    def choose(self, length: int, pieces: int) -> tuple[int, int]:
+        """(size, number of bins) for ``pieces`` pieces of ``length`` that fit nowhere."""
+        best = None
+        for size in self.lengths[bisect_left(self.lengths, length):]:
+            content = self._contents(size, length, pieces)
+            used = sum(n * k for n, k in content)
+            fit = self.lengths[bisect_left(self.lengths, used)]
+            key = (sequence_cost(fit, self.attention) / used, size)
+            if best is None or key < best[0]:
+                best = key, content
+        (_, size), content = best
+        count = min(pieces // content[0][1], *(self.free[n] // k for n, k in content[1:])) if content[1:] else pieces // content[0][1]
+        for n, k in content[1:]:
+            self.free[n] -= k * count
+            if not self.free[n]:
+                del self.order[bisect_left(self.order, n)]
+        return size, count
+
+
 class BinPlan:
     """Best fit over a histogram. ``moves`` rows: (length, first rank, end rank, first bin, pieces
-    per bin, offset in the bin); bins are numbered from 0 and groups are ranges of bin numbers."""
+    per bin, offset in the bin); bins are numbered from 0 and groups are ranges of bin numbers.
+    ``opened`` is the size of every new bin (larger where a piece needs it), or chooses it."""
 
-    def __init__(self, lengths: tuple[int, ...], opened: int):
+    def __init__(self, lengths: tuple[int, ...], opened: int | Openings):
         self.lengths, self.opened = lengths, opened
         self.rooms: list[int] = []
         self.groups: dict[int, list[tuple[int, int, int]]] = {}
@@ -60,6 +112,12 @@ class BinPlan:
         self._keep(first + full + bool(part), rest, size, used)
         return take
 
+    def _open(self, length: int, pieces: int) -> tuple[int, int]:
+        if isinstance(self.opened, Openings):
+            return self.opened.choose(length, pieces)
+        size = max(self.opened, self.lengths[bisect_left(self.lengths, length)])
+        return size, -(-pieces // (size // length))
+
     def place(self, length: int, pieces: int) -> None:
         rank = 0
         while pieces:
@@ -71,8 +129,7 @@ class BinPlan:
                     del self.groups[room], self.rooms[i]
                 took = self._fill(first, count, size, size - room, length, rank, pieces)
             else:
-                size = max(self.opened, self.lengths[bisect_left(self.lengths, length)])
-                count = -(-pieces // (size // length))
+                size, count = self._open(length, pieces)
                 first, self.bins = self.bins, self.bins + count
                 took = self._fill(first, count, size, 0, length, rank, pieces)
             rank, pieces = rank + took, pieces - took
@@ -80,13 +137,13 @@ class BinPlan:
     def cost(self, attention: float) -> float:
         left = [(n, size - room) for room, gs in self.groups.items() for _, n, size in gs]
         fit = lambda used: self.lengths[bisect_left(self.lengths, used)]
-        return sum(n * fit(used) * (1 + fit(used) * attention) for n, used in self.done + left)
+        return sum(n * sequence_cost(fit(used), attention) for n, used in self.done + left)
 
 
 def best_plan(histogram: dict[int, int], lengths: tuple[int, ...], attention: float) -> BinPlan:
-    """The cheapest of the plans that open each permitted length by default."""
+    """The cheapest of the plans: the least-cost size at each opening, or one size throughout."""
     best = None
-    for opened in lengths:
+    for opened in (Openings(histogram, lengths, attention), *lengths):
         plan = BinPlan(lengths, opened)
         for length in sorted(histogram, reverse=True):
             plan.place(length, histogram[length])
@@ -111,7 +168,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengths:
 
     Edge cases: a null, empty or wordless text has one piece of length 0 without a bin; null ids
     and repeated rows are packed like others (equal rows take consecutive places); an empty table
-    gives an empty result. Other columns are not read.
+    gives an empty result. Equally long pieces are alike to best fit and take their places by hash
+    of id and piece, then id. Other columns are not read.
     """
     spark = df.sparkSession
     lengths = tuple(sorted(lengths))

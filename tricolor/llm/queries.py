@@ -167,13 +167,27 @@ v as (select *, sum(source_size) over () - coalesce(sum(cap) over (order by cap
              row_number() over (order by cap / weight, sidx) nth from w),
 lev as (select arg_min(rest::double / behind, nth) lev from v where rest::double / behind * weight <= cap),
 t as (select source, source_size, sidx, least(cap::double, lev * weight) target from v, lev),
-p as (select d.doc_id, d.size, t.source_size, t.target, floor(t.target)::bigint quota,
+p as (select d.doc_id, d.size, t.sidx, t.source_size, t.target, floor(t.target)::bigint quota,
              (sum(d.size) over (partition by t.sidx order by md5(d.doc_id::varchar), d.doc_id rows unbounded preceding) - d.size)::bigint start
-      from d join t on d.source is not distinct from t.source)
+      from d join t on d.source is not distinct from t.source),
+sh as (select sidx, ceil(floor(target) / 1024)::bigint blocks, coalesce(sum(target) over (order by sidx rows between unbounded preceding and 1 preceding), 0) lo,
+              target from t),
+whole as (select sum(size)::bigint words, ceil(sum(size) / 1024)::bigint slots from d),
+pt as (select slot, ((slot % 2147483648) * 2654435769) % 4294967296 / 4294967296::double x from (select unnest(range(slots)) slot from whole)),
+hit as (select sidx, blocks, slot, row_number() over (partition by sidx order by slot) - 1 rank
+        from pt, whole join sh on x * words >= lo and x * words < lo + target),
+have as (select sidx, count(*) n from hit group by sidx),
+plan as (select sidx, rank, slot from hit where rank < blocks
+         union all select sidx, rank, slots + rank
+         from (select sidx, unnest(range(coalesce(n, 0), blocks)) rank from sh left join have using (sidx)), whole),
+b as (select sidx, start, unnest(range((start + epoch * source_size) // 1024, (least(start + epoch * source_size + size, quota) - 1) // 1024 + 1)) rank
+      from p, (select unnest([0, 1, 2]) epoch) where size > 0 and start + epoch * source_size < quota),
+sl as (select sidx, start, min(slot) first_slot, count(*) n_parts from b join plan using (sidx, rank) group by sidx, start)
 select doc_id, size, source_size, round(target, 6) target,
        (case when size = 0 then 0 else (quota // source_size) * size
-             + greatest(0, least(start + size, quota % source_size) - start) end)::bigint taken
-from p""",
+             + greatest(0, least(p.start + size, quota % source_size) - p.start) end)::bigint taken,
+       first_slot::bigint first_slot, coalesce(n_parts, 0)::bigint n_parts
+from p left join sl on sl.sidx = p.sidx and sl.start = p.start and size > 0""",
     "op11_spot_signatures": rf"""
 with d as (select row_number() over (order by doc_id nulls first, md5(coalesce(text, ''))) r, doc_id, coalesce(text, '') t from documents),
 e as (select a.r, a.doc_id, length(a.t) n, a.t own, b.t after, left(a.t, length(a.t) - length(a.t) // 4) || left(b.t, length(a.t) // 4) edited
