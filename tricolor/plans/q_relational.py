@@ -19,7 +19,7 @@ from tricolor.session import scratch_path
 from tricolor.sources import fixtures as fx
 from tricolor.sources.readers import TableCatalog, read_csv, read_json, table
 from tricolor.sources.rowid import add_row_id
-from tricolor.sources.sinks import assemble_results, head, write_csv, write_json
+from tricolor.sources.sinks import assemble_results, head, write_csv, write_json, write_json_arrays
 
 SPLIT_SQL = f"""
 (SELECT *, row_number() OVER (ORDER BY {sql_hash_key(42, 'row_id')}, row_id)
@@ -48,6 +48,14 @@ def src_json(spark, d):
     return read_json(spark, path, schema=part.schema)
 
 
+@query("src_json_array", "SELECT * FROM customer")
+def src_json_array(spark, d):
+    """customer written as arrays of records and read back by byte ranges."""
+    customer = table(spark, d, "customer")
+    path = write_json_arrays(customer, scratch_path(spark, "src_json_array"))
+    return read_json(spark, path, schema=customer.schema, multiline=True)
+
+
 @query("src_catalog", "SELECT * FROM nation")
 def src_catalog(spark, d):
     return TableCatalog(d).load(spark, "nation")

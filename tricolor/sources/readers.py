@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tricolor.sources.json_array import read_array
+
 # The strings pandas' CSV reader reads as missing by default.
 PANDAS_NA_STRINGS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -94,14 +96,15 @@ def infer_types(raw: DataFrame) -> T.StructType:
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
               multiline: bool = False, columns: list[str] | None = None,
               normalize: bool = True) -> DataFrame:
-    """JSON Lines by default (splittable); ``multiline=True`` for one array of records.
+    """JSON Lines by default; ``multiline=True`` for an array of records in each file, which is
+    read by byte ranges as well (``json_array``).
 
     JSON inference orders columns alphabetically, so the declared order is re-selected.
     """
-    reader = spark.read.option("multiLine", multiline)
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.json(path)
+    if multiline:
+        df = read_array(spark, path, schema)
+    else:
+        df = (spark.read.schema(schema) if schema is not None else spark.read).json(path)
     order = columns or (schema.fieldNames() if isinstance(schema, T.StructType) else None)
     if order:
         df = df.select(*[F.col(f"`{c}`") for c in order])

@@ -24,6 +24,17 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def write_json_arrays(df: DataFrame, path: str, rows_per_file: int = 10_000, mode: str = "overwrite") -> str:
+    """One array of records in each file, of about ``rows_per_file`` rows: a task holds one array,
+    so their number grows with the table. Equal rows are dealt by a random number, never together."""
+    files = max(1, -(-df.count() // rows_per_file))
+    arrays = (df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("r"))
+              .groupBy(F.floor(F.rand(0) * files).alias("file"))
+              .agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ",\n"), F.lit("]")).alias("value")))
+    arrays.select("value").write.mode(mode).option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
                   partition_by: Sequence[str] | None = None) -> str:
     w = df.write.mode(mode)
