@@ -5,8 +5,6 @@ All are JVM expressions (whole-stage codegen), never Python row loops.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,8 +128,3 @@ def linspace(start: float, stop: float, num: int) -> list[float]:
 def int_range(start: int, stop: int, step: int = 1) -> list[int]:
     """Inclusive integer range (slider semantics)."""
     return list(range(int(start), int(stop) + 1, int(step)))
-
-
-def is_finite(c) -> Column:
-    x = _c(c).cast("double")
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(math.inf))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tricolor.operators.profile import iqr_fences, numeric_columns, q, string_columns
+from tricolor.operators.profile import iqr_fences, q
 
 
 def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -35,10 +35,6 @@ def split_xy(df: DataFrame, label: str, id_col: str = "row_id") -> tuple[list[st
     return feats, df.select(*[q(c) for c in cols])
 
 
-def columns_by_kind(df: DataFrame, exclude: Sequence[str] = ("row_id",)) -> dict[str, list[str]]:
-    return {"numeric": numeric_columns(df, exclude), "string": string_columns(df, exclude)}
-
-
 def column_kinds(df: DataFrame, exclude: Sequence[str] = ("row_id",)) -> DataFrame:
     """(column, kind) for every column except ``exclude``; kind in numeric/string/boolean/other."""
     rows = []
@@ -101,10 +97,6 @@ def prefix_columns(df: DataFrame, prefix: str, columns: Sequence[str] | None = N
     return df.select(*[q(c).alias(f"{prefix}{c}") if c in names else q(c) for c in df.columns])
 
 
-def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    return df.withColumnsRenamed(mapping)
-
-
 def filter_target(df: DataFrame, target: str, value=None) -> DataFrame:
     """``target = value``; ``None`` keeps every row."""
     return df if value is None else df.where(q(target) == F.lit(value))

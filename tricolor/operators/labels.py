@@ -63,14 +63,6 @@ def sorted_codes(df: DataFrame, target: str) -> DataFrame:
     return ordered_rank(vals, [F.col("value")], "_r").select("value", (F.col("_r") - 1).cast("bigint").alias("code"))
 
 
-def apply_codes(df: DataFrame, target: str, codes: DataFrame, out: str | None = None) -> DataFrame:
-    """Replace ``target`` by its code with a lookup of the code table."""
-    out = out or target
-    lookup = codes.withColumnRenamed("value", "_tc_value").withColumnRenamed("code", "_tc_code")
-    j = df.join(lookup, q(target) == F.col("_tc_value"), "left")
-    return j.select(*[F.col("_tc_code").alias(out) if c == target else q(c) for c in df.columns])
-
-
 def decode_label(col_name: str, mapping: dict) -> "F.Column":
     """Integer code -> original label (as string); unknown codes pass through."""
     if not mapping:

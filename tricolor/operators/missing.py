@@ -95,8 +95,3 @@ def apply_missing(df: DataFrame, steps: Sequence[MissingStep]) -> DataFrame:
             df = df.select(*[F.coalesce(q(c).cast(typ), fill.cast(typ)).alias(c) if c == s.column
                              else q(c) for c in df.columns])
     return df
-
-
-def steps_table(df_spark_session, steps: Sequence[MissingStep]) -> DataFrame:
-    rows = [(i + 1, s.method, s.column, None if s.value is None else str(s.value)) for i, s in enumerate(steps)]
-    return df_spark_session.createDataFrame(rows, "step int, method string, column string, value string")

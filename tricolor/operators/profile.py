@@ -299,21 +299,3 @@ def boxplot(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     ).select(F.lit(column).alias("column"), F.lit(q1).alias("q1"), "median", F.lit(q3).alias("q3"),
              F.lit(q3 - q1 if q1 is not None else None).cast("double").alias("iqr"),
              "whisker_low", "whisker_high", "n_outliers")
-
-
-def boxplot_by(df: DataFrame, column: str, by: str, k: float = 1.5) -> DataFrame:
-    """Box-plot statistics per group (e.g. per class), one quantile pass + one fence pass."""
-    x = q(column).cast("double")
-    qs = df.groupBy(q(by).alias("grp")).agg(
-        F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    qs = qs.select("grp", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                   F.col("_q")[2].alias("q3"))
-    fences = qs.select("*", (F.col("q3") - F.col("q1")).alias("iqr"))
-    fences = fences.select("*", (F.col("q1") - k * F.col("iqr")).alias("lo"),
-                           (F.col("q3") + k * F.col("iqr")).alias("hi"))
-    j = df.select(q(by).alias("grp"), x.alias("x")).join(fences, "grp")
-    inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
-    return j.groupBy("grp", "q1", "median", "q3", "iqr").agg(
-        F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
-        F.count_if(F.col("x").isNotNull() & ~inside).alias("n_outliers"))
