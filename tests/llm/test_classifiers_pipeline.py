@@ -1,11 +1,13 @@
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 
 from tests.llm.text_cases import prose
+from tricolor.llm import toxicity as tox
 from tricolor.llm.site_quality import fit_logistic, site_quality
 from tricolor.llm.toxicity import drop_toxic, fit_nnpu, fit_toxicity, toxicity
 
@@ -170,3 +172,29 @@ def test_columns_that_could_clash_are_kept(rows):
         assert out.columns == docs.columns
         got = out.collect()
         assert got and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+
+
+def test_training_needs_little_beside_the_texts():
+    """Rates are counted text by text: the features of a bag (80 MB here) are not copied whole."""
+    rng = np.random.default_rng(4)
+    feats = [np.unique(rng.integers(0, 1 << 21, 10_000)).astype(np.uint32) for _ in range(2000)]
+    positive = np.arange(2000) % 4 == 0
+    feats = [np.unique(np.append(f, np.arange(50 if p else 5))).astype(np.uint32) for f, p in zip(feats, positive)]
+    tracemalloc.start()
+    try:
+        chosen, w, _ = fit_nnpu(feats, positive, 0.2, keep=64, steps=3)
+        assert tracemalloc.get_traced_memory()[1] < 170 << 20
+    finally:
+        tracemalloc.stop()
+    assert set(range(5, 50)) <= set(chosen.tolist()) and (w[np.isin(chosen, np.arange(5, 50))] > 0).all()
+
+
+def test_steps_do_not_depend_on_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    held = [np.sort(rng.choice(40, rng.integers(0, 12), replace=False)).astype(np.int32) for _ in range(300)]
+    positive = rng.random(300) < 0.3
+    w, bias = tox.train_nnpu(held, 40, positive, 0.3, steps=50)
+    for piece in (1, 7, 100):
+        monkeypatch.setattr(tox, "PIECE", piece)
+        again, b = tox.train_nnpu(held, 40, positive, 0.3, steps=50)
+        assert np.array_equal(w, again) and b == bias

@@ -6,7 +6,8 @@ minimised: the second term is the risk on negatives, estimated from the unlabell
 it turns negative (over-fitting) the step goes against it, as the non-negative estimator asks.
 
 Features are hashed words and word beginnings, present or not; each classifier keeps the ``keep``
-features whose rates differ most between positives and unlabelled texts. ``bags`` classifiers are
+features whose rates differ most between positives and unlabelled texts. They are counted by a pass
+that keeps no text, and only they go on to the task that trains. ``bags`` classifiers are
 trained in parallel on disjoint bounded samples and their probabilities averaged. What reaches the
 driver are the classifiers' weights, whose size is fixed; every whole text is scored by a streaming
 pass without a shuffle.
@@ -26,6 +27,7 @@ from tricolor.llm.common import hash_words, runs, ship, slices, stage_table, unu
 
 SPACE = 1 << 21
 PREFIXES = (4, 5, 6, 8)
+PIECE = 1 << 18
 
 
 def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,24 +54,34 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def fit_nnpu(feats: list[np.ndarray], positive: np.ndarray, prior: float, keep: int, steps: int = 400,
-             rate: float = 0.1, decay: float = 1e-4, non_negative: bool = True) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, weights, bias) of one logistic classifier under the non-negative PU risk."""
-    count = lambda rows: np.bincount(np.concatenate([feats[i] for i in rows] or [np.zeros(0, np.uint32)]), minlength=SPACE)
-    pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
-    a, b = (count(pos) + 0.5) / (len(pos) + 1), (count(unl) + 0.5) / (len(unl) + 1)
-    z = (a - b) / np.sqrt(a * (1 - a) / len(pos) + b * (1 - b) / len(unl))
+def choose_features(pos: np.ndarray, unl: np.ndarray, n_pos: int, n_unl: int, keep: int) -> np.ndarray:
+    """The ``keep`` features whose rates differ most, from the number of texts of each kind that hold them."""
+    a, b = (pos + 0.5) / (n_pos + 1), (unl + 0.5) / (n_unl + 1)
+    z = (a - b) / np.sqrt(a * (1 - a) / n_pos + b * (1 - b) / n_unl)
     chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:keep])
-    chosen = chosen[np.abs(z[chosen]) >= 3]
-    place = np.full(SPACE, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    held = [place[f][place[f] >= 0] for f in feats]
-    row = np.repeat(np.arange(len(held)), [len(h) for h in held])
-    col = np.concatenate(held) if held else np.zeros(0, np.int32)
-    w, bias = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    return chosen[np.abs(z[chosen]) >= 3]
+
+
+def train_nnpu(held: list[np.ndarray], n_features: int, positive: np.ndarray, prior: float, steps: int = 400,
+               rate: float = 0.1, decay: float = 1e-4, non_negative: bool = True) -> tuple[np.ndarray, float]:
+    """(weights, bias); ``held`` has the numbers of the chosen features in every text.
+
+    Entries are gone through in pieces of about ``PIECE``, so that a step needs little beside them."""
+    pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
+    size = np.array([len(h) for h in held], np.int64)
+    row = np.repeat(np.arange(len(held), dtype=np.int32), size)
+    col = np.concatenate([h.astype(np.int32, copy=False) for h in held]) if held else np.zeros(0, np.int32)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    at = [0]   # texts at which a piece begins
+    while at[-1] < len(held):
+        at.append(max(at[-1] + 1, int(np.searchsorted(ends, ends[at[-1]] + PIECE, "right")) - 1))
+    pieces = [(x, y, slice(int(ends[x]), int(ends[y]))) for x, y in zip(at[:-1], at[1:])]
+    w, bias = np.zeros(n_features), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+    f = np.zeros(len(held))
     for step in range(1, steps + 1):
-        f = bias + np.bincount(row, w[col], minlength=len(held))
+        for x, y, s in pieces:
+            f[x:y] = bias + np.bincount(row[s] - x, w[col[s]], minlength=y - x)
         s = _sigmoid(f)
         # logistic loss: l(f) = log(1 + exp(-f)); l'(f) = s - 1, d/df l(-f) = s
         loss_neg = np.logaddexp(0, f)
@@ -82,23 +94,91 @@ def fit_nnpu(feats: list[np.ndarray], positive: np.ndarray, prior: float, keep:
             g[pos] += prior * (s[pos] - 1) / len(pos)
         else:
             g = -g_neg
-        grad = np.append(np.bincount(col, g[row], minlength=len(chosen)) + decay * w, g.sum())
+        total = np.zeros(n_features)
+        for _, _, s in pieces:
+            np.add.at(total, col[s], g[row[s]])   # in the order of the texts, whatever the pieces
+        grad = np.append(total + decay * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         move = rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
+    return w, bias
+
+
+def fit_nnpu(feats: list[np.ndarray], positive: np.ndarray, prior: float, keep: int, steps: int = 400,
+             rate: float = 0.1, decay: float = 1e-4, non_negative: bool = True) -> tuple[np.ndarray, np.ndarray, float]:
+    """(features, weights, bias) of one logistic classifier under the non-negative PU risk."""
+    pos, unl = np.zeros(SPACE, np.int64), np.zeros(SPACE, np.int64)
+    for f, p in zip(feats, positive):
+        (pos if p else unl)[f] += 1
+    chosen = choose_features(pos, unl, int(positive.sum()), int((~positive).sum()), keep)
+    w, bias = train_nnpu(_places(feats, chosen), len(chosen), positive, prior, steps, rate, decay, non_negative)
     return chosen, w, bias
 
 
-def _train(prior: float, keep: int):
+def _places(feats: list[np.ndarray], chosen: np.ndarray) -> list[np.ndarray]:
+    """Per text the numbers of those of its features that are chosen."""
+    place = np.full(SPACE, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    return [x[x >= 0] for x in (place[f] for f in feats)]
+
+
+def _binaries(column: pa.Array, dtype) -> list[np.ndarray]:
+    """The values of a binary column as views of its buffer, without a copy."""
+    _, off, data = column.buffers()
+    o = np.frombuffer(off, np.int32)[column.offset:column.offset + len(column) + 1]
+    flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return [flat[x:y].view(dtype) for x, y in zip(o[:-1], o[1:])]
+
+
+def _pick(keep: int):
+    """The chosen features of every bag (partitions sorted by it), from counts: no text is kept."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bag, n = None, np.zeros(2, np.int64)
+        count = np.zeros((2, SPACE), np.int32)
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if n.all():
+                f = choose_features(count[1], count[0], int(n[1]), int(n[0]), keep)
+                yield pa.RecordBatch.from_pydict({"bag": pa.array([bag], pa.int32()), "features": [f.astype(np.int64).tobytes()]})
+
+        for b in batches:
+            kind = b.column("toxic").to_numpy().astype(np.int64)
+            for x, i, f in zip(b.column("bag").to_pylist(), kind, _binaries(b.column("feats"), np.uint32)):
+                if x != bag:
+                    yield from done()
+                    bag = x
+                    n[:], count[:] = 0, 0
+                n[i] += 1
+                count[i, f] += 1   # a text holds a feature once
+        yield from done()
+    return run
+
+
+def _hold(chosen: dict[int, np.ndarray]):
+    """Texts with the numbers of their bag's chosen features; texts of bags without any choice go."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bag = b.column("bag").to_numpy()
+            feats = _binaries(b.column("feats"), np.uint32)
+            for x, features in chosen.items():
+                i = np.flatnonzero(bag == x)
+                if len(i):
+                    held = _places([feats[j] for j in i], features)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("bag").take(pa.array(i)), b.column("toxic").take(pa.array(i)), b.column("turn").take(pa.array(i)),
+                         pa.array([h.tobytes() for h in held], pa.binary())], names=["bag", "toxic", "turn", "held"])
+    return run
+
+
+def _train(prior: float, chosen: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cut in runs(batches, ["bag"]):
             for lo, hi in zip(cut[:-1], cut[1:]):
                 g = t.slice(lo, hi - lo)
-                feats = [np.frombuffer(x, np.uint32) for x in g.column("feats").to_pylist()]
-                positive = g.column("toxic").to_numpy().astype(bool)
-                if positive.any() and not positive.all():
-                    f, w, bias = fit_nnpu(feats, positive, prior, keep)
-                    yield pa.RecordBatch.from_pydict({"features": [f.astype(np.int64).tobytes()], "weights": [w.tobytes()], "bias": [bias]})
+                f = chosen[g.column("bag")[0].as_py()]
+                held = [x for c in g.column("held").chunks for x in _binaries(c, np.int32)]
+                w, bias = train_nnpu(held, len(f), g.column("toxic").to_numpy().astype(bool), prior)
+                yield pa.RecordBatch.from_pydict({"features": [f.tobytes()], "weights": [w.tobytes()], "bias": [bias]})
     return run
 
 
@@ -165,9 +245,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     sample = sample.select(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(bags)).cast("int").alias("bag"), "toxic", "text")
     sample = stage_table(sample.mapInArrow(_sample_rows, "bag int, toxic int, feats binary"), "sample")
     size = sample.agg(F.sum(F.length("feats"))).first()[0] or 0
-    fitted = (sample.where(draw("feats", bags * most_bytes / max(1, size)))
-              .repartition("bag").sortWithinPartitions("bag", F.xxhash64("feats"))
-              .mapInArrow(_train(prior, keep), "features binary, weights binary, bias double").collect())
+    sample = sample.where(draw("feats", bags * most_bytes / max(1, size)))
+    picked = (sample.repartition("bag").sortWithinPartitions("bag")
+              .mapInArrow(_pick(keep), "bag int, features binary").collect())   # a bag is at most ``keep`` numbers
+    chosen = {r["bag"]: np.frombuffer(r["features"], np.int64) for r in picked}
+    fitted = (sample.select("bag", "toxic", "feats", F.xxhash64("feats").alias("turn"))
+              .mapInArrow(_hold(chosen), "bag int, toxic int, turn bigint, held binary")
+              .repartition("bag").sortWithinPartitions("bag", "turn")
+              .mapInArrow(_train(prior, chosen), "features binary, weights binary, bias double").collect())
     return [(np.frombuffer(r["features"], np.int64), np.frombuffer(r["weights"], float), r["bias"]) for r in
             sorted(fitted, key=lambda r: r["bias"])], prior
 
