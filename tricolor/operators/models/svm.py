@@ -14,6 +14,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,11 +23,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tricolor.operators.models.base import (VEC, Classifier, FittedClassifier, assemble, fit_persisted, pred_col,
-                                           prob_col)
+from tricolor.operators.models.base import (VEC, Classifier, FittedClassifier, assemble, pred_col, prob_col)
 from tricolor.operators.profile import q
+from tricolor.session import cut_lineage
 
 SEED = 42
+# Fits that keep their vectors in memory at the same time.
+FITS_AT_ONCE = 3
 
 
 @dataclass
@@ -112,13 +115,15 @@ class SVMClassifier(Classifier):
 
     def _fit_svc(self, x: DataFrame, names, label: str, n: int):
         svc = LinearSVC(regParam=1.0 / (self.C * n), maxIter=self.max_iter, featuresCol=VEC, labelCol=label)
-        data = assemble(x.select(*names, F.col(label).cast("double").alias(label)), names)
-        return fit_persisted(svc, data)
+        # the estimator keeps its own blocks of the vectors: a second copy beside them would push them to disk
+        return svc.fit(assemble(x.select(*names, F.col(label).cast("double").alias(label)), names).select(VEC, label))
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> SVMFitted:
         from tricolor.operators.sampling import plain_folds
         feats = list(features)
         p = len(feats)
+        # read some twenty times below: the preparation of the rows must not be replayed for each
+        df = cut_lineage(df.select(q(self.id_col), *[q(f) for f in feats], q(label)))
         gamma = self.gamma
         if gamma == "auto":
             gamma = 1.0 / p
@@ -140,18 +145,23 @@ class SVMClassifier(Classifier):
             exp = _Expansion(feats, W.tolist(), b.tolist())
         else:
             raise ValueError(f"unsupported kernel {self.kernel!r} (linear, rbf, poly)")
-        base = df.select(q(self.id_col), *[q(f) for f in feats], q(label))
-        x = base.select("*", *exp.columns())
-        n = x.count()
+        n = df.count()
         # Platt scaling on out-of-fold margins
-        folded = plain_folds(x, self.platt_folds, SEED, self.id_col)
+        folded = plain_folds(df, self.platt_folds, SEED, self.id_col)
+        # narrow rows come in few partitions; once expanded they should keep every core busy
+        folded = cut_lineage(folded.repartition(df.sparkSession.sparkContext.defaultParallelism, q(self.id_col)))
+        wide = folded.select("*", *exp.columns())
+        # the folds' fits and the last one, over all rows, do not need each other
+        parts = [wide.where(F.col("fold") != f) for f in range(self.platt_folds)]
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            *of_folds, model = pool.map(lambda x: self._fit_svc(x, exp.names(), label, n), [*parts, wide])
         oof = None
-        for f in range(self.platt_folds):
-            m = self._fit_svc(folded.where(F.col("fold") != f), exp.names(), label, n)
+        for f, m in enumerate(of_folds):
             fitted = SVMFitted(self.name, feats, exp, m, 1.0, 0.0)
-            part = fitted.margin_frame(folded.where(F.col("fold") == f).select(*base.columns))
+            part = fitted.margin_frame(folded.where(F.col("fold") == f).drop("fold"))
             part = part.select("_tc_margin", q(label).cast("double").alias("_tc_y"))
             oof = part if oof is None else oof.unionByName(part)
+        oof = cut_lineage(oof)
         # Platt (1999): smoothed targets, as two weighted rows per margin
         n1 = df.agg(F.count_if(q(label) == 1)).first()[0]
         n0 = n - n1
@@ -163,7 +173,6 @@ class SVMClassifier(Classifier):
         lr = LogisticRegression(featuresCol="_tc_mv", labelCol="t", weightCol="w", regParam=0.0, maxIter=100)
         pm = lr.fit(assemble(soft, ["_tc_margin"], "_tc_mv"))
         a, b0 = float(pm.coefficients[0]), float(pm.intercept)
-        model = self._fit_svc(x, exp.names(), label, n)
         return SVMFitted(self.name, feats, exp, model, a, b0)
 
     def with_params(self, **params) -> "SVMClassifier":
