@@ -19,15 +19,6 @@ from pyspark.sql import functions as F
 VEC = "_tc_features"
 
 
-def fit_persisted(estimator, data: DataFrame):
-    """Fit on persisted training data (iterations read it many times), in the partitions it has."""
-    d = data.persist()
-    try:
-        return estimator.fit(d)
-    finally:
-        d.unpersist()
-
-
 def pred_col(name: str) -> str:
     return f"{name}_Prediction"
 
@@ -94,11 +85,13 @@ class SparkMLClassifier(Classifier):
 
     def fit(self, df: DataFrame, features: Sequence[str], label: str) -> FittedClassifier:
         feats = list(features)
-        n = df.count()
-        est = self.factory(n, len(feats), **self.params)
-        est = est.setFeaturesCol(VEC).setLabelCol(label)
-        data = assemble(df.select(*feats, F.col(label).cast("double").alias(label)), feats)
-        model = fit_persisted(est, data)
+        data = assemble(df.select(*feats, F.col(label).cast("double").alias(label)), feats).persist()
+        try:
+            n = data.count()   # of the persisted rows: the preparation runs once
+            est = self.factory(n, len(feats), **self.params)
+            model = est.setFeaturesCol(VEC).setLabelCol(label).fit(data)
+        finally:
+            data.unpersist()
         return SparkMLFitted(self.name, feats, model, dict(self.params))
 
     def with_params(self, **params) -> "SparkMLClassifier":
