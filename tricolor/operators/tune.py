@@ -90,7 +90,8 @@ def search_cv(clf: Classifier, grid: list[dict], df: DataFrame, features: Sequen
               k: int = 10, search: str = "grid", n_iter: int = 10, seed: int = SEED, stratified: bool = True,
               parallelism: int = 1, id_col: str = "row_id") -> tuple[dict, list[tuple[dict, float]], FittedClassifier]:
     """Mean CV AUC per candidate; the first best candidate is refit on all rows."""
-    folded = add_folds(df.select(q(id_col), *[q(f) for f in features], q(label)), label, k, stratified, seed, id_col)
+    # read by every fit of every candidate: the preparation must not be replayed for each
+    folded = cut_lineage(add_folds(df.select(q(id_col), *[q(f) for f in features], q(label)), label, k, stratified, seed, id_col))
     cands = candidates(grid, search, n_iter, seed)
 
     def by_candidate() -> list[float]:
