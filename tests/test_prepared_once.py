@@ -36,7 +36,11 @@ def test_svm_fit(counted):
 
 
 def test_search(counted):
+    """More candidates do not mean more passes."""
     df, seen = counted
-    points = [{"C": c, "max_iter": 2} for c in (0.1, 1.0)]
-    search_cv(model("Ridge"), points, df, ["a"], "y", k=2)
-    assert seen.value <= 25 * N
+    passes = []
+    for points in ([{"C": 1.0}], [{"C": 1.0}, {"C": 0.1}]):
+        before = seen.value
+        search_cv(model("Ridge", max_iter=2), points, df, ["a"], "y", k=2)
+        passes.append(seen.value - before)
+    assert passes[0] == passes[1]
