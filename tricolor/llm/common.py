@@ -7,8 +7,9 @@ in segments of about a megabyte, so that memory does not grow with the text or t
 
 from __future__ import annotations
 
+import ctypes
 import gc
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEGMENT_BYTES = 1 << 19
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 _U = np.uint64
 _SEP = np.zeros(256, bool)
@@ -82,11 +84,33 @@ def drop_tables(spark: SparkSession, *tables: DataFrame) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Before Python runs in tasks: the package goes along, and Arrow batches are kept to
-    ``BATCH_ROWS`` rows, since rows hold whole texts here and workers share an executor's memory."""
+    ``BATCH_ROWS`` rows and about ``BATCH_BYTES`` (a larger row is one), since rows hold whole texts
+    here and workers share an executor's memory."""
     ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, BATCH_ROWS)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key).rstrip("b")
+    if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def give_back() -> None:
+    """Memory that freed arrays have left in this process goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``fn`` for mapInArrow, whose worker keeps nothing of a partition that has ended: workers stay
+    for the tasks of later stages, and what each has once needed would count beside what the next need."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+    return run
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tricolor.llm.common import (binary_rows, fixed_binary, hash_words, long_array, mix, runs, shingle_hashes,
+from tricolor.llm.common import (binary_rows, fixed_binary, hash_words, lean, long_array, mix, runs, shingle_hashes,
                                  ship, slices, stage_table)
 from tricolor.llm.components import connected_components
 
@@ -221,7 +221,7 @@ def _query_links(sets, role, comp, percent) -> np.ndarray:
 
 def _by_block(rows: DataFrame, fn) -> DataFrame:
     return (rows.repartition("grp", "block", "room").sortWithinPartitions("grp", "block", "room", "id")
-            .mapInArrow(fn, "a long, b long"))
+            .mapInArrow(lean(fn), "a long, b long"))
 
 
 def _rooms(comp: DataFrame, rest: DataFrame, sizes: DataFrame, block: int, block_shingles: int) -> DataFrame:
@@ -251,13 +251,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     ship(spark)
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = stage_table(docs.mapInArrow(_signatures(k), "id long, n long, mark binary, sig binary"), "sig")
+    signed = stage_table(docs.mapInArrow(lean(_signatures(k)), "id long, n long, mark binary, sig binary"), "sig")
     classes = stage_table(signed.where("n > 0 and id is not null").groupBy("mark")
                           .agg(F.min(F.struct("id", "n", "sig")).alias("x")).select("mark", "x.id", "x.n", "x.sig"), "classes")
 
     # -- descent: rows (path, id) of one level at a time, large nodes only going on
     roots = classes.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(trees).cast("bigint"))).alias("path"), "id", "sig")
-    level = stage_table(roots.mapInArrow(_children(branch), "path long, id long"), "nodes")
+    level = stage_table(roots.mapInArrow(lean(_children(branch)), "path long, id long"), "nodes")
     small, edges = [], None
     for d in range(1, depth + 1, 2):
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low")).where("size > 1")
@@ -270,16 +270,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
         else:
             level = stage_table(big.select("path", "id").join(classes.select("id", "sig"), "id")
-                                .select("path", "id", "sig").mapInArrow(_children(branch, 2), "path long, id long"), "nodes")
+                                .select("path", "id", "sig").mapInArrow(lean(_children(branch, 2)), "path long, id long"), "nodes")
     leaves = small[0]
     for s in small[1:]:
         leaves = leaves.unionByName(s)
     s = percent / 100
     p = s + (1 - s) / 16
     least = int(np.floor(POSITIONS * p - 4 * np.sqrt(POSITIONS * p * (1 - p))))
-    sketches = classes.select("id", "sig").mapInArrow(_sketch, "id long, sketch binary")
+    sketches = classes.select("id", "sig").mapInArrow(lean(_sketch), "id long, sketch binary")
     found = (leaves.join(sketches, "id").repartition("path").sortWithinPartitions("path", "id")
-             .select("path", "id", "sketch").mapInArrow(_leaf_edges(least), "a long, b long"))
+             .select("path", "id", "sketch").mapInArrow(lean(_leaf_edges(least)), "a long, b long"))
     groups = stage_table(connected_components(found if edges is None else found.unionByName(edges))
                          .withColumnRenamed("component", "grp"), "groups")
 

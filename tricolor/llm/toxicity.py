@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tricolor.llm.common import hash_words, runs, ship, slices, stage_table, unused
+from tricolor.llm.common import hash_words, lean, runs, ship, slices, stage_table, unused
 
 SPACE = 1 << 21
 PREFIXES = (4, 5, 6, 8)
@@ -56,10 +56,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def choose_features(pos: np.ndarray, unl: np.ndarray, n_pos: int, n_unl: int, keep: int) -> np.ndarray:
     """The ``keep`` features whose rates differ most, from the number of texts of each kind that hold them."""
-    a, b = (pos + 0.5) / (n_pos + 1), (unl + 0.5) / (n_unl + 1)
+    held = np.flatnonzero((pos > 0) | (unl > 0))   # the others are far from a difference
+    a, b = (pos[held] + 0.5) / (n_pos + 1), (unl[held] + 0.5) / (n_unl + 1)
     z = (a - b) / np.sqrt(a * (1 - a) / n_pos + b * (1 - b) / n_unl)
     chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:keep])
-    return chosen[np.abs(z[chosen]) >= 3]
+    return held[chosen[np.abs(z[chosen]) >= 3]]
 
 
 def train_nnpu(held: list[np.ndarray], n_features: int, positive: np.ndarray, prior: float, steps: int = 400,
@@ -243,23 +244,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     rows = rows.join(F.broadcast(positive), "id", "left").withColumn("toxic", F.coalesce("toxic", F.lit(0)))
     sample = rows.where((F.col("toxic") == 1) | draw("id", most_unlabelled / max(1, total)))
     sample = sample.select(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(bags)).cast("int").alias("bag"), "toxic", "text")
-    sample = stage_table(sample.mapInArrow(_sample_rows, "bag int, toxic int, feats binary"), "sample")
+    sample = stage_table(sample.mapInArrow(lean(_sample_rows), "bag int, toxic int, feats binary"), "sample")
     size = sample.agg(F.sum(F.length("feats"))).first()[0] or 0
     sample = sample.where(draw("feats", bags * most_bytes / max(1, size)))
     picked = (sample.repartition("bag").sortWithinPartitions("bag")
-              .mapInArrow(_pick(keep), "bag int, features binary").collect())   # a bag is at most ``keep`` numbers
+              .mapInArrow(lean(_pick(keep)), "bag int, features binary").collect())   # a bag is at most ``keep`` numbers
     chosen = {r["bag"]: np.frombuffer(r["features"], np.int64) for r in picked}
     fitted = (sample.select("bag", "toxic", "feats", F.xxhash64("feats").alias("turn"))
-              .mapInArrow(_hold(chosen), "bag int, toxic int, turn bigint, held binary")
+              .mapInArrow(lean(_hold(chosen)), "bag int, toxic int, turn bigint, held binary")
               .repartition("bag").sortWithinPartitions("bag", "turn")
-              .mapInArrow(_train(prior, chosen), "features binary, weights binary, bias double").collect())
+              .mapInArrow(lean(_train(prior, chosen)), "features binary, weights binary, bias double").collect())
     return [(np.frombuffer(r["features"], np.int64), np.frombuffer(r["weights"], float), r["bias"]) for r in
             sorted(fitted, key=lambda r: r["bias"])], prior
 
 
 def score_toxicity(docs: DataFrame, models, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a column ``score_col`` (0 to 1), a name that is not taken; all columns stay."""
-    return docs.mapInArrow(_score(models, 0.0, text_col, score_col), StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
+    return docs.mapInArrow(lean(_score(models, 0.0, text_col, score_col)), StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
