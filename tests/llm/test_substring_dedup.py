@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tests.llm.text_cases import edited, prose, words_of
-from tricolor.llm.substring_dedup import align, chain, cut_repeats, repeated_passages, segments
+from tricolor.llm.substring_dedup import _around, _texts, align, chain, cut_repeats, repeated_passages, segments
 
 
 def brute_chain_score(b0, b1, a0, a1, cost=0.1):
@@ -183,3 +184,31 @@ def test_rooms_and_buckets_change_nothing_but_the_holder_named(rows, monkeypatch
             out.setdefault(r.doc_id, set()).update(range(r.start, r.end))
         return out
     assert covered(one) == covered(many) and len(covered(one)) > 40
+
+
+def test_a_text_of_several_chains_is_hashed_once():
+    w, text = _texts(np.array([3, 3, 3, 5, 5, 5]), pa.array(["a b c", "a b c", "a c", "a c", "a c", ""]))
+    assert text.tolist() == [0, 0, 1, 2, 2, 3] and w.ptr.tolist() == [0, 3, 5, 7, 7]
+    lo, hi = _around(w, text, np.array([0, 1, 0, 1, 2, 4]), np.array([2, 9, 1, 1, 3, 1]))
+    assert (lo.tolist(), hi.tolist()) == ([0, 1, 3, 6, 7, 7], [2, 3, 4, 7, 7, 7])
+
+
+def test_segments_equal_the_word_by_word_rule():
+    def plain(match):
+        at = np.flatnonzero(match)
+        out, start, score, best, end = [], int(at[0]), 1, 1, int(at[0])
+        for p, q in zip(at[:-1], at[1:]):
+            score -= 2 * int(q - p - 1)
+            if best - score > 20 or score <= 0:
+                out.append((start, end + 1))
+                start, score, best = int(q), 0, 0
+            score += 1
+            if score >= best:
+                best, end = score, int(q)
+        return [*out, (start, end + 1)]
+
+    rng = np.random.default_rng(8)
+    for _ in range(500):
+        match = np.repeat(rng.random(40) < rng.choice([0.3, 0.6, 0.9]), rng.integers(1, 9, 40))
+        if match.any():
+            assert segments(match) == plain(match)

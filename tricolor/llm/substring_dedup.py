@@ -17,7 +17,8 @@
 3. Per document and anchor document, matches on one diagonal merge into fragments and fragments are
    chained in order of both texts: a Fenwick tree over the anchor positions holds the best prefix
    score, gaps cost in proportion to the words skipped on both sides.
-4. The words around each chain are fetched by two joins and aligned: along fragments word by word,
+4. The words around each chain are fetched by two joins, which leave the rows of a text side by side so
+   that it is hashed once, and aligned: along fragments word by word,
    between them by a small longest-common-subsequence table, beyond the ends along the diagonal.
    Maximal segments of the alignment with at least ``min_words`` words and ``identity`` matching
    are the passages; where these leave words out, so are the longest stretches that meet both.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tricolor.llm.common import Words, drop_tables, hash_words, mix, runs, ship, slices, stage_table, unused, words
+from tricolor.llm.common import Words, drop_tables, give_back, hash_words, lean, mix, runs, ship, slices, stage_table, text_buffers, unused
 
 SPACED = 6  # seeds of so many words or more leave one out
 MAX_GAP = 64
@@ -94,15 +95,23 @@ def _seeds(k: int, window: int):
                 h, ptr = _grams(w, k)
                 at = _minimizers(h, ptr, window)
                 doc = np.searchsorted(ptr, at, "right") - 1
-                order = np.lexsort((at, h[at], doc))
-                d, x, pos = doc[order], h[at][order], (at[order] - ptr[doc[order]]).astype(np.int32)
-                first = np.ones(len(at), bool)
-                first[1:] = (d[1:] != d[:-1]) | (x[1:] != x[:-1])
+                x, pos = h[at], (at - ptr[doc]).astype(np.int32)
                 # the n-th holder inside a text is also a seed of its own, matched with n-th holders
-                nth = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-                own = np.flatnonzero(nth)
-                x = np.append(x, mix(x[own] + nth[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-                yield b.column("id").to_numpy()[np.append(d, d[own])], np.append(pos, pos[own]), x
+                ranked = np.sort(x)
+                twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+                own, nth = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                if len(twice):
+                    place = np.minimum(np.searchsorted(twice, x), len(twice) - 1)
+                    rows = np.flatnonzero(twice[place] == x)
+                    rows = rows[np.argsort(x[rows], kind="stable")]   # texts and positions stay in order
+                    first = np.ones(len(rows), bool)
+                    first[1:] = (doc[rows][1:] != doc[rows][:-1]) | (x[rows][1:] != x[rows][:-1])
+                    nth = np.arange(len(rows)) - np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
+                    own, nth = rows[nth > 0], nth[nth > 0]
+                    order = np.argsort(own)
+                    own, nth = own[order], nth[order]
+                x = np.append(x, mix(x[own] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                yield b.column("id").to_numpy()[np.append(doc, doc[own])], np.append(pos, pos[own]), x
     return run
 
 
@@ -146,13 +155,13 @@ def _windows(k: int, window: int, size: int):
                 for lo, hi in zip(cut[ends - cut > 1], ends[ends - cut > 1]):
                     keep[lo:hi] = False
                     keep[lo + np.array(_tiling(start[order[lo:hi]], size))] = True
-                at = order[keep]
+                at = np.sort(order[keep])
                 yield b.column("id").to_numpy()[doc[at]], (start[at] - ptr[doc[at]]).astype(np.int32), whole[at]
     return run
 
 
 def _encode(ids: np.ndarray, pos: np.ndarray, h: np.ndarray) -> bytes:
-    """Rows of one bucket, sorted by (id, pos), as one value: ids and their row counts, steps of the
+    """Rows of one bucket, those of an id side by side by pos, as one value: ids and their row counts, steps of the
     positions (byte by byte, compressed together), and the hashes' last REST bytes as they are."""
     new = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     step = np.diff(pos, prepend=np.int32(0))
@@ -178,8 +187,9 @@ def _decode(value: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _blocks(ids: np.ndarray, pos: np.ndarray, h: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    """One row per bucket: (bucket, rows)."""
-    order = np.lexsort((pos, ids, bucket))
+    """One row per bucket: (bucket, rows), whose rows stay in their order."""
+    top = int(bucket.max()) if len(bucket) else 0
+    order = np.argsort(bucket.astype(np.uint16 if top < 1 << 16 else np.uint64), kind="stable")
     ids, pos, h, bucket = ids[order], pos[order], h[order], bucket[order]
     cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     ends = np.append(cut[1:], len(bucket))
@@ -196,15 +206,18 @@ def _packed(found, buckets: int, rooms: int):
 
         def out() -> pa.RecordBatch:
             ids, pos, h = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             room = mix(ids.astype(np.uint64)) % np.uint64(rooms)
             return _blocks(ids, pos, h, ((h >> np.uint64(8 * REST)) % np.uint64(buckets)) * np.uint64(rooms) + room)
 
         for rows in found(batches):
             held.append(rows)
             size += len(rows[0])
+            del rows
             if size >= HELD_ROWS:
                 yield out()
-                held, size = [], 0
+                size = 0
+                give_back()
         if size:
             yield out()
     return run
@@ -220,24 +233,28 @@ def _matches(rooms: int):
             values = t.column("rows").to_pylist()
             for x, y in zip(groups[:-1], groups[1:]):
                 ids, pos, h = (np.concatenate(c) for c in zip(*map(_decode, values[x:y])))
-                order = np.lexsort((pos, ids, h))
+                order = np.argsort(h)
                 ids, pos, h = ids[order], pos[order], h[order]
                 cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
                 count = np.diff(np.append(cut, len(h)))
+                # the first holder: the smallest id, and there the smallest position
+                a_id = np.minimum.reduceat(ids, cut)
+                a_pos = np.minimum.reduceat(np.where(ids == np.repeat(a_id, count), pos, np.iinfo(np.int32).max), cut)
                 if rooms > 1:
                     bucket = np.full(len(cut), int(t.column("bucket")[int(x)].as_py()) // rooms)
-                    more = _blocks(ids[cut], pos[cut], h[cut], bucket)
+                    order = np.lexsort((a_pos, a_id))
+                    more = _blocks(a_id[order], a_pos[order], h[cut][order], bucket)
                     none = [pa.nulls(1, kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.int32())]
                     yield pa.RecordBatch.from_arrays([*none, *more.columns], names=_MATCH)
-                shared = np.repeat(ids[cut] != ids[cut + count - 1], count)
-                first = np.repeat(cut, count)[shared]
-                rows = np.flatnonzero(shared)
-                order = np.lexsort((pos[rows], ids[first], ids[rows]))
+                shared = a_id != np.maximum.reduceat(ids, cut)
+                rows = np.flatnonzero(np.repeat(shared, count))
+                first = np.repeat(np.flatnonzero(shared), count[shared])
+                order = np.lexsort((a_id[first], ids[rows]))
                 rows, first = rows[order], first[order]
                 for at in range(0, len(rows), 100_000):
                     r, f = rows[at:at + 100_000], first[at:at + 100_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[r]), pa.array(pos[r]), pa.array(ids[f]), pa.array(pos[f]), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.binary())],
+                        [pa.array(ids[r]), pa.array(pos[r]), pa.array(a_id[f]), pa.array(a_pos[f]), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.binary())],
                         names=_MATCH)
     return run
 
@@ -251,9 +268,9 @@ def _shared(source: DataFrame, found, buckets: int, rooms: int, name: str) -> Da
     schema = "id long, pos int, a_id long, a_pos int, bucket long, rows binary"
 
     def matched(blocks: DataFrame, rooms: int) -> DataFrame:
-        return blocks.repartitionById(buckets * rooms, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_matches(rooms), schema)
+        return blocks.repartitionById(buckets * rooms, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(lean(_matches(rooms)), schema)
 
-    out = stage_table(matched(source.mapInArrow(_packed(found, buckets, rooms), "bucket long, rows binary"), rooms), name)
+    out = stage_table(matched(source.mapInArrow(lean(_packed(found, buckets, rooms)), "bucket long, rows binary"), rooms), name)
     rows = out.where("id is not null").drop("bucket", "rows")
     if rooms == 1:
         return rows
@@ -328,11 +345,12 @@ def _chains(k: int, margin: int, min_words: int):
             end = np.repeat(size - k, n)
             end[np.cumsum(n) - n] = 0
             doc, anchor, pos, a_pos = np.repeat(doc, n), np.repeat(anchor, n), np.repeat(pos, n) + end, np.repeat(a_pos, n) + end
+            # by diagonal inside a pair, so that a repeated seed does not break a run
+            order = np.lexsort((pos, pos - a_pos, anchor, doc))
+            doc, anchor, pos, a_pos = doc[order], anchor[order], pos[order], a_pos[order]
             pair = np.ones(len(doc), bool)
             pair[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
-            # by diagonal inside a pair, so that a repeated seed does not break a run
-            order = np.lexsort((pos, pos - a_pos, np.cumsum(pair)))
-            doc, anchor, pos, a_pos, group = doc[order], anchor[order], pos[order], a_pos[order], np.cumsum(pair)[order]
+            group = np.cumsum(pair)
             new = np.ones(len(doc), bool)
             new[1:] = (group[1:] != group[:-1]) | (pos[1:] != pos[:-1]) | (a_pos[1:] != a_pos[:-1])
             doc, anchor, pos, a_pos, group = doc[new], anchor[new], pos[new], a_pos[new], group[new]
@@ -361,6 +379,9 @@ def _common(b: np.ndarray, a: np.ndarray) -> list[tuple[int, int]]:
     n, m = len(b), len(a)
     if not n or not m or n > MAX_GAP or m > MAX_GAP:
         return []
+    b, a = b.tolist(), a.tolist()
+    if set(b).isdisjoint(a):
+        return []
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         row, down = best[i], best[i + 1]
@@ -392,6 +413,9 @@ def align(b: np.ndarray, a: np.ndarray, path: list[tuple[int, int, int]]) -> np.
             same = at[b[lo:hi] == a[lo + shift:hi + shift]]
             to[same] = same + shift
 
+    if len(path) == 1:
+        diagonal(0, len(b), path[0][2] - path[0][0])
+        return to
     diagonal(0, path[0][0], path[0][2] - path[0][0])
     done_b = done_a = None
     for lo, hi, x in path:
@@ -417,15 +441,19 @@ def segments(match: np.ndarray) -> list[tuple[int, int]]:
     at = np.flatnonzero(match)
     if not len(at):
         return []
-    out, start, score, best, end = [], int(at[0]), 1, 1, int(at[0])
-    for p, q in zip(at[:-1], at[1:]):
-        score -= MISMATCH * int(q - p - 1)
+    # run by run of matches without a gap, inside which the score only rises
+    gap = np.flatnonzero(np.diff(at) > 1)
+    first, last = at[np.append(0, gap + 1)].tolist(), at[np.append(gap, len(at) - 1)].tolist()
+    start, end = first[0], last[0]
+    out, score, best = [], end + 1 - start, end + 1 - start
+    for p, q, r in zip(last[:-1], first[1:], last[1:]):
+        score -= MISMATCH * (q - p - 1)
         if best - score > DROP or score <= 0:
             out.append((start, end + 1))
-            start, score, best = int(q), 0, 0
-        score += 1
+            start, score, best = q, 0, 0
+        score += r + 1 - q
         if score >= best:
-            best, end = score, int(q)
+            best, end = score, r
     out.append((start, end + 1))
     return out
 
@@ -461,29 +489,65 @@ def exact_runs(b: np.ndarray, a: np.ndarray, path: list[tuple[int, int, int]], l
     return out
 
 
+def _texts(ids: np.ndarray, column: pa.Array) -> tuple[Words, np.ndarray]:
+    """(words, text of every row): a text that stands in several rows on end is hashed once."""
+    data, o = text_buffers(column)
+    size, new = np.diff(o), np.ones(len(ids), bool)
+    for i in np.flatnonzero((ids[1:] == ids[:-1]) & (size[1:] == size[:-1])) + 1:
+        new[i] = not np.array_equal(data[o[i - 1]:o[i]], data[o[i]:o[i + 1]])
+    return hash_words(column.take(pa.array(np.flatnonzero(new)))), np.cumsum(new) - 1
+
+
+def _around(w: Words, text: np.ndarray, off: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of ``n`` words from the ``off``-th of every row's text, as far as it has them."""
+    lo, hi = w.ptr[text], w.ptr[text + 1]
+    return np.minimum(lo + off, hi), np.minimum(lo + off + n, hi)
+
+
+def _anchor_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chains with their anchor's whole ``text`` -> the chains with the part around each, ``a_text``."""
+    for batch in batches:
+        for r in slices(batch, "text"):
+            w, text = _texts(r.column("a_id").to_numpy(), r.column("text"))
+            lo, hi = _around(w, text, r.column("a_off").to_numpy(), r.column("a_len").to_numpy())
+            part = [w.data[w.start[x]:w.end[y - 1]].tobytes() if y > x else b"" for x, y in zip(lo.tolist(), hi.tolist())]
+            yield pa.RecordBatch.from_arrays([*(r.column(c) for c in _CHAIN), pa.array(part, pa.binary()).cast(pa.string())], names=[*_CHAIN, "a_text"])
+
+
+_CHAIN = ["id", "a_id", "path", "b_off", "b_len", "a_off"]
+
+
 def _passages(min_words: int, identity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in slices(batch, "b_text"):
-                wb, wa = hash_words(r.column("b_text")), hash_words(r.column("a_text"))
+            for r in slices(batch, "text"):
                 ids, a_ids, b_off, a_off = (r.column(c).to_numpy() for c in ("id", "a_id", "b_off", "a_off"))
+                wb, text = _texts(ids, r.column("text"))
+                wa = hash_words(r.column("a_text"))
+                lows, highs = _around(wb, text, b_off, r.column("b_len").to_numpy())
                 found = []
                 for i, path in enumerate(r.column("path").to_pylist()):
-                    b, a = wb.hash[wb.ptr[i]:wb.ptr[i + 1]], wa.hash[wa.ptr[i]:wa.ptr[i + 1]]
+                    b, a = wb.hash[lows[i]:highs[i]], wa.hash[wa.ptr[i]:wa.ptr[i + 1]]
                     p = np.array(path).reshape(-1, 3) - [b_off[i], b_off[i], a_off[i]]
-                    p = [tuple(map(int, x)) for x in p]
-                    to, done = align(b, a, p), np.zeros(len(b) + 1, np.int64)
+                    p = [tuple(x) for x in p.tolist()]
+                    to, done = align(b, a, p), np.zeros(len(b), bool)
+                    match = to >= 0
+                    at = np.flatnonzero(match)
                     for step in (segments, lambda x: stretches(x, min_words, identity)):
-                        inside = np.cumsum(done) > 0
-                        for lo, hi in step(to >= 0):
+                        if len(at) < identity * min_words or done[at[0]:at[-1] + 1].all():
+                            break   # nothing that begins and ends with a match is left
+                        inside = done.copy()
+                        for lo, hi in step(match):
+                            if hi - lo < min_words or inside[lo:hi].all():
+                                continue
                             hit = to[lo:hi]
                             hit = hit[hit >= 0]
                             x, y = int(hit[0]), int(hit[-1]) + 1
-                            if hi - lo >= min_words and len(hit) >= identity * max(hi - lo, y - x) and not inside[lo:hi].all():
+                            if len(hit) >= identity * max(hi - lo, y - x):
                                 found.append((ids[i], lo + b_off[i], hi + b_off[i], a_ids[i], x + a_off[i], y + a_off[i], len(hit)))
-                                done[lo], done[hi] = done[lo] + 1, done[hi] - 1
-                    done = np.cumsum(done) > 0
+                                done[lo:hi] = True
                     # what the alignment spent on other fragments, or joined to too poor a segment
+                    p = [x for x in p if not done[max(0, x[0]):max(0, x[1])].all()]
                     for lo, hi, x in exact_runs(b, a, p, min_words):
                         if not done[lo:hi].all():
                             found.append((ids[i], lo + b_off[i], hi + b_off[i], a_ids[i], x + a_off[i], x + hi - lo + a_off[i], hi - lo))
@@ -522,8 +586,8 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop_tables(spark)
     links = shared.withColumn("size", F.lit(k)).unionByName(whole.withColumn("size", F.lit(min_words))).where("id <> a_id")
     margin = MARGIN
-    chains = stage_table(links.repartition("id").sortWithinPartitions("id", "a_id", "pos", "a_pos")
-                         .mapInArrow(_chains(k, margin, min_words), "id long, a_id long, path array<long>"), "chains")
+    chains = stage_table(links.repartition("id").sortWithinPartitions("id")
+                         .mapInArrow(lean(_chains(k, margin, min_words)), "id long, a_id long, path array<long>"), "chains")
     del live, links
     drop_tables(spark, shared, whole)
     last = F.element_at("path", -2)
@@ -531,13 +595,12 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a_off = F.greatest(F.col("path")[2] - margin, F.lit(0))
     b_len = last + margin - b_off
     a_len = F.element_at("path", -1) + last - F.element_at("path", -3) + margin - a_off
-    part = lambda off, n: F.array_join(F.slice(words("text"), (off + 1).cast("int"), n.cast("int")), " ")
+    # the joins leave the rows of a text side by side, which is hashed once for all of them
     with_a = (chains.withColumn("b_off", b_off).withColumn("a_off", a_off).withColumn("b_len", b_len).withColumn("a_len", a_len)
-              .join(docs.withColumnRenamed("id", "a_id"), "a_id")
-              .select("id", "a_id", "path", "b_off", "a_off", "b_len", part(F.col("a_off"), F.col("a_len")).alias("a_text")))
-    with_b = (with_a.join(docs, "id")
-              .select("id", "a_id", "path", "b_off", "a_off", part(F.col("b_off"), F.col("b_len")).alias("b_text"), "a_text"))
-    found = with_b.mapInArrow(_passages(min_words, identity), ", ".join(f"{c} long" for c in _FIELDS))
+              .join(docs.withColumnRenamed("id", "a_id"), "a_id").select(*_CHAIN, "a_len", "text")
+              .mapInArrow(lean(_anchor_parts), "id long, a_id long, path array<long>, b_off long, b_len long, a_off long, a_text string"))
+    found = (with_a.join(docs, "id").select(*_CHAIN, "a_text", "text")
+             .mapInArrow(lean(_passages(min_words, identity)), ", ".join(f"{c} long" for c in _FIELDS)))
     return found.distinct().withColumnRenamed("id", id_col)
 
 
@@ -576,7 +639,7 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     key, held = unused(df, "cut_id"), unused(df, "cut_spans")
     spans = stage_table(found.groupBy(F.col(id_col).alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(held)), "spans")
     joined = df.join(spans, df[id_col] == spans[key], "left").drop(key)
-    cut = joined.mapInArrow(_cut(df.columns, text_col, held), df.schema)
+    cut = joined.mapInArrow(lean(_cut(df.columns, text_col, held)), df.schema)
     if "n_chars" in df.columns:
         cut = cut.withColumn("n_chars", F.coalesce(F.length(text_col).cast(df.schema["n_chars"].dataType), F.col("n_chars")))
     return cut.select(*df.columns)
