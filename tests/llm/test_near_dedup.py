@@ -80,3 +80,39 @@ def test_no_task_holds_a_whole_group_of_template_documents(rows, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(docs, 2, 80)
     assert len({r["component_id"] for r in got}) > 100
     assert len(most) == 2 and max(most) <= 80, most  # blocks and rooms are about 16, dealt by hash
+
+
+def test_rows_of_the_descent_stay_in_proportion_to_a_group_of_near_copies(rows, monkeypatch):
+    """Near copies stop at the first large nodes and are not followed along all 128 paths of each."""
+    rng = random.Random(8)
+    base = prose(rng, 150)
+    docs = [(i, edited(rng, base, 0.005 * (1 + i % 6))) for i in range(240)]
+    held, stage = [], near_dedup.stage_table
+
+    def watched(df, name):
+        out = stage(df, name)
+        if name == "sized":
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stage_table", watched)
+    made = []
+    for n in (120, 240):
+        held.clear()
+        got = near_duplicates(rows("doc_id long, text string", docs[:n]), k=2, leaf=8).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(docs[:n], 2, 80)
+        made.append(sum(held))
+    assert made[1] <= 40 * 240, made
+    assert made[1] <= 2.5 * made[0], made
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_chains_from_copies_that_stop_early_stay_linked(rows, percent):
+    """Each document is linked with the next ones only, so links lead out of what is near the smallest id."""
+    rng = random.Random(9)
+    text, docs = prose(rng, 120), []
+    for i in range(160):
+        docs.append((i, text))
+        text = edited(rng, text, {50: 0.04, 80: 0.012, 95: 0.004}[percent])
+    got = near_duplicates(rows("doc_id long, text string", docs), k=2, percent=percent, leaf=4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(docs, 2, percent)

@@ -15,8 +15,13 @@ Plan, chosen for bounded memory with groups of any size:
    only its smallest id goes on (a third of all rows may be one class);
 2. nodes are rows (path, id); counts are pre-aggregated; leaves are streamed in path order and
    compared on 4-bit sketches, keeping those within four standard deviations of the threshold as
-   *star* edges; a node that is still large at ``depth`` links its documents to its smallest id
-   without comparing (which can only make the next groups coarser, never lose a link);
+   *star* edges. Before a large node branches on, its documents are compared with its smallest id:
+   those very close to it are linked to it and go no further down, so that a group of near copies
+   is not followed along every path. No link is lost: sketch distances obey the triangle
+   inequality, so whatever a leaf would link to one that stopped is itself near the smallest id,
+   and is linked to it at that wider distance while it goes on. A node that is still large at
+   ``depth`` links its documents to its smallest id without comparing (both wider links can only
+   make the next groups coarser, never lose a link);
 3. components of these edges are disjoint candidate groups; the texts of their members are read
    again and links are decided on the full sets. Groups up to ``block`` documents are one block;
    larger ones are salted into blocks, and ``pivots`` members go along with every block, which
@@ -100,11 +105,36 @@ def _children(branch: int, levels: int = 1):
     return run
 
 
+def _packed(column) -> np.ndarray:
+    """4-bit sketches of signatures, two positions in a byte."""
+    nib = (binary_rows(column, np.uint32, POSITIONS) >> np.uint32(11)).astype(np.uint8) & 15
+    return nib[:, ::2] << 4 | nib[:, 1::2]
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        nib = (binary_rows(b.column("sig"), np.uint32, POSITIONS) >> np.uint32(11)).astype(np.uint8) & 15
-        yield pa.RecordBatch.from_arrays([b.column("id"), fixed_binary(nib[:, ::2] << 4 | nib[:, 1::2])],
-                                         names=["id", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column("id"), fixed_binary(_packed(b.column("sig")))], names=["id", "sketch"])
+
+
+def _branch_on(branch: int, core: int, shell: int):
+    """(path, id, low, sketch of low, sig), rows of large nodes -> (path, id, low): the rows (path, id)
+    two levels below of documents that differ from low in more than ``core`` positions, and an edge
+    (id, low), without a path, for every other document that differs in ``shell`` at most."""
+    below = _children(branch, 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            diff = _packed(b.column("sig")) ^ binary_rows(b.column("sketch"), np.uint8, POSITIONS // 2)
+            apart = np.count_nonzero(diff >> 4, axis=1) + np.count_nonzero(diff & 15, axis=1)
+            id, low = b.column("id").to_numpy(), b.column("low").to_numpy()
+            edge = (apart <= shell) & (id != low)
+            none = pa.nulls(int(edge.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(id[edge]), pa.array(low[edge])], names=["path", "id", "low"])
+            for c in below(iter([b.filter(pa.array(apart > core))])):
+                yield pa.RecordBatch.from_arrays([*c.columns, pa.nulls(c.num_rows, pa.int64())], names=["path", "id", "low"])
+    return run
 
 
 def _min_labels(link: np.ndarray) -> np.ndarray:
@@ -255,33 +285,43 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = stage_table(signed.where("n > 0 and id is not null").groupBy("mark")
                           .agg(F.min(F.struct("id", "n", "sig")).alias("x")).select("mark", "x.id", "x.n", "x.sig"), "classes")
 
+    s = percent / 100
+    p = s + (1 - s) / 16
+    least = int(np.floor(POSITIONS * p - 4 * np.sqrt(POSITIONS * p * (1 - p))))
+    apart = POSITIONS - least   # of two linked documents at most
+    core = min(2 * apart // 3, 3 * POSITIONS // 5 - apart)   # core + apart is far from what unlike documents show
+
     # -- descent: rows (path, id) of one level at a time, large nodes only going on
     roots = classes.select(F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(trees).cast("bigint"))).alias("path"), "id", "sig")
     level = stage_table(roots.mapInArrow(lean(_children(branch)), "path long, id long"), "nodes")
-    small, edges = [], None
+    small, edges = [], []
     for d in range(1, depth + 1, 2):
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low")).where("size > 1")
         sized = stage_table(level.join(sizes, "path"), "sized")
         small.append(sized.where(F.col("size") <= leaf).select("path", "id"))
         big = sized.where(F.col("size") > leaf)
         if d + 2 > depth:
-            edges = big.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))
+            edges.append(big.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
         elif big.isEmpty():
             break
         else:
-            level = stage_table(big.select("path", "id").join(classes.select("id", "sig"), "id")
-                                .select("path", "id", "sig").mapInArrow(lean(_children(branch, 2)), "path long, id long"), "nodes")
+            # written first: Spark then knows how few these mostly are
+            lows = stage_table(big.select(F.col("low").alias("id")).distinct().join(classes.select("id", "sig"), "id")
+                               .mapInArrow(lean(_sketch), "id long, sketch binary"), "lows").withColumnRenamed("id", "low")
+            told = stage_table(big.select("path", "id", "low").join(lows, "low").join(classes.select("id", "sig"), "id")
+                               .select("path", "id", "low", "sketch", "sig")
+                               .mapInArrow(lean(_branch_on(branch, core, core + apart if core >= 0 else -1)), "path long, id long, low long"), "nodes")
+            edges.append(told.where("path is null").select(F.col("id").alias("a"), F.col("low").alias("b")))
+            level = told.where("path is not null").select("path", "id")
     leaves = small[0]
     for s in small[1:]:
         leaves = leaves.unionByName(s)
-    s = percent / 100
-    p = s + (1 - s) / 16
-    least = int(np.floor(POSITIONS * p - 4 * np.sqrt(POSITIONS * p * (1 - p))))
     sketches = classes.select("id", "sig").mapInArrow(lean(_sketch), "id long, sketch binary")
     found = (leaves.join(sketches, "id").repartition("path").sortWithinPartitions("path", "id")
              .select("path", "id", "sketch").mapInArrow(lean(_leaf_edges(least)), "a long, b long"))
-    groups = stage_table(connected_components(found if edges is None else found.unionByName(edges))
-                         .withColumnRenamed("component", "grp"), "groups")
+    for e in edges:
+        found = found.unionByName(e)
+    groups = stage_table(connected_components(found).withColumnRenamed("component", "grp"), "groups")
 
     # -- exact links inside the candidate groups, on the full sets
     size_of = (groups.join(classes.select("id", "n"), "id").groupBy("grp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
