@@ -305,8 +305,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         elif big.isEmpty():
             break
         else:
-            # written first: Spark then knows how few these mostly are
-            lows = stage_table(big.select(F.col("low").alias("id")).distinct().join(classes.select("id", "sig"), "id")
+            # written first: Spark then knows how few these mostly are, and need not shuffle the signatures for them
+            heads = stage_table(big.where("id = low").select("id"), "heads")
+            lows = stage_table(classes.select("id", "sig").join(heads, "id", "left_semi")
                                .mapInArrow(lean(_sketch), "id long, sketch binary"), "lows").withColumnRenamed("id", "low")
             told = stage_table(big.select("path", "id", "low").join(lows, "low").join(classes.select("id", "sig"), "id")
                                .select("path", "id", "low", "sketch", "sig")
@@ -321,7 +322,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
              .select("path", "id", "sketch").mapInArrow(lean(_leaf_edges(least)), "a long, b long"))
     for e in edges:
         found = found.unionByName(e)
-    groups = stage_table(connected_components(found).withColumnRenamed("component", "grp"), "groups")
+    groups = connected_components(found).withColumnRenamed("component", "grp")
 
     # -- exact links inside the candidate groups, on the full sets
     size_of = (groups.join(classes.select("id", "n"), "id").groupBy("grp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
