@@ -1,9 +1,10 @@
 import random
+import re
 
 import pytest
 
 from tests.llm.text_cases import corpus, edited, prose, words_of
-from tricolor.llm import near_dedup
+from tricolor.llm import components, near_dedup
 from tricolor.llm.near_dedup import drop_near_duplicates, near_duplicates
 
 
@@ -116,3 +117,36 @@ def test_chains_from_copies_that_stop_early_stay_linked(rows, percent):
         text = edited(rng, text, {50: 0.04, 80: 0.012, 95: 0.004}[percent])
     got = near_duplicates(rows("doc_id long, text string", docs), k=2, percent=percent, leaf=4).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(docs, 2, percent)
+
+
+def broadcasts(df):
+    """The plan below each broadcast of ``df``, as text."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    deep = [len(re.match(r"[ :+-]*", x)[0]) for x in lines]
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            end = next((j for j in range(i + 1, len(lines)) if deep[j] <= deep[i]), len(lines))
+            yield "\n".join(lines[i + 1:end])
+
+
+def test_no_table_that_grows_with_the_documents_is_broadcast(rows, monkeypatch):
+    """Small files of edges and of pairs hold many rows; in a hash table on the driver each takes 16 to 80 bytes."""
+    rng = random.Random(6)
+    base = prose(rng, 150)
+    docs = [(i, edited(rng, base, 0.09)) for i in range(120)]
+    docs += [(200 + i, edited(rng, docs[i][1], 0.01)) for i in range(0, 60, 3)]
+    sent, stage = {}, near_dedup.stage_table
+
+    def watched(df, name):
+        sent.setdefault(name, []).extend(broadcasts(df))
+        return stage(df, name)
+
+    monkeypatch.setattr(near_dedup, "stage_table", watched)
+    monkeypatch.setattr(components, "stage_table", watched)
+    out = near_duplicates(rows("doc_id long, text string", docs), k=2, leaf=8, depth=3, block=16, pivots=2)
+    assert {"cc", "sized", "placed", "asked", "more"} <= sent.keys()
+    sent["result"] = list(broadcasts(out))
+    assert not [n for n in ("cc", "sized", "part", "comp", "result") if sent.get(n)]
+    assert [p for p in sent["more"]] and not [p for p in sent["more"] if "room#" in p or "block#" in p]
+    assert not [p for n in ("placed", "asked") for p in sent[n] if re.search(r"FileScan parquet \[[^\]]*\bid#", p)]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == brute(docs, 2, 80)

@@ -3,8 +3,8 @@
 Both steps turn each edge into one edge, so that the list never grows; equal edges are united once a
 round. A round is five shuffles of (vertex, vertex) pairs and one written table. As soon as every
 vertex has a single smaller neighbour, the edges are trees, and rounds of two shuffles halve their
-depth. No component or edge list reaches the driver, which only learns after each round, by one more
-shuffle, what is left to do. Minima are pre-aggregated before the shuffle; the join back is an ordinary
+depth. No component or edge list reaches the driver, not to be broadcast either (ends are few bytes in a file
+and many in a hash table); it only learns after each round, by one more shuffle, what is left to do. Minima are pre-aggregated before the shuffle; the join back is an ordinary
 equi-join. Adaptive execution can split a hub vertex only in the rounds on trees, where no aggregate stands
 between shuffle and join; in the others one task sorts and streams a hub's distinct edges.
 """
@@ -24,19 +24,19 @@ def _lowest(e: DataFrame) -> DataFrame:
 
 def _large_star(e: DataFrame) -> DataFrame:
     """The upper end of every edge moves to the smallest neighbour of the lower end."""
-    return e.join(_lowest(e), F.col("v") == F.col("x"), "left").select("u", F.coalesce("m", "v").alias("v"))
+    return e.join(_lowest(e).hint("merge"), F.col("v") == F.col("x"), "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """The lower neighbours of every vertex, and itself in place of the smallest, move to the smallest."""
-    return (e.join(_lowest(e), F.col("u") == F.col("x"))
+    return (e.join(_lowest(e).hint("merge"), F.col("u") == F.col("x"))
             .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")))
 
 
 def _halved(e: DataFrame) -> DataFrame:
     """Trees of half the depth: the upper end of every edge moves to the lower end's only lower neighbour."""
     up = e.where("u <> v").select(F.col("u").alias("x"), F.col("v").alias("m"))
-    return e.join(up, F.col("v") == F.col("x"), "left").select("u", F.coalesce("m", "v").alias("v"))
+    return e.join(up.hint("merge"), F.col("v") == F.col("x"), "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _left_to_do(e: DataFrame) -> tuple[bool, bool]:

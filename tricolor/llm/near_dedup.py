@@ -30,7 +30,9 @@ Plan, chosen for bounded memory with groups of any size:
    join two components stays untested, and pairs inside one component need no test. The queries are
    dealt into blocks too (*rooms*), so that a task holds one block of members and one of queries.
 
-The result never depends on a candidate or partner cap.
+The result never depends on a candidate or partner cap. Tables that grow with the corpus are joined by
+shuffles, so that none goes through the driver; Spark may broadcast those with a row for each large node or
+large group, and the ids whose texts or signatures need not be shuffled for them.
 """
 
 from __future__ import annotations
@@ -258,7 +260,8 @@ def _rooms(comp: DataFrame, rest: DataFrame, sizes: DataFrame, block: int, block
     """(grp, block, room, id, comp, role): the members of every block of a group (role 0) beside every
     room of its queries ``rest`` (role 1), a room being about a block's worth of documents and shingles."""
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    many = (rest.join(sizes, "id").groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).alias("rooms")))
+    many = stage_table(rest.join(sizes.hint("merge"), "id").groupBy("grp")
+                       .agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).alias("rooms")), "rooms")
     asked = (rest.join(many, "grp").withColumn("room", F.pmod(F.xxhash64("id", F.lit(11)), F.col("rooms")))
              .select("grp", upto("blocks").alias("block"), "room", "id", "comp", F.lit(1).alias("role")))
     held = comp.join(many, "grp").select("grp", "block", upto("rooms").alias("room"), "id", "comp", F.lit(0).alias("role"))
@@ -297,7 +300,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     small, edges = [], []
     for d in range(1, depth + 1, 2):
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("low")).where("size > 1")
-        sized = stage_table(level.join(sizes, "path"), "sized")
+        sized = stage_table(level.join(sizes.hint("merge"), "path"), "sized")
         small.append(sized.where(F.col("size") <= leaf).select("path", "id"))
         big = sized.where(F.col("size") > leaf)
         if d + 2 > depth:
@@ -318,16 +321,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for s in small[1:]:
         leaves = leaves.unionByName(s)
     sketches = classes.select("id", "sig").mapInArrow(lean(_sketch), "id long, sketch binary")
-    found = (leaves.join(sketches, "id").repartition("path").sortWithinPartitions("path", "id")
+    found = (leaves.join(sketches.hint("merge"), "id").repartition("path").sortWithinPartitions("path", "id")
              .select("path", "id", "sketch").mapInArrow(lean(_leaf_edges(least)), "a long, b long"))
     for e in edges:
         found = found.unionByName(e)
     groups = connected_components(found).withColumnRenamed("component", "grp")
 
     # -- exact links inside the candidate groups, on the full sets
-    size_of = (groups.join(classes.select("id", "n"), "id").groupBy("grp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    size_of = (groups.join(classes.select("id", "n").hint("merge"), "id").groupBy("grp").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
                .select("grp", F.greatest(F.ceil(F.col("docs") / block), F.ceil(F.col("shingles") / block_shingles)).alias("blocks")))
-    placed = stage_table(groups.join(size_of, "grp")
+    # written first, as are the other tables with a row for each large group: these are what Spark may broadcast, not the members
+    large = stage_table(size_of.where("blocks > 1"), "large")
+    placed = stage_table(groups.join(large, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
                          .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))), "placed")
     hot = placed.where("blocks > 1")
     any_hot = not hot.isEmpty()
@@ -344,34 +349,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                                   _confirmed(k, percent, False)), "links")
     final = links.select(F.col("a").alias("id"), F.col("b").alias("component"))  # stars already, but for salted groups
     if any_hot:
-        inside = hot.select(F.col("id").alias("a"))
+        inside = hot.select(F.col("id").alias("a")).hint("merge")
         final = links.join(inside, "a", "left_anti").select(F.col("a").alias("id"), F.col("b").alias("component"))
         part = stage_table(connected_components(links.join(inside, "a", "left_semi")), "part")
-        comp = stage_table(hot.join(part, "id", "left")
+        comp = stage_table(hot.join(part.hint("merge"), "id", "left")
                            .select("grp", "block", "blocks", "id", F.coalesce("component", "id").alias("comp")), "comp")
-        main = (comp.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("c"))
-                .groupBy("grp").agg(F.max(F.struct("c", "comp")).alias("x")).select("grp", F.col("x.comp").alias("main")))
+        main = stage_table(comp.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("c"))
+                           .groupBy("grp").agg(F.max(F.struct("c", "comp")).alias("x")).select("grp", F.col("x.comp").alias("main")), "main")
         rest = comp.join(main, "grp").where("comp <> main")
         pairs = _rooms(comp, rest, classes.select("id", "n"), block, block_shingles)
-        # written first: Spark then knows how few rows these mostly are, and need not shuffle the texts for them
         pairs = stage_table(pairs, "asked")
-        more = stage_table(_by_block(pairs.join(texts, "id").select("grp", "block", "room", "id", "text", "comp", "role"),
+        # a document has a row for each block or room, which a file holds in few bytes: only the ids, once each, may be
+        # broadcast. Written first: Spark then knows how few they mostly are, and need not shuffle the other texts
+        ids = stage_table(pairs.select("id").distinct(), "ids")
+        more = stage_table(_by_block(pairs.hint("merge").join(texts.join(ids, "id", "left_semi"), "id").select("grp", "block", "room", "id", "text", "comp", "role"),
                                      _confirmed(k, percent, True)), "more")
         # components found so far are the vertices of what the queries add
         top = stage_table(connected_components(more), "top")
-        final = final.unionByName(comp.select("id", "comp").join(top.select(F.col("id").alias("comp"), "component"), "comp", "left")
+        final = final.unionByName(comp.select("id", "comp").join(top.select(F.col("id").alias("comp"), "component").hint("merge"), "comp", "left")
                                   .select("id", F.coalesce("component", "comp").alias("component")))
 
     # rows that share an id are one document: unite their classes as well
     shared = (signed.where("n > 0 and id is not null").groupBy("id").agg(F.countDistinct("mark").alias("marks")).where("marks > 1")
               .select("id"))
     if not shared.isEmpty():
-        same = (signed.join(shared, "id", "left_semi").select(F.col("id").alias("a"), "mark")
-                .join(classes.select("mark", F.col("id").alias("b")), "mark").select("a", "b"))
+        same = (signed.join(shared.hint("merge"), "id", "left_semi").select(F.col("id").alias("a"), "mark")
+                .join(classes.select("mark", F.col("id").alias("b")).hint("merge"), "mark").select("a", "b"))
         final = connected_components(final.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(same))
-    by_mark = (classes.select("mark", "id").join(final, "id", "left")
+    by_mark = (classes.select("mark", "id").join(final.hint("merge"), "id", "left")
                .select("mark", F.coalesce("component", "id").alias("root")))
-    rooted = signed.select("id", "n", "mark").join(by_mark, "mark", "left")
+    rooted = signed.select("id", "n", "mark").join(by_mark.hint("merge"), "mark", "left")
     return rooted.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.least("id", F.coalesce("root", "id"))).alias("component_id"),
